@@ -62,6 +62,31 @@ def _sub_score(m: Metric, stats: str, spec: ScoreSpec) -> Column:
     return normalize_metric(F.col(m.column).cast("double"), lo, hi, m.invert, spec.degenerate)
 
 
+def _is_scored(m: Metric, stats: str, spec: ScoreSpec) -> Column:
+    """Whether a sub-score will hold a value, told from the raw column."""
+    if m.kind == "penalty":
+        return F.lit(True)
+    present = F.col(m.column).isNotNull()
+    if m.kind == "linear":
+        return present
+    return present & F.col(f"{stats}.{quantile_name(m.column, spec.quantiles[0])}").isNotNull()
+
+
+def _any_pillar(spec: ScoreSpec, stats: str) -> Column:
+    """Whether a row will get a composite.
+
+    Stated on raw columns: filtering on the composite itself would make the optimizer
+    copy the whole nested score expression into the filter.
+    """
+    by_score = {m.score: m for m in spec.metrics}
+    cond = F.lit(False)
+    for parts in spec.pillars.values():
+        for score, weight in parts:
+            if weight > 0:
+                cond = cond | _is_scored(by_score[score], stats, spec)
+    return cond
+
+
 def score_table(df: DataFrame, spec: ScoreSpec, bounds: DataFrame | None = None) -> DataFrame:
     """Add sub-scores, pillar scores, the composite, categories and `pillars_with_data`.
 
@@ -70,13 +95,12 @@ def score_table(df: DataFrame, spec: ScoreSpec, bounds: DataFrame | None = None)
     """
     if bounds is None:
         bounds = percentile_bounds(df, spec.bounded_columns, spec.quantiles)
-    out = attach_stats(df, bounds, "_bounds")
+    out = attach_stats(df, bounds, "_bounds").filter(_any_pillar(spec, "_bounds"))
     out = out.select("*", *[_sub_score(m, "_bounds", spec).alias(m.score) for m in spec.metrics]).drop("_bounds")
     out = out.select("*", *[weighted_score(parts).alias(p) for p, parts in spec.pillars.items()])
     out = out.withColumn(spec.composite, weighted_score(list(spec.weights.items())))
     labels = [score_category(c).alias(name) for c, name in spec.categories.items()]
-    out = out.select("*", *labels, count_present(*spec.pillars).alias("pillars_with_data"))
-    return out.filter(F.col(spec.composite).isNotNull())
+    return out.select("*", *labels, count_present(*spec.pillars).alias("pillars_with_data"))
 
 
 def weights_from_table(df: DataFrame, weights: DataFrame, pillars: Sequence[str], out: str) -> DataFrame:

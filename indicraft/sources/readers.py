@@ -84,8 +84,8 @@ def read_header_row_json(spark: SparkSession, path: str, columns: Sequence[str])
 
 
 # The fields of an alert feature that are read.
-ALERT_FEATURE = (
-    "properties struct<id:string,event:string,severity:string,certainty:string,urgency:string,"
+ALERT_PROPERTIES = (
+    "struct<id:string,event:string,severity:string,certainty:string,urgency:string,"
     "headline:string,description:string,areaDesc:string,affectedZones:array<string>,"
     "geocode:struct<UGC:array<string>>,onset:string,expires:string,senderName:string,messageType:string>"
 )
@@ -93,7 +93,7 @@ ALERT_FEATURE = (
 
 def alert_features(df: DataFrame, payload: str) -> DataFrame:
     """Text column with a GeoJSON feature collection to one `properties` struct per row."""
-    parsed = F.from_json(payload, f"features array<struct<{ALERT_FEATURE.replace(' ', ':', 1)}>>")
+    parsed = F.from_json(payload, f"features array<struct<properties:{ALERT_PROPERTIES}>>")
     return df.select(F.explode(parsed["features"]).alias("f")).select("f.properties")
 
 
