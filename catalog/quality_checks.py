@@ -1 +1,174 @@
-"""placeholder"""
+"""Data-quality operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from indicraft.operators import quality as q
+from indicraft.operators.quality import Check
+
+from . import model_sql as sql
+from .base import query, rnd, table
+from .gold_tables import medallion
+
+AS_OF = F.lit("2024-02-01 00:00:00")
+
+
+def _as_of():
+    return AS_OF.cast("timestamp")
+
+
+@query(
+    "quality_run_checks",
+    f"""with m as (select count(*)::double as n, count(*) filter (event_id % 4 = 0)::double as missing, count(distinct user_id)::double as users, avg(value) as mean, stddev(value) as sd, min(value) as lo, max(value) as hi,
+    count(*) filter (value > 60)::double as bad, count(*) filter (event_id % 4 <> 0 and length(event_type) <> 5)::double as len_bad, epoch_us(timestamp '2024-02-01') - epoch_us(max(ts)) as age from events),
+  u as (select count(*)::double as dup from (select user_id from events group by 1 having count(*) > 1) g)
+select * from (select unnest(['row_count', 'missing_count(kind)', 'missing_percent(kind)', 'duplicate_count(event_id)', 'duplicate_count(user_id)', 'distinct_count(user_id)', 'invalid_count(value)', 'invalid_percent(value)', 'invalid_count(kind)', 'avg(value)', 'stddev(value)', 'min(value)', 'max(value)', 'freshness(ts)']) as check_name,
+  unnest([null, 'kind', 'kind', 'event_id', 'user_id', 'user_id', 'value', 'value', 'kind', 'value', 'value', 'value', 'value', 'ts']) as column_name,
+  unnest([{', '.join(rnd(e, 4) for e in ('n', 'missing', 'missing / n * 100', '0', 'dup', 'users', 'bad', 'bad / n * 100', 'len_bad', 'mean', 'sd', 'lo', 'hi', 'age / 86400000000.0'))}]) as value,
+  unnest(['pass', 'fail', 'warn', 'pass', 'fail', case when users < 50 then 'warn' else 'pass' end, case when bad > 0 then 'fail' else 'pass' end, 'pass', case when len_bad > 10 then 'warn' else 'pass' end, case when mean between 0 and 20 then 'pass' else 'warn' end, 'pass', 'pass', 'pass', case when age > 172800000000 then 'warn' else 'pass' end]) as status from m, u) r""",
+)
+def run_checks(spark, d):
+    e = table(spark, d, "events").withColumn("kind", F.when(F.col("event_id") % 4 != 0, F.col("event_type")))
+    return q.run_checks(
+        e,
+        [
+            Check("row_count", fail=("<", 1)),
+            Check("missing_count", "kind", fail=(">", 0)),
+            Check("missing_percent", "kind", warn=(">", 20), fail=(">", 30)),
+            Check("duplicate_count", "event_id", fail=(">", 0)),
+            Check("duplicate_count", "user_id", fail=(">", 0)),
+            Check("distinct_count", "user_id", warn=("<", 50)),
+            Check("invalid_count", "value", fail=(">", 0), options={"high": 60}),
+            Check("invalid_percent", "value", fail=(">", 90), options={"high": 60}),
+            Check("invalid_count", "kind", warn=(">", 10), options={"length": 5}),
+            Check("avg", "value", warn=("not between", (0, 20))),
+            Check("stddev", "value", warn=("<", 1)),
+            Check("min", "value", fail=("<", -1000)),
+            Check("max", "value", fail=(">", 1e9)),
+            Check("freshness", "ts", warn=(">", 2), fail=(">", 90)),
+        ],
+        _as_of(),
+    )
+
+
+@query("quality_duplicate_keys", "select l_orderkey, l_linenumber, count(*) as occurrences from lineitem group by 1, 2 having count(*) > 1")
+def duplicate_keys(spark, d):
+    return q.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("quality_failing_rows", "select o_orderkey, o_totalprice from orders where o_totalprice > 490000 or o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')")
+def failing_rows(spark, d):
+    ok = q.valid("o_totalprice", high=490000) & q.valid("o_orderpriority", values=("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"))
+    return q.failing_rows(table(spark, d, "orders"), ~ok, "o_orderkey", "o_totalprice")
+
+
+def _rules(spark, d):
+    e = table(spark, d, "events").withColumn("empty", F.lit(None).cast("double"))
+    first = q.table_rules(e, "events", 10, ["event_id", "absent"], {"user_id": 0}, {"value": (0, 50), "empty": (0, 1)})
+    c = q.table_rules(table(spark, d, "customer"), "customer", 10**9, ["c_custkey"], {"c_custkey": 0}, {"c_acctbal": (-1000, 10000)})
+    return first.unionByName(c)
+
+
+RULES = f"""(select 'events' as table_name, unnest(['row_count', 'required:event_id', 'required:absent', 'null_pct:user_id', 'range:value', 'range:empty']) as rule,
+  unnest([n::double, null, null, 0, case when lo < 0 then lo else hi end, null]) as observed, unnest(['pass', 'pass', 'fail', 'pass', case when lo >= 0 and hi <= 50 then 'pass' else 'fail' end, 'warn']) as status
+  from (select count(*) as n, min(value) as lo, max(value) as hi from events) e
+union all select 'customer', unnest(['row_count', 'required:c_custkey', 'null_pct:c_custkey', 'range:c_acctbal']), unnest([n::double, null, 0, case when lo < -1000 then lo else hi end]),
+  unnest(['fail', 'pass', 'pass', case when lo >= -1000 and hi <= 10000 then 'pass' else 'fail' end]) from (select count(*) as n, min(c_acctbal) as lo, max(c_acctbal) as hi from customer) c)"""
+
+
+@query("quality_table_rules", f"select * from {RULES} r")
+def table_rules(spark, d):
+    return _rules(spark, d)
+
+
+@query(
+    "quality_report",
+    f"""select *, case when failed = 0 then 'healthy' else 'degraded' end as status from (select table_name, count(*) filter (status <> 'warn') as total_checks, count(*) filter (status = 'pass') as passed,
+  count(*) filter (status = 'fail') as failed, count(*) filter (status = 'warn') as warnings, {rnd("count(*) filter (status = 'pass') * 100.0 / count(*) filter (status <> 'warn')", 1)} as pass_rate from {RULES} r group by 1) t""",
+)
+def report(spark, d):
+    return q.quality_report(_rules(spark, d), ["table_name"])
+
+
+@query(
+    "quality_new_failures",
+    f"""select layer, cast(sum(failed) as bigint) as failed, max(checked_at) as last_checked_at from (
+  select case table_name when 'events' then 'raw' else 'gold' end as layer, count(*) filter (status = 'fail') as failed, case table_name when 'events' then timestamp '2024-01-10' else timestamp '2024-01-20' end as checked_at
+  from {RULES} r group by table_name) l where checked_at > timestamp '2024-01-15' and failed > 0 group by 1""",
+)
+def new_failures(spark, d):
+    rules = _rules(spark, d)
+    at = lambda s: F.lit(s).cast("timestamp")
+    log = q.result_log(rules.filter("table_name = 'events'"), "raw", at("2024-01-10 00:00:00")).unionByName(
+        q.result_log(rules.filter("table_name = 'customer'"), "gold", at("2024-01-20 00:00:00"))
+    )
+    return q.new_failures(log, at("2024-01-15 00:00:00"))
+
+
+@query(
+    "quality_distribution",
+    sql.gold(
+        f"""select n as row_count, mean, std, mode_pct, case when mean between 20 and 80 then 'pass' else 'fail' end as mean_status, case when std > 1 then 'pass' else 'fail' end as std_status,
+  case when mode_pct <= 25 then 'pass' else 'fail' end as mode_status from (select count(*) as n, {rnd('avg(wellbeing_score)')} as mean, {rnd('stddev(wellbeing_score)')} as std,
+  (select {rnd('max(c) * 100.0 / cast(sum(c) as double)')} from (select count(*) as c from scores group by wellbeing_score) m) as mode_pct from scores) x"""
+    ),
+)
+def distribution(spark, d):
+    return q.distribution_check(medallion(spark, d).scores, "wellbeing_score")
+
+
+@query(
+    "quality_freshness",
+    f"select max(ts) as latest, {rnd('(epoch_us(timestamp \'2024-02-01\') - epoch_us(max(ts))) / 86400000000.0', 1)} as age_days, 'warn' as status from events",
+)
+def freshness(spark, d):
+    return q.freshness(table(spark, d, "events"), "ts", _as_of(), 1, 90)
+
+
+@query(
+    "quality_freshness_report",
+    f"""select 'events' as table_name, max(ts) as latest, {rnd('(epoch_us(timestamp \'2024-02-01\') - epoch_us(max(ts))) / 86400000000.0', 1)} as age_days, 30.0::double as max_age_days, 'fresh' as status from events
+union all select 'orders', max(o_orderdate), {rnd('(epoch_us(timestamp \'2024-02-01\') - epoch_us(max(o_orderdate))) / 86400000000.0', 1)}, 90.0, 'stale' from orders
+union all select 'customer', null, null, 7.0, 'unknown' union all select 'nowhere', null, null, 7.0, 'missing'""",
+)
+def freshness_report(spark, d):
+    t = lambda n: table(spark, d, n)
+    return q.freshness_report(
+        spark, {"events": (t("events"), "ts", 30), "orders": (t("orders"), "o_orderdate", 90), "customer": (t("customer"), None, 7), "nowhere": (None, "ts", 7)}, _as_of()
+    )
+
+
+@query(
+    "quality_suspicious_sample",
+    sql.gold(
+        """, base as (select t.*, s.education_score, s.health_score, s.environment_score, s.safety_score, md5(s.nces_school_id || '#42') as draw,
+    abs(s.wellbeing_score - (coalesce(s.education_score, 0) + coalesce(s.health_score, 0) + coalesce(s.environment_score, 0) + coalesce(s.safety_score, 0))
+      / ((s.education_score is not null)::int + (s.health_score is not null)::int + (s.environment_score is not null)::int + (s.safety_score is not null)::int)) > 2 as odd
+  from (select nces_school_id, wellbeing_score, math_proficiency_change, reading_proficiency_change from trends) t join scores s using (nces_school_id)),
+a as (select *, 0 as prio, 'extreme' as stratum from base where wellbeing_score < 30 or wellbeing_score > 70 order by draw, nces_school_id limit 20),
+b as (select *, 1, 'large_change' from base where abs(math_proficiency_change) > 25 or abs(reading_proficiency_change) > 25 order by draw, nces_school_id limit 20),
+c as (select *, 2, 'inconsistent' from base where odd order by draw, nces_school_id limit 15),
+f as (select *, 3, 'random' from base order by draw, nces_school_id limit 60),
+picks as (select * from a union all select * from b union all select * from c),
+rnd as (select * from f qualify row_number() over (order by draw, nces_school_id) <= 60 - (select count(*) from picks)),
+uniq as (select * from (select * from picks union all select * from rnd) u qualify row_number() over (partition by nces_school_id order by prio, draw) = 1)
+select nces_school_id, wellbeing_score, stratum from uniq order by prio, draw, nces_school_id limit 60"""
+    ),
+)
+def suspicious(spark, d):
+    m = medallion(spark, d)
+    base = m.trends.select(
+        "nces_school_id", "wellbeing_score", "math_proficiency_change", "reading_proficiency_change", "education_score", "health_score", "environment_score", "safety_score"
+    )
+    out = q.sample_suspicious(
+        base,
+        "nces_school_id",
+        60,
+        "wellbeing_score",
+        ["math_proficiency_change", "reading_proficiency_change"],
+        ["education_score", "health_score", "environment_score", "safety_score"],
+        extremes=(30, 70),
+        mismatch=2,
+    )
+    return out.select("nces_school_id", "wellbeing_score", "stratum")

@@ -234,11 +234,14 @@ def parse_alerts(features: DataFrame, ingested_at: Column, state_filter: str | N
     )
 
 
-def env_health_records(df: DataFrame, payload: str, measure: str, geo_type: int, area: str, default_year: str) -> DataFrame:
+def env_health_records(
+    df: DataFrame, payload: str, measure: str, geo_type: int, area: str, default_year: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """JSON objects whose field names vary between releases to one fixed layout."""
     j = lambda *names: F.coalesce(*[F.get_json_object(payload, f"$.{n}") for n in names])
     blank = F.lit("")
     return df.select(
+        *keep,
         F.coalesce(j("geoId", "geo_id"), blank).alias("geo_id"),
         F.lit(geo_type).alias("geo_type"),
         F.trim(F.coalesce(j("geo", "geoName"), blank)).alias("geo_name"),
