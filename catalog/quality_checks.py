@@ -11,11 +11,8 @@ from . import model_sql as sql
 from .base import query, rnd, table
 from .gold_tables import medallion
 
-AS_OF = F.lit("2024-02-01 00:00:00")
-
-
 def _as_of():
-    return AS_OF.cast("timestamp")
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 @query(
