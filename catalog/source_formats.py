@@ -1 +1,125 @@
-"""placeholder"""
+"""Readers and writers, round-tripping the driver tables through each format."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from indicraft.session import scratch_path
+from indicraft.sources import readers as rd
+from indicraft.sources import sinks as sk
+from indicraft.sources.registry import load_source
+
+from .base import ORACLES, query, shared, table
+from .cleaning import DIRECTORY
+
+
+@query("source_csv_scan", "select c_custkey, c_name, case when c_custkey % 5 = 0 then null else c_acctbal end as c_acctbal from customer")
+def csv_scan(spark, d):
+    """A fifth of the balances is bad text, which reads as null."""
+    path = scratch_path(spark, "csv")
+    bal = F.when(F.col("c_custkey") % 5 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    table(spark, d, "customer").select("c_custkey", "c_name", bal.alias("c_acctbal")).write.option("header", "true").csv(path)
+    return rd.read_csv(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("source_csv_ragged", "select n_nationkey, n_name from nation")
+def csv_ragged(spark, d):
+    """Every second line has surplus fields."""
+    path = scratch_path(spark, "ragged")
+    n = table(spark, d, "nation")
+    line = F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, "extra,extra"))
+    n.select(line.alias("value")).write.text(path)
+    return rd.read_csv(spark, path, "n_nationkey int, n_name string", header="false")
+
+
+@query("source_csv_encoding", "select n_nationkey, 'Ñandú ' || n_name as n_name from nation")
+def csv_encoding(spark, d):
+    path = scratch_path(spark, "latin")
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Ñandú "), "n_name").alias("n_name"))
+    n.coalesce(1).write.option("header", "true").option("encoding", "iso-8859-1").csv(path)
+    return rd.read_csv_any_encoding(spark, path, "n_nationkey int, n_name string")
+
+
+@query("source_tagged_union", "select event_id, case when event_type = 'click' then user_id end as user_id, case event_type when 'click' then 'click' else 'view' end as kind from events where event_type in ('click', 'view')")
+def tagged(spark, d):
+    """One folder per event type, one of them without the user column."""
+    e, paths = table(spark, d, "events"), {}
+    for kind, cols in (("click", ["event_id", "user_id"]), ("view", ["event_id"])):
+        paths[kind] = scratch_path(spark, f"tag-{kind}")
+        e.filter(F.col("event_type") == kind).select(*cols).write.option("header", "true").csv(paths[kind])
+    out = rd.read_tagged(spark, paths, "kind")
+    return out.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "kind")
+
+
+@query("source_json_records", "select p_partkey, p_name, p_size from part")
+def json_records(spark, d):
+    path = scratch_path(spark, "json")
+    p = table(spark, d, "part")
+    packed = p.groupBy((F.col("p_partkey") % 16).alias("g")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("value"))
+    # one array per file, as the download pages arrive
+    packed.write.partitionBy("g").text(path)
+    return rd.read_json_records(spark, path, "p_partkey long, p_name string, p_size int").drop("g")
+
+
+@query("source_json_files", "select s_suppkey, s_name from supplier")
+def json_files(spark, d):
+    path = scratch_path(spark, "jsonl")
+    table(spark, d, "supplier").select("s_suppkey", "s_name").write.json(path)
+    return spark.read.schema("s_suppkey long, s_name string").json(path)
+
+
+@query("source_header_row_json", "select c_custkey::varchar as id, c_name as name, null::varchar as absent from customer")
+def header_row(spark, d):
+    """Arrays of rows under a header row whose column order differs between payloads."""
+    c = table(spark, d, "customer")
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    flip = F.col("c_custkey") % 2
+    row = F.when(flip == 0, F.array(key, name)).otherwise(F.array(name, key))
+    head = F.when(F.col("flip") == 0, F.array(F.array(F.lit("id"), F.lit("name")))).otherwise(F.array(F.array(F.lit("name"), F.lit("id"))))
+    packs = c.groupBy(flip.alias("flip"), F.floor(F.col("c_custkey") / 100).alias("g")).agg(F.collect_list(row).alias("rows"))
+    payload = packs.select(F.to_json(F.concat(head, "rows")).alias("payload"))
+    return rd.header_row_table(payload, "payload", ["id", "name", "absent"])
+
+
+@query("sink_replace_partition", "select o_orderkey, o_orderstatus, case when o_orderstatus = 'F' then 'new' else 'old' end as version from orders")
+def replace_partition(spark, d):
+    """Replacing one partition leaves the others alone."""
+    path = scratch_path(spark, "parts")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    sk.write_replace(o.withColumn("version", F.lit("old")), path, ["o_orderstatus"])
+    sk.write_replace(o.filter("o_orderstatus = 'F'").withColumn("version", F.lit("new")), path, ["o_orderstatus"])
+    return spark.read.parquet(path)
+
+
+@query("sink_append_history", "select s_suppkey, run from supplier, (select unnest([1, 2]) as run) r")
+def append_history(spark, d):
+    path = scratch_path(spark, "history")
+    s = table(spark, d, "supplier").select("s_suppkey")
+    for run in (1, 2):
+        sk.write_append(s.withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path)
+
+
+@query("sink_layers_and_views", "select c_mktsegment, count(*) as n from customer group by 1")
+def layers(spark, d):
+    root = scratch_path(spark, "layers")
+    sk.materialize_layer(table(spark, d, "customer"), "staging", "customers", root)
+    silver = spark.sql("select c_mktsegment, count(*) as n from staging_customers group by 1")
+    sk.materialize_layer(silver, "silver", "segments", root)
+    return spark.sql("select * from silver_segments")
+
+
+@query("source_csv_views", "select n_regionkey::varchar as n_regionkey, count(*) as n from nation group by 1")
+def views(spark, d):
+    path = scratch_path(spark, "view")
+    table(spark, d, "nation").write.option("header", "true").csv(path)
+    rd.csv_views(spark, {"nation_file": path})
+    return spark.sql("select n_regionkey, count(*) as n from nation_file group by 1")
+
+
+@query("source_registry_load", f"select count(*) as n from ({ORACLES['clean_directory']}) c where regexp_full_match(state_abbr, '[A-Z]{{2}}') and coalesce(latitude between 17 and 72, true) and longitude between -180 and -65")
+def registry_load(spark, d):
+    path = scratch_path(spark, "registry")
+    shared(spark, d, DIRECTORY).write.option("header", "true").csv(path)
+    valid, _, _ = load_source(spark, "nces_ccd", path)
+    return valid.agg(F.count(F.lit(1)).alias("n"))

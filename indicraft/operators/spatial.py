@@ -114,7 +114,7 @@ def nearest(
         return q.select(F.col("lk").alias(left_key), F.lit(None).cast(right.schema[right_key].dataType).alias(right_key), F.lit(0.0).alias("distance_km"), F.lit(1).alias("place")).limit(0)
 
     spots = q.select("qlat", "qlon").distinct()
-    root = F.array(*[F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("y"), F.lit(x).cast("long").alias("x")) for x in (0, 1, 2)])
+    root = F.array(*[F.struct(F.lit(0).alias("level"), F.lit(y).cast("long").alias("y"), F.lit(x).cast("long").alias("x")) for y in (0, 1) for x in (0, 1, 2)])
     front = spots.select("qlat", "qlon", F.inline(root))
     where = ["level", "y", "x"]
     for level in range(depth + 1):

@@ -43,13 +43,12 @@ def read_csv(
     return reader.schema(schema).csv(path)
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fallback: str = "windows-1252") -> DataFrame:
+def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fallback: str = "iso-8859-1") -> DataFrame:
     """UTF-8 unless the file holds bytes that are not UTF-8, then the fallback charset.
 
-    Undecodable bytes read as U+FFFD; one early-stopping scan looks for them.
+    One scan that stops at the first undecodable line decides.
     """
-    text = spark.read.text(path)
-    broken = text.filter(F.col("value").contains("�")).limit(1).count() > 0
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() > 0
     return read_csv(spark, path, schema, encoding=fallback if broken else "UTF-8")
 
 
