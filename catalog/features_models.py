@@ -1 +1,233 @@
-"""placeholder"""
+"""Features, regression and anomaly operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from indicraft.functions.cleaning import round_half_up
+from indicraft.operators import anomaly as an
+from indicraft.operators import features as ft
+from indicraft.operators import model as md
+from indicraft.operators.features import Interaction
+from indicraft.session import materialize
+
+from . import model_sql as sql
+from .base import duck, query, rnd, shared, table
+from .gold_tables import medallion
+from .windows_ranks import ENTITIES, entities
+
+CODES = {"AUTOMOBILE": 0, "BUILDING": 1, "MACHINERY": 2}
+
+
+@query(
+    "feature_interactions",
+    f"""select c_custkey, {rnd('n_orders * e_value / 100', 6)} as orders_x_events, {rnd('(e_errors > 0)::int * spend', 2)} as errors_x_spend, case when e_errors is not null then {rnd('spend / greatest(e_errors, 1)', 4)} end as spend_per_error
+from {duck(ENTITIES)} e""",
+)
+def interactions(spark, d):
+    base = entities(spark, d).withColumn("any_error", F.col("e_errors") > 0)
+    out = ft.interactions(
+        base,
+        [
+            Interaction("orders_x_events", "n_orders", "e_value"),
+            Interaction("errors_x_spend", "any_error", "spend", "flag"),
+            Interaction("spend_per_error", "spend", "e_errors", "ratio"),
+            Interaction("skipped", "spend", "absent"),
+        ],
+    )
+    return out.select(
+        "c_custkey",
+        round_half_up("orders_x_events", 6).alias("orders_x_events"),
+        round_half_up("errors_x_spend", 2).alias("errors_x_spend"),
+        round_half_up("spend_per_error", 4).alias("spend_per_error"),
+    )
+
+
+@query(
+    "feature_encoding",
+    "select c_custkey, case c_mktsegment when 'AUTOMOBILE' then 0 when 'BUILDING' then 1 when 'MACHINERY' then 2 end as c_mktsegment_encoded, (c_acctbal > 0)::integer as in_credit_int from customer",
+)
+def encoding(spark, d):
+    c = table(spark, d, "customer").withColumn("in_credit", F.col("c_acctbal") > 0)
+    return ft.bools_to_int(ft.encode(c, {"c_mktsegment": CODES})).select("c_custkey", "c_mktsegment_encoded", "in_credit_int")
+
+
+# Event metrics exist for few customers and for no customer of some nations.
+SPARSE = f"select c_custkey, c_nationkey, case when c_nationkey % 4 = 0 then null else e_value end as e_value, case when c_custkey % 3 = 0 then null else c_acctbal end as balance, case when c_custkey % 2 = 0 then null else true end as flag from ({ENTITIES}) e"
+
+
+@query(
+    "feature_imputation",
+    f"""with s as (select * from {duck(SPARSE)} q), g as (select c_nationkey, median(e_value) as e, median(balance) as b from s group by 1),
+f as (select c_custkey, coalesce(e_value, e) as e_value, coalesce(balance, b) as balance, coalesce(flag, false) as flag from s left join g using (c_nationkey))
+select c_custkey, {rnd('coalesce(e_value, (select median(e_value) from f))', 4)} as e_value, {rnd('coalesce(balance, (select median(balance) from f))', 4)} as balance, flag from f""",
+)
+def imputation(spark, d):
+    base = materialize(shared(spark, d, SPARSE), "sparse")
+    out = ft.impute_grouped_median(base, "c_nationkey", ["e_value", "balance"], ["flag"])
+    return out.select("c_custkey", round_half_up("e_value", 4).alias("e_value"), round_half_up("balance", 4).alias("balance"), "flag")
+
+
+@query(
+    "feature_low_coverage",
+    f"select c_custkey, c_nationkey, {rnd('balance', 4)} as balance, flag from {duck(SPARSE)} q",
+)
+def low_coverage(spark, d):
+    out = ft.drop_low_coverage(shared(spark, d, SPARSE), 0.30, ["c_custkey", "c_nationkey"])
+    return out.withColumn("balance", round_half_up("balance", 4))
+
+
+@query(
+    "feature_numeric_columns",
+    "select unnest(['c_acctbal', 'c_custkey', 'c_nationkey', 'half']) as feature, unnest([count(c_acctbal), count(c_custkey), count(c_nationkey), count(case when c_custkey % 2 = 0 then 1 end)]) as n from customer",
+)
+def numeric_columns(spark, d):
+    c = table(spark, d, "customer").withColumn("half", F.when(F.col("c_custkey") % 2 == 0, 1.5))
+    names = ft.numeric_features(c)
+    kept = ft.select_by_importance(c, {n: 0.5 for n in names} | {"gone": 0.9, "c_name": 0.001})
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("n")) for n in kept])
+    return c.agg(*[F.count(n).alias(n) for n in kept]).select(F.inline(cells))
+
+
+@query("feature_matrix")
+def matrix(spark, d):
+    return medallion(spark, d).feature_matrix()
+
+
+@query(
+    "feature_wide_base",
+    sql.gold(
+        f"""select s.nces_school_id, {rnd('x.child_poverty_rate', 4)} as child_poverty_rate, e.median_aqi, k.violent_crime_rate, z.is_hpsa_designated, {rnd('t.math_proficiency_change', 4)} as math_prof_yoy_change, t.education_change_zscore as education_zscore
+from scores s join profiles p using (nces_school_id) left join health x using (nces_school_id) left join environment e using (nces_school_id) left join safety k using (nces_school_id) left join resources z using (nces_school_id) left join trends t using (nces_school_id)"""
+    ),
+)
+def wide_base(spark, d):
+    w = medallion(spark, d).wide_features
+    return w.select(
+        "nces_school_id", round_half_up("child_poverty_rate", 4).alias("child_poverty_rate"), "median_aqi", "violent_crime_rate", "is_hpsa_designated",
+        round_half_up("math_prof_yoy_change", 4).alias("math_prof_yoy_change"), "education_zscore",
+    )
+
+
+@query(
+    "model_temporal_split",
+    "select side, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as last_key from (select o_orderkey, case when row_number() over (order by o_orderkey) <= floor(0.75 * count(*) over ()) then 'train' else 'test' end as side from orders) q group by 1",
+)
+def split(spark, d):
+    train, test = md.temporal_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+FIT = "(select l_extendedprice as y, l_quantity * 1500.0 as yhat, l_extendedprice - l_quantity * 1500.0 as e from lineitem)"
+
+
+@query(
+    "model_regression_metrics",
+    f"""select {rnd('sqrt(avg(e * e))', 4)} as rmse, {rnd('avg(abs(e))', 4)} as mae, {rnd('1 - sum(e * e) / (var_pop(y) * count(*))', 4)} as r2, {rnd('avg(e)', 4)} as mean_residual, {rnd('max(abs(e))', 4)} as max_error,
+  1 - sum(e * e) / (var_pop(y) * count(*)) > 0.5 as suspicious_r2 from {FIT} f""",
+)
+def metrics(spark, d):
+    fit = table(spark, d, "lineitem").withColumn("yhat", F.col("l_quantity") * 1500.0)
+    return md.regression_metrics(fit, "l_extendedprice", "yhat")
+
+
+@query(
+    "model_interval_and_flags",
+    f"""select c_custkey, {rnd('p - 1.6448536269514722 * 0.5 * 4', 6)} as ci_lower, {rnd('p + 1.6448536269514722 * 0.5 * 4', 6)} as ci_upper, abs(p - avg(p) over ()) > 1.5 * stddev_pop(p) over () as prediction_flagged,
+  p < -5 as risk_flag, {rnd('least(greatest(50 + p, 0), 100)')} as predicted_score from (select c_custkey, c_acctbal / 200 - 20 as p from customer) q""",
+)
+def interval(spark, d):
+    p = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 200 - 20).alias("p"), F.lit(50.0).alias("now"))
+    out = md.risk_and_level(md.flag_extreme(md.with_interval(p, "p", 4.0), "p", sigmas=1.5), "p", "now")
+    return out.select(
+        "c_custkey", round_half_up("ci_lower", 6).alias("ci_lower"), round_half_up("ci_upper", 6).alias("ci_upper"), "prediction_flagged", "risk_flag", "predicted_score"
+    )
+
+
+@query("model_sampled_interval")
+def sampled_interval(spark, d):
+    p = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 200 - 20).alias("p"))
+    return md.with_sampled_interval(p, "p", 4.0)
+
+
+@query("model_boosted_trees")
+def boosted(spark, d):
+    """Spend predicted from the other metrics; a short run of the booster."""
+    base = entities(spark, d).withColumn("e_value", F.coalesce("e_value", F.lit(0.0)))
+    features = ["c_acctbal", "n_orders", "e_value", "c_nationkey"]
+    train, test = md.temporal_split(materialize(base, "model"), "c_custkey")
+    trained = md.train_gbt(train, features, "spend", params={"maxIter": 10, "maxDepth": 4}, folds=0)
+    scored = md.predict(trained, test.filter(F.col("spend").isNotNull()), "c_custkey", ["spend"])
+    return md.regression_metrics(scored, "spend", "predicted_change")
+
+
+CHANGES = "select o_custkey, n - 10.0 as n, spend / 100000 as spend from (select o_custkey, count(*)::double as n, sum(o_totalprice) as spend from orders group by 1) q"
+
+
+@query(
+    "anomaly_zscores",
+    f"""with b as ({CHANGES}), z as (select o_custkey, (n - avg(n) over ()) / stddev_pop(n) over () as zn, (spend - avg(spend) over ()) / stddev_pop(spend) over () as zs from b)
+select o_custkey, {rnd('case when abs(zn) >= abs(zs) then zn else zs end', 4)} as zscore_worst, case when abs(zn) >= abs(zs) then 'n' else 'spend' end as zscore_trigger_col, 'zscore' as detection_method from z where greatest(abs(zn), abs(zs)) > 2.5""",
+)
+def zscores(spark, d):
+    return an.zscore_flags(_changes(spark, d), "o_custkey", ["n", "spend"]).withColumn("zscore_worst", round_half_up("zscore_worst", 4))
+
+
+def _changes(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(
+        (F.count(F.lit(1)) - 10.0).alias("n"), (F.sum("o_totalprice") / 100000).alias("spend")
+    )
+
+
+@query("anomaly_isolation_forest")
+def forest(spark, d):
+    return an.isolation_forest(medallion(spark, d).scores, "nces_school_id", ["education_score", "health_score", "environment_score", "safety_score"])
+
+
+@query(
+    "anomaly_merged_flags",
+    """with a as (select o_custkey, min(o_totalprice) as s from orders group by 1 having min(o_totalprice) > 100000), b as (select o_custkey, max(o_totalprice) as s from orders group by 1 having max(o_totalprice) > 480000)
+select coalesce(a.o_custkey, b.o_custkey) as o_custkey, coalesce(a.s, b.s) as anomaly_score, case when a.s is null then 'zscore' else 'isolation_forest' end as detection_method,
+  case when a.s is not null and b.s is not null then 'both_methods' when a.s is null then 'zscore' else 'isolation_forest' end as severity from a full join b on a.o_custkey = b.o_custkey""",
+)
+def merged(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey")
+    a = o.agg(F.min("o_totalprice").alias("iforest_score")).filter("iforest_score > 100000")
+    b = o.agg(F.max("o_totalprice").alias("zscore_worst")).filter("zscore_worst > 480000")
+    return an.merge_flags(a, b, "o_custkey")
+
+
+_low = "least(education_score, health_score, environment_score, safety_score)"
+_high = "greatest(education_score, health_score, environment_score, safety_score)"
+
+
+def _name(extreme: str) -> str:
+    return "case " + " ".join(f"when {p}_score = {extreme} then '{p.title()}'" for p in ("education", "health", "environment", "safety")) + " end"
+
+
+@query(
+    "anomaly_narratives",
+    sql.gold(
+        f"""select nces_school_id, school_name || ': ' || coalesce(nullif(concat_ws(' ',
+  case when {_high} - {_low} > 30 then 'Large pillar gap — ' || {_name(_high)} || ' (' || {rnd(_high, 0)}::bigint || ') vs ' || {_name(_low)} || ' (' || {rnd(_low, 0)}::bigint || '), a ' || {rnd(f'{_high} - {_low}', 0)}::bigint || '-point spread.' end,
+  case when m is null and a is null then null when a is null or abs(m) >= abs(a) then 'Math Proficiency ' || case when m > 0 then 'increased' else 'decreased' end || ' by ' || printf('%.1f', abs(m)) || ' points YoY.'
+    else 'Chronic Absenteeism ' || case when a > 0 then 'worsened' else 'improved' end || ' by ' || printf('%.1f', abs(a)) || ' points YoY.' end,
+  case when national_rank <= 20 then 'Flagged by both Isolation Forest and z-score — high confidence anomaly.' end), ''), 'Unusual score profile detected.') as narrative
+from (select s.*, {rnd('t.math_proficiency_change', 1)} as m, {rnd('t.absenteeism_change', 1)} as a, r.national_rank from scores s join trends t using (nces_school_id) join rankings r using (nces_school_id)) q"""
+    ),
+)
+def narratives(spark, d):
+    m = medallion(spark, d)
+    key = "nces_school_id"
+    changes = m.trends.select(key, *[round_half_up(c, 1).alias(c) for c in ("math_proficiency_change", "absenteeism_change")])
+    ranked = m.rankings.select(key, F.when(F.col("national_rank") <= 20, "both_methods").otherwise("zscore").alias("severity"))
+    base = m.scores.join(changes, key).join(ranked, key)
+    out = an.narrate(
+        base,
+        "school_name",
+        ["education_score", "health_score", "environment_score", "safety_score"],
+        {"math_proficiency_change": "math proficiency", "absenteeism_change": "chronic absenteeism"},
+        "severity",
+    )
+    return out.select(key, "narrative")

@@ -37,11 +37,11 @@ def keyset(spark, d):
     return sv.page_after(s, "wellbeing_score", "nces_school_id", (45.5, "000000000100"), 30)
 
 
-@query("serve_school_detail", sql.gold("select s.nces_school_id, s.wellbeing_score, r.national_rank, r.state_rank, p.math_proficiency_pct, x.child_poverty_rate from scores s join rankings r using (nces_school_id) join profiles p using (nces_school_id) join health x using (nces_school_id) where nces_school_id = '000000000001'").replace("x.child_poverty_rate from", f"{rnd('x.child_poverty_rate', 4)} as child_poverty_rate from"))
+@query("serve_school_detail", sql.gold("select s.nces_school_id, s.wellbeing_score, r.national_rank, r.state_rank, p.math_proficiency_pct, x.child_poverty_rate from scores s join rankings r using (nces_school_id) join profiles p using (nces_school_id) join health x using (nces_school_id) where nces_school_id = '000000000003'").replace("x.child_poverty_rate from", f"{rnd('x.child_poverty_rate', 4)} as child_poverty_rate from"))
 def detail(spark, d):
     m = medallion(spark, d)
     key = "nces_school_id"
-    one = sv.entity_detail(m.scores.select(key, "wellbeing_score"), key, "000000000001")
+    one = sv.entity_detail(m.scores.select(key, "wellbeing_score"), key, "000000000003")
     out = one.join(m.rankings.select(key, "national_rank", "state_rank"), key).join(m.wide.select(key, "math_proficiency_pct", "child_poverty_rate"), key)
     return out.withColumn("child_poverty_rate", round_half_up("child_poverty_rate", 4))
 

@@ -13,16 +13,16 @@ from indicraft.operators import text as tx
 from .base import duck, query, rnd, shared, table
 
 
-@query("text_usable_documents", "select doc_id, left(md5(text), 12) as doc_hash from documents where length(trim(text, ' ')) >= 50")
+@query("text_usable_documents", "select doc_id, left(md5(text), 12) as doc_hash from documents where length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 50")
 def usable(spark, d):
     return tx.usable_documents(table(spark, d, "documents"), "text").select("doc_id", "doc_hash")
 
 
 @query(
     "text_chunk_windows",
-    """select doc_id, cast(i as integer) as chunk_index, md5(trim(substr(text, i * 1848 + 1, 2048), ' ')) as digest from (
+    """select doc_id, cast(i as integer) as chunk_index, md5(trim(substr(text, i * 1848 + 1, 2048), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as digest from (
   select doc_id, text, unnest(range(0, greatest(ceil((length(text) - 200) / 1848.0), 1)::bigint)) as i from documents where length(text) > 0) q
-where length(trim(substr(text, i * 1848 + 1, 2048), ' ')) >= 20""",
+where length(trim(substr(text, i * 1848 + 1, 2048), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20""",
 )
 def windows(spark, d):
     out = tx.chunk_windows(table(spark, d, "documents"), "doc_id", "text")

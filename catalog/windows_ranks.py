@@ -137,6 +137,25 @@ def percentile_bounds_exact(spark, d):
     return out.select(*[round_half_up(c, 4).alias(c) for c in out.columns])
 
 
+@query(
+    "percentile_bounds_bracketed",
+    "select " + ", ".join(f"{rnd(f'quantile_cont({c}, {q})', 4)} as {c}_p{int(q * 100)}" for c in ("o_totalprice", "o_custkey") for q in (0.05, 0.95)) + " from orders",
+)
+def percentile_bounds_bracketed(spark, d):
+    """The path for inputs of any size, taken here from 1,000 rows on."""
+    out = percentile_bounds(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], accuracy=100)
+    return out.select(*[round_half_up(c, 4).alias(c) for c in out.columns])
+
+
+@query(
+    "percentile_bounds_bracketed_groups",
+    f"select o_orderpriority, {rnd('quantile_cont(o_totalprice, 0.25)', 4)} as o_totalprice_p25, {rnd('quantile_cont(o_totalprice, 0.75)', 4)} as o_totalprice_p75 from orders group by 1",
+)
+def percentile_bounds_bracketed_groups(spark, d):
+    out = percentile_bounds(table(spark, d, "orders"), ["o_totalprice"], (0.25, 0.75), ["o_orderpriority"], accuracy=100)
+    return out.select("o_orderpriority", *[round_half_up(c, 4).alias(c) for c in out.columns[1:]])
+
+
 @query("percentile_bounds_sketch")
 def percentile_bounds_sketch(spark, d):
     return percentile_bounds(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"], approx=True)

@@ -1,7 +1,7 @@
-"""Exact percentiles that never gather a column in one task.
+"""Exact percentiles that never gather a large column in one task.
 
-`percentile()` merges every distinct value of a column in a single reducer.
-Here a sketch first brackets each wanted percentile, then the values are
+`percentile()` merges every distinct value of a column in a single reducer, which is
+fine up to a checked size. Beyond it a sketch first brackets each wanted percentile, then the values are
 clamped to that bracket and counted. Clamping is monotone, so the order
 statistics inside the bracket stay what they were, while everything outside
 collapses into the two end values. What is left to sort per percentile is a
@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 
 from ..session import one_row
 
-# Rank error of the sketch is n / ACCURACY; brackets keep a margin of four times that.
+# Rank error of the sketch is n / accuracy; brackets keep a margin of four times that.
+# Inputs of up to ten times the accuracy are small: their bracket is the whole range.
 ACCURACY = 100_000
-MARGIN = 4 / ACCURACY
-# Below this many values the bracket is the whole range.
-SMALL = 10 * ACCURACY
 
 
 def quantile_table(
@@ -31,14 +29,13 @@ def quantile_table(
     qs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int = ACCURACY,
-    small: int = SMALL,
 ) -> DataFrame:
     """Long result `by..., metric, q, value` with linear interpolation between neighbours.
 
     Columns without any value give no row. With `by`, brackets are found per group,
     so one group may hold most of the rows.
     """
-    margin = 4 / accuracy
+    margin, small = 4 / accuracy, 10 * accuracy
     brackets: list[Column] = []
     for c in cols:
         x = F.col(f"`{c}`").cast("double")
@@ -102,6 +99,11 @@ def quantile_table(
     return picked.select(*by, "metric", "q", value.alias("value"))
 
 
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether `df` has at most `rows` rows; stops counting just above."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
+
 def quantile_name(col: str, q: float) -> str:
     """`score`, 0.05 → `score_p5`."""
     return f"{col}_p{q * 100:g}".replace(".", "_")
@@ -113,19 +115,25 @@ def percentile_bounds(
     qs: Sequence[float] = (0.05, 0.95),
     by: Sequence[str] = (),
     approx: bool = False,
-    accuracy: int = 10_000,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """All percentiles of all columns, one row (per group): `<col>_p5`, `<col>_p95`, ...
 
-    Exact by default; `approx=True` takes the sketch values in a single pass.
+    Exact by default: the built-in aggregate while the whole input has at most
+    10 · `accuracy` rows (its state per column is then bounded by that), the bracketed
+    count beyond. `approx=True` takes the sketch values in a single pass.
     """
-    if approx:
+    points = [float(q) for q in qs]
+    if approx or fits(df, 10 * accuracy):
         aggs = []
         for c in cols:
-            sketch = F.percentile_approx(f"`{c}`", [float(q) for q in qs], accuracy)
-            aggs += [sketch[i].alias(quantile_name(c, q)) for i, q in enumerate(qs)]
+            if approx:
+                values = F.percentile_approx(f"`{c}`", points, accuracy)
+            else:
+                values = F.percentile(F.col(f"`{c}`").cast("double"), points)
+            aggs += [values[i].alias(quantile_name(c, q)) for i, q in enumerate(qs)]
         return df.groupBy(*by).agg(*aggs)
-    table = quantile_table(df, cols, qs, by)
+    table = quantile_table(df, cols, qs, by, accuracy)
     aggs = [
         F.max(F.when((F.col("metric") == c) & (F.col("q") == float(q)), F.col("value"))).alias(
             quantile_name(c, q)

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
 
-# Break points tried in order, and the default sizes in characters.
+# Break points tried in order, blanks that are trimmed, and the default sizes in characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+WHITESPACE = " \t\n\r\f\v"
 CHUNK_CHARS = 2048
 OVERLAP_CHARS = 200
 
 
 def usable_documents(df: DataFrame, text: str, minimum: int = 50) -> DataFrame:
     """Documents with at least `minimum` trimmed characters, with a short content hash."""
-    return df.filter(F.length(F.trim(F.col(text))) >= minimum).withColumn("doc_hash", text_hash(text))
+    return df.filter(F.length(F.trim(F.col(text), F.lit(WHITESPACE))) >= minimum).withColumn("doc_hash", text_hash(text))
 
 
 def chunk_windows(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, min_len: int = 20) -> DataFrame:
@@ -30,7 +31,7 @@ def chunk_windows(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, o
     last = F.greatest(F.ceil((n - overlap) / F.lit(float(step))).cast("int"), F.lit(1)) - 1
     starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step + 1)
     out = df.filter(n > 0).select("*", F.posexplode(starts).alias("chunk_index", "_start"))
-    chunk = F.trim(F.substring(F.col(text), F.col("_start"), F.lit(size)))
+    chunk = F.trim(F.substring(F.col(text), F.col("_start"), F.lit(size)), F.lit(WHITESPACE))
     return out.withColumn("chunk_text", chunk).filter(F.length("chunk_text") >= min_len).select(key, "chunk_index", "chunk_text")
 
 

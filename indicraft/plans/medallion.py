@@ -50,10 +50,7 @@ class Medallion:
 
     @cached_property
     def community(self) -> DataFrame:
-        s = self.staged
-        return silver.community_areas(
-            self.wide, s("census"), s("air_quality"), s("hazards"), s("crime"), s("shortage_areas"), s("food_access")
-        )
+        return silver.community_from_wide(self.wide)
 
     @cached_property
     def scores(self) -> DataFrame:

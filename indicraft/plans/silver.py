@@ -6,6 +6,8 @@ never expanded and, for contexts that turn out small, never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +148,7 @@ def resources(profiles: DataFrame, shortage: DataFrame, food: DataFrame, heavy:
     ).withColumn("is_food_desert_area", heavy_share)
 
 
-def school_stats_by_county(profiles: DataFrame) -> DataFrame:
+def school_stats_by_county(profiles: DataFrame, carried: Sequence[Column] = ()) -> DataFrame:
     means: dict[str, Column | str] = {
         "avg_math_proficiency": "math_proficiency_pct",
         "avg_reading_proficiency": "reading_proficiency_pct",
@@ -161,6 +163,7 @@ def school_stats_by_county(profiles: DataFrame) -> DataFrame:
         F.sum("total_enrollment").alias("total_enrollment"),
         F.count_if("is_title_i").alias("title_i_count"),
         *[F.avg(c).alias(name) for name, c in means.items()],
+        *carried,
     )
 
 
@@ -222,6 +225,9 @@ def all_contexts(
         "social_vulnerability_rating", "community_resilience_score", "heatwave_loss", "tornado_loss", "wildfire_loss",
     )
     flags = [f"has_{stem}_shortage" for stem in DISCIPLINES.values()]
+    any_crime = latest_crime(crime, None).select(
+        COUNTY, F.col("violent_crime_rate").alias("county_violent_rate"), F.col("property_crime_rate").alias("county_property_rate")
+    )
     joined = enrich(
         profiles,
         [
@@ -230,7 +236,8 @@ def all_contexts(
             (latest_air(air), COUNTY),
             (risk, COUNTY),
             (latest_crime(crime), COUNTY),
-            (shortage_by_county(shortage).drop("max_hpsa_score"), COUNTY),
+            (any_crime, COUNTY),
+            (shortage_by_county(shortage), COUNTY),
             (food_by_county(food), COUNTY),
         ],
         {f: False for f in flags},
@@ -240,3 +247,31 @@ def all_contexts(
         .withColumn("is_hpsa_designated", F.col("has_primary_care_shortage") | F.col("has_mental_health_shortage"))
         .withColumn("is_food_desert_area", F.coalesce("pct_tracts_food_desert", F.lit(0.0)) > 30)
     )
+
+
+# County columns of the wide table and their names in the county table.
+COUNTY_COLUMNS = {
+    "poverty_rate": "avg_poverty_rate",
+    "child_poverty_rate": "avg_child_poverty_rate",
+    "uninsured_children_rate": "avg_uninsured_rate",
+    "median_household_income": "avg_median_income",
+    "county_population": "total_population",
+    "median_aqi": "median_aqi",
+    "bad_air_days": "bad_air_days",
+    "nri_risk_score": "nri_risk_score",
+    "social_vulnerability_score": "social_vulnerability_score",
+    "community_resilience_score": "community_resilience_score",
+    "expected_annual_loss": "expected_annual_loss",
+    "county_violent_rate": "violent_crime_rate",
+    "county_property_rate": "property_crime_rate",
+    "has_primary_care_shortage": "has_primary_care_shortage",
+    "has_mental_health_shortage": "has_mental_health_shortage",
+    "max_hpsa_score": "max_hpsa_score",
+    "pct_tracts_food_desert": "pct_food_desert",
+}
+
+
+def community_from_wide(wide: DataFrame) -> DataFrame:
+    """`community_areas` from the stored wide table: context columns are constant per county."""
+    carried = [F.max(c).alias(name) for c, name in COUNTY_COLUMNS.items()]
+    return school_stats_by_county(wide, carried)
