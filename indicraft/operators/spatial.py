@@ -86,7 +86,7 @@ def nearest(
     left_lon: str = "longitude",
     right_lat: str = "latitude",
     right_lon: str = "longitude",
-    leaf: int = 512,
+    leaf: int = 64,
 ) -> DataFrame:
     """Exact k nearest right rows of every left row: (left_key, right_key, distance_km, place).
 
