@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from indicraft.plans.medallion import Medallion
 from indicraft.plans.staging import STAGING
 
 from . import model_sql as sql
-from .base import query, rnd, shared, table
+from .base import query, rnd, shared
 from .raw import MEASURES, PRIOR_YEAR, RAW, YEAR
 
 
@@ -21,15 +19,15 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shared(spark, sf_dir, RAW[name])
 
 
-@lru_cache(maxsize=4)
-def _medallion(app_id: str, sf_dir: str) -> Medallion:
-    spark = SparkSession.active()
-    return Medallion({k: raw(spark, sf_dir, k) for k in RAW}, YEAR, PRIOR_YEAR, MEASURES)
+_stored: dict[tuple[str, str], Medallion] = {}
 
 
 def medallion(spark: SparkSession, sf_dir: str) -> Medallion:
     """One set of stored tables per session and data folder."""
-    return _medallion(spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = Medallion({k: raw(spark, sf_dir, k) for k in RAW}, YEAR, PRIOR_YEAR, MEASURES)
+    return _stored[key]
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -205,12 +205,12 @@ def priority_union(spark, d):
 
 @query(
     "sink_upsert",
-    "select c_custkey, case when c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal from customer",
+    "select c_custkey, case when c_mktsegment = 'BUILDING' then c_acctbal + 1 else c_acctbal end as c_acctbal from customer",
 )
 def upsert_rows(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    changed = c.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    return upsert(c, changed, ["c_custkey"])
+    c = table(spark, d, "customer")
+    changed = c.filter("c_mktsegment = 'BUILDING'").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return upsert(c.select("c_custkey", "c_acctbal"), changed, ["c_custkey"])
 
 
 @query(

@@ -33,8 +33,8 @@ from (
 """
 
 STATES = """
-select lpad(cast(r_regionkey + 1 as string), 2, '0') as fips_code, upper(substring(r_name, 1, 2)) as state_abbr, r_name as state_name
-from {region} where r_regionkey <> 4
+select case when r_regionkey <> 4 then lpad(cast(r_regionkey + 1 as string), 2, '0') end as fips_code, upper(substring(r_name, 1, 2)) as state_abbr, r_name as state_name
+from {region}
 """
 
 HEALTH = """
@@ -79,13 +79,13 @@ group by n_nationkey, n_regionkey, n_name, year(o_orderdate)
 
 AIR = f"""
 select cast(n_regionkey + 1 as string) as state_code, cast(n_nationkey as string) as county_code, concat(n_name, ' ') as county_name,
-  ' ST' as state_abbr, yr as year, case when n_nationkey = 5 then null else 20 + n_done * 50.0 / n_orders end as median_aqi,
+  ' ST' as state_abbr, yr as year, case when n_nationkey = 5 or (yr = 2001 and n_nationkey % 3 = 0) then null else 20 + n_done * 50.0 / n_orders end as median_aqi,
   60 + n_open * 50.0 / n_orders as percentile_90_aqi, 100 + n_orders % 97 as max_aqi,
   200 + n_small % 100 as good_days, n_open % 60 as moderate_days, n_done % 20 as unhealthy_sensitive_days,
   n_big % 15 as unhealthy_days, n_urgent % 7 as very_unhealthy_days, n_small % 3 as hazardous_days, 360 as days_with_aqi,
   case when n_nationkey % 4 = 0 then '  ' when n_nationkey % 4 = 1 then ' Ozone ' when n_nationkey % 4 = 2 then 'PM2.5' else null end as main_pollutant,
   last_date as _loaded_at
-from ({COUNTY_YEARS}) cy where yr < 2001 or n_nationkey % 3 <> 0
+from ({COUNTY_YEARS}) cy
 """
 
 CRIME = f"""
@@ -101,24 +101,22 @@ from ({COUNTY_YEARS}) cy
 SHORTAGE = """
 select concat('H', cast(s_suppkey as string)) as hpsa_id, concat(' ', s_name) as hpsa_name,
   case cast(s_suppkey % 3 as int) when 0 then 'Primary Care ' when 1 then ' Dental Health' else 'Mental Health' end as discipline_type,
-  'Geographic' as hpsa_type, case when s_suppkey % 5 = 0 then 'Withdrawn' when s_suppkey % 11 = 3 then null else ' Designated' end as hpsa_status,
+  'Geographic' as hpsa_type, case when s_suppkey % 5 = 0 or n_nationkey = 11 then 'Withdrawn' when s_suppkey % 11 = 3 then null else ' Designated' end as hpsa_status,
   cast(n_regionkey + 1 as string) as state_fips, cast((n_regionkey + 1) * 1000 + n_nationkey as string) as county_fips,
   ' st' as state_abbr, concat(n_name, ' ') as county_name, cast(s_suppkey % 26 as int) as hpsa_score,
   cast(s_suppkey % 4 as double) * 1000 as provider_ratio, case when s_suppkey % 6 = 0 then 'unknown' else '2020-02-15' end as designation_date,
   timestamp '2024-01-01 00:00:00' as _loaded_at
 from {supplier} join {nation} on n_nationkey = s_nationkey
-where n_nationkey <> 11
 """
 
 FOOD = """
-select case when p_partkey % 101 = 7 then null else cast((cast(n_regionkey as bigint) + 1) * 1000000000 + cast(n_nationkey as bigint) * 1000000 + p_partkey % 1000000 as string) end as census_tract,
+select case when p_partkey % 101 = 7 or n_nationkey = 13 then null else cast((cast(n_regionkey as bigint) + 1) * 1000000000 + cast(n_nationkey as bigint) * 1000000 + p_partkey % 1000000 as string) end as census_tract,
   cast(n_regionkey + 1 as string) as state_fips, ' st' as state_abbr, n_name as county_name,
   cast(case when p_size % 9 = 0 then null when p_size % 2 = 0 then 1 else 0 end as int) as low_income_flag,
   cast(case when p_partkey % 3 = 0 then 1 else 0 end as int) as la_flag_1mile, cast(p_partkey % 2 as int) as la_flag_10mile,
   cast(p_partkey % 5 as int) as la_flag_half_mile, cast(p_size % 2 as int) as urban_flag, cast(p_size * 100 as int) as population,
   cast(p_size * 10 as int) as low_access_pop_1mile, cast(p_size as int) as low_access_pop_10mile, timestamp '2024-01-01 00:00:00' as _loaded_at
 from {part} join {nation} on n_nationkey = p_partkey % 25
-where n_nationkey <> 13
 """
 
 HAZARDS = """

@@ -55,10 +55,9 @@ def tagged(spark, d):
 def json_records(spark, d):
     path = scratch_path(spark, "json")
     p = table(spark, d, "part")
-    packed = p.groupBy((F.col("p_partkey") % 16).alias("g")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("value"))
-    # one array per file, as the download pages arrive
-    packed.write.partitionBy("g").text(path)
-    return rd.read_json_records(spark, path, "p_partkey long, p_name string, p_size int").drop("g")
+    packed = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("g")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("value"))
+    packed.select("value").write.text(path)
+    return rd.read_json_records(spark, path, "p_partkey long, p_name string, p_size int", multi_line=False)
 
 
 @query("source_json_files", "select s_suppkey, s_name from supplier")

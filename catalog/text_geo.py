@@ -86,13 +86,6 @@ def context(spark, d):
     return rt.assemble_context(hits, "q_label", "source", "text")
 
 
-@query("vector_lsh_neighbours")
-def lsh(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    pairs = rt.lsh_candidates(e, e, "vec_id", "vec_id", "embedding", 1.0)
-    return pairs.filter("left_key < right_key")
-
-
 CUSTOMER_PLACES = "select c_custkey, cast(20.0 + (c_custkey * 37 % 5000) / 100.0 as double) as latitude, cast(-160.0 + (c_custkey * 91 % 9000) / 100.0 as double) as longitude from {customer}"
 SUPPLIER_PLACES = "select s_suppkey, cast(20.0 + (s_suppkey * 53 % 5000) / 100.0 as double) as latitude, cast(-160.0 + (s_suppkey * 29 % 9000) / 100.0 as double) as longitude from {supplier}"
 

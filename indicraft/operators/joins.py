@@ -80,17 +80,17 @@ def period_over_period(
 
 def flagged_by_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys present in both flag sets."""
-    return a.select(key).distinct().join(b.select(key), key, "left_semi")
+    return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
 
 
 def not_yet_done(todo: DataFrame, done: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Rows whose key does not occur in `done`."""
     on = [keys] if isinstance(keys, str) else list(keys)
-    return todo.join(done.select(*on), on, "left_anti")
+    return todo.join(done.select(*on).distinct(), on, "left_anti")
 
 
 def orphan_keys(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
     """Child keys without a parent and how many child rows carry them."""
     known = parent.select(F.col(parent_key or key).alias(key))
     counts = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("child_rows"))
-    return counts.join(known, key, "left_anti")
+    return counts.join(known.distinct(), key, "left_anti")

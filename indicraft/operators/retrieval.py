@@ -6,8 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,15 +44,15 @@ def cosine_topk(
 ) -> DataFrame:
     """Up to `k · multiplier` best corpus rows per query with cosine ≥ threshold: (query, key, score, place).
 
-    The query side must be small: it is counted first and refused above `max_queries`
-    (use `lsh_candidates` for large query tables). Its matrix travels with the task; each
+    The query side must be small: it is counted first and refused above `max_queries`.
+    Its matrix travels with the task; each
     Arrow batch is one matrix product and sends on only its own best rows per query, so
     the shuffle carries candidates, never all pairs.
     """
     head = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).limit(max_queries + 1)
     rows = head.collect()
     if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search in parts or use lsh_candidates")
+        raise ValueError(f"more than {max_queries} queries: search in parts")
     want = k * multiplier
     query_type = queries.schema[query_key].dataType
     key_type = corpus.schema[key].dataType
@@ -126,22 +124,3 @@ def assemble_context(hits: DataFrame, query_key: str, source: str, text: str) ->
     grouped = hits.groupBy(query_key).agg(F.array_sort(F.collect_list(F.struct("place", block.alias("block")))).alias("_b"))
     return grouped.select(query_key, F.array_join(F.transform("_b", lambda b: b["block"]), "\n\n---\n\n").alias("context"))
 
-
-def lsh_candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str, vector: str, max_distance: float, bucket: float = 0.5, tables: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate neighbours between two large vector tables by random projections.
-
-    Distances are Euclidean on unit vectors (d² = 2 - 2·cosine).
-    """
-    def prepared(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.select(F.col(key).alias(name), array_to_vector(l2_normalize(vector)).alias("_v"))
-
-    a, b = prepared(left, left_key, "left_key"), prepared(right, right_key, "right_key")
-    model = BucketedRandomProjectionLSH(
-        inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(a)
-    pairs = model.approxSimilarityJoin(a, b, max_distance, distCol="distance")
-    return pairs.select(
-        F.col("datasetA.left_key").alias("left_key"),
-        F.col("datasetB.right_key").alias("right_key"),
-        (F.lit(1.0) - F.col("distance") * F.col("distance") / 2).alias("cosine"),
-    )

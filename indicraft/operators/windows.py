@@ -37,29 +37,36 @@ def dedup_first(df: DataFrame, keys: KeyList, order: Sequence[Column]) -> DataFr
     return topk_per_group(df, keys, order, 1)
 
 
+def _shifted(df: DataFrame, keys: Sequence[str], period: str, cols: Sequence[str], lags: Sequence[int]) -> DataFrame:
+    """Every row once per lag, dated forward to the period that looks back at it."""
+    steps = F.explode(F.array(*[F.lit(k) for k in lags])).alias("_lag")
+    return df.select(*keys, F.col(period), *cols, steps).withColumn(
+        period, (F.col(period) + F.col("_lag")).cast(df.schema[period].dataType)
+    )
+
+
 def lag_features(df: DataFrame, key: KeyList, period: str, cols: Sequence[str], lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """`<col>_lag<k>`: the value `k` periods earlier by the period number, null when that period is absent."""
+    """`<col>_lag<k>`: the value `k` periods earlier by the period number, null when that period is absent.
+
+    One row per key and period is expected. Rows are dated forward and regrouped on
+    (key, period), so a key with a very long history is spread over the cluster
+    instead of being sorted in one task.
+    """
     keys = _names(key)
-    order = W.partitionBy(*keys).orderBy(period)
-    deepest = max(lags)
-    out = df
-    # A period can sit up to `deepest` rows back; missing periods only make it closer.
-    for c in cols:
-        for k in lags:
-            found = F.lit(None).cast(df.schema[c].dataType)
-            for step in range(1, min(k, deepest) + 1):
-                hit = F.lag(period, step).over(order) == F.col(period) - F.lit(k)
-                found = F.when(hit, F.lag(c, step).over(order)).otherwise(found)
-            out = out.withColumn(f"{c}_lag{k}", found)
-    return out
+    ahead = _shifted(df, keys, period, cols, lags)
+    aggs = [F.max(F.when(F.col("_lag") == k, F.col(c))).alias(f"{c}_lag{k}") for c in cols for k in lags]
+    return df.join(ahead.groupBy(*keys, period).agg(*aggs), [*keys, period], "left")
+
 
+def rolling_mean(df: DataFrame, key: KeyList, period: str, cols: Sequence[str], width: int = 3) -> DataFrame:
+    """`<col>_mean<width>`: mean over the period and the `width - 1` periods before it, absent ones left out.
 
-def rolling_mean(df: DataFrame, key: KeyList, order: str, cols: Sequence[str], width: int = 3) -> DataFrame:
-    """Mean over the row and the `width - 1` rows before it."""
-    frame = W.partitionBy(*_names(key)).orderBy(order).rowsBetween(-(width - 1), 0)
-    for c in cols:
-        df = df.withColumn(f"{c}_mean{width}", F.avg(c).over(frame))
-    return df
+    Regroups on (key, period) like `lag_features`.
+    """
+    keys = _names(key)
+    ahead = _shifted(df, keys, period, cols, range(width))
+    means = ahead.groupBy(*keys, period).agg(*[F.avg(c).alias(f"{c}_mean{width}") for c in cols])
+    return df.join(means, [*keys, period], "left")
 
 
 def union_tagged(frames: dict[str, DataFrame], tag: str) -> DataFrame:

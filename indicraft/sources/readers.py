@@ -57,11 +57,14 @@ def read_tagged(spark: SparkSession, paths: Mapping[str, str], tag: str, schema=
     return union_tagged({name: read_csv(spark, p, schema, **options) for name, p in paths.items()}, tag)
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Array-of-objects or line-delimited JSON with an explicit schema."""
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
+    """Arrays of objects with an explicit schema: one array per file, or per line when not `multi_line`.
+
+    Line mode splits large files over tasks, so landed files should prefer it.
+    """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
 
 
 def header_row_table(df: DataFrame, payload: str, columns: Sequence[str]) -> DataFrame:

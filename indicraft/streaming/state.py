@@ -50,7 +50,8 @@ def stale_sources(df: DataFrame, source: str, ts: str, timeout_ms: int, delay: s
     """One row (source, last_seen) for every source silent for longer than the timeout.
 
     State per source is a single timestamp; an event-time timer fires once the
-    watermark has moved past last_seen + timeout.
+    watermark has moved past last_seen + timeout. Each Arrow batch is reduced to one row
+    per source before the shuffle, so a busy source costs its task no more than a quiet one.
     """
     kind = df.schema[source].dataType.simpleString()
 
@@ -66,7 +67,12 @@ def stale_sources(df: DataFrame, source: str, ts: str, timeout_ms: int, delay: s
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
 
-    watched = df.withWatermark(ts, delay).select(source, ts, F.unix_micros(ts).alias("micros"))
+    def newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.groupby(source, as_index=False)[[ts]].max()
+
+    reduced = df.select(source, ts).mapInPandas(newest, f"{source} {kind}, {ts} timestamp")
+    watched = reduced.withWatermark(ts, delay).select(source, ts, F.unix_micros(ts).alias("micros"))
     return watched.groupBy(source).applyInPandasWithState(
         watch, f"{source} {kind}, last_seen timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
