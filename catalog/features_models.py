@@ -231,3 +231,13 @@ def narratives(spark, d):
         "severity",
     )
     return out.select(key, "narrative")
+
+
+@query("model_importances")
+def importances(spark, d):
+    """Feature weights of a short booster run, largest first."""
+    base = materialize(entities(spark, d).withColumn("e_value", F.coalesce("e_value", F.lit(0.0))), "model")
+    features = ["c_acctbal", "n_orders", "e_value"]
+    trained = md.train_gbt(base, features, "spend", params={"maxIter": 5, "maxDepth": 3}, folds=0)
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(w).alias("weight")) for n, w in trained.importances().items()])
+    return base.agg(F.count("spend").alias("rows")).select("rows", F.inline(cells))

@@ -184,3 +184,54 @@ def county_report(spark, d):
 @query("serve_brief_queue", sql.gold(f"select county_fips from summary where county_fips not in (select county_fips from {BRIEFS} b where generated_at >= 950000000000000)"))
 def brief_queue(spark, d):
     return sv.brief_queue(medallion(spark, d).counties.select("county_fips"), _briefs(spark, d), "county_fips", F.lit(950000000000000))
+
+
+@query(
+    "serve_prediction_list",
+    "select c_custkey, p as predicted_change, p < -5 as risk_flag from (select c_custkey, c_nationkey, c_acctbal / 200 - 20 as p from customer) q where p < -5 and c_nationkey = 4 order by p, c_custkey limit 50",
+)
+def predictions(spark, d):
+    from indicraft.operators.model import risk_and_level
+
+    p = table(spark, d, "customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") / 200 - 20).alias("predicted_change"), F.lit(50.0).alias("now"))
+    kept = risk_and_level(p, "predicted_change", "now").filter(build_filters(equals={"c_nationkey": 4}, is_true=["risk_flag"]))
+    return sv.page(kept, [F.col("predicted_change"), F.col("c_custkey")])[0].select("c_custkey", "predicted_change", "risk_flag")
+
+
+@query("serve_confident_flags", "select doc_id, quality, toxic, n_chars / 20000.0::double as confidence from labels join documents using (doc_id) where n_chars / 20000.0 >= 0.1 order by confidence desc, doc_id limit 100")
+def confident_flags(spark, d):
+    """Flags joined to their entity, above a confidence threshold, strongest first."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 20000.0).alias("confidence"))
+    flags = table(spark, d, "labels").join(docs, "doc_id").filter(build_filters(at_least={"confidence": 0.1}))
+    return sv.page(flags, [F.col("confidence").desc(), F.col("doc_id")], 1, 100)[0].select("doc_id", "quality", "toxic", "confidence")
+
+
+@query("serve_chosen_sort", sql.gold("select nces_school_id, total_enrollment from scores order by total_enrollment desc nulls last, nces_school_id limit 25"))
+def chosen_sort(spark, d):
+    s = medallion(spark, d).scores.select("nces_school_id", "total_enrollment")
+    return sv.page(s, [sv.sort_key("total_enrollment", ["wellbeing_score", "total_enrollment"], descending=True), F.col("nces_school_id")], 1, 25)[0]
+
+
+@query("serve_school_trend", "select cast(school_year as integer) as yr, cast(sum(total_enrollment) as bigint) as enrollment, count(*) as schools from (" + sql.STG["schools"] + ") s group by 1")
+def school_trend(spark, d):
+    from .gold_tables import staged
+
+    s = staged(spark, d, "schools")
+    return s.groupBy(F.col("school_year").cast("int").alias("yr")).agg(F.sum("total_enrollment").alias("enrollment"), F.count(F.lit(1)).alias("schools"))
+
+
+@query(
+    "filter_conditions",
+    """select o_orderkey from orders where o_orderstatus = 'F' and o_totalprice between 50000 and 400000 and o_orderpriority in ('1-URGENT', '2-HIGH')
+  and (o_totalprice is null or o_totalprice >= 60000) and lower(o_orderpriority) not like '%low%' and o_orderkey >= 5""",
+)
+def filter_conditions(spark, d):
+    from indicraft.functions.predicates import lacks_text, null_or_at_least
+
+    cond = build_filters(
+        equals={"o_orderstatus": "F", "o_custkey": None},
+        at_least={"o_orderkey": 5},
+        between={"o_totalprice": (50000, 400000)},
+        member_of={"o_orderpriority": ["1-URGENT", "2-HIGH"]},
+    )
+    return table(spark, d, "orders").filter(cond & null_or_at_least("o_totalprice", 60000) & lacks_text("o_orderpriority", "LOW")).select("o_orderkey")

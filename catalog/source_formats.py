@@ -122,3 +122,10 @@ def registry_load(spark, d):
     shared(spark, d, DIRECTORY).write.option("header", "true").csv(path)
     valid, _, _ = load_source(spark, "nces_ccd", path)
     return valid.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("source_table_scan", "select r_regionkey, r_name from region")
+def table_scan(spark, d):
+    table(spark, d, "region").createOrReplaceTempView("region_table")
+    by_name, by_path = rd.read_table(spark, "region_table"), rd.read_table(spark, f"{d}/region.parquet")
+    return by_name.intersect(by_path)

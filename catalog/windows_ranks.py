@@ -325,3 +325,25 @@ def global_statistics(spark, d):
     stats = cust.agg(F.avg("c_acctbal").alias("mean"), F.count(F.lit(1)).alias("rows"))
     out = attach_stats(cust, stats, "_s")
     return out.select("c_custkey", round_half_up(F.col("c_acctbal") - F.col("_s.mean"), 4).alias("off_mean"), F.col("_s.rows").alias("total"))
+
+
+@query(
+    "sql_functions",
+    f"""select c_custkey, lpad(c_custkey::varchar, 5, '0') as padded, left(lpad((c_custkey + 1001020000)::varchar, 11, '0'), 5) as county, {scaled('c_acctbal', '1000.0', '9000.0')} as placed,
+  {scaled('c_acctbal', '1000.0', '9000.0', True)} as inverted, {labelled('(c_acctbal / 100)')} as category,
+  {blended('ed .3, he .3, en .2, sa .2')} as composite
+from (select *, case when c_custkey % 3 = 0 then null else c_acctbal / 100 end as ed, c_acctbal / 200 as he, 50.0::double as en, null::double as sa from customer) q""",
+)
+def sql_functions(spark, d):
+    from indicraft.functions.sql_functions import register_sql_functions
+
+    register_sql_functions(spark)
+    return table(spark, d, "customer").selectExpr(
+        "c_custkey",
+        "pad_code(cast(c_custkey as string), 5) as padded",
+        "tract_to_county(cast(c_custkey + 1001020000 as string)) as county",
+        "normalize_metric(c_acctbal, 1000, 9000) as placed",
+        "normalize_metric_inverted(c_acctbal, 1000, 9000) as inverted",
+        "score_category(c_acctbal / 100) as category",
+        "composite_score(if(c_custkey % 3 = 0, null, c_acctbal / 100), c_acctbal / 200, 50, cast(null as double)) as composite",
+    )
