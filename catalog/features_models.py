@@ -210,7 +210,7 @@ def _name(extreme: str) -> str:
     "anomaly_narratives",
     sql.gold(
         f"""select nces_school_id, school_name || ': ' || coalesce(nullif(concat_ws(' ',
-  case when {_high} - {_low} > 30 then 'Large pillar gap — ' || {_name(_high)} || ' (' || {rnd(_high, 0)}::bigint || ') vs ' || {_name(_low)} || ' (' || {rnd(_low, 0)}::bigint || '), a ' || {rnd(f'{_high} - {_low}', 0)}::bigint || '-point spread.' end,
+  case when {_high} - {_low} > 30 then 'Large pillar gap — ' || {_name(_high)} || ' (' || printf('%.0f', {_high}) || ') vs ' || {_name(_low)} || ' (' || printf('%.0f', {_low}) || '), a ' || printf('%.0f', {_high} - {_low}) || '-point spread.' end,
   case when m is null and a is null then null when a is null or abs(m) >= abs(a) then 'Math Proficiency ' || case when m > 0 then 'increased' else 'decreased' end || ' by ' || printf('%.1f', abs(m)) || ' points YoY.'
     else 'Chronic Absenteeism ' || case when a > 0 then 'worsened' else 'improved' end || ' by ' || printf('%.1f', abs(a)) || ' points YoY.' end,
   case when national_rank <= 20 then 'Flagged by both Isolation Forest and z-score — high confidence anomaly.' end), ''), 'Unusual score profile detected.') as narrative

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import argmax_label, argmin_label
@@ -215,18 +215,22 @@ def narrate(
     def title(c: str) -> str:
         return c.replace("_score", "").replace("_", " ").title()
 
+    def whole(c: Column) -> Column:
+        # ties go to the even digit, as in the published texts
+        return F.bround(c, 0).cast("bigint").cast("string")
+
     labels = {title(c): c for c in pillars}
     high = F.greatest(*[F.col(c) for c in pillars]) if len(pillars) > 1 else F.col(pillars[0])
     low = F.least(*[F.col(c) for c in pillars]) if len(pillars) > 1 else F.col(pillars[0])
     gap_text = F.when(
         high - low > gap,
         F.format_string(
-            "Large pillar gap — %s (%.0f) vs %s (%.0f), a %.0f-point spread.",
+            "Large pillar gap — %s (%s) vs %s (%s), a %s-point spread.",
             argmax_label(labels, null_as=-1e9),
-            high,
+            whole(high),
             argmin_label(labels, null_as=1e9),
-            low,
-            high - low,
+            whole(low),
+            whole(high - low),
         ),
     )
     parts = [gap_text]
@@ -242,7 +246,7 @@ def narrate(
                     F.struct(
                         F.abs(v).alias("size"),
                         F.lit(-i).alias("place"),
-                        F.format_string("%s %s by %.1f points YoY.", F.lit(label.title()), word, F.abs(v)).alias("text"),
+                        F.format_string("%s %s by %.1f points YoY.", F.lit(label.title()), word, F.bround(F.abs(v), 1)).alias("text"),
                     ),
                 )
             )

@@ -7,14 +7,14 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.windows import latest_per_key
-from ..sources.sinks import upsert_latest
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished state versions in a folder (those with a success marker)."""
+def _finished(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Batch numbers of the completely written folders of one kind."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -22,28 +22,37 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
         return []
     names = [s.getPath() for s in fs.listStatus(folder)]
     done = [p.getName() for p in names if fs.exists(hadoop.Path(p, "_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done if n.startswith("v"))
+    return sorted(int(n.split("-")[1]) for n in done if n.startswith(f"{kind}-"))
 
 
-def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> DataFrame:
-    """Keep the newest row per key in a stored table, updated batch by batch.
+def current_state(spark: SparkSession, schema: T.StructType, keys: Sequence[str], order: Sequence[str], path: str, upto: int | None = None) -> DataFrame:
+    """Newest row per key: the last snapshot and the batches after it."""
+    known = lambda kind: [n for n in _finished(spark, path, kind) if upto is None or n <= upto]
+    snapshot = max(known("snapshot"), default=-1)
+    parts = [f"{path}/snapshot-{snapshot}"] if snapshot >= 0 else []
+    parts += [f"{path}/batch-{n}" for n in known("batch") if n > snapshot]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return latest_per_key(spark.read.schema(schema).parquet(*parts), keys, order)
 
-    Batch n writes version n from version n-1, so a repeated batch gives the same table
-    and a reader never sees a half-written one.
+
+def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, compact_every: int = 50) -> DataFrame:
+    """Keep the newest row per key of a stream in a folder, and return that state.
+
+    A batch writes only its own newest rows, under its number, so cost follows the batch
+    and a repeated batch replaces itself. Every `compact_every` batches a snapshot folds
+    the history, so reading stays bounded too.
     """
-    spark = stream.sparkSession
+    spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_key(batch, keys, order)
-        before = [v for v in _versions(batch.sparkSession, path) if v < batch_id]
-        if before:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{before[-1]}")
-            newest = upsert_latest(old, newest, keys, order)
-        newest.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            folded = current_state(batch.sparkSession, schema, keys, order, path, batch_id)
+            folded.write.mode("overwrite").parquet(f"{path}/snapshot-{batch_id}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    done = _versions(spark, path)
-    return spark.read.schema(stream.schema).parquet(f"{path}/v{done[-1]}")
+    return current_state(spark, schema, keys, order, path)
 
 
 def stale_sources(df: DataFrame, source: str, ts: str, timeout_ms: int, delay: str) -> DataFrame:

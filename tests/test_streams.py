@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from indicraft.session import scratch_path
@@ -38,7 +39,15 @@ def test_duplicates_across_batches(spark):
     assert sorted(r["id"] for r in out.collect()) == [1, 2]
 
 
-def test_latest_state_over_batches(spark):
-    path = _folder(spark, [[(1, "2024-01-02 00:00:00", 9)], [(1, "2024-01-01 00:00:00", 8), (2, "2024-01-01 00:00:00", 7)]])
-    out = latest_state(_stream(spark, path), ["id"], ["t"], scratch_path(spark, "t-state"), scratch_path(spark, "t-ck"))
-    assert sorted((r["id"], r["v"]) for r in out.collect()) == [(1, 9), (2, 7)]
+@pytest.mark.parametrize("compact_every", [1, 2, 50])
+def test_latest_state_over_batches(spark, compact_every):
+    path = _folder(
+        spark,
+        [
+            [(1, "2024-01-02 00:00:00", 9)],
+            [(1, "2024-01-01 00:00:00", 8), (2, "2024-01-01 00:00:00", 7)],
+            [(2, "2024-01-03 00:00:00", 5), (3, "2024-01-01 00:00:00", 1)],
+        ],
+    )
+    out = latest_state(_stream(spark, path), ["id"], ["t"], scratch_path(spark, "t-state"), scratch_path(spark, "t-ck"), compact_every)
+    assert sorted((r["id"], r["v"]) for r in out.collect()) == [(1, 9), (2, 5), (3, 1)]
