@@ -117,6 +117,6 @@ def clamp(c: ColumnLike, lo: float, hi: float) -> Column:
 
 
 def age_days(ts: ColumnLike, as_of: ColumnLike) -> Column:
-    """Age of a timestamp in days at an explicit reference time."""
+    """Age of a timestamp in days at an explicit moment."""
     micros = lambda c: F.unix_micros(as_col(c).cast("timestamp"))
     return (micros(as_of) - micros(ts)) / F.lit(86_400_000_000.0)

@@ -20,10 +20,11 @@ def tract_to_county(c: ColumnLike) -> Column:
     return F.substring(pad_code(c, 11), 1, 5)
 
 
-def format_code(state: ColumnLike, county: ColumnLike, tract: ColumnLike | None = None) -> Column:
-    parts = [pad_code(state, 2, truncate=False), pad_code(county, 3, truncate=False)]
+def format_code(state: ColumnLike, county: ColumnLike, tract: ColumnLike | None = None, truncate: bool = False) -> Column:
+    """Concatenate padded parts; `truncate` cuts over-long parts as SQL padding does."""
+    parts = [pad_code(state, 2, truncate), pad_code(county, 3, truncate)]
     if tract is not None:
-        parts.append(pad_code(tract, 6, truncate=False))
+        parts.append(pad_code(tract, 6, truncate))
     return F.concat(*parts)
 
 

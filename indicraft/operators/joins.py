@@ -50,7 +50,7 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def lookup(
     df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, out: str, fallback: str | None = None
 ) -> DataFrame:
-    """Left lookup of one value on a deduplicated reference table, with a fallback column."""
+    """Left lookup of one value on a deduplicated table, with a fallback column."""
     small = table.groupBy(F.col(table_key).alias(key)).agg(F.min(value).alias("_found"))
     joined = df.join(small, key, "left")
     found = F.col("_found") if fallback is None else F.coalesce("_found", fallback)

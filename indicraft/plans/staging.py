@@ -104,8 +104,8 @@ def census(raw: DataFrame) -> DataFrame:
     """Tract rates; a zero or missing-marker universe gives null."""
     rate = lambda part, whole: safe_rate(F.col(part), F.col(whole), 100, 2, (CENSUS_MISSING,))
     return raw.filter(F.col("state_fips").isNotNull()).select(
-        format_code("state_fips", "county_fips", "tract_fips").alias("census_tract_fips"),
-        format_code("state_fips", "county_fips").alias("county_fips"),
+        format_code("state_fips", "county_fips", "tract_fips", truncate=True).alias("census_tract_fips"),
+        format_code("state_fips", "county_fips", truncate=True).alias("county_fips"),
         pad_code("state_fips", 2).alias("state_fips"),
         rate("below_poverty_level", "total_poverty_universe").alias("poverty_rate"),
         rate("children_below_poverty", "child_poverty_universe").alias("child_poverty_rate"),
@@ -123,7 +123,7 @@ AIR_DAYS = ("good_days", "moderate_days", "unhealthy_sensitive_days", "unhealthy
 def air_quality(raw: DataFrame) -> DataFrame:
     keep = F.col("state_code").isNotNull() & F.col("county_code").isNotNull() & F.col("median_aqi").isNotNull()
     return raw.filter(keep).select(
-        format_code("state_code", "county_code").alias("county_fips"),
+        format_code("state_code", "county_code", truncate=True).alias("county_fips"),
         F.trim("county_name").alias("county_name"),
         F.trim("state_abbr").alias("state_abbr"),
         to_int("year").alias("data_year"),
@@ -140,7 +140,7 @@ def crime(raw: DataFrame) -> DataFrame:
     keep = F.col("fips_state").isNotNull() & F.col("fips_county").isNotNull() & F.col("violent_crime_rate").isNotNull()
     coverage = _number("coverage_pct")
     return raw.filter(keep).select(
-        format_code("fips_state", "fips_county").alias("county_fips"),
+        format_code("fips_state", "fips_county", truncate=True).alias("county_fips"),
         F.trim("county_name").alias("county_name"),
         _upper("state_abbr").alias("state_abbr"),
         to_int("year").alias("data_year"),
