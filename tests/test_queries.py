@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog import QUERIES
 from catalog.base import TABLES
 from check import compare
 
@@ -17,7 +18,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     message, ok, _ = compare(spark, duck, name, queries()[name], oracle_sql().get(name), sf_dir)
     assert ok, message
