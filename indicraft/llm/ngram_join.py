@@ -24,12 +24,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import bucket_members, candidate_pairs, dealt, in_blocks, spanning
-from .common import Scratch, col, map_texts, matrix, text_or_empty
+from .common import Scratch, col, fresh, map_texts, matrix, text_or_empty
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -223,11 +223,12 @@ def _verified(size: int, bands: int, rows: int, least: list[tuple[int, int]], th
 
 def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, threshold: float = THRESHOLD,
                bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(id, text_hash, n_links, class_id, component_id): one row per row of `docs`.
+    """(id, text_hash, fp, root, n_links, class_id, component_id): one row per row of `docs`.
 
     `class_id` is the least id among rows with the same shingle set, `component_id` the least id
     reachable by links, both the row's own for a text without words; `n_links` counts the other
-    rows linked directly, copies included. `text_hash` tells rows of one id apart.
+    rows linked directly, copies included. `text_hash` tells rows of one id apart, `fp` names
+    the shingle set and `root` the component (both null for a text without words).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -262,10 +263,32 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: in
     named = classes.join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left").join(links.withColumnRenamed("a", "fp"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     lowest = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(lowest, "root").select("fp", "class_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    named = named.join(lowest, "root").select("fp", "root", "class_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     out = sketched.drop("sig").join(named, "fp", "left")
     return out.select(
-        F.col("doc_id").alias(id), "text_hash", "fp", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.col("doc_id").alias(id), "text_hash", "fp", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row with the least id stays.
+
+    Equal ids are told apart by their text; of rows equal in both one stays. Rows without words have no
+    duplicates but their exact repetitions. The repetitions go first, so a repeated row is limited to one per
+    task before any shuffle, and the join below reuses that exchange.
+    """
+    joined = ngram_join(docs, id, text, **options)
+    d, h = F.coalesce(col(id).cast("long"), F.lit(2**63 - 1)), F.xxhash64(text_or_empty(text))
+    order = F.struct(F.coalesce(F.col(id), F.lit(2**63 - 1)).alias("d_"), F.col("text_hash").alias("h_"))
+    # a component is named by its root, so null ids and shared ids don't mix components
+    linked = joined.filter("root is not null").groupBy("root").agg(F.min(order).alias("kept")).select("kept.*")
+    lone = joined.filter("root is null").select(order.alias("kept")).select("kept.*").distinct()
+    kept = linked.unionByName(lone)
+    names = docs.columns
+    dk, hk = fresh(docs, "d_"), fresh(docs, "h_")
+    place = fresh(docs, "place_")
+    rows = docs.withColumn(dk, d).withColumn(hk, h)
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(dk, hk).orderBy(F.lit(1)))).filter(col(place) == 1)
+    return rows.join(kept.select(F.col("d_").alias(dk), F.col("h_").alias(hk)), [dk, hk], "left_semi").select(*[col(c) for c in names])

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .common import table
+from .bpe import decode, encode
+from .mixing import mix
 from .ngram_join import ngram_join
+from .pii import KINDS, find_personal_data
 from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +29,10 @@ def query(name: str):
     return add
 
 
+def of_kind(kind: str):
+    return lambda k: k == kind
+
+
 def part_of(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
@@ -33,6 +43,32 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "component_id")
 
 
+@query("op4_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when sources weigh 3, 1, 2, ... and share 150% of all sizes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op5_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of the bytes decoded from them."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every whole text: counts and digest of the patterns, and all spans."""
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s.kind.isin(*KINDS))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    counts = [F.size(F.filter(F.col("spans.kind"), of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a chain that saw no label of the held-out third."""
@@ -40,3 +76,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, labels.filter(part_of(3) != 1))
     scored = score_toxicity(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (part_of(3) == 1).alias("held_out"), "score", "predicted", "spans")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
