@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from .chat import digests, format_turns
 from .common import table
+from .embedding_dedup import embedding_dedup
 from .bpe import decode, encode
 from .mixing import mix
 from .ngram_join import ngram_join
@@ -37,6 +39,15 @@ def part_of(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+@query("op1_chat")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted to tokens and read back, and one whose texts hold control strings."""
+    own = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return digests(format_turns(turns, tokenizer), tokenizer)
+
+
 @query("op2_ngram_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of copies, its number of links and its component."""
@@ -69,6 +80,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of links and its component."""
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a chain that saw no label of the held-out third."""
