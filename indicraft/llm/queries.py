@@ -12,11 +12,14 @@ import corpus_pipeline
 
 from .chat import digests, format_turns
 from .common import table
+from .compression_quality import fit_compression, score_quality
 from .embedding_dedup import embedding_dedup
 from .bpe import decode, encode
+from .html_text import extract_text
 from .mixing import mix
 from .ngram_join import ngram_join
 from .pii import KINDS, find_personal_data
+from .quality_rules import apply_rules
 from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +57,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "component_id")
 
 
+@query("op3_html")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    text = extract_text(table(spark, sf_dir, "pages")).drop("html")
+    return text.withColumn("text_chars", F.length("text").cast("long"))
+
+
 @query("op4_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources weigh 3, 1, 2, ... and share 150% of all sizes."""
@@ -70,6 +80,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op6_compression_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by compression; labels of the held-out quarter are never seen."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_compression(docs, labels.filter(part_of(4) != 2))
+    return score_quality(docs.select("doc_id", "text"), model).select("doc_id", (part_of(4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of the line rules for every document."""
+    return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query("op8_pii")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data of every whole text: counts and digest of the patterns, and all spans."""
