@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicraft.llm.bpe import decode, encode
-from indicraft.llm.common import col, table
+from indicraft.llm.common import col, pack, table, unpack
 from indicraft.llm.mixing import mix
 from indicraft.llm.ngram_join import keep_one
 from indicraft.llm.pii import find_personal_data
@@ -24,7 +24,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, trained on all labels, does not call toxic."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("predicted = 0").select(*[col(c) for c in docs.columns])
+    packed, row = pack(docs, "text")
+    return unpack(score_toxicity(packed, model).filter("predicted = 0"), row, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,22 +35,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and terms that reveal it rewritten."""
-    found = find_personal_data(docs, clean="clean_text")
-    new = {"text": F.when(F.size("spans") > 0, F.col("clean_text")).otherwise(F.col("text"))}
-    new["n_chars"] = F.when(F.size("spans") > 0, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[new.get(c, col(c)).alias(c) for c in docs.columns])
+    packed, row = pack(docs, "text", "n_chars")
+    found = find_personal_data(packed, clean="clean_text")
+    hit = F.size("spans") > 0
+    text = F.when(hit, F.col("clean_text")).otherwise(F.col("text"))
+    n_chars = F.when(hit, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return unpack(found, row, docs.columns, text=text, n_chars=n_chars)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: sources weigh 3, 1, 2, ... and share 150% of all words."""
-    copies = mix(docs)
-    return copies.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[col(c) for c in docs.columns])
+    packed, row = pack(docs, "doc_id", "source", "text")
+    taken = mix(packed).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpack(taken, row, docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text; the text is what the ids decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode(encode(docs, path, pattern).drop("text"), path, pattern)
+    slim = docs.select(*[col(c) for c in ("doc_id", "lang", "source", "n_chars", "text")])
+    coded = decode(encode(slim, path, pattern).drop("text"), path, pattern)
     return coded.select("doc_id", "lang", "source", "n_chars", F.col("decoded").cast("string").alias("text"), "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
 
 

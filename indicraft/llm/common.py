@@ -62,6 +62,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
+def pack(df: DataFrame, *names: str) -> tuple[DataFrame, str]:
+    """`names` beside the whole row as one struct, so that no other column can clash with an operator's own."""
+    row = fresh(df, "row_")
+    return df.select(*[col(n) for n in names], F.struct(*quoted(df)).alias(row)), row
+
+
+def unpack(df: DataFrame, row: str, names: list[str], **new: Column) -> DataFrame:
+    """The columns of a packed row again, those in `new` replaced."""
+    return df.select(*[new[n].alias(n) if n in new else F.col(row).getField(n).alias(n) for n in names])
+
+
 def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about `most` bytes each."""
     if len(texts) == 0:
