@@ -31,7 +31,7 @@ MATRIX_BYTES = 128
 #: Most pieces in one matrix.
 MATRIX_ROWS = 16_384
 #: Pieces a worker remembers between slices.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 class Vocabulary:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from indicraft.session import scratch_path
 
 #: Bytes of text that one step inside a Python worker handles; a longer single text is one step of its own.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,16 +125,22 @@ def revealing_terms(docs: DataFrame, text: str = "text", generalise_at: float =
     found = scratch.store(found.filter("near is not null").select(F.monotonically_increasing_id().alias("doc"), "near"), "near")
     found = found.select("doc", F.explode("near").alias("near")).select("doc", "near.entity", "near.words", F.xxhash64("near.words").alias("context"))
     entities = found.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
-    pairs = found.select("entity", "doc", "context", F.explode("words").alias("term")).groupBy("entity", "term").agg(
-        F.countDistinct("doc").alias("n_et"), F.countDistinct("context").alias("contexts")
-    )
-    pairs = scratch.store(pairs.filter(F.col("contexts") >= least_contexts), "pairs")
+    words = found.select("entity", "doc", "context", F.explode("words").alias("term"))
+    near = words.groupBy("term").agg(F.countDistinct("doc").alias("n_near"))
+    pairs = words.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n_et"), F.countDistinct("context").alias("contexts"))
+    total = texts.agg(F.count("*").alias("n"))
+
+    def told(n_t: str) -> Column:
+        share = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / F.log(F.col("n") / F.col("n_e"))
+        return F.when(F.col("n") > F.col("n_e"), share).otherwise(F.lit(0.0))
+
+    # a term occurs in at least as many documents as it stands near entities, so its disclosure there is
+    # an upper bound; common words fall out before the corpus is counted, and none that could reveal does
+    pairs = pairs.filter(F.col("contexts") >= least_contexts).join(entities, "entity").join(near, "term").withColumn("n", total.scalar())
+    pairs = scratch.store(pairs.filter(told("n_near") >= generalise_at - 1e-9), "pairs")
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("term"))
     counts = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.agg(F.count("*").alias("n"))
-    scored = pairs.join(entities, "entity").join(counts, "term").withColumn("n", total.scalar())
-    told = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
-    scored = scored.select("entity", "term", F.when(F.col("n") > F.col("n_e"), told).otherwise(F.lit(0.0)).alias("disclosure"))
+    scored = pairs.join(counts, "term").select("entity", "term", told("n_t").alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove_at, "drop").otherwise("term")
     return scored.filter(F.col("disclosure") >= generalise_at).withColumn("action", action)
 

@@ -15,6 +15,7 @@ everything at the prior (0.5 without any label).
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from .common import col, fresh, map_texts, text_or_empty
 
 #: Labelled documents that training may take of each kind, and characters of all of them.
 SAMPLE_PER_LABEL = 1_500
-SAMPLE_CHARS = 12_000_000
+SAMPLE_CHARS = 10_000_000
 #: Neutral tokens in a row that training keeps; scoring uses every token.
 NEUTRAL_RUN = 6
 WORD = re.compile(r"[^\W\d_]+")
@@ -189,8 +190,11 @@ def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     seen, out = set(), []
     for t, y in rows:
         w = WORD.findall(t.lower())
-        shingles = [" ".join(w[i : i + 5]).encode() for i in range(max(1, len(w) - 4))]
-        marks = {(salt, y, min(zlib.crc32(x, salt) for x in shingles)) for salt in (1, 2)}
+        shingles = (" ".join(w[i : i + 5]).encode() for i in range(max(1, len(w) - 4)))
+        least = [2**32, 2**32]
+        for x in shingles:
+            least = [min(m, zlib.crc32(x, salt)) for salt, m in enumerate(least)]
+        marks = {(salt, y, m) for salt, m in enumerate(least)}
         if not marks & seen:
             out.append((t, y))
         seen |= marks
@@ -206,7 +210,7 @@ def _thinned(words: list[int]) -> list[int]:
     return out
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 60, least_docs: int = 3, ratio: float = 5.0, z: float = 3.5, ridge: float = 0.02) -> ToxicModel:
+def train(rows: list[tuple[str, int]], rounds: int = 60, least_docs: int = 3, ratio: float = 8.0, z: float = 2.8, ridge: float = 0.02) -> ToxicModel:
     """Fit chain and calibration on (text, label) rows; a third of the rows is kept for calibration."""
     rows = _without_copies(rows)
     y_all = np.array([y for _, y in rows])
@@ -215,17 +219,21 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least_docs: int = 3, ra
         if len(y_all):
             flat.calibration[0] = 3.0 if y_all[0] else -3.0
         return flat
-    words = [WORD.findall(t.lower()) for t, _ in rows]
+    # one string object per distinct word keeps the driver's memory small
+    words = [[sys.intern(w) for w in WORD.findall(t.lower())] for t, _ in rows]
     chain = [i for i in range(len(rows)) if i % 3]
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for i in chain:
-        df[int(y_all[i])].update({f for w in set(words[i]) for f in word_features(w)})
+        if y_all[i]:
+            df[1].update({f for w in set(words[i]) for f in word_features(w)})
+    df[1] = Counter({f: a for f, a in df[1].items() if a >= least_docs})
+    for i in chain:
+        if not y_all[i]:
+            df[0].update({f for w in set(words[i]) for f in word_features(w) if f in df[1]})
     n1, n0 = max(1, int(y_all[chain].sum())), max(1, int((1 - y_all[chain]).sum()))
     keep, marked = {}, set()
     for f, a in df[1].items():
         b = df[0].get(f, 0)
-        if a < least_docs:
-            continue
         pa_, pb = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
         strength = np.log(pa_ / pb) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if strength > 1.5:
@@ -304,7 +312,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
 
     def run(batch: pa.RecordBatch) -> dict:
         model = held.value
-        if len(seen) > 300_000:
+        if len(seen) > 150_000:
             seen.clear()
         texts = batch.column(batch.schema.names.index(source)).to_pylist()
         low = [t.lower() for t in texts]
