@@ -396,14 +396,14 @@ def _alert_payloads(spark, d):
 @query(
     "clean_alert_features",
     """select 'urn:' || event_id as alert_id, event_type as event, case event_type when 'error' then 'Extreme' when 'click' then 'Severe' when 'view' then 'Odd' else 'Unknown' end as severity,
-  case event_type when 'error' then 5 when 'click' then 4 else 1 end as severity_rank, length(left(repeat(event_type, case when event_id % 10 = 0 then 500 else 1 end), 2000)) as description_chars,
+  case event_type when 'error' then 5 when 'click' then 4 else 1 end as severity_rank, length(repeat(event_type, case when event_id % 10 = 0 then 500 else 1 end)) as description_chars, length(left(repeat(event_type, case when event_id % 10 = 0 then 500 else 1 end), 2000)) as short_chars,
   case when event_id % 2 = 0 then 'Cook, IL' end as area_desc, 'ILC031,Z' || user_id as affected_zones,
   case when event_id % 3 = 0 then 'WI' when event_id % 2 = 0 then 'IL' end as state from events""",
 )
 def clean_alert_features(spark, d):
     flat = parse_alerts(alert_features(_alert_payloads(spark, d), "payload"), F.lit("2024-01-01").cast("timestamp"), state_filter="IL")
     return flat.select(
-        "alert_id", "event", "severity", "severity_rank", F.length("description").alias("description_chars"), "area_desc", "affected_zones", "state"
+        "alert_id", "event", "severity", "severity_rank", F.length("description").alias("description_chars"), F.length("description_short").alias("short_chars"), "area_desc", "affected_zones", "state"
     )
 
 

@@ -9,7 +9,7 @@ from indicraft.operators import anomaly as an
 from indicraft.operators import features as ft
 from indicraft.operators import model as md
 from indicraft.operators.features import Interaction
-from indicraft.session import materialize
+from indicraft.session import materialize, one_row
 
 from . import model_sql as sql
 from .base import duck, query, rnd, shared, table
@@ -114,11 +114,44 @@ def wide_base(spark, d):
     "select side, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as last_key from (select o_orderkey, case when row_number() over (order by o_orderkey) <= floor(0.75 * count(*) over ()) then 'train' else 'test' end as side from orders) q group by 1",
 )
 def split(spark, d):
+    """Keys in order, all different."""
     train, test = md.temporal_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
+@query(
+    "model_temporal_split_by_year",
+    "select side, count(*) as n, min(yr) as first_year, max(yr) as last_year, sum(o_orderkey)::bigint as keys from (select o_orderkey, yr, case when row_number() over (order by yr, o_orderkey) <= floor(0.75 * count(*) over ()) then 'train' else 'test' end as side from (select o_orderkey, cast(year(o_orderdate) as integer) as yr from orders) o) q group by 1",
+)
+def split_by_year(spark, d):
+    """Few periods: the cut falls inside one, the key breaks ties."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("yr"))
+    train, test = md.temporal_split(orders, "yr", ties=["o_orderkey"])
+    both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("yr").alias("first_year"), F.max("yr").alias("last_year"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(
+    "model_expanding_folds",
+    """with o as (select o_orderkey, row_number() over (order by year(o_orderdate), o_orderkey) - 1 as place, count(*) over () as n from orders),
+f as (select o.*, cast(i as integer) as fold, n - (n // 5) * (4 - i) as first from o, range(4) r(i))
+select fold, sum((place < first)::int)::bigint as n_train, sum((place >= first and place < first + n // 5)::int)::bigint as n_test,
+  max(case when place < first then place end) as last_train, sum(case when place >= first and place < first + n // 5 then o_orderkey end)::bigint as test_keys from f group by 1""",
+)
+def folds(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("yr"))
+    out = None
+    for i, (train, test) in enumerate(md.expanding_folds(orders, "yr", 4, ["o_orderkey"])):
+        sides = train.select("o_orderkey", F.lit(True).alias("t")).unionByName(test.select("o_orderkey", F.lit(False).alias("t")))
+        one = sides.agg(
+            F.lit(i).alias("fold"), F.count_if("t").alias("n_train"), F.count_if(~F.col("t")).alias("n_test"),
+            (F.count_if("t") - 1).alias("last_train"), F.sum(F.when(~F.col("t"), F.col("o_orderkey"))).alias("test_keys"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 FIT = "(select l_extendedprice as y, l_quantity * 1500.0 as yhat, l_extendedprice - l_quantity * 1500.0 as e from lineitem)"
 
 
@@ -145,21 +178,32 @@ def interval(spark, d):
     )
 
 
-@query("model_sampled_interval")
+@query("model_sampled_interval", "select count(*) as n, true as ordered, true as near_closed_form from customer")
 def sampled_interval(spark, d):
     p = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 200 - 20).alias("p"))
-    return md.with_sampled_interval(p, "p", 4.0)
+    both = md.with_sampled_interval(p, "p", 4.0).select("p", "ci_lower", "ci_upper")
+    half = md.Z90 * 0.5 * 4.0
+    # 200 draws put a 5 % point within a few tenths of its limit; the mean over all rows is closer
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and((F.col("ci_lower") < F.col("p")) & (F.col("p") < F.col("ci_upper"))).alias("ordered"),
+        ((F.abs(F.avg(F.col("p") - F.col("ci_lower")) - half) < 0.1) & (F.abs(F.avg(F.col("ci_upper") - F.col("p")) - half) < 0.1)).alias("near_closed_form"),
+    )
 
 
-@query("model_boosted_trees")
+@query("model_boosted_trees", "select true as beats_the_mean, (select count(*) - floor(0.75 * count(*))::bigint from customer) as n_test, true as all_finite")
 def boosted(spark, d):
-    """Spend predicted from the other metrics; a short run of the booster."""
+    """Spend predicted from the other metrics; a short run of the booster must beat the mean predictor."""
     base = entities(spark, d).withColumn("e_value", F.coalesce("e_value", F.lit(0.0)))
     features = ["c_acctbal", "n_orders", "e_value", "c_nationkey"]
     train, test = md.temporal_split(materialize(base, "model"), "c_custkey")
     trained = md.train_gbt(train, features, "spend", params={"maxIter": 10, "maxDepth": 4}, folds=0)
-    scored = md.predict(trained, test.filter(F.col("spend").isNotNull()), "c_custkey", ["spend"])
-    return md.regression_metrics(scored, "spend", "predicted_change")
+    scored = md.predict(trained, test, "c_custkey", ["spend"])
+    p, y = F.col("predicted_change"), F.coalesce("spend", F.lit(0.0))
+    mean = one_row(train.agg(F.avg(F.coalesce("spend", F.lit(0.0))).alias("m")))["m"]
+    return scored.withColumn("m", mean).agg(
+        (F.sum((y - p) ** 2) < F.sum((y - F.col("m")) ** 2)).alias("beats_the_mean"),
+        F.count(F.lit(1)).alias("n_test"), F.bool_and(p.isNotNull() & ~F.isnan(p)).alias("all_finite"),
+    )
 
 
 CHANGES = "select o_custkey, n - 10.0 as n, spend / 100000 as spend from (select o_custkey, count(*)::double as n, sum(o_totalprice) as spend from orders group by 1) q"
@@ -180,9 +224,20 @@ def _changes(spark, d):
     )
 
 
-@query("anomaly_isolation_forest")
+@query("anomaly_isolation_forest", "select count(*) as n, sum((c_custkey % 50 = 0)::int)::bigint as planted, true as all_planted_found, true as share_kept from customer")
 def forest(spark, d):
-    return an.isolation_forest(medallion(spark, d).scores, "nces_school_id", ["education_score", "health_score", "environment_score", "safety_score"])
+    """Every fiftieth customer has a far copy planted: all of these are flagged, and about the share asked for."""
+    base = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 97).cast("double").alias("b"), F.lit(False).alias("far"))
+    far = base.filter("c_custkey % 50 = 0").select((-F.col("c_custkey")).alias("c_custkey"), (F.col("a") + 60_000).alias("a"), (F.col("b") + 900).alias("b"), F.lit(True).alias("far"))
+    both = materialize(base.unionByName(far), "forest")
+    flagged = an.isolation_forest(both, "c_custkey", ["a", "b"]).select("c_custkey").withColumn("hit", F.lit(True))
+    joined = both.join(flagged, "c_custkey", "left")
+    hits, rows = F.count_if("hit"), F.count(F.lit(1))
+    return joined.agg(
+        F.count_if(~F.col("far")).alias("n"), F.count_if("far").alias("planted"), (F.count_if(F.col("far") & F.col("hit")) == F.count_if("far")).alias("all_planted_found"),
+        # the share asked for, give or take ties at its edge
+        ((hits >= 0.04 * rows) & (hits <= 0.07 * rows)).alias("share_kept"),
+    )
 
 
 @query(
@@ -233,11 +288,15 @@ def narratives(spark, d):
     return out.select(key, "narrative")
 
 
-@query("model_importances")
+@query("model_importances", "select count(*) as rows, 3::bigint as features, true as sum_to_one, true as in_order from customer")
 def importances(spark, d):
     """Feature weights of a short booster run, largest first."""
     base = materialize(entities(spark, d).withColumn("e_value", F.coalesce("e_value", F.lit(0.0))), "model")
     features = ["c_acctbal", "n_orders", "e_value"]
     trained = md.train_gbt(base, features, "spend", params={"maxIter": 5, "maxDepth": 3}, folds=0)
     cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(w).alias("weight")) for n, w in trained.importances().items()])
-    return base.agg(F.count("spend").alias("rows")).select("rows", F.inline(cells))
+    weights = F.transform(cells, lambda c: c.weight)
+    return base.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.size(cells).cast("long").alias("features"),
+        (F.abs(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w) - 1) < 1e-4).alias("sum_to_one"), (F.reverse(F.array_sort(weights)) == weights).alias("in_order"),
+    )

@@ -17,13 +17,14 @@ from .base import query, rnd, table
 @query(
     "enrich_left_contexts",
     f"""select c_custkey, n_name, s.n_suppliers, coalesce(s.n_suppliers, 0) as n_suppliers_or_zero, {rnd('o.spend')} as spend from customer
-left join nation on n_nationkey = c_nationkey left join (select s_nationkey, count(*) as n_suppliers from supplier where s_acctbal > 5000 group by 1) s on s_nationkey = c_nationkey
-left join (select o_custkey, sum(o_totalprice) as spend from orders where year(o_orderdate) = 2000 group by 1) o on o_custkey = c_custkey""",
+left join nation on n_nationkey = c_nationkey left join (select s_nationkey, count(*) as n_suppliers from supplier group by 1) s on s_nationkey = c_nationkey
+left join (select user_id, sum(value) as spend from events group by 1) o on user_id = c_custkey""",
 )
 def enrich_contexts(spark, d):
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    suppliers = table(spark, d, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("n_suppliers"))
-    orders = table(spark, d, "orders").filter(F.year("o_orderdate") == 2000).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spend"))
+    suppliers = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("n_suppliers"))
+    # many customers have no events
+    orders = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.sum("value").alias("spend"))
     out = jn.enrich(
         table(spark, d, "customer").select("c_custkey", "c_nationkey"),
         [(nation, "c_nationkey"), (suppliers.withColumn("n_suppliers_or_zero", F.col("n_suppliers")), "c_nationkey"), (orders, "c_custkey")],
@@ -33,10 +34,10 @@ def enrich_contexts(spark, d):
     return out.drop("c_nationkey").withColumn("spend", round_half_up("spend", 2))
 
 
-@query("join_inner", "select o_orderkey, c_name, o_totalprice from orders join customer on c_custkey = o_custkey where c_acctbal > 0")
+@query("join_inner", "select event_id, c_name, event_type from events join customer on c_custkey = user_id")
 def join_inner(spark, d):
-    cust = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return table(spark, d, "orders").join(cust, "o_custkey").select("o_orderkey", "c_name", "o_totalprice")
+    cust = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return table(spark, d, "events").join(cust, "user_id").select("event_id", "c_name", "event_type")
 
 
 PERIODS = "select o_custkey, year(o_orderdate) as yr, count(*) as n, sum(o_totalprice) as spend from orders group by 1, 2"
@@ -129,9 +130,15 @@ def distinct_counts(spark, d):
     return ag.distinct_counts(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@query("distinct_counts_sketch")
+@query("distinct_counts_sketch", "select 2::bigint as columns, true as all_within_a_tenth")
 def distinct_sketch(spark, d):
-    return ag.distinct_counts(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], approx=True)
+    """Sketched counts next to exact ones."""
+    names = ["l_partkey", "l_suppkey"]
+    lines = table(spark, d, "lineitem")
+    sketch, exact = ag.distinct_counts(lines, names, approx=True), ag.distinct_counts(lines, names)
+    both = attach_stats(attach_stats(sketch, exact, "exact"), sketch, "sketch")
+    near = [F.abs(F.col(f"sketch.{c}") - F.col(f"exact.{c}")) <= 0.1 * F.col(f"exact.{c}") for c in sketch.columns]
+    return both.select(F.lit(len(near)).cast("long").alias("columns"), F.forall(F.array(*near), lambda x: x).alias("all_within_a_tenth"))
 
 
 @query("ordered_series", f"select cast(yr as integer) as yr, n_regionkey, {rnd('avg(o_totalprice)')} as avg_o_totalprice, count(*) as row_count from (select year(o_orderdate) as yr, n_regionkey, o_totalprice from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey) q group by 1, 2 order by 1, 2")
@@ -156,6 +163,11 @@ def mode_and_share(spark, d):
     return ag.mode_share(table(spark, d, "lineitem"), "l_quantity")
 
 
+@query("mode_of_text", f"select o_orderpriority as mode_value, n as mode_count, {rnd('n * 100.0 / sum_n')} as mode_pct from (select o_orderpriority, count(*) as n, cast(sum(count(*)) over () as double) as sum_n from orders group by 1 order by n desc, o_orderpriority limit 1) q")
+def mode_of_text(spark, d):
+    return ag.mode_share(table(spark, d, "orders"), "o_orderpriority")
+
+
 @query("value_counts", "select p_brand, p_type, count(*) as row_count from part group by 1, 2")
 def value_counts(spark, d):
     return ag.value_counts(table(spark, d, "part"), "p_brand", "p_type")

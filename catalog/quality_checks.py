@@ -146,11 +146,11 @@ def freshness_report(spark, d):
 a as (select *, 0 as prio, 'extreme' as stratum from base where wellbeing_score < 30 or wellbeing_score > 70 order by draw, nces_school_id limit 20),
 b as (select *, 1, 'large_change' from base where abs(math_proficiency_change) > 25 or abs(reading_proficiency_change) > 25 order by draw, nces_school_id limit 20),
 c as (select *, 2, 'inconsistent' from base where odd order by draw, nces_school_id limit 15),
-f as (select *, 3, 'random' from base order by draw, nces_school_id limit 60),
-picks as (select * from a union all select * from b union all select * from c),
-rnd as (select * from f qualify row_number() over (order by draw, nces_school_id) <= 60 - (select count(*) from picks)),
-uniq as (select * from (select * from picks union all select * from rnd) u qualify row_number() over (partition by nces_school_id order by prio, draw) = 1)
-select nces_school_id, wellbeing_score, stratum from uniq order by prio, draw, nces_school_id limit 60"""
+picks as (select * from (select * from a union all select * from b union all select * from c) u qualify row_number() over (partition by nces_school_id order by prio, draw) = 1),
+f as (select *, md5(nces_school_id || '#43') as draw2 from base where nces_school_id not in (select nces_school_id from picks)),
+g as (select *, row_number() over (order by draw2, nces_school_id) as place from f),
+uniq as (select nces_school_id, wellbeing_score, stratum from picks union all select nces_school_id, wellbeing_score, 'random' from g where place <= 60 - (select count(*) from picks))
+select nces_school_id, wellbeing_score, stratum from uniq"""
     ),
 )
 def suspicious(spark, d):

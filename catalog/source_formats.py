@@ -36,15 +36,26 @@ def csv_ragged(spark, d):
 def csv_encoding(spark, d):
     path = scratch_path(spark, "latin")
     n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Ñandú "), "n_name").alias("n_name"))
-    n.coalesce(1).write.option("header", "true").option("encoding", "iso-8859-1").csv(path)
+    n.write.option("header", "true").option("encoding", "iso-8859-1").csv(path)
     return rd.read_csv_any_encoding(spark, path, "n_nationkey int, n_name string")
 
 
-@query("source_tagged_union", "select event_id, case when event_type = 'click' then user_id end as user_id, case event_type when 'click' then 'click' else 'view' end as kind from events where event_type in ('click', 'view')")
+@query("source_csv_mixed_charsets", "select c_custkey, 'Ñandú ' || c_name as c_name from customer")
+def csv_mixed(spark, d):
+    """UTF-8 and Latin-1 files in one folder."""
+    path = scratch_path(spark, "mixed")
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Ñandú "), "c_name").alias("c_name"))
+    for rest, encoding in ((0, "UTF-8"), (1, "iso-8859-1")):
+        c.filter(F.col("c_custkey") % 2 == rest).write.mode("append").option("header", "true").option("encoding", encoding).csv(path)
+    return rd.read_csv_any_encoding(spark, path, "c_custkey long, c_name string")
+
+
+@query("source_tagged_union", "select event_id, case when event_type = 'click' then user_id end as user_id, event_type as kind from events")
 def tagged(spark, d):
-    """One folder per event type, one of them without the user column."""
+    """One folder per event type, only one of them with the user column."""
     e, paths = table(spark, d, "events"), {}
-    for kind, cols in (("click", ["event_id", "user_id"]), ("view", ["event_id"])):
+    for kind in [r[0] for r in e.select("event_type").distinct().collect()]:  # a handful of types
+        cols = ["event_id", "user_id"] if kind == "click" else ["event_id"]
         paths[kind] = scratch_path(spark, f"tag-{kind}")
         e.filter(F.col("event_type") == kind).select(*cols).write.option("header", "true").csv(paths[kind])
     out = rd.read_tagged(spark, paths, "kind")
@@ -124,6 +135,70 @@ def registry_load(spark, d):
     return valid.agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "source_load_census",
+    "select count(*) as n, sum(case when c_custkey % 3 = 0 then null else c_custkey % 1000 end)::bigint as universe, min(lpad((c_nationkey + 1)::varchar, 2, '0')) as first_state from customer",
+)
+def load_census(spark, d):
+    """Header-row arrays, one per line, column order differing; the missing-value mark becomes null."""
+    path = scratch_path(spark, "census")
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    cells = {"B17001_001E": F.when(k % 3 == 0, F.lit("-666666666")).otherwise((k % 1000).cast("string")), "state": (F.col("c_nationkey") + 1).cast("string"), "county": F.lit("31"), "tract": (k % 900_000 + 100).cast("string")}
+    order = list(cells)
+    packs = c.groupBy(F.floor(k / 50).alias("g"), (k % 2).alias("flip"))
+    rows = packs.agg(F.collect_list(F.when(k % 2 == 0, F.array(*cells.values())).otherwise(F.array(*[cells[x] for x in reversed(order)]))).alias("rows"))
+    head = lambda names: F.array(F.array(*[F.lit(x.upper()) for x in names]))
+    line = F.to_json(F.concat(F.when(F.col("flip") == 0, head(order)).otherwise(head(order[::-1])), "rows"))
+    rows.select(line.alias("value")).write.text(path)
+    valid, _, _ = load_source(spark, "census_acs", path)
+    return valid.agg(F.count(F.lit(1)).alias("n"), F.sum("poverty_universe").cast("long").alias("universe"), F.min("state_fips").alias("first_state"))
+
+
+@query(
+    "source_load_places",
+    "select trim(c_mktsegment) as locationname, count(*) as n, sum(c_custkey)::bigint as population, count(case when c_custkey % 5 > 0 then 1 end) as n_values from customer where c_custkey % 7 > 0 group by 1",
+)
+def load_places(spark, d):
+    """Records, one per line; those without a measure are rejected."""
+    path = scratch_path(spark, "places")
+    k = F.col("c_custkey")
+    cells = F.struct(
+        F.lit("2021").alias("year"), F.lit("IL").alias("stateabbr"), F.concat(F.col("c_mktsegment"), F.lit(" ")).alias("locationname"), F.when(k % 7 > 0, "Asthma").alias("measure"),
+        F.when(k % 5 > 0, k.cast("string")).otherwise("n/a").alias("data_value"), k.cast("string").alias("totalpopulation"),
+    )
+    table(spark, d, "customer").select(F.to_json(cells).alias("value")).write.text(path)
+    valid, _, _ = load_source(spark, "cdc_places", path)
+    return valid.groupBy("locationname").agg(F.count(F.lit(1)).alias("n"), F.sum("totalpopulation").alias("population"), F.count("data_value").alias("n_values"))
+
+
+@query("source_load_env_health", "select event_type as geo_name, count(*) as n, count(case when event_id % 7 > 0 then value end) as n_values, cast(max(user_id % 50 + 1) as integer) as last_measure from events group by 1")
+def load_env_health(spark, d):
+    """Objects with field names of two releases."""
+    path = scratch_path(spark, "env")
+    k = F.col("event_id")
+    value = F.when(k % 7 > 0, F.col("value").cast("string")).otherwise("*")
+    measure = (F.col("user_id") % 50 + 1).cast("string").alias("measureId")
+    old = F.struct(k.cast("string").alias("geo_id"), F.col("event_type").alias("geoName"), value.alias("value"), measure)
+    new = F.struct(k.cast("string").alias("geoId"), F.concat("event_type", F.lit(" ")).alias("geo"), value.alias("dataValue"), measure)
+    table(spark, d, "events").select(F.when(k % 2 == 0, F.to_json(old)).otherwise(F.to_json(new)).alias("value")).write.text(path)
+    valid, _, _ = load_source(spark, "cdc_env_health", path, geo_type=3, area="Air", default_year="2021")
+    return valid.groupBy("geo_name").agg(F.count(F.lit(1)).alias("n"), F.count("data_value").alias("n_values"), F.max("measure_id").alias("last_measure"))
+
+
+@query("source_load_alerts", "select event_type as event, count(*) as n, sum(5000 + event_id % 10)::bigint as description_chars, count(case when event_id % 3 > 0 then 1 end) as n_wi from events group by 1")
+def load_alerts(spark, d):
+    """Feature collections, one per line, with long descriptions."""
+    path = scratch_path(spark, "alerts")
+    k = F.col("event_id")
+    text = F.concat(F.repeat(F.lit("x"), 5000), F.repeat(F.lit("y"), (k % 10).cast("int")))
+    codes = F.struct(F.when(k % 3 > 0, F.array(F.lit("WIC001"))).alias("UGC")).alias("geocode")
+    feature = F.struct(F.struct(F.concat(F.lit("urn:"), k.cast("string")).alias("id"), F.col("event_type").alias("event"), F.lit("Severe").alias("severity"), text.alias("description"), codes).alias("properties"))
+    packs = table(spark, d, "events").groupBy(F.floor(k / 20).alias("g")).agg(F.collect_list(feature).alias("features"))
+    packs.select(F.to_json(F.struct("features")).alias("value")).write.text(path)
+    valid, _, _ = load_source(spark, "noaa_nws_alerts", path, ingested_at=F.lit("2024-01-01").cast("timestamp"))
+    return valid.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("description")).alias("description_chars"), F.count_if(F.col("state") == "WI").alias("n_wi"))
+
+
 @query("source_table_scan", "select r_regionkey, r_name from region")
 def table_scan(spark, d):
     table(spark, d, "region").createOrReplaceTempView("region_table")

@@ -119,6 +119,17 @@ def stale(spark, d):
     return collect_stream(stale_sources(table_stream(spark, d, "events", ts="ts"), "user_id", "ts", 86_400_000, "1 hour"), path, ck)
 
 
+@query(
+    "stream_stale_nameless_sources",
+    "select case when event_type <> 'click' then event_type end as source, max(ts) as last_seen from events group by 1 having epoch_ms(max(ts)) + 1 < (select epoch_ms(max(ts)) - 3600000 from events)",
+)
+def stale_nameless(spark, d):
+    """Sources of which one has no name; it is watched like the others."""
+    path, ck = _places(spark, "nameless")
+    e = table_stream(spark, d, "events", ts="ts").select(F.when(F.col("event_type") != "click", F.col("event_type")).alias("source"), "ts")
+    return collect_stream(stale_sources(e, "source", "ts", 1, "1 hour"), path, ck)
+
+
 @query("stream_new_failures", "select event_id, user_id from events where event_type = 'error'")
 def stream_failures(spark, d):
     path, ck = _places(spark, "failures")

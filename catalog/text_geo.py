@@ -29,9 +29,21 @@ def windows(spark, d):
     return out.select("doc_id", "chunk_index", F.md5("chunk_text").alias("digest"))
 
 
-@query("text_chunk_boundaries")
+@query(
+    "text_chunk_boundaries",
+    "select doc_id, substr(md5(text), 1, 12) as doc_hash, source, true as sizes_bounded, true as all_in_text, true as words_covered from documents where length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20",
+)
 def boundaries(spark, d):
-    return tx.chunk_text(table(spark, d, "documents"), "doc_id", "text", "source")
+    """Every chunk is a piece of its text, none is too long, and together they hold nearly all of it."""
+    docs = table(spark, d, "documents")
+    chunks = tx.chunk_text(docs, "doc_id", "text", "source").join(docs.select("doc_id", "text"), "doc_id")
+    size = F.length("chunk_text")
+    out = chunks.groupBy("doc_id", "doc_hash", "source").agg(
+        F.max(size).alias("longest"), F.bool_and(F.col("text").contains(F.col("chunk_text"))).alias("all_in_text"), F.sum(size).alias("held"), F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("n_chars")
+    )
+    # at most a short rest (under 20 characters) and trimmed space are left out per cut
+    covered = F.col("held") >= F.col("n_chars") * 0.9 - 40
+    return out.select("doc_id", "doc_hash", "source", (F.col("longest") <= tx.CHUNK_CHARS).alias("sizes_bounded"), "all_in_text", covered.alias("words_covered"))
 
 
 @query("vector_normalize", f"select vec_id, {rnd('embedding[1] / sqrt(list_dot_product(embedding::double[], embedding::double[]))', 6)} as first_part, 1.0::double as length from embeddings")

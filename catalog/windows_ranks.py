@@ -125,7 +125,7 @@ def rank_entities(spark, d):
 )
 def rank_any_values(spark, d):
     base = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    out = rank_levels(base, "o_totalprice", {"national": [], "group": ["o_orderpriority"]}, digits=None)
+    out = rank_levels(base, "o_totalprice", {"national": [], "group": ["o_orderpriority"]})
     return out.withColumns({c: round_half_up(c, 6) for c in ("national_percentile", "group_percentile")}).drop("o_orderpriority", "o_totalprice")
 
 
@@ -157,9 +157,35 @@ def percentile_bounds_bracketed_groups(spark, d):
     return out.select("o_orderpriority", *[round_half_up(c, 4).alias(c) for c in out.columns[1:]])
 
 
-@query("percentile_bounds_sketch")
+@query(
+    "percentile_bounds_empty_group",
+    f"select n_name, {rnd('quantile_cont(case when n_regionkey > 0 then spend end, 0.25)', 4)} as spend_p25, {rnd('quantile_cont(case when n_regionkey > 0 then spend end, 0.75)', 4)} as spend_p75 from nation left join customer on c_nationkey = n_nationkey left join (select o_custkey, sum(o_totalprice) as spend from orders group by 1) o on o_custkey = c_custkey group by 1",
+)
+def percentile_bounds_empty_group(spark, d):
+    """Nations of one region have no value at all and keep a row of nulls."""
+    spend = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spend"))
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    joined = nation.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "left").join(spend, "c_custkey", "left")
+    out = percentile_bounds(joined.withColumn("spend", F.when(F.col("n_regionkey") > 0, F.col("spend"))), ["spend"], (0.25, 0.75), ["n_name"], accuracy=50)
+    return out.select("n_name", *[round_half_up(c, 4).alias(c) for c in out.columns[1:]])
+
+
+@query("percentile_bounds_sketch", "select 'l_extendedprice' as metric, true as p5_close, true as p95_close union all select 'l_quantity', true, true")
 def percentile_bounds_sketch(spark, d):
-    return percentile_bounds(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"], approx=True)
+    """Ranks of the sketch's values are within 1 / accuracy of those asked for."""
+    lines = table(spark, d, "lineitem").select("l_extendedprice", "l_quantity")
+    sketch = percentile_bounds(lines, ["l_extendedprice", "l_quantity"], approx=True, accuracy=1_000)
+    tagged = attach_stats(lines, sketch, "s")
+    n = F.count(F.lit(1))
+
+    def close(c: str, p: int):
+        at = F.col(f"s.{c}_p{p}")
+        return (F.count_if(F.col(c) < at) / n <= p / 100 + 0.001) & (F.count_if(F.col(c) <= at) / n >= p / 100 - 0.001)
+
+    names = ("l_extendedprice", "l_quantity")
+    checked = tagged.agg(*[close(c, p).alias(f"{c}_{p}") for c in names for p in (5, 95)])
+    cells = [F.struct(F.lit(c).alias("metric"), F.col(f"{c}_5").alias("p5_close"), F.col(f"{c}_95").alias("p95_close")) for c in names]
+    return checked.select(F.inline(F.array(*cells)))
 
 
 @query(

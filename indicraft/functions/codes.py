@@ -41,7 +41,7 @@ def parse_code(c: ColumnLike) -> Column:
         F.substring(code, 1, 2).alias("state"),
         F.when(size.isin(5, 11), F.substring(code, 3, 3)).alias("county"),
         F.when(size == 11, F.substring(code, 6, 6)).alias("tract"),
-        F.when(~known, F.substring(code, 3, 1_000_000)).alias("remainder"),
+        F.when(~known, F.substr(code, F.lit(3))).alias("remainder"),
     )
 
 

@@ -87,11 +87,11 @@ def distinct_list(df: DataFrame, col: str) -> DataFrame:
 
 
 def mode_share(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
-    """Most frequent value (smallest on ties) and its share of all rows in percent."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct(F.col("n"), -F.col(col).cast("double")))
-    return counts.agg(best.alias("top"), F.sum("n").alias("total")).select(
-        (-F.col("top")["col2"]).alias("mode_value"),
+    """Most frequent value (smallest on ties), of the column's own type, and its share of all rows in percent."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min_by(F.struct(F.col("_n").alias("n"), F.col(col).alias("value")), F.struct(-F.col("_n"), F.col(col)))
+    return counts.agg(best.alias("top"), F.sum("_n").alias("total")).select(
+        F.col("top.value").alias("mode_value"),
         F.col("top.n").alias("mode_count"),
         round_half_up(F.col("top.n") / F.col("total") * 100, digits).alias("mode_pct"),
     )

@@ -16,11 +16,11 @@ from .bounds import percentile_bounds, quantile_name
 from .windows import topk_per_group
 
 
-def zscore_flags(df: DataFrame, key: str, cols: Sequence[str], z: float = 2.5, minimum_rows: int = 30) -> DataFrame:
+def zscore_flags(df: DataFrame, key: str, cols: Sequence[str], z: float = 2.5, minimum_rows: int = 0) -> DataFrame:
     """Keys whose largest |z| over the columns exceeds `z`, with the signed value and its column.
 
     Population deviation, a constant column counts with deviation 1, rows with a missing
-    value are left out, and below `minimum_rows` complete rows nothing is flagged.
+    value are left out. Fewer complete rows than a caller's `minimum_rows` raise when the result is computed.
     """
     full = df.select(key, *cols).dropna(subset=list(cols))
     stats = full.agg(
@@ -34,7 +34,10 @@ def zscore_flags(df: DataFrame, key: str, cols: Sequence[str], z: float = 2.5, m
         score = (F.col(c) - F.col(f"_s.mean_{c}")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
         entries.append(F.struct(F.abs(score).alias("size"), F.lit(-i).alias("place"), score.alias("z"), F.lit(c).alias("name")))
     worst = attach_stats(full, stats, "_s").withColumn("_w", F.array_max(F.array(*entries)))
-    return worst.filter((F.col("_s.rows") >= minimum_rows) & (F.col("_w.size") > z)).select(
+    if minimum_rows:
+        few = F.raise_error(F.concat(F.lit("complete rows: "), F.col("_s.rows").cast("string"), F.lit(f", at least {minimum_rows} needed")))
+        worst = worst.withColumn("_w", F.when(F.col("_s.rows") >= minimum_rows, F.col("_w")).otherwise(few.cast(worst.schema["_w"].dataType)))
+    return worst.filter(F.col("_w.size") > z).select(
         key,
         F.col("_w.z").alias("zscore_worst"),
         F.col("_w.name").alias("zscore_trigger_col"),
@@ -81,7 +84,7 @@ def isolation_forest(
     contamination: float = 0.05,
     sample: int = 256,
     seed: int = 42,
-    minimum_rows: int = 50,
+    minimum_rows: int = 0,
 ) -> DataFrame:
     """Keys in the lowest `contamination` share of isolation scores.
 
@@ -104,15 +107,15 @@ def isolation_forest(
     names = [f"x{i}" for i in range(len(cols))]
     rows = full.count()
     if rows < minimum_rows:
-        return full.select(key, F.lit(0.0).alias("iforest_score"), F.lit("").alias("detection_method")).limit(0)
+        raise ValueError(f"{rows} complete rows, at least {minimum_rows} needed")
     size = min(sample, rows)
     # Uniform draw per (row, tree); the share keeps a six-sigma reserve above `size`.
     share = min(1.0, (size + 6 * math.sqrt(size) + 10) / rows)
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.col("tree")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    draw = lambda t: F.pmod(F.xxhash64(F.col(key), F.lit(seed), t), F.lit(1 << 53)) / F.lit(float(1 << 53))
     drawn = (
-        scaled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", draw)
-        .filter(F.col("draw") < share)
+        # only the trees that drew a row leave the array
+        scaled.withColumn("drawn", F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("draw"))), lambda d: d.draw < share))
+        .select(key, *names, F.inline("drawn"))
     )
     picked = topk_per_group(drawn, "tree", [F.col("draw"), F.col(key)], size)
     limit = math.ceil(math.log2(max(size, 2)))

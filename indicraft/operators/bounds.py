@@ -1,11 +1,9 @@
 """Exact percentiles that never gather a large column in one task.
 
-`percentile()` merges every distinct value of a column in a single reducer, which is
-fine up to a checked size. Beyond it a sketch first brackets each wanted percentile, then the values are
-clamped to that bracket and counted. Clamping is monotone, so the order
-statistics inside the bracket stay what they were, while everything outside
-collapses into the two end values. What is left to sort per percentile is a
-small slice of the column, whatever its size.
+A sketch brackets each wanted percentile. One aggregate then counts the values below and inside each
+bracket and notes its nearest neighbours outside; only the values inside are counted one by one and
+sorted. That slice is a few ranks of the sketch's error wide, whatever the size of the column. The same
+steps run at every size.
 """
 
 from __future__ import annotations
@@ -16,92 +14,113 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import one_row
+from ..session import held, materialize, one_row
+from .ranking import null_safe_join
 
-# Rank error of the sketch is n / accuracy; brackets keep a margin of four times that.
-# Inputs of up to ten times the accuracy are small: their bracket is the whole range.
+# Rank error of the sketch is n / accuracy; brackets keep a margin of four times that. Below
+# `accuracy` rows the sketch is exact and only the neighbour of its value may be meant, which is noted too.
 ACCURACY = 100_000
 
 
-def quantile_table(
-    df: DataFrame,
-    cols: Sequence[str],
-    qs: Sequence[float],
-    by: Sequence[str] = (),
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """Long result `by..., metric, q, value` with linear interpolation between neighbours.
-
-    Columns without any value give no row. With `by`, brackets are found per group,
-    so one group may hold most of the rows.
-    """
-    margin, small = 4 / accuracy, 10 * accuracy
-    brackets: list[Column] = []
-    for c in cols:
+def _edges(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """(source with its brackets, one row per group and wanted percentile with the counts around its bracket)."""
+    margin = 4 / accuracy
+    sketches: list[Column] = []
+    for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        n, low, high = F.count(x), F.min(x), F.max(x)
-        edges = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)})
-        sketch = F.percentile_approx(x, [float(e) for e in edges], accuracy)
-        for q in qs:
-            at_lo = edges.index(min(max(q - margin, 0.0), 1.0))
-            at_hi = edges.index(min(max(q + margin, 0.0), 1.0))
-            whole = n < small
-            brackets.append(
-                F.struct(
-                    F.lit(c).alias("metric"),
-                    F.lit(float(q)).alias("q"),
-                    F.when(whole | F.lit(q - margin <= 0), low).otherwise(sketch[at_lo]).alias("lo"),
-                    F.when(whole | F.lit(q + margin >= 1), high).otherwise(sketch[at_hi]).alias("hi"),
-                )
-            )
-    sketches = F.array(*brackets).alias("_brackets")
+        wanted = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)})
+        sketch = F.percentile_approx(x, [float(e) for e in wanted], accuracy)
+        low, high = F.min(x), F.max(x)
+        for j, q in enumerate(qs):
+            lo = low if q - margin <= 0 else sketch[wanted.index(q - margin)]
+            hi = high if q + margin >= 1 else sketch[wanted.index(q + margin)]
+            sketches += [lo.alias(f"_lo{i}_{j}"), hi.alias(f"_hi{i}_{j}")]
     if by:
-        bounds = df.groupBy(*by).agg(sketches)
-        # null-safe: a null group is a group of its own
-        renamed = bounds.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], "_brackets")
-        cond = F.lit(True)
-        for i, b in enumerate(by):
-            cond = cond & df[b].eqNullSafe(F.col(f"_by{i}"))
-        source = df.join(renamed, cond, "left")
+        source = null_safe_join(df, df.groupBy(*by).agg(*sketches), by)
     else:
-        source = df.withColumn("_brackets", one_row(df.agg(sketches))["_brackets"])
-
-    entries = []
+        source = df.withColumn("_b", one_row(df.agg(*sketches)))
+    name = "{}" if by else "_b.{}"
+    counts, cells = [], []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        for j in range(len(qs)):
-            b = F.col("_brackets")[i * len(qs) + j]
-            entries.append(
+        counts.append(F.count(x).alias(f"_n{i}"))
+        for j, q in enumerate(qs):
+            lo, hi, at = F.col(name.format(f"_lo{i}_{j}")), F.col(name.format(f"_hi{i}_{j}")), f"{i}_{j}"
+            counts += [
+                F.count_if(x < lo).alias(f"_below{at}"),
+                F.count_if((x >= lo) & (x <= hi)).alias(f"_inside{at}"),
+                F.max(F.when(x < lo, x)).alias(f"_prev{at}"),
+                F.min(F.when(x > hi, x)).alias(f"_next{at}"),
+            ]
+            cells.append(
                 F.struct(
-                    b["metric"].alias("metric"),
-                    b["q"].alias("q"),
-                    F.when(x.isNotNull(), F.least(F.greatest(x, b["lo"]), b["hi"])).alias("value"),
+                    F.lit(i).alias("metric_at"), F.lit(j).alias("q_at"), F.col(f"_n{i}").alias("n"),
+                    *[F.col(f"_{k}{at}").alias(k) for k in ("below", "inside", "prev", "next")],
                 )
-            )
+            )
+    around = source.groupBy(*by).agg(*counts).select(*by, F.inline(F.array(*cells)))
+    return source, around
+
+
+def _narrow(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*by, *cols])])
+
+
+def _at_ranks(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """`by..., metric_at, q_at, value`: one row per group and percentile, null where a group has no value."""
+    source, around = _edges(df, cols, qs, by, accuracy)
+    name = "{}" if by else "_b.{}"
+    entries, any_inside = [], F.lit(False)
+    for i, c in enumerate(cols):
+        x = F.col(f"`{c}`").cast("double")
+        for j in range(len(qs)):
+            inside = F.coalesce((x >= F.col(name.format(f"_lo{i}_{j}"))) & (x <= F.col(name.format(f"_hi{i}_{j}"))), F.lit(False))
+            any_inside = any_inside | inside
+            entries.append(F.when(inside, F.struct(F.lit(i).alias("metric_at"), F.lit(j).alias("q_at"), x.alias("value"))))
+    keys = [*by, "metric_at", "q_at"]
     counted = (
-        source.select(*by, F.explode(F.array(*entries)).alias("e"))
-        .select(*by, "e.metric", "e.q", "e.value")
-        .filter(F.col("value").isNotNull())
-        .groupBy(*by, "metric", "q", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    group = W.partitionBy(*by, "metric", "q")
-    running = counted.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn(
-        "total", F.sum("n").over(group)
+        source.filter(any_inside)
+        .select(*by, F.inline(F.array_compact(F.array(*entries))))
+        .groupBy(*keys, "value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    place = F.col("q") * (F.col("total") - 1)
-    picked = running.groupBy(*by, "metric", "q").agg(
-        F.min(F.when(F.col("upto") > F.floor(place), F.col("value"))).alias("below"),
-        F.min(F.when(F.col("upto") > F.ceil(place), F.col("value"))).alias("above"),
-        F.first(place - F.floor(place)).alias("part"),
+    running = counted.withColumn("upto", F.sum("_n").over(W.partitionBy(*keys).orderBy("value"))).drop("_n")
+    points = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("q_at") + 1)
+    placed = around.withColumn("place", points * (F.col("n") - 1))
+    found = null_safe_join(placed, running, keys).groupBy(*keys).agg(
+        *[
+            F.min(F.when(F.col("below") + F.col("upto") > side(F.col("place")), F.col("value"))).alias(f"in_{label}")
+            for label, side in (("low", F.floor), ("high", F.ceil))
+        ],
+        *[F.first(c).alias(c) for c in ("place", "below", "inside", "prev", "next")],
     )
-    value = F.col("below") + (F.col("above") - F.col("below")) * F.col("part")
-    return picked.select(*by, "metric", "q", value.alias("value"))
 
+    def at(rank: Column, inside: str) -> Column:
+        outside = F.when(rank < F.col("below"), F.col("prev")).when(rank >= F.col("below") + F.col("inside"), F.col("next"))
+        return outside.otherwise(F.col(inside))
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has at most `rows` rows; stops counting just above."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+    low, high = at(F.floor("place"), "in_low"), at(F.ceil("place"), "in_high")
+    value = low + (high - low) * (F.col("place") - F.floor("place"))
+    return found.select(*keys, F.when(F.col("place") >= 0, value).alias("value"))
+
+
+def quantile_table(
+    df: DataFrame,
+    cols: Sequence[str],
+    qs: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """Long result `by..., metric, q, value` with linear interpolation between neighbours.
+
+    Columns without any value give no row. With `by`, brackets are found per group,
+    so one group may hold most of the rows.
+    """
+    names = F.array(*[F.lit(c) for c in cols])
+    points = F.array(*[F.lit(float(q)) for q in qs])
+    with held(_narrow(df, cols, by), "percentiles") as narrow:
+        found = _at_ranks(narrow, cols, qs, by, accuracy).filter(F.col("value").isNotNull())
+        return materialize(found.select(*by, names[F.col("metric_at")].alias("metric"), points[F.col("q_at")].alias("q"), "value"), "quantiles")
 
 
 def quantile_name(col: str, q: float) -> str:
@@ -119,29 +138,23 @@ def percentile_bounds(
 ) -> DataFrame:
     """All percentiles of all columns, one row (per group): `<col>_p5`, `<col>_p95`, ...
 
-    Exact by default: the built-in aggregate while the whole input has at most
-    10 · `accuracy` rows (its state per column is then bounded by that), the bracketed
-    count beyond. `approx=True` takes the sketch values in a single pass.
+    Exact by default, null where a group has no value; every group of the input has a row.
+    The needed columns are stored for the three passes and removed again, the small result stays, so
+    whatever computes `df` runs once. `approx=True` takes the sketch values in a single pass.
     """
-    points = [float(q) for q in qs]
-    if approx or fits(df, 10 * accuracy):
+    if approx:
         aggs = []
         for c in cols:
-            if approx:
-                values = F.percentile_approx(f"`{c}`", points, accuracy)
-            else:
-                values = F.percentile(F.col(f"`{c}`").cast("double"), points)
+            values = F.percentile_approx(f"`{c}`", [float(q) for q in qs], accuracy)
             aggs += [values[i].alias(quantile_name(c, q)) for i, q in enumerate(qs)]
         return df.groupBy(*by).agg(*aggs)
-    table = quantile_table(df, cols, qs, by, accuracy)
     aggs = [
-        F.max(F.when((F.col("metric") == c) & (F.col("q") == float(q)), F.col("value"))).alias(
-            quantile_name(c, q)
-        )
-        for c in cols
-        for q in qs
+        F.max(F.when((F.col("metric_at") == i) & (F.col("q_at") == j), F.col("value"))).alias(quantile_name(c, q))
+        for i, c in enumerate(cols)
+        for j, q in enumerate(qs)
     ]
-    return table.groupBy(*by).agg(*aggs)
+    with held(_narrow(df, cols, by), "percentiles") as narrow:
+        return materialize(_at_ranks(narrow, cols, qs, by, accuracy).groupBy(*by).agg(*aggs), "percentiles")
 
 
 def grouped_median(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
@@ -10,11 +11,11 @@ from typing import Any
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clamp, round_half_up
 from ..session import attach_stats, materialize
-from .bounds import percentile_bounds, quantile_name
 
 # Default settings and search grid of the boosted trees.
 DEFAULT_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8}
@@ -36,28 +37,41 @@ class Trained:
         return dict(sorted(((n, round(w, 6)) for n, w in pairs), key=lambda x: -x[1]))
 
 
-def temporal_split(df: DataFrame, order: str, frac: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """Earlier `frac` of the rows for training, the rest for testing.
+def ordered_positions(df: DataFrame, order: str, ties: Sequence[str] = (), out: str = "_position") -> DataFrame:
+    """Add each row's place (0, 1, ...) in the order of `order`, then `ties`, nulls last.
 
-    The cut is the exact `frac` quantile of the order column; rows that share the cut
-    value all go to the test side.
+    Rows are range-partitioned and stored once, so places inside a slice and the slices'
+    offsets agree; no task sees more than a slice. Rows equal in `order` alone may lie in one
+    slice, so give `ties` a key where one value of `order` holds much of the table.
     """
-    cut = percentile_bounds(df, [order], (frac,))
-    tagged = attach_stats(df, cut, "_cut")
-    early = F.col(order).cast("double") < F.col(f"_cut.{quantile_name(order, frac)}")
-    return tagged.filter(early).drop("_cut"), tagged.filter(~early).drop("_cut")
-
-
-def expanding_folds(df: DataFrame, order: str, folds: int) -> list[tuple[DataFrame, DataFrame]]:
-    """Fold i trains on the first i+1 of folds+1 equal slices and tests on the next one."""
-    qs = tuple((i + 1) / (folds + 1) for i in range(folds))
-    tagged = attach_stats(df, percentile_bounds(df, [order], qs), "_cut")
-    edges = [F.col(f"_cut.`{quantile_name(order, q)}`") for q in qs]
-    value = F.col(order).cast("double")
+    edges = [F.col(c).asc_nulls_last() for c in (order, *ties)]
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(slices, *edges).withColumn("_slice", F.spark_partition_id()), "positions")
+    inside = F.row_number().over(W.partitionBy("_slice").orderBy(*edges)) - 1
+    sizes = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per slice
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.withColumn(out, inside).join(offsets, "_slice").withColumn(out, F.col(out) + F.col("_before")).drop("_slice", "_before")
+
+
+def temporal_split(df: DataFrame, order: str, frac: float = 0.75, ties: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """First `frac` of the ordered rows for training, the rest for testing; `ties` orders rows of one time."""
+    placed = ordered_positions(df, order, ties)
+    early = F.col("_position") < F.floor(F.lit(float(frac)) * F.col("_rows.n"))
+    tagged = attach_stats(placed, placed.agg(F.count(F.lit(1)).alias("n")), "_rows")
+    return tagged.filter(early).drop("_position", "_rows"), tagged.filter(~early).drop("_position", "_rows")
+
+
+def expanding_folds(df: DataFrame, order: str, folds: int, ties: Sequence[str] = ()) -> list[tuple[DataFrame, DataFrame]]:
+    """Fold i tests on the i-th of the last `folds` slices of n // (folds + 1) rows and trains on all before it."""
+    placed = ordered_positions(df, order, ties)
+    tagged = attach_stats(placed, placed.agg(F.count(F.lit(1)).alias("n")), "_rows")
+    size, place = F.floor(F.col("_rows.n") / (folds + 1)), F.col("_position")
     out = []
-    for i, low in enumerate(edges):
-        test = value >= low if i == folds - 1 else (value >= low) & (value < edges[i + 1])
-        out.append((tagged.filter(value < low).drop("_cut"), tagged.filter(test).drop("_cut")))
+    for i in range(folds):
+        first = F.col("_rows.n") - size * (folds - i)
+        out.append((tagged.filter(place < first).drop("_position", "_rows"), tagged.filter((place >= first) & (place < first + size)).drop("_position", "_rows")))
     return out
 
 
@@ -81,6 +95,12 @@ def _mae(model: GBTRegressionModel, df: DataFrame, features: Sequence[str], labe
     return scored.agg(F.avg(F.abs(F.col(label) - F.col("_fit"))).alias("mae")).first()["mae"]
 
 
+def _fold_errors(pairs: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[str], label: str, params: Mapping[str, Any], seed: int) -> list[float]:
+    """MAE of every fold; the folds are independent jobs, so the scheduler may run them side by side."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return list(pool.map(lambda p: _mae(_fit(p[0], features, label, params, seed), p[1], features, label), pairs))
+
+
 def train_gbt(
     df: DataFrame,
     features: Sequence[str],
@@ -92,13 +112,14 @@ def train_gbt(
     tune_folds: int = 3,
     minimum_rows: int = 100,
     seed: int = 42,
+    ties: Sequence[str] = (),
 ) -> Trained:
-    """Fit boosted trees; with `grid` the best setting by fold MAE is used, and with
+    """Fit boosted trees, refusing fewer than `minimum_rows` complete rows; with `grid` the best setting by fold MAE is used, and with
     `order` the MAE of each expanding time fold is reported.
 
     The training frame is stored once, as every boosting round reads it.
     """
-    needed = list(dict.fromkeys([*[c for c in features if c in df.columns], label, *([order] if order else [])]))
+    needed = list(dict.fromkeys([*[c for c in features if c in df.columns], label, *([order] if order else []), *ties]))
     stored = materialize(df.select(*needed).dropna(subset=[c for c in needed if c != order]), "train")
     rows = stored.count()
     if rows < minimum_rows:
@@ -107,18 +128,18 @@ def train_gbt(
     if grid:
         if order is None:
             raise ValueError("a grid search needs an order column for its folds")
-        pairs = expanding_folds(stored, order, tune_folds)
+        pairs = expanding_folds(stored, order, tune_folds, ties)
         best = None
         for values in product(*grid.values()):
             trial = {**chosen, **dict(zip(grid, values))}
-            maes = [_mae(_fit(a, features, label, trial, seed), b, features, label) for a, b in pairs]
+            maes = _fold_errors(pairs, features, label, trial, seed)
             score = sum(maes) / len(maes)
             if best is None or score < best[0]:
                 best = (score, trial)
         chosen = best[1]
     cv = []
     if order and folds:
-        cv = [_mae(_fit(a, features, label, chosen, seed), b, features, label) for a, b in expanding_folds(stored, order, folds)]
+        cv = _fold_errors(expanding_folds(stored, order, folds, ties), features, label, chosen, seed)
     return Trained(_fit(stored, features, label, chosen, seed), list(features), chosen, cv)
 
 

@@ -288,17 +288,13 @@ def sample_suspicious(
         part = tagged.filter(cond).orderBy("_draw", key).limit(quota)
         part = part.withColumn("stratum", F.lit(name)).withColumn("_prio", F.lit(i))
         picks = part if picks is None else picks.unionByName(part)
-    # The random fill takes what the strata left over: n minus the rows picked so far.
-    # All frames from here on hold at most 2n rows.
-    from pyspark.sql import Window as W
-
-    fill = tagged.orderBy("_draw", key).limit(n).withColumn(
-        "_place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_draw", key))
-    )
-    taken = picks.agg(F.count(F.lit(1)).alias("taken"))
-    fill = attach_stats(fill, taken, "_t").filter(F.col("_place") <= F.lit(n) - F.col("_t.taken"))
-    fill = fill.drop("_place", "_t").withColumn("stratum", F.lit("random")).withColumn("_prio", F.lit(len(strata)))
+    # All frames from here on hold at most 2n rows. A key picked by two strata counts once, and the
+    # fill is drawn from the rows that no stratum picked, so n rows come back wherever df has them.
     from .windows import dedup_first
 
+    picks = dedup_first(picks, key, [F.col("_prio"), F.col("_draw")])
+    other = F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(str(seed + 1))))
+    fill = tagged.join(picks.select(F.col(key).alias("_picked")), F.col(key).eqNullSafe(F.col("_picked")), "left_anti").withColumn("_draw", other)
+    fill = fill.orderBy("_draw", key).limit(n).withColumn("stratum", F.lit("random")).withColumn("_prio", F.lit(len(strata)))
     unique = dedup_first(picks.unionByName(fill), key, [F.col("_prio"), F.col("_draw")])
     return unique.orderBy("_prio", "_draw", key).limit(n).drop("_prio", "_draw")

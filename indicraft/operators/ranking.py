@@ -2,7 +2,7 @@
 
 `rank() over (order by ...)` moves the whole table into one task. A rank only
 depends on how many rows hold each score, so the rows are first counted per
-score; windows then run over those counts and the result is joined back.
+score; running sums over range slices of those counts are joined back.
 """
 
 from __future__ import annotations
@@ -17,31 +17,6 @@ from ..functions.cleaning import round_half_up
 from ..session import attach_stats, materialize
 
 
-def score_domain(digits: int = 2, lo: int = 0, hi: int = 100) -> int:
-    """Number of values a score rounded to `digits` can take."""
-    return (hi - lo) * 10**digits + 1
-
-
-def _rank_table(counts: DataFrame, level: str, keys: Sequence[str], score: str) -> DataFrame:
-    """Per level keys and score: rank from the top, total, and percent rank from the bottom."""
-    hist = counts.groupBy(*keys, score).agg(F.sum("_n").alias("_n"))
-    # The national level gets a constant key so that all levels share one plan shape.
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    best_first = part.orderBy(F.col(score).desc_nulls_last())
-    worst_first = part.orderBy(F.col(score).asc_nulls_first())
-    above = F.coalesce(F.sum("_n").over(best_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    below = F.coalesce(F.sum("_n").over(worst_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(part)
-    share = F.when(total > 1, below / (total - 1)).otherwise(F.lit(0.0))
-    return hist.select(
-        *keys,
-        score,
-        (above + 1).alias(f"{level}_rank"),
-        total.alias(f"{level}_total"),
-        share.alias(f"{level}_percentile"),
-    )
-
-
 def _prefix_counts(counts: DataFrame, keys: Sequence[str], score: str, descending: bool, out: str) -> DataFrame:
     """Rows ahead of each score within its keys, for any number of distinct scores.
 
@@ -62,17 +37,20 @@ def _prefix_counts(counts: DataFrame, keys: Sequence[str], score: str, descendin
         "_before", F.coalesce(F.sum("_slice_n").over(earlier.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).drop("_slice_n")
     running = placed.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    return _null_safe_join(running, offsets, ["_slice", *keys]).select(
+    return null_safe_join(running, offsets, ["_slice", *keys]).select(
         *keys, score, "_n", (F.col("_inside") + F.col("_before")).alias(out)
     )
 
 
-def _rank_table_unbounded(counts: DataFrame, level: str, keys: Sequence[str], score: str) -> DataFrame:
-    """Same columns as `_rank_table`, for scores whose number of distinct values has no limit."""
+def _rank_table(counts: DataFrame, level: str, keys: Sequence[str], score: str) -> DataFrame:
+    """Per level keys and score: rank from the top, total, and percent rank from the bottom.
+
+    Range slices with offsets, so neither the rows nor the distinct scores of a group meet in one task.
+    """
     hist = counts.groupBy(*keys, score).agg(F.sum("_n").alias("_n"))
     ahead = _prefix_counts(hist, keys, score, True, "_above")
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = _null_safe_join(ahead, totals, keys) if keys else attach_stats(ahead, totals, "_t").withColumn("_total", F.col("_t._total"))
+    joined = null_safe_join(ahead, totals, keys) if keys else attach_stats(ahead, totals, "_t").withColumn("_total", F.col("_t._total"))
     below = F.col("_total") - F.col("_above") - F.col("_n")
     share = F.when(F.col("_total") > 1, below / (F.col("_total") - 1)).otherwise(F.lit(0.0))
     return joined.select(
@@ -89,48 +67,37 @@ def rank_levels(
     score: str,
     levels: Mapping[str, Sequence[str]] | None = None,
     percentiles: Sequence[str] | None = None,
-    digits: int | None = 2,
 ) -> DataFrame:
     """Add `<level>_rank`, `<level>_total` and `<level>_percentile` for each level.
 
-    With `digits` the score is taken as rounded to that many digits on 0-100, so the
-    counted table has at most 10,001 rows per group; `digits=None` makes no such
-    assumption and ranks by range slices. Nulls rank last. All levels come from one
-    counted table and reach the rows through a single join on (all keys, score).
+    Nulls rank last. All levels come from one counted table and reach the rows through a
+    single join on (all keys, score); Spark broadcasts it where it is small.
     """
-    bounded = digits is not None
     levels = levels or {"national": [], "state": ["state_abbr"], "county": ["county_fips"]}
     wanted = set(levels if percentiles is None else percentiles)
     keys = list(dict.fromkeys(k for ks in levels.values() for k in ks))
-    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n")), "rank")
     ranked = counts
     for level, level_keys in levels.items():
-        make = _rank_table if bounded else _rank_table_unbounded
-        table = make(counts, level, level_keys, score)
+        table = _rank_table(counts, level, level_keys, score)
         if level not in wanted:
             table = table.drop(f"{level}_percentile")
-        if bounded and not level_keys:
-            table = F.broadcast(table)
-        ranked = _null_safe_join(ranked, table, [*level_keys, score])
-    return _null_safe_join(df, ranked.drop("_n"), [*keys, score])
+        ranked = null_safe_join(ranked, table, [*level_keys, score])
+    return null_safe_join(df, materialize(ranked.drop("_n"), "rank"), [*keys, score])
 
 
-def rank_columns(df: DataFrame, cols: Mapping[str, str], digits: int = 2) -> DataFrame:
+def rank_columns(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
     """Whole-table rank of several score columns (`column → output name`), nulls last.
 
-    One unpivoted count gives the ranks of all columns. The counted table is bounded by
-    the score domain (10,001 rows and a null per column), so it is broadcast.
+    One unpivoted count, ranked by range slices, gives the ranks of all columns.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])
     counts = df.select(F.inline(cells)).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("_n"))
-    order = W.partitionBy("metric").orderBy(F.col("value").desc_nulls_last())
-    above = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("metric", "value", (above + 1).alias("rank"))
+    ranks = materialize(_prefix_counts(counts, ["metric"], "value", True, "_above"), "rank")
     out = df
-    small = score_domain(digits) <= 100_001
     for c, name in cols.items():
-        one = ranks.filter(F.col("metric") == c).select(F.col("value").alias(c), F.col("rank").alias(name))
-        out = _null_safe_join(out, F.broadcast(one) if small else one, [c])
+        one = ranks.filter(F.col("metric") == c).select(F.col("value").alias(c), (F.col("_above") + 1).alias(name))
+        out = null_safe_join(out, one, [c])
     return out
 
 
@@ -138,7 +105,7 @@ def percent(c: str | Column, digits: int = 1) -> Column:
     return round_half_up((F.col(c) if isinstance(c, str) else c) * 100, digits)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner-like left join that also matches null keys, keeping the left key columns."""
     renamed = right
     for i, k in enumerate(keys):

@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cleaning import ColumnLike, as_col
+from ..session import materialize
 from .windows import topk_per_group
 
-MAX_QUERIES = 10_000
+#: Queries of one block: 10,000 vectors of 1,024 doubles are 80 MB.
+BLOCK_QUERIES = 10_000
 
 
 def dot(a: ColumnLike, b: ColumnLike) -> Column:
@@ -40,67 +44,67 @@ def cosine_topk(
     k: int = 5,
     threshold: float = 0.35,
     multiplier: int = 4,
-    max_queries: int = MAX_QUERIES,
+    block: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """Up to `k · multiplier` best corpus rows per query with cosine ≥ threshold: (query, key, score, place).
 
-    The query side must be small: it is counted first and refused above `max_queries`.
-    Its matrix travels with the task; each
-    Arrow batch is one matrix product and sends on only its own best rows per query, so
-    the shuffle carries candidates, never all pairs.
+    Any number of queries: they are cut into blocks of about `block` by the hash of their key, and
+    every block is one search whose matrix travels with the tasks. A task keeps the best rows per
+    query over all it reads and sends them on at its end, so the shuffle carries candidates only.
     """
-    head = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).limit(max_queries + 1)
-    rows = head.collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search in parts")
-    want = k * multiplier
-    query_type = queries.schema[query_key].dataType
-    key_type = corpus.schema[key].dataType
-    ids = [r["q"] for r in rows]
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for at in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == at) if blocks > 1 else queries
+        found = _search(part, corpus, query_key, key, vector, k * multiplier, threshold)
+        # with several blocks each result is stored before the next block is read
+        found = materialize(found, "search") if blocks > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _kept(rows: pd.DataFrame, want: int) -> pd.DataFrame:
+    """Best `want` rows per query; copies share a score, so the smallest keys fill the remaining places."""
+    return rows.sort_values(["qi", "score", "k"], ascending=[True, False, True], kind="stable").groupby("qi", sort=False).head(want)
+
+
+def _search(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, vector: str, want: int, threshold: float) -> DataFrame:
+    # a block of queries, bounded by `block`
+    rows = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).collect()
+    query_type, key_type = queries.schema[query_key].dataType, corpus.schema[key].dataType
     matrix = np.array([r["v"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
     if len(rows):
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = matrix / np.where(norms == 0, 1.0, norms)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, floor = [], np.full(len(matrix), threshold)
         for batch in batches:
-            if not ids or batch.num_rows == 0:
-                continue
-            vectors = batch.column(1)
-            usable = np.asarray(vectors.is_valid())
-            keys = batch.column(0).filter(pa.array(usable))
-            if len(keys) == 0:
-                continue
-            flat = vectors.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            block = flat.reshape(len(keys), -1)
-            size = np.sqrt(np.einsum("ij,ij->i", block, block))
-            scores = (block @ matrix.T) / np.where(size == 0, 1.0, size)[:, None]
-            labels = keys.to_numpy(zero_copy_only=False)
-            places, cols = [], []
-            for j in range(scores.shape[1]):
-                column = scores[:, j]
-                hits = np.flatnonzero(column >= threshold)
-                if hits.size > want:
-                    floor = np.partition(column[hits], hits.size - want)[hits.size - want]
-                    above, level = hits[column[hits] > floor], hits[column[hits] == floor]
-                    # copies share a score: the smallest keys fill the remaining places
-                    level = level[np.argsort(labels[level], kind="stable")][: want - above.size]
-                    hits = np.concatenate([above, level])
-                places.append(hits)
-                cols.append(np.full(hits.size, j))
-            at, q = np.concatenate(places), np.concatenate(cols)
-            if at.size:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int32()), keys.take(pa.array(at)), pa.array(scores[at, q], pa.float64())],
-                    names=["qi", "k", "score"],
-                )
-
-    hits = corpus.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(
-        best, f"qi int, k {key_type.simpleString()}, score double"
-    )
+            for start in range(0, batch.num_rows if len(matrix) else 0, 1_024):
+                part = batch.slice(start, 1_024)
+                usable = pa.array(np.asarray(part.column(1).is_valid()))
+                keys = part.column(0).filter(usable)
+                if len(keys) == 0:
+                    continue
+                lines = part.column(1).filter(usable).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+                size = np.sqrt(np.einsum("ij,ij->i", lines, lines))
+                scores = (lines @ matrix.T) / np.where(size == 0, 1.0, size)[:, None]
+                at, q = np.nonzero(scores >= floor)
+                if at.size:
+                    held.append(pd.DataFrame({"qi": q.astype(np.int32), "k": keys.take(pa.array(at)).to_pandas(), "score": scores[at, q]}))
+                if sum(map(len, held)) > 4 * want * len(matrix) + 100_000:
+                    held = [_kept(pd.concat(held), want)]
+                    full = held[0].groupby("qi")["score"].agg(["size", "min"])
+                    full = full[full["size"] == want]
+                    floor[full.index.to_numpy()] = full["min"].to_numpy()
+        if held:
+            yield pa.RecordBatch.from_pandas(_kept(pd.concat(held), want), preserve_index=False)
+
+    hits = corpus.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(best, f"qi int, k {key_type.simpleString()}, score double")
     top = topk_per_group(hits, "qi", [F.col("score").desc(), F.col("k")], want, "place")
-    names = F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast(f"array<{query_type.simpleString()}>")
-    return top.select(names[F.col("qi")].cast(query_type).alias(query_key), F.col("k").alias(key), "score", "place")
+    spark = queries.sparkSession
+    names = spark.createDataFrame([(i, r["q"]) for i, r in enumerate(rows)], T.StructType([T.StructField("qi", T.IntegerType()), T.StructField(query_key, query_type)]))
+    return top.join(names, "qi").select(query_key, F.col("k").alias(key), "score", "place")
 
 
 def diversity_rerank(hits: DataFrame, query_key: str, source: str, key: str, k: int = 5, boost: float = 1.05) -> DataFrame:

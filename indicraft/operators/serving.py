@@ -88,8 +88,9 @@ def top_groups(df: DataFrame, group: str, col: str, k: int = 8) -> DataFrame:
     return df.join(best, group, "left_semi")
 
 
-def compare(df: DataFrame, key: str, values: Sequence, limit: int = 5) -> DataFrame:
-    if len(values) > limit:
+def compare(df: DataFrame, key: str, values: Sequence, limit: int | None = None) -> DataFrame:
+    """Rows of the given keys; a caller's `limit` on their number is checked, none is set here."""
+    if limit is not None and len(values) > limit:
         raise ValueError(f"at most {limit} entries can be compared")
     return df.filter(F.col(key).isin(*values))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -94,15 +93,15 @@ def chunk_text(
     A narrow, shuffle-free map over Arrow batches; every text is read whole.
     """
     key_type = df.schema[key].dataType.simpleString()
-    inputs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source or key).cast("string").alias("s"))
+    digest = F.substring(F.md5(F.col(text).cast("binary")), 1, 12)
+    inputs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source or key).cast("string").alias("s"), digest.alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, t, s in batch.itertuples(index=False):
+            for k, t, s, digest in batch.itertuples(index=False):
                 if t is None:
                     continue
-                digest = hashlib.md5(t.encode()).hexdigest()[:12]
                 for i, chunk in enumerate(split_text(t, size, overlap)):
                     if len(chunk) >= min_len:
                         rows.append((k, s, i, chunk, digest))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ def build_session(app: str = "indicraft", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # sessions of one task's rows merge before the shuffle, so a busy key sends few rows
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         # call-site capture costs more than planning for expression-heavy frames
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -40,7 +44,8 @@ def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: `spark.checkpoint.dir`.
 
-    A machine-local folder is only ever chosen in local mode with nothing configured.
+    Only a session of one machine (master `local[...]`) that sets none gets a temporary folder;
+    everywhere else the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -48,7 +53,7 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     chosen = tempfile.mkdtemp(prefix="indicraft-")
     spark.sparkContext.setCheckpointDir(chosen)
@@ -70,6 +75,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def held(df: DataFrame, label: str = "held") -> Iterator[DataFrame]:
+    """`df` stored in the shared folder while the block runs, removed after it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def one_row(stats: DataFrame) -> Column:
     """A one-row frame as a struct-valued scalar subquery.
 

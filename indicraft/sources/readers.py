@@ -44,12 +44,21 @@ def read_csv(
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fallback: str = "iso-8859-1") -> DataFrame:
-    """UTF-8 unless the file holds bytes that are not UTF-8, then the fallback charset.
+    """Each file as UTF-8, or as the fallback charset if it holds bytes that are not UTF-8.
 
-    One scan that stops at the first undecodable line decides.
+    One scan sorts the files into the two sets, which are read separately. The driver holds file names
+    only, as Spark's own file listing does.
     """
-    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() > 0
-    return read_csv(spark, path, schema, encoding=fallback if broken else "UTF-8")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("bad"))
+    files = lines.groupBy("file").agg(F.bool_or("bad").alias("bad")).collect()
+    parts = []
+    for bad, encoding in ((False, "UTF-8"), (True, fallback)):
+        chosen = [r["file"] for r in files if r["bad"] == bad]
+        if chosen:
+            parts.append(read_csv(spark, chosen, schema, encoding=encoding))
+    if not parts:
+        return read_csv(spark, path, schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def read_tagged(spark: SparkSession, paths: Mapping[str, str], tag: str, schema=None, **options: str) -> DataFrame:
@@ -57,10 +66,10 @@ def read_tagged(spark: SparkSession, paths: Mapping[str, str], tag: str, schema=
     return union_tagged({name: read_csv(spark, p, schema, **options) for name, p in paths.items()}, tag)
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
-    """Arrays of objects with an explicit schema: one array per file, or per line when not `multi_line`.
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """Arrays of objects with an explicit schema: one array per line, or per file with `multi_line`.
 
-    Line mode splits large files over tasks, so landed files should prefer it.
+    Lines split a large file over tasks; a `multi_line` file is one task.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -80,9 +89,9 @@ def header_row_table(df: DataFrame, payload: str, columns: Sequence[str]) -> Dat
     )
 
 
-def read_header_row_json(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Files that hold one header-row array each."""
-    return header_row_table(spark.read.text(path, wholetext=True), "value", columns)
+def read_header_row_json(spark: SparkSession, path: str, columns: Sequence[str], whole_files: bool = False) -> DataFrame:
+    """One header-row array per line, or per file with `whole_files` (a file is one task then)."""
+    return header_row_table(spark.read.text(path, wholetext=whole_files), "value", columns)
 
 
 # The fields of an alert feature that are read.
@@ -99,8 +108,9 @@ def alert_features(df: DataFrame, payload: str) -> DataFrame:
     return df.select(F.explode(parsed["features"]).alias("f")).select("f.properties")
 
 
-def read_geojson_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return alert_features(spark.read.text(path, wholetext=True), "value")
+def read_geojson_alerts(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One feature collection per line, or per file with `whole_files` (a file is one task then)."""
+    return alert_features(spark.read.text(path, wholetext=whole_files), "value")
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from ..functions.codes import pad_code, whole_number_code
 from ..functions.predicates import lacks_text
 from ..operators.windows import dedup_first
 from .contracts import CONTRACTS, validate
-from .readers import read_csv
+from .readers import read_csv, read_csv_any_encoding, read_geojson_alerts, read_header_row_json, read_json_records
 
 CENSUS_MISSING = -666666666
 UNDERSERVED_MAX = 62.0
@@ -71,6 +71,8 @@ class SourceSpec:
     sentinels: Sequence[float] = ()
     trimmed: Sequence[str] = ()
     derive: Callable[[DataFrame], DataFrame] | None = None
+    #: How the files are read: csv, header_row, records, env_health or alerts.
+    kind: str = "csv"
 
 
 def clean_source(df: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -205,8 +207,11 @@ def severity_rank(c: str | Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.col(c) if isinstance(c, str) else c), F.lit(1))
 
 
-def parse_alerts(features: DataFrame, ingested_at: Column, state_filter: str | None = None) -> DataFrame:
-    """`properties` structs of alert features to flat rows; zone URLs shrink to their last part."""
+def parse_alerts(features: DataFrame, ingested_at: Column, state_filter: str | None = None, summary_chars: int = DESCRIPTION_CHARS) -> DataFrame:
+    """`properties` structs of alert features to flat rows; zone URLs shrink to their last part.
+
+    `description` is whole, `description_short` its first `summary_chars` characters.
+    """
     p = lambda name: F.col(f"properties.{name}")
     area = F.regexp_extract(F.get(p("geocode.UGC"), F.lit(0)), "^([A-Za-z]{2})", 1)
     state = F.nullif(area, F.lit(""))
@@ -221,7 +226,8 @@ def parse_alerts(features: DataFrame, ingested_at: Column, state_filter: str | N
         p("certainty").alias("certainty"),
         p("urgency").alias("urgency"),
         p("headline").alias("headline"),
-        F.substring(F.coalesce(p("description"), F.lit("")), 1, DESCRIPTION_CHARS).alias("description"),
+        F.coalesce(p("description"), F.lit("")).alias("description"),
+        F.substring(F.coalesce(p("description"), F.lit("")), 1, summary_chars).alias("description_short"),
         p("areaDesc").alias("area_desc"),
         F.coalesce(F.array_join(zones, ","), F.lit("")).alias("affected_zones"),
         state.alias("state"),
@@ -436,12 +442,12 @@ REGISTRY: dict[str, SourceSpec] = {
             codes={"ncessch": 12, "county_fips": 5}, doubles=("latitude", "longitude"), derive=_locations,
         ),
         SourceSpec(
-            "cdc_places", {}, trimmed=("locationname",), ints=("year",), longs=("totalpopulation",),
+            "cdc_places", {}, kind="records", trimmed=("locationname",), ints=("year",), longs=("totalpopulation",),
             doubles=("data_value", "low_confidence_limit", "high_confidence_limit"),
         ),
-        SourceSpec("cdc_env_health", {}, ints=("measure_id", "geo_type"), doubles=("data_value",), trimmed=("geo_name",)),
+        SourceSpec("cdc_env_health", {}, kind="env_health", ints=("measure_id", "geo_type"), doubles=("data_value",), trimmed=("geo_name",)),
         SourceSpec(
-            "census_acs", CENSUS_ALIASES, upper_header, True,
+            "census_acs", CENSUS_ALIASES, upper_header, True, kind="header_row",
             codes={"state_fips": 2, "county_fips": 3, "tract_fips": 6},
             doubles=tuple(v for v in CENSUS_ALIASES.values() if not v.endswith("_fips")),
             sentinels=(CENSUS_MISSING,), derive=_census,
@@ -466,7 +472,7 @@ REGISTRY: dict[str, SourceSpec] = {
             "fema_nri", HAZARD_ALIASES, upper_header, True, codes={"state_fips": 2, "county_fips": 5},
             longs=("population",), doubles=("building_value",), trimmed=("county_name", "state_name"), derive=_hazard,
         ),
-        SourceSpec("noaa_nws_alerts", {}),
+        SourceSpec("noaa_nws_alerts", {}, kind="alerts"),
         SourceSpec(
             "fbi_ucr", CRIME_ALIASES, longs=CRIMES, ints=("year",),
             trimmed=("state_name", "county_name"), derive=_crime,
@@ -475,7 +481,36 @@ REGISTRY: dict[str, SourceSpec] = {
 }
 
 
-def load_source(spark: SparkSession, name: str, path: str, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read, clean and validate one registered CSV source: (valid, rejected, summary)."""
-    clean = clean_source(read_csv(spark, path, encoding=encoding), REGISTRY[name])
+# The fields of a health record that are read.
+PLACES_FIELDS = (
+    "year stateabbr statedesc locationname datasource category measure data_value_unit data_value_type data_value "
+    "low_confidence_limit high_confidence_limit totalpopulation locationid categoryid measureid datavaluetypeid short_question_text"
+).split()
+
+
+def read_source(spark: SparkSession, name: str, path: str, encoding: str | None = None, whole_files: bool = False, **options) -> DataFrame:
+    """Raw rows of one registered source, whatever its files are.
+
+    JSON sources hold one payload per line, or per file with `whole_files`. Options: `measure`,
+    `geo_type`, `area`, `default_year` of environmental health records (`measure` may name a column of the payload);
+    `ingested_at` and `state_filter` of alerts. CSV files without an `encoding` are decided one by one.
+    """
+    kind = REGISTRY[name].kind
+    if kind == "csv":
+        return read_csv(spark, path, encoding=encoding) if encoding else read_csv_any_encoding(spark, path)
+    if kind == "header_row":
+        return read_header_row_json(spark, path, list(REGISTRY[name].aliases), whole_files)
+    if kind == "records":
+        return read_json_records(spark, path, ", ".join(f"{c} string" for c in PLACES_FIELDS), whole_files)
+    if kind == "alerts":
+        return parse_alerts(read_geojson_alerts(spark, path, whole_files), options.get("ingested_at", F.current_timestamp()), options.get("state_filter"))
+    payload = spark.read.text(path, wholetext=whole_files)
+    payload = payload.select(F.explode(F.coalesce(F.from_json("value", "array<string>"), F.array("value"))).alias("value"))
+    payload = payload.withColumn("measure", F.coalesce(F.get_json_object("value", "$.measureId"), F.lit(options.get("measure")).cast("string")))
+    return env_health_records(payload, "value", "measure", options.get("geo_type", 2), options.get("area", ""), options.get("default_year", ""))
+
+
+def load_source(spark: SparkSession, name: str, path: str, encoding: str | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read, clean and validate any registered source: (valid, rejected, summary)."""
+    clean = clean_source(read_source(spark, name, path, encoding, **options), REGISTRY[name])
     return validate(clean, CONTRACTS[name])

@@ -58,6 +58,7 @@ def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str], p
 def stale_sources(df: DataFrame, source: str, ts: str, timeout_ms: int, delay: str) -> DataFrame:
     """One row (source, last_seen) for every source silent for longer than the timeout.
 
+    Rows without a time are left out, a null source is watched like any other.
     State per source is a single timestamp; an event-time timer fires once the
     watermark has moved past last_seen + timeout. Each Arrow batch is reduced to one row
     per source before the shuffle, so a busy source costs its task no more than a quiet one.
@@ -78,7 +79,7 @@ def stale_sources(df: DataFrame, source: str, ts: str, timeout_ms: int, delay: s
 
     def newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.groupby(source, as_index=False)[[ts]].max()
+            yield frame.dropna(subset=[ts]).groupby(source, as_index=False, dropna=False)[[ts]].max()
 
     reduced = df.select(source, ts).mapInPandas(newest, f"{source} {kind}, {ts} timestamp")
     watched = reduced.withWatermark(ts, delay).select(source, ts, F.unix_micros(ts).alias("micros"))

@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from indicraft.operators import anomaly, features, joins, model, quality, retrieval, serving, spatial, text
+from indicraft.operators import aggregates, anomaly, features, joins, model, quality, retrieval, serving, spatial, text
 from indicraft.operators.bounds import percentile_bounds, quantile_table
 from indicraft.operators.ranking import rank_columns, rank_levels
 from indicraft.operators.windows import lag_features, latest_per_key, rolling_mean, topk_per_group
 from indicraft.sources.contracts import CONTRACTS, contract_from_json_schema, validate
+from indicraft.sources.readers import read_csv_any_encoding
 from indicraft.sources.registry import REGISTRY, clean_source
 from indicraft.sources.sinks import upsert_latest
 
@@ -28,20 +29,33 @@ def test_bracketed_percentiles_equal_numpy(spark, kind):
         assert got[q] == pytest.approx(np.percentile(x, q * 100), rel=1e-12)
 
 
-def test_percentiles_of_an_empty_column_are_null(spark):
+@pytest.mark.parametrize("accuracy", [2, 20, 100_000])
+def test_percentiles_of_empty_columns_and_groups_are_null(spark, accuracy):
     df = spark.createDataFrame([(1, None), (2, None)], "a int, b double")
-    for accuracy in (100_000, 0.01):
-        out = percentile_bounds(df, ["a", "b"], (0.5,), accuracy=accuracy) if accuracy > 1 else percentile_bounds(df, ["a", "b"], (0.5,))
-        assert tuple(out.first()) == (1.5, None)
+    assert tuple(percentile_bounds(df, ["a", "b"], (0.5,), accuracy=accuracy).first()) == (1.5, None)
+    assert tuple(percentile_bounds(df.limit(0), ["a", "b"], (0.5,), accuracy=accuracy).first()) == (None, None)
+    rows = [("x", 1.0), ("x", 2.0), ("none", None), ("none", None), (None, 7.0), ("one", 3.0)]
+    out = percentile_bounds(spark.createDataFrame(rows, "g string, v double"), ["v"], (0.25, 1.0), ["g"], accuracy=accuracy).collect()
+    assert {tuple(r) for r in out} == {("x", 1.25, 2.0), ("none", None, None), (None, 7.0, 7.0), ("one", 3.0, 3.0)}
 
 
-@pytest.mark.parametrize("digits", [2, None])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 37])
+def test_percentiles_of_few_rows_equal_numpy(spark, n):
+    x = np.random.default_rng(n).integers(0, 6, n) * 1.5
+    qs = tuple(k / 20 for k in range(21))
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    for accuracy in (10, 100_000):
+        got = {r["q"]: r["value"] for r in quantile_table(df, ["x"], qs, accuracy=accuracy).collect()}
+        assert [got[q] for q in qs] == pytest.approx([np.percentile(x, q * 100) for q in qs])
+
+
+@pytest.mark.parametrize("digits", [2, 12])
 def test_ranks_equal_windows(spark, digits):
     rng = np.random.default_rng(3)
     n = 3000
-    pdf = pd.DataFrame({"id": range(n), "s": np.where(rng.random(n) < 0.33, 50.0, rng.integers(0, 10000, n) / 100), "g": np.where(rng.random(n) < 0.4, "hot", rng.integers(0, 9, n).astype(str)), "p": rng.integers(0, 50, n) / 1.0})
+    pdf = pd.DataFrame({"id": range(n), "s": np.where(rng.random(n) < 0.33, 50.0, np.round(rng.random(n) * 100, digits)), "g": np.where(rng.random(n) < 0.4, "hot", rng.integers(0, 9, n).astype(str)), "p": rng.integers(0, 50, n) / 1.0})
     df = spark.createDataFrame(pdf).withColumn("p", F.when(F.col("p") > 5, F.col("p")))
-    out = rank_columns(rank_levels(df, "s", {"national": [], "group": ["g"]}, digits=digits), {"p": "p_rank"})
+    out = rank_columns(rank_levels(df, "s", {"national": [], "group": ["g"]}), {"p": "p_rank"})
     whole, part = W.partitionBy(F.lit(1)), W.partitionBy("g")
     checked = out.select(
         (F.col("national_rank") == F.rank().over(whole.orderBy(F.desc("s")))).alias("a"),
@@ -140,10 +154,14 @@ def test_cosine_topk_equals_brute_force_with_copies(spark):
         assert len(mine) == len(order)
 
 
-def test_too_many_queries_are_refused(spark):
-    df = spark.range(5).select(F.col("id").alias("q"), F.array(F.lit(1.0)).alias("embedding"))
-    with pytest.raises(ValueError):
-        retrieval.cosine_topk(df, df.withColumnRenamed("q", "id"), "q", "id", max_queries=4)
+def test_any_number_of_queries_is_answered(spark):
+    df = spark.range(10_001).select(F.col("id").alias("q"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id long, embedding array<double>")
+    out = retrieval.cosine_topk(df, corpus, "q", "id", k=1, multiplier=1, threshold=-1).toPandas()
+    assert len(out) == 10_001 == out.q.nunique()
+    assert set(out[out.q > 3].id) == {2} and out.set_index("q").id[0] == 1
+    small = retrieval.cosine_topk(df.filter("q < 40"), corpus, "q", "id", k=1, multiplier=1, threshold=-1, block=7).toPandas()
+    assert small.sort_values("q").id.tolist() == out[out.q < 40].sort_values("q").id.tolist()
 
 
 def test_diversity_boost(spark):
@@ -181,14 +199,16 @@ def test_isolation_forest_finds_planted_outliers(spark):
     assert 20 <= len(flagged) <= 30 and (flagged.iforest_score < 0).all()
     again = anomaly.isolation_forest(df.repartition(7), "id", ["a", "b"], trees=60).toPandas()
     assert sorted(again.id) == sorted(flagged.id)
-    assert anomaly.isolation_forest(df.limit(10), "id", ["a", "b"]).count() == 0
+    with pytest.raises(ValueError):
+        anomaly.isolation_forest(df.limit(10), "id", ["a", "b"], minimum_rows=50)
 
 
 def test_zscore_flags_need_enough_rows(spark):
     df = spark.createDataFrame([(i, 0.0 if i else 100.0, 1.0) for i in range(40)], "id int, a double, b double")
     hit = anomaly.zscore_flags(df, "id", ["a", "b"]).collect()
     assert [(r["id"], r["zscore_trigger_col"]) for r in hit] == [(0, "a")]
-    assert anomaly.zscore_flags(df.filter("id < 20"), "id", ["a", "b"]).count() == 0
+    with pytest.raises(Exception, match="at least 30 needed"):
+        anomaly.zscore_flags(df.filter("id < 20"), "id", ["a", "b"], minimum_rows=30).count()
 
 
 def test_merge_flags_severity(spark):
@@ -224,6 +244,18 @@ def test_temporal_split_sizes(spark):
         assert (train.count(), test.count()) == (int(n * 0.75), n - int(n * 0.75))
 
 
+@pytest.mark.parametrize("years", [1, 2])
+def test_splits_and_folds_of_few_periods(spark, years):
+    df = spark.range(100).select("id", (F.col("id") % years).alias("year"))
+    train, test = model.temporal_split(df, "year", ties=["id"])
+    want = [r["id"] for r in df.orderBy("year", "id").collect()]
+    assert {r["id"] for r in train.collect()} == set(want[:75]) and {r["id"] for r in test.collect()} == set(want[75:])
+    folds = model.expanding_folds(df, "year", 4, ["id"])
+    assert [({r["id"] for r in a.collect()}, {r["id"] for r in b.collect()}) for a, b in folds] == [
+        (set(want[: 20 * k]), set(want[20 * k : 20 * k + 20])) for k in range(1, 5)
+    ]
+
+
 def test_folds_expand(spark):
     folds = model.expanding_folds(spark.range(100).withColumnRenamed("id", "t"), "t", 4)
     assert [(a.count(), b.count()) for a, b in folds] == [(20, 20), (40, 20), (60, 20), (80, 20)]
@@ -257,7 +289,28 @@ def test_suspicious_sample_quota(spark):
     df = spark.range(500).select("id", (F.col("id") % 100).cast("double").alias("score"))
     out = quality.sample_suspicious(df, "id", 30, "score").collect()
     kinds = [r["stratum"] for r in out]
-    assert kinds.count("extreme") == 10 and len({r["id"] for r in out}) == len(out) <= 30
+    assert kinds.count("extreme") == 10 and len({r["id"] for r in out}) == len(out) == 30
+
+
+@pytest.mark.parametrize("rows,n", [(40, 10), (40, 30), (40, 36), (40, 40), (40, 50), (1000, 100)])
+def test_suspicious_sample_is_filled(spark, rows, n):
+    df = spark.range(rows).select("id", (F.col("id") * 7 % 100).cast("double").alias("score"), (F.col("id") % 60).cast("double").alias("change"), F.lit(50.0).alias("p"))
+    out = quality.sample_suspicious(df, "id", n, "score", ["change"], ["p"]).collect()
+    kinds = [r["stratum"] for r in out]
+    assert len({r["id"] for r in out}) == len(out) == min(n, rows)
+    assert kinds.count("extreme") <= n // 3 and kinds.count("large_change") <= n // 3 and kinds.count("inconsistent") <= n // 4
+
+
+def test_mode_of_any_type(spark):
+    df = spark.createDataFrame([("b", 2**60), ("a", 2**60 + 1), ("b", 2**60 + 1), ("a", 5), (None, None)], "t string, n long")
+    assert tuple(aggregates.mode_share(df, "t").first()) == ("a", 2, 50.0)
+    assert tuple(aggregates.mode_share(df, "n").first()) == (2**60 + 1, 2, 50.0)
+
+
+def test_charset_is_decided_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("k,name\n1,Ñu\n".encode())
+    (tmp_path / "b.csv").write_bytes("k,name\n2,Ñu\n".encode("iso-8859-1"))
+    assert {tuple(r) for r in read_csv_any_encoding(spark, str(tmp_path), "k int, name string").collect()} == {(1, "Ñu"), (2, "Ñu")}
 
 
 def test_contract_split(spark):
@@ -292,4 +345,5 @@ def test_sort_key_and_compare_limits(spark):
     with pytest.raises(ValueError):
         serving.sort_key("x; drop", ["score"])
     with pytest.raises(ValueError):
-        serving.compare(spark.range(1), "id", range(6))
+        serving.compare(spark.range(1), "id", range(6), limit=5)
+    assert serving.compare(spark.range(20), "id", range(9)).count() == 9
