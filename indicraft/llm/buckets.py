@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups
+from .common import bundles
 
 #: Most members of a bucket that meet in one block; larger buckets are dealt to pairs of blocks.
 BLOCK_ROWS = 1_024
@@ -46,16 +46,41 @@ def dealt(rows: DataFrame, by: list[str], n: str, most: int = BLOCK_ROWS) -> Dat
     return rows.withColumn("block", F.xxhash64(*by, "left", "right")).drop("parts", "other")
 
 
-def in_blocks(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch] | list[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run `work` on each block of `dealt`; blocks stream through a sorted partition one at a time."""
+def in_blocks(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run `work` on whole blocks of `dealt`, which stream through a sorted partition; small ones come in bundles."""
 
     def run(batches):
-        for block in groups(batches, "block"):
+        for block in bundles(batches, "block"):
             yield from work(block)
 
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
+def block_pairs(block: pa.Table, keys: np.ndarray, slotted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) inside the blocks of a table that share a key.
+
+    With `slotted` only pairs whose first shared table is the block's own `slot`. Between two parts of a large
+    group only pairs of unlike parts count, the others meet elsewhere.
+    """
+    ids, part = block.column("block").to_numpy(), block.column("part").to_numpy()
+    cross = block.column("left").to_numpy() != block.column("right").to_numpy()
+    slot = block.column("slot").to_numpy() if slotted else None
+    if ids[0] == ids[-1] and len(ids) > 16:
+        yield from candidate_pairs(keys, part, bool(cross[0]), int(slot[0]) if slotted else None)
+        return
+    for step in range(1, len(ids)):
+        i = np.flatnonzero(ids[step:] == ids[:-step])
+        if len(i) == 0:
+            return
+        j = i + step
+        shared = keys[i] == keys[j]
+        ok = shared.any(axis=1) & (~cross[i] | (part[i] != part[j]))
+        if slotted:
+            ok &= shared.argmax(axis=1) == slot[i]
+        if ok.any():
+            yield i[ok], j[ok]
+
+
 def candidate_pairs(keys: np.ndarray, part: np.ndarray, cross: bool, slot: int | None, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of a block that share a key; with `slot`, only pairs whose first shared table it is."""
     n = len(keys)

@@ -131,6 +131,38 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def bundles(batches: Iterator[pa.RecordBatch], key: str, small: int = 16, rows: int = 4_096) -> Iterator[pa.Table]:
+    """Whole runs of equal `key` in a sorted stream: longer ones one by one, neighbouring short ones together.
+
+    Only the last run of a batch waits for the next batch, so memory follows the longest run.
+    """
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        keys = table.column(key).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        held = table.slice(int(cuts[-1]))
+        yield from _runs(table, cuts, small, rows)
+    if held is not None:
+        yield held
+
+
+def _runs(table: pa.Table, cuts: np.ndarray, small: int, rows: int) -> Iterator[pa.Table]:
+    sizes = np.diff(cuts)
+    at = 0
+    while at < len(sizes):
+        stop = at + 1
+        if sizes[at] <= small:
+            long = np.flatnonzero(sizes[at:] > small)
+            end = at + int(long[0]) if len(long) else len(sizes)
+            stop = min(end, max(at + 1, int(np.searchsorted(cuts, cuts[at] + rows, side="right")) - 1))
+        yield table.slice(int(cuts[at]), int(cuts[stop] - cuts[at]))
+        at = stop
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     """Rows of equal-length binary values as a 2-d array."""
     values = column.to_pylist()

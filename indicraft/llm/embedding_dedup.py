@@ -6,7 +6,7 @@ of a key with known chance, far ones hardly ever. Vectors that share a key (and
 each pair only at the first key they share, and link if the cosine in double precision reaches the threshold.
 
 Recall at the defaults: at cosine 0.98 (distance 0.2) with width 1.6 one projection agrees with chance
-0.90, a key of 10 with 0.35, so no key of 36 with 2e-7; closer pairs are lost less often.
+0.90, a key of 12 with 0.28, so no key of 48 with 2e-7; closer pairs are lost less often.
 
 Equal vectors of a label are one class with a count, so copies cost one row each. Large buckets are
 dealt to pairs of blocks; blocks emit counts and edges to their own roots, never all pairs.
@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_members, candidate_pairs, dealt, in_blocks, spanning
+from .buckets import block_pairs, bucket_members, dealt, in_blocks, spanning
 from .common import Scratch, col, matrix
 from .components import components
 
 THRESHOLD = 0.98
-TABLES, ROWS, WIDTH = 36, 10, 1.6
+TABLES, ROWS, WIDTH = 48, 12, 1.6
 SEED = 20
 
 
@@ -58,6 +58,10 @@ def hash_keys(x: np.ndarray, tables: int, rows: int, width: float) -> np.ndarray
     return out.view(np.int64)
 
 
+def mixed_with_label(keys: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return keys ^ (labels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)[:, None]
+
+
 def _fingerprint(label: int, raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw, seed=label & 0xFFFFFFFF) - 2**63
 
@@ -85,7 +89,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 
 def _keyed(reps: DataFrame, tables: int, rows: int, width: float) -> DataFrame:
-    """Keys mixed with the label, so that only equal labels meet."""
+    """Keys per vector, mixed with the label, so that only equal labels meet."""
 
     def run(batches):
         for batch in batches:
@@ -96,24 +100,25 @@ def _keyed(reps: DataFrame, tables: int, rows: int, width: float) -> DataFrame:
                 at = np.flatnonzero(sizes == n)
                 x = np.frombuffer(b"".join([raws[k] for k in at]), np.float64).reshape(len(at), -1)
                 keys[at] = hash_keys(x, tables, rows, width)
-            keys ^= (labels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(mixed_with_label(keys, labels)), pa.list_(pa.int64()))], names=["id", "keys"])
 
     return reps.select("id", "label", "raw").mapInArrow(run, "id long, keys array<long>")
 
 
 def _linked(tables: int, rows: int, width: float, threshold: float):
     def work(block: pa.Table):
-        ids, part = block.column("id").to_numpy(), block.column("part").to_numpy()
-        labels, copies = block.column("label").to_numpy(), block.column("n_copies").to_numpy()
-        raws = block.column("raw").to_pylist()
-        cross = block.column("left")[0].as_py() != block.column("right")[0].as_py()
-        if len({len(r) for r in raws}) > 1:  # unlike lengths meet only if 64-bit keys collide
-            return
+        # unlike lengths meet only if 64-bit keys collide, and never link
+        sizes = np.array([len(r) for r in block.column("raw").to_pylist()])
+        for size in np.unique(sizes):
+            yield from one_length(block if (sizes == size).all() else block.filter(pa.array(sizes == size)))
+
+    def one_length(block: pa.Table):
+        ids, labels, copies = (block.column(c).to_numpy() for c in ("id", "label", "n_copies"))
         x = matrix(block.column("raw"), np.float64)
         norm = np.sqrt((x * x).sum(axis=1))
+        keys = mixed_with_label(hash_keys(x, tables, rows, width), labels)
         links, found = np.zeros(len(ids), np.int64), []
-        for i, j in candidate_pairs(hash_keys(x, tables, rows, width), part, cross, block.column("slot")[0].as_py()):
+        for i, j in block_pairs(block, keys, True):
             for at in range(0, len(i), 20_000):
                 a, b = i[at : at + 20_000], j[at : at + 20_000]
                 ok = ((x[a] * x[b]).sum(axis=1) / (norm[a] * norm[b]) >= threshold) & (labels[a] == labels[b])

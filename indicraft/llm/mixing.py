@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, col, fresh, groups, text_or_empty
@@ -47,9 +47,9 @@ def ranked(sources: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     order = [F.col(name).asc_nulls_last()]
     sliced = scratch.store(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sources")
     slices = sliced.groupBy(F.shiftright("at", 33).alias("slice")).agg(F.count("*").alias("n"))
-    before = slices.toDF("slice_before", "n_before")
     # one row per slice, and there are at most as many slices as shuffle partitions
-    offsets = slices.join(before, F.col("slice_before") < F.col("slice"), "left").groupBy("slice").agg(F.coalesce(F.sum("n_before"), F.lit(0)).alias("offset"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = slices.select("slice", F.coalesce(before, F.lit(0)).alias("offset"))
     out = sliced.join(offsets, F.shiftright("at", 33) == F.col("slice"))
     return out.withColumn("rank", F.col("offset") + F.col("at").bitwiseAND(F.lit(2**33 - 1))).drop("at", "slice", "offset")
 

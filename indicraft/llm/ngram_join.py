@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buckets import bucket_members, candidate_pairs, dealt, in_blocks, spanning
+from .buckets import block_pairs, bucket_members, dealt, in_blocks, spanning
 from .common import Scratch, col, fresh, map_texts, matrix, text_or_empty
 from .components import components
 
@@ -159,10 +159,8 @@ def _survivors(bands: int, rows: int, least: list[tuple[int, int]]) -> Callable:
     def work(block: pa.Table):
         ids = block.column("id").to_numpy()
         sig = matrix(block.column("sig"), np.uint32)
-        part = block.column("part").to_numpy()
-        cross = block.column("left")[0].as_py() != block.column("right")[0].as_py()
         found = []
-        for i, j in candidate_pairs(band_keys(sig, bands, rows), part, cross, block.column("slot")[0].as_py()):
+        for i, j in block_pairs(block, band_keys(sig, bands, rows), True):
             ok = bayes_filter(sig, i, j, least)
             if ok.any():
                 found.append((i[ok], j[ok]))
@@ -192,18 +190,17 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 
 def _verified(size: int, bands: int, rows: int, least: list[tuple[int, int]], threshold: float) -> Callable:
     def work(block: pa.Table):
-        # a row that repeats its id and text came along; each class counts once
-        _, once = np.unique(block.column("id").to_numpy(), return_index=True)
-        block = block.take(pa.array(once))
+        # a row that repeats its id and text came along; each class counts once per block
+        keys = np.stack([block.column("block").to_numpy(), block.column("id").to_numpy()], axis=1)
+        _, once = np.unique(keys, axis=0, return_index=True)
+        block = block.take(pa.array(np.sort(once)))
         ids = block.column("id").to_numpy()
         sig = matrix(block.column("sig"), np.uint32)
-        part = block.column("part").to_numpy()
         copies = block.column("n_copies").to_numpy()
-        cross = block.column("left")[0].as_py() != block.column("right")[0].as_py()
         sets = [shingles(t, size) for t in block.column("text").to_pylist()]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         links, found = np.zeros(len(ids), np.int64), []
-        for i, j in candidate_pairs(band_keys(sig, bands, rows), part, cross, None):
+        for i, j in block_pairs(block, band_keys(sig, bands, rows), False):
             ok = bayes_filter(sig, i, j, least)
             i, j = i[ok], j[ok]
             if not len(i):
