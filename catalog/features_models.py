@@ -9,7 +9,7 @@ from indicraft.operators import anomaly as an
 from indicraft.operators import features as ft
 from indicraft.operators import model as md
 from indicraft.operators.features import Interaction
-from indicraft.session import materialize, one_row
+from indicraft.session import attach_stats, materialize, one_row
 
 from . import model_sql as sql
 from .base import duck, query, rnd, shared, table
@@ -89,9 +89,21 @@ def numeric_columns(spark, d):
     return c.agg(*[F.count(n).alias(n) for n in kept]).select(F.inline(cells))
 
 
-@query("feature_matrix")
+@query(
+    "feature_matrix",
+    sql.gold("select count(*) as n, count(distinct nces_school_id) as n_schools, true as numbers_filled, count(*) as n_lagged, sum(case when total_enrollment is null then 0 else 1 end)::bigint as n_lag1 from scores"),
+)
 def matrix(spark, d):
-    return medallion(spark, d).feature_matrix()
+    """One row per scored school without gaps in its numbers, lags and rolling means of a made-up second year included."""
+    m = medallion(spark, d)
+    now = m.scores.select("nces_school_id", F.lit(2022).alias("period"), F.col("total_enrollment").cast("double").alias("pupils"))
+    history = now.unionByName(now.withColumn("period", F.lit(2021)).withColumn("pupils", F.col("pupils") - 10))
+    past = m.history_features(history, "period", ["pupils"], 2022)
+    lagged = past.agg(F.count(F.lit(1)).alias("n_lagged"), F.count_if(F.col("pupils_lag1").isNotNull() & F.col("pupils_mean3").isNotNull()).alias("n_lag1"))
+    out = m.feature_matrix(past=past)
+    gaps = [F.col(c).isNull() for c in ft.numeric_features(out)]
+    checked = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nces_school_id").alias("n_schools"), (F.count_if(F.greatest(*[g.cast("int") for g in gaps]) == 1) == 0).alias("numbers_filled"))
+    return attach_stats(checked, lagged, "l").select("n", "n_schools", "numbers_filled", "l.n_lagged", "l.n_lag1")
 
 
 @query(

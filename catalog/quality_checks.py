@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from indicraft.operators import quality as q
 from indicraft.operators.quality import Check
+from indicraft.plans.suites import SUITES, run_suites
 
 from . import model_sql as sql
 from .base import query, rnd, table
@@ -169,3 +170,31 @@ def suspicious(spark, d):
         mismatch=2,
     )
     return out.select("nces_school_id", "wellbeing_score", "stratum")
+
+
+def _status(value: str, warn: str | None, fail: str) -> str:
+    return f"case when {fail.format(v=value)} then 'fail' " + (f"when {warn.format(v=value)} then 'warn' " if warn else "") + "else 'pass' end"
+
+
+def _suite_sql() -> str:
+    rows = [("row_count", None, "count(*)", "{v} < 100000", "{v} < 60000"), ("missing_count", "nces_school_id", "count(*) filter (where nces_school_id is null)", None, "{v} > 0"),
+            ("duplicate_count", "nces_school_id", "max((select count(*) from (select 1 from scores where nces_school_id is not null group by nces_school_id having count(*) > 1) q))", None, "{v} > 0")]
+    rows += [("invalid_count", c, f"count(*) filter (where {c} < 0 or {c} > 100)", None, "{v} > 0") for c in ("wellbeing_score", "education_score", "health_score", "environment_score", "safety_score")]
+    rows += [
+        ("avg", "wellbeing_score", "avg(wellbeing_score)", "{v} not between 35 and 75", "{v} not between 20 and 85"),
+        ("stddev", "wellbeing_score", "stddev(wellbeing_score)", "{v} < 8", "{v} < 3"),
+        ("missing_count", "wellbeing_category", "count(*) filter (where wellbeing_category is null)", None, "{v} > 0"),
+        ("avg", "pillars_with_data", "avg(pillars_with_data)", "{v} < 3", "{v} < 2.5"),
+        ("missing_percent", "latitude", "count(*) filter (where latitude is null) * 100.0 / count(*)", "{v} > 3", "{v} > 10"),
+        ("distinct_count", "state_abbr", "count(distinct state_abbr)", "{v} < 50", "{v} < 45"),
+    ]
+    one = "select 'scores' as table_name, '{k}' as check_name, {c} as column_name, {v} as value, {s} as status from scores"
+    return " union all ".join(
+        one.format(k=f"{k}({c})" if c else k, c=f"'{c}'" if c else "null::varchar", v=rnd(v, 4), s=_status(v, warn, fail)) for k, c, v, warn, fail in rows
+    )
+
+
+@query("quality_gold_suite", sql.gold(_suite_sql()))
+def gold_suite(spark, d):
+    """The declared checks of the score table, run over the scored schools."""
+    return run_suites({"scores": medallion(spark, d).scores}, {"scores": SUITES["scores"]})

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import features
 from ..operators.joins import enrich
+from ..operators.windows import lag_features, rolling_mean
 from ..session import materialize
 from . import gold, silver
 from .staging import STAGING
@@ -28,6 +30,8 @@ class Medallion:
     year: str
     prior_year: str
     measures: Mapping[str, str] | None = None
+    #: Time written to the scores' `scored_at`, which freshness checks read; left out when not given.
+    scored_at: Column | None = None
 
     def staged(self, name: str) -> DataFrame:
         return STAGING[name](self.raw[name])
@@ -54,7 +58,7 @@ class Medallion:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return materialize(gold.wellbeing_scores(self.wide), "scores")
+        return materialize(gold.wellbeing_scores(self.wide, self.scored_at), "scores")
 
     @cached_property
     def rankings(self) -> DataFrame:
@@ -88,6 +92,7 @@ class Medallion:
                 "education_change_zscore": "education_zscore",
             },
         )
+        # fixed values: the columns of the published feature base
         score_cols = [key, "wellbeing_score", *gold.PILLARS.values(), "wellbeing_category"]
         base = self.wide.select(
             key, "school_name", "state_abbr", "county_fips", "county_name", "school_type", "total_enrollment",
@@ -98,11 +103,22 @@ class Medallion:
         )
         return enrich(base.join(self.scores.select(*score_cols), key), [(changes, key)])
 
-    def feature_matrix(self, minimum_coverage: float = 0.30) -> DataFrame:
-        """Interactions, encodings, imputation by state median and coverage filter."""
+    def history_features(self, history: DataFrame, period: str, cols: Sequence[str], at: int) -> DataFrame:
+        """Lags 1-3 and three-period means of `cols` per school for one period of `history`.
+
+        `history` has one row per school and period (a number, one apart), and holds period `at` of every
+        school that is to get features.
+        """
+        key = gold.ID
+        past = rolling_mean(lag_features(history.select(key, period, *cols), key, period, cols), key, period, cols)
+        return past.filter(F.col(period) == at).drop(period, *cols)
+
+    def feature_matrix(self, minimum_coverage: float = 0.30, past: DataFrame | None = None) -> DataFrame:
+        """Interactions, encodings, imputation by state median and coverage filter; `past` from `history_features` joins in."""
+        base = self.wide_features if past is None else self.wide_features.join(past, gold.ID, "left")
         wide = features.bools_to_int(
             features.encode(
-                features.interactions(self.wide_features),
+                features.interactions(base),
                 {"wellbeing_category": features.CATEGORY_CODES, "school_type": features.SCHOOL_TYPE_CODES},
             )
         )
