@@ -139,7 +139,8 @@ def revealing_terms(docs: DataFrame, text: str = "text", generalise_at: float =
     pairs = pairs.filter(F.col("contexts") >= least_contexts).join(entities, "entity").join(near, "term").withColumn("n", total.scalar())
     pairs = scratch.store(pairs.filter(told("n_near") >= generalise_at - 1e-9), "pairs")
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("term"))
-    counts = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join: tasks send one row per word they have seen, however many terms are asked for
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(counts, "term").select("entity", "term", told("n_t").alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove_at, "drop").otherwise("term")
     return scored.filter(F.col("disclosure") >= generalise_at).withColumn("action", action)
