@@ -4,7 +4,10 @@ Patterns find the protected entities (addresses, card and phone numbers). A term
 reveals it when knowing the term tells most of the entity's information: with document counts over the
 whole corpus, disclosure = PMI(entity; term) / IC(entity)
 = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)). Terms need `least_contexts` different
-surroundings of the entity, so that copies of one text prove nothing. Terms at or above `remove_at`
+surroundings of the entity, so that copies of one text prove nothing. An entity that itself has fewer is
+rare: a term near it is scored by the same formula with the finest group of entities (e-mail domain, IP
+network, phone prefix, card issuer, at last the kind) in whose surroundings, one of each text, it has them.
+Terms at or above `remove_at`
 are removed, those between `generalise_at` and that are generalised to a category mark; both only in texts that hold an
 entity they reveal, so texts without personal data are never touched.
 
@@ -80,6 +83,20 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(DIGIT.findall(value))}"
 
 
+def levels(name: str) -> list[str]:
+    """An entity, then the groups of entities that it belongs to, from fine to coarse; the last is its kind."""
+    kind, value = name.split(":", 1)
+    if kind == "email":
+        groups = [value.rsplit("@", 1)[1]]
+    elif kind == "ip":
+        groups = [value.rsplit(".", k)[0] for k in (1, 2)]
+    elif kind == "phone":
+        groups = [value[:-4], value[:-7]]
+    else:
+        groups = [value[:6]]
+    return [name, *(f"{kind}/{g}" for g in groups), kind]
+
+
 def surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[str]]]:
     """(entity, words around it) per span; words inside any span don't count."""
     out = []
@@ -110,24 +127,56 @@ def rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def revealing_terms(docs: DataFrame, text: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT,
-                    least_contexts: int = LEAST_CONTEXTS, scratch: Scratch | None = None) -> DataFrame:
-    """(entity, term, disclosure, action): terms whose use across all of `docs` gives an entity away."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    texts = docs.select(text_or_empty(text).alias("t"))
-    pair = T.StructType([T.StructField("entity", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
+def near_pairs(texts: DataFrame, least_contexts: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What stands near entities in column `t`, per level: (found, keys, pairs).
+
+    found: one row per span with its `keys` (see `levels`) and words; keys: (level, key) with documents and
+    surroundings; pairs: (level, key, term) with documents, those with `least_contexts` surroundings.
+    """
+    near = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("words", T.ArrayType(T.StringType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
         around = [surroundings(t, s) if (s := base_spans(t)) else None for t in batch.column(0).to_pylist()]
-        return {"near": [None if x is None else [{"entity": e, "words": w} for e, w in x] for x in around]}
+        return {"near": [None if x is None else [{"keys": levels(e), "words": w} for e, w in x] for x in around]}
 
-    found = map_texts(texts, run, T.StructType([T.StructField("near", T.ArrayType(pair))]), "t")
+    found = map_texts(texts, run, T.StructType([T.StructField("near", T.ArrayType(near))]), "t")
     found = scratch.store(found.filter("near is not null").select(F.monotonically_increasing_id().alias("doc"), "near"), "near")
-    found = found.select("doc", F.explode("near").alias("near")).select("doc", "near.entity", "near.words", F.xxhash64("near.words").alias("context"))
-    entities = found.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
-    words = found.select("entity", "doc", "context", F.explode("words").alias("term"))
-    near = words.groupBy("term").agg(F.countDistinct("doc").alias("n_near"))
-    pairs = words.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n_et"), F.countDistinct("context").alias("contexts"))
+    found = found.select("doc", F.explode("near").alias("near")).select("doc", "near.keys", "near.words", F.xxhash64("near.words").alias("context"))
+    standing = found.select("doc", "context", "words", F.posexplode("keys").alias("level", "key"))
+    keys = standing.groupBy("level", "key").agg(F.countDistinct("doc").alias("n_e"), F.countDistinct("context").alias("contexts"))
+    words = standing.select("level", "key", "doc", "context", F.explode("words").alias("term"))
+    # one page that lists many entities of a group has as many windows, but is one piece of evidence
+    own = F.when(F.col("level") == 0, F.col("context")).alias("own")
+    words = words.groupBy("level", "key", "term", "doc", own).agg(F.min("context").alias("context"))
+    pairs = words.groupBy("level", "key", "term").agg(F.countDistinct("doc").alias("n_et"), F.countDistinct("context").alias("contexts"))
+    return found, keys, pairs.filter(F.col("contexts") >= least_contexts).drop("contexts")
+
+
+def of_rare(found: DataFrame, keys: DataFrame, pairs: DataFrame, least_contexts: int) -> DataFrame:
+    """(entity, level, columns of `pairs`) for every term near an entity at each level that may score it: the
+    entity's own, and if the entity is rare those of its groups."""
+    each = found.select(F.col("keys")[0].alias("entity"), "keys", F.explode("words").alias("term")).distinct()
+    each = each.select("entity", "term", F.posexplode("keys").alias("level", "key"))
+    frequent = keys.filter((F.col("level") == 0) & (F.col("contexts") >= least_contexts)).select(F.col("key").alias("entity"), F.lit(True).alias("frequent"))
+    return each.join(pairs, ["level", "key", "term"]).join(frequent, "entity", "left").filter("level = 0 or frequent is null").drop("frequent")
+
+
+def scored_levels(docs: DataFrame, text: str = "text", least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+    """(kind, level, entities): how many different entities have their terms scored, by the finest level
+    (`levels` counted from 0) that scores one; null where none does."""
+    found, keys, pairs = near_pairs(docs.select(text_or_empty(text).alias("t")), least_contexts, Scratch(docs.sparkSession))
+    finest = of_rare(found, keys, pairs, least_contexts).groupBy("entity").agg(F.min("level").alias("level"))
+    every = keys.filter("level = 0").select(F.col("key").alias("entity"))
+    return every.join(finest, "entity", "left").groupBy(F.substring_index("entity", ":", 1).alias("kind"), "level").agg(F.count("*").alias("entities"))
+
+
+def revealing_terms(docs: DataFrame, text: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT,
+                    least_contexts: int = LEAST_CONTEXTS, scratch: Scratch | None = None) -> DataFrame:
+    """(entity, term, level, disclosure, action): terms whose use across all of `docs` gives an entity away."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    texts = docs.select(text_or_empty(text).alias("t"))
+    found, keys, pairs = near_pairs(texts, least_contexts, scratch)
+    near = found.select("doc", F.explode("words").alias("term")).groupBy("term").agg(F.countDistinct("doc").alias("n_near"))
     total = texts.agg(F.count("*").alias("n"))
 
     def told(n_t: str) -> Column:
@@ -135,15 +184,20 @@ def revealing_terms(docs: DataFrame, text: str = "text", generalise_at: float =
         return F.when(F.col("n") > F.col("n_e"), share).otherwise(F.lit(0.0))
 
     # a term occurs in at least as many documents as it stands near entities, so its disclosure there is
-    # an upper bound; common words fall out before the corpus is counted, and none that could reveal does
-    pairs = pairs.filter(F.col("contexts") >= least_contexts).join(entities, "entity").join(near, "term").withColumn("n", total.scalar())
-    pairs = scratch.store(pairs.filter(told("n_near") >= generalise_at - 1e-9), "pairs")
+    # an upper bound; terms that reveal at no level fall out before the corpus is counted, others keep all
+    # their levels, since a level with counts that reveals nothing stops the coarser ones
+    known = keys.filter(F.col("contexts") >= least_contexts).drop("contexts")
+    pairs = pairs.join(known, ["level", "key"]).join(near, "term").withColumn("n", total.scalar())
+    pairs = scratch.store(pairs.withColumn("most", told("n_near")), "pairs")
+    pairs = pairs.join(pairs.filter(F.col("most") >= generalise_at - 1e-9).select("term").distinct(), "term", "left_semi")
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("term"))
     # counted before the join: tasks send one row per word they have seen, however many terms are asked for
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(counts, "term").select("entity", "term", told("n_t").alias("disclosure"))
+    scored = scratch.store(pairs.join(counts, "term").select("level", "key", "term", told("n_t").alias("disclosure")), "scored")
+    scored = scored.join(scored.filter(F.col("disclosure") >= generalise_at).select("term").distinct(), "term", "left_semi")
+    finest = of_rare(found, keys, scored, least_contexts).groupBy("entity", "term").agg(F.min(F.struct("level", "disclosure")).alias("at"))
     action = F.when(F.col("disclosure") >= remove_at, "drop").otherwise("term")
-    return scored.filter(F.col("disclosure") >= generalise_at).withColumn("action", action)
+    return finest.select("entity", "term", "at.*").filter(F.col("disclosure") >= generalise_at).withColumn("action", action)
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", spans: str = "spans", clean: str | None = None, **limits) -> DataFrame:

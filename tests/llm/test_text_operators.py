@@ -228,6 +228,28 @@ def test_pii_terms_reveal_only_with_evidence(spark):
     assert out[500].clean == rows[-3][1] and out[500].spans == [] and out[501].clean == "" and "<EMAIL>" in out[400].clean
 
 
+def test_pii_terms_of_rare_entities(spark):
+    fill = lambda k: " ".join(f"w{k}x{j}" for j in "abcdefgh")
+    word = lambda k: "".join(chr(97 + int(d)) for d in f"{k:03d}")
+    rows = [(k, f"q{word(k)} Zanderbeck at user{k}@corp.example z{word(k)} {fill(k)}") for k in range(20)]  # one address each, one domain
+    rows += [(100 + k, f"q{word(100 + k)} mailbox user{k}@site{k}.example z{word(100 + k)}") for k in range(20)]  # one domain each
+    rows += [(200 + k, f"q{word(200 + k)} backbone router 10.1.2.{k} z{word(200 + k)}") for k in range(9)]
+    rows += [(300 + k, f"q{word(300 + k)} Townhall +1 (415) 555-01{k:02d} z{word(300 + k)}") for k in range(9)]
+    rows += [(400 + k, f"same copy singleton once{k}@copy.example words") for k in range(9)]  # one surrounding, nine addresses
+    # one page that lists a domain's addresses: many windows, one piece of evidence
+    rows += [(500, " ".join(f"roster q{word(500 + k)} u{k}@list.example" for k in range(9)))] * 3
+    rows += [(1000 + k, f"plain text number {word(k)} at home") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.entity, r.term, r.level) for r in pii.revealing_terms(docs).collect()}
+    want = {(f"email:user{k}@corp.example", "zanderbeck", 1) for k in range(20)} | {(f"email:user{k}@site{k}.example", "mailbox", 2) for k in range(20)}
+    want |= {(f"ip:10.1.2.{k}", t, 1) for k in range(9) for t in ("backbone", "router")} | {(f"phone:1415555{100 + k:04d}", "townhall", 1) for k in range(9)}
+    assert got == want
+    out = {r.doc_id: r.clean for r in pii.find_personal_data(docs, clean="clean").collect()}
+    assert "Zanderbeck" not in out[0] and "ailbox" not in out[100] and "outer" not in out[200] and "singleton" in out[400] and "roster" in out[500]
+    shares = {(r.kind, r.level): r.entities for r in pii.scored_levels(docs).collect()}
+    assert shares[("ip", 1)] == 9 and shares[("phone", 1)] == 9 and shares[("email", 1)] == 20 and shares[("email", 2)] >= 20
+
+
 def test_pii_frames(awkward, clashing, nothing):
     assert pii.find_personal_data(clashing, clean="clean").count() == awkward.count()
     assert pii.find_personal_data(nothing).count() == 0
