@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import col, fresh, map_texts, text_or_empty
-from .toxicity import _logistic, _without_copies, labelled_sample
+from .toxicity import _logistic, _without_copies, label_counts, labelled_sample, prior_shift
 
 #: Labelled documents that fitting may take of each kind, and characters of all of them.
 SAMPLE_PER_LABEL = 1_500
@@ -87,10 +87,13 @@ def evidence(good: bytes, bad: bytes, texts: list[str]) -> np.ndarray:
 def fit_compression(docs: DataFrame, labels: DataFrame, target: str = "quality", **names) -> CompressionModel:
     """Fit on a bounded sample of labelled rows (`SAMPLE_PER_LABEL`, `SAMPLE_CHARS`), copies once."""
     sample = {"per_label": SAMPLE_PER_LABEL, "chars": SAMPLE_CHARS} | names
-    return train_compression(labelled_sample(docs, labels, target, **sample))
+    counts = label_counts(docs, labels, target, **{k: v for k, v in names.items() if k == "id"})
+    return train_compression(labelled_sample(docs, labels, target, **sample), counts)
 
 
-def train_compression(rows: list[tuple[str, int]]) -> CompressionModel:
+def train_compression(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> CompressionModel:
+    """`counts`: rows labelled 0 and 1 in the table that `rows` are a sample of, if they are not all of it."""
+    shift = prior_shift(rows, counts)
     rows = _without_copies(rows)
     y = np.array([v for _, v in rows], dtype=float)
     if len(set(y.tolist())) < 2:
@@ -101,7 +104,9 @@ def train_compression(rows: list[tuple[str, int]]) -> CompressionModel:
     rest = [k for k in range(len(rows)) if not k % 2]
     if len(set(y[rest].tolist())) < 2:
         rest = list(range(len(rows)))
-    return CompressionModel(*made, _logistic(evidence(*made, [rows[k][0] for k in rest]), y[rest], ridge=0.1))
+    calibration = _logistic(evidence(*made, [rows[k][0] for k in rest]), y[rest], ridge=0.1)
+    calibration[0] += shift
+    return CompressionModel(*made, calibration)
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -79,6 +79,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, id: str = "
     return rows
 
 
+def label_counts(docs: DataFrame, labels: DataFrame, target: str, id: str = "doc_id") -> tuple[int, int]:
+    """Rows of `docs` labelled 0 and 1: what `labelled_sample` draws from."""
+    marks = labels.select(F.col(id).alias("i"), F.col(target).cast("int").alias("y")).filter("i is not null and y in (0, 1)").distinct()
+    n = docs.select(col(id).alias("i")).join(marks, "i").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).first()
+    return n["n0"], n["n1"]
+
+
+def prior_shift(rows: list[tuple[str, int]], counts: tuple[int, int] | None) -> float:
+    """What the log-odds of a fit on the sample `rows` lack where label 0 and 1 have `counts` rows."""
+    ones = sum(y for _, y in rows)
+    if counts is None or not (ones and len(rows) - ones and all(counts)):
+        return 0.0
+    return float(np.log(counts[1] / counts[0]) - np.log(ones / (len(rows) - ones)))
+
+
 def forward_backward(s: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray):
     """(marginals of state 1, summed pair marginals) of texts laid end to end.
 
@@ -210,8 +225,13 @@ def _thinned(words: list[int]) -> list[int]:
     return out
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 60, least_docs: int = 3, ratio: float = 8.0, z: float = 2.8, ridge: float = 0.02) -> ToxicModel:
-    """Fit chain and calibration on (text, label) rows; a third of the rows is kept for calibration."""
+def train(rows: list[tuple[str, int]], rounds: int = 60, least_docs: int = 3, ratio: float = 8.0, z: float = 2.8, ridge: float = 0.02,
+          counts: tuple[int, int] | None = None) -> ToxicModel:
+    """Fit chain and calibration on (text, label) rows; a third of the rows is kept for calibration.
+
+    `counts`: rows labelled 0 and 1 in the table that `rows` are a sample of, if they are not all of it.
+    """
+    shift = prior_shift(rows, counts)
     rows = _without_copies(rows)
     y_all = np.array([y for _, y in rows])
     flat = ToxicModel({}, 0.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4))
@@ -292,8 +312,9 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least_docs: int = 3, ra
     s = np.array([cache[w] if w in cache else cache.setdefault(w, model.emission(w)) for i in unseen for w in words[i]], dtype=float)
     p, _ = forward_backward(s, first, model.transitions, model.start)
     x = _evidence(p, first_at, sizes)
-    # the sample is balanced by its bounds; weights of one keep the score comparable between inputs
+    # the bounds of the sample may balance the labels; the shift makes scores chances at the table's own ratio
     model.calibration = _logistic(x, y_all[unseen].astype(float))
+    model.calibration[0] += shift
     return model
 
 
@@ -345,4 +366,5 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, **names) -> ToxicModel:
-    return train(labelled_sample(docs, labels, "toxic", **names))
+    counts = label_counts(docs, labels, "toxic", **{k: v for k, v in names.items() if k == "id"})
+    return train(labelled_sample(docs, labels, "toxic", **names), counts=counts)

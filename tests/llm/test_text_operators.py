@@ -97,6 +97,31 @@ def test_toxicity_held_out(spark):
     assert (order[got.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.85
 
 
+def test_scores_keep_their_meaning_when_the_sample_is_balanced(spark):
+    rng = random.Random(9)
+    syllables = ["".join(x) for x in itertools.product("bdgk", "aeio", "lmnr", "aeiou")]
+    other = ["".join(x) for x in itertools.product("ptsz", "uy", "fhvw", "aeiou")]
+    rows = []
+    for k in range(3000):
+        toxic, bad = int(k % 15 == 0), int(k % 15 in (1, 2))
+        words = rng.choices(syllables, k=50)
+        if rng.random() < (0.7 if toxic else 0.05):
+            words[rng.randrange(50)] = "vilest"
+        # bad texts take many words of their own kind, some good ones as many
+        if rng.random() < (0.9 if bad else 0.1):
+            words[:25] = rng.choices(other, k=25)
+        rows.append((k, " ".join(words), 1 - bad, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").cache()
+    texts, labels = docs.select("doc_id", "text"), docs.select("doc_id", "quality", "toxic")
+    for fit, score, target in ((toxicity.fit_toxicity, toxicity.score_toxicity, "toxic"), (compression_quality.fit_compression, compression_quality.score_quality, "quality")):
+        true = np.mean([r[2 if target == "quality" else 3] for r in rows])
+        means = []
+        for most in (200, 10_000):
+            out = score(texts, fit(texts, labels, per_label=most)).select("score", "predicted").toPandas()
+            means.append((out.score.mean(), out.predicted.mean()))
+        assert all(abs(m - true) < 0.04 for m, _ in means) and abs(means[0][1] - means[1][1]) < 0.04
+
+
 def test_bpe_equals_library(encoding):
     vocab = bpe.vocabulary(PATH, public_tokenizers.PATTERN)
     rng = random.Random(2)
