@@ -2,8 +2,10 @@
 
 A tokenizer's tags build a tree that supplies implied ends (a new `<p>`, `<li>`, `<td>`, ... ends the open
 one) and ignores stray ends. Visibility follows tags that never show, `hidden`, inline styles and simple
-rules of the page's own style sheets (tag, `.class`, `#id`, tag.class) that set display none or
-visibility hidden. Rendering collapses white space except in `<pre>`, separates paragraphs by a blank
+rules of the page's own style sheets (tag, `.class`, `#id`, tag.class) that set display or visibility, the most
+specific and then the last one winning; rules inside `@media` count if it holds on a screen of `SCREEN` pixels,
+those inside other conditions or at-rules never. Descendants may show themselves again inside an
+element of hidden visibility. Buttons show their values, math and drawings their text. Rendering collapses white space except in `<pre>`, separates paragraphs by a blank
 line and other blocks by a line, marks and indents list items, and pads table cells to their column.
 
 Defined cases: null and empty pages give an empty text; broken markup never fails; trees of any depth are
@@ -24,7 +26,7 @@ from .common import col, fresh, map_texts, text_or_empty
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("script style template head title noscript iframe object svg math canvas audio video datalist meta link base".split())
+NEVER = frozenset("script style template head title noscript iframe object canvas audio video datalist meta link base".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCK = SPACED | frozenset("html body div article section main nav aside header footer address li dt dd tr td th thead tbody tfoot caption form hr figcaption details summary legend center dir menu search hgroup optgroup option".split())
 ENDS_P = BLOCK - frozenset("html body li dt dd tr td th thead tbody tfoot caption option optgroup legend figcaption summary".split())
@@ -45,8 +47,20 @@ IMPLIED = {
 }
 TABLE_DEPTH, PAD = 20, 60
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+#: Width and height of the screen that media conditions are read for.
+SCREEN = {"width": 1280, "height": 800}
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.IGNORECASE)
+BRACE = re.compile(r"[{};]")
+STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
+RANGE = re.compile(r"\(\s*(width|height)\s*([<>])=?\s*([\d.]+)\s*(px|r?em)?\s*\)")
+SETTING = re.compile(r"\(\s*([a-z-]+)\s*:\s*([a-z-]+)\s*\)")
+SETTINGS = {"orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference"}
+LENGTH = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([\d.]+)\s*(px|r?em)?\s*\)")
+#: Parts of a drawing that never show, and those that hold its text.
+UNSEEN = frozenset("defs symbol desc metadata lineargradient radialgradient clippath mask pattern marker filter".split())
+DRAWN = frozenset(["text", "foreignobject"])
+#: Inputs that show a label, and the label they have without a value.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": "", "image": "Submit"}
 SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?")
 
 
@@ -91,13 +105,18 @@ class Tree(HTMLParser):
         elif tag not in NEVER and self.counts.get("head") and tag not in ("html", "head"):
             self._end_open({"head"}, {"html"})
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if tag in ("annotation", "annotation-xml") and self.counts.get("math"):
+            node.attrs["#never"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
             self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash ends nothing in HTML
+        self.handle_starttag(tag, attrs)  # a slash ends nothing in HTML, but elements of drawings and formulas
+        foreign = (self.counts.get("svg") or self.counts.get("math")) and not self.counts.get("foreignobject")
+        if (foreign or tag == "foreignobject") and self.open[-1].tag == tag:
+            self._end(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "p" and not self.counts.get("p"):
@@ -116,7 +135,7 @@ class Tree(HTMLParser):
 
     def handle_data(self, data):
         top = self.open[-1]
-        if top.tag == "style":
+        if top.tag == "style" and on_screen(top.attrs.get("media", "")):
             self.styles.append(data)
         if top.tag == "head" and data.strip():
             self._end_open({"head"}, {"html"})
@@ -130,26 +149,140 @@ def parse(html: str) -> Tree:
     return tree
 
 
-def hiding_rules(styles: list[str]) -> set[str]:
-    """Simple selectors that the style sheets hide."""
-    out = set()
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds on the screen; features other than its size count as met."""
+    return any(_query_holds(q.strip()) for q in media.lower().split(",")) if media.strip() else True
+
+
+def _query_holds(query: str) -> bool:
+    negated = re.match(r"not\s+", query)
+    query = re.sub(r"^(?:not|only)\s+", "", query)
+    kind = re.match(r"[a-z-]+", query)
+    holds = kind is None or kind.group() in ("all", "screen")
+    bounds = [(side == "min", axis, number, unit) for side, axis, number, unit in LENGTH.findall(query)]
+    bounds += [(side == ">", axis, number, unit) for axis, side, number, unit in RANGE.findall(query)]
+    for least, axis, number, unit in bounds:
+        n = float(number) * (16 if unit in ("em", "rem") else 1) if re.fullmatch(r"\d*\.?\d+|\d+\.", number) else 0
+        holds &= SCREEN[axis] >= n if least else SCREEN[axis] <= n
+    holds &= all(SETTINGS.get(name, value) == value for name, value in SETTING.findall(query))
+    return holds != bool(negated)
+
+
+def declared(body: str) -> dict[str, tuple[str, bool]]:
+    """display and visibility of a declaration block, with whether they are important; the last one wins."""
+    out: dict[str, tuple[str, bool]] = {}
+    for name, value, important in DECLARED.findall(body):
+        name = name.lower()
+        if important or not out.get(name, ("", False))[1]:
+            out[name] = (value.lower(), bool(important))
+    return out
+
+
+def style_rules(styles: list[str]) -> dict[str, dict[str, tuple]]:
+    """Simple selector → property → (rank, value) over all sheets; a greater rank wins."""
+    out: dict[str, dict[str, tuple]] = {}
+    order = 0
     for sheet in styles:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
-            if HIDING.search(body):
-                out.update(s for x in selectors.split(",") if (s := x.strip()) and SIMPLE.fullmatch(s))
+        sheet = STRING.sub('""', re.sub(r"/\*.*?\*/|<!--|-->", "", sheet, flags=re.DOTALL))
+        applies, blocks, starts, at = [True], [""], [0], 0
+        for m in BRACE.finditer(sheet):
+            head = sheet[at : m.start()].strip()
+            if m.group() == ";":
+                # ends a statement such as @import; inside a rule, declarations go on
+                at = m.end() if not blocks[-1] else at
+            elif m.group() == "{":
+                name = head.lower()
+                if name.startswith("@"):
+                    word = re.match(r"@[a-z-]*", name).group()
+                    if word == "@media":
+                        inside = on_screen(head[6:])
+                    else:
+                        inside = word == "@layer" or word == "@supports" and not re.match(r"@supports\s+not\b", name)
+                    blocks.append("")
+                    applies.append(applies[-1] and inside)
+                else:
+                    blocks.append(head)
+                    applies.append(applies[-1])
+                at = m.end()
+                starts.append(at)
+            else:
+                if blocks[-1] and applies[-1]:
+                    for name, (value, important) in declared(re.sub(r"[^;{}]*\{[^{}]*\}", ";", sheet[starts[-1] : m.start()])).items():
+                        for s in map(str.strip, blocks[-1].split(",")):
+                            found = SIMPLE.fullmatch(s)
+                            if s and found:
+                                order += 1
+                                rank = (important, (found[2] or "").startswith("#"), (found[2] or "").startswith("."), bool(found[1]), order)
+                                held = out.setdefault(s, {})
+                                held[name] = max(held.get(name, (rank, value)), (rank, value))
+                if len(blocks) > 1:
+                    blocks.pop()
+                    applies.pop()
+                    starts.pop()
+                at = m.end()
     return out
 
 
-def hidden(node: Node, rules: set[str]) -> bool:
-    tag, attrs = node.tag, node.attrs
-    if tag in NEVER or "hidden" in attrs or HIDING.search(attrs.get("style", "")):
-        return True
-    if tag == "input" or tag == "dialog" and "open" not in attrs:
-        return True
+def styled(node: Node, rules: dict, name: str) -> str | None:
+    """The value of a property that the page gives an element itself."""
+    own = declared(node.attrs["style"]).get(name) if node.attrs.get("style") else None
     if not rules:
-        return False
+        return own and own[0]
+    tag, attrs = node.tag, node.attrs
     marks = ["", *("." + c for c in attrs.get("class", "").split()), *(["#" + attrs["id"].strip()] if attrs.get("id") else [])]
-    return any(m and m in rules or tag + m in rules for m in marks)
+    best = max((held[name] for m in marks for key in {m, tag + m} if (held := rules.get(key)) and name in held), default=None)
+    if own and (own[1] or not (best and best[0][0])):
+        return own[0]
+    return best and best[1]
+
+
+def hidden(node: Node, rules: dict) -> bool:
+    """Whether an element and all in it don't show."""
+    tag, attrs = node.tag, node.attrs
+    if tag in NEVER or "#never" in attrs or tag == "input" and attrs.get("type", "").lower().strip() not in BUTTONS:
+        return True
+    display = styled(node, rules, "display")
+    if display is not None:
+        return display == "none"
+    return "hidden" in attrs or tag == "dialog" and "open" not in attrs
+
+
+def conceal(root: Node, rules: dict) -> None:
+    """Take out what the inherited visibility hides, but not descendants that are visible again."""
+    todo = [(root, True)]
+    while todo:
+        node, shown = todo.pop()
+        value = styled(node, rules, "visibility")
+        if value in ("hidden", "collapse", "visible", "initial"):
+            shown = value in ("visible", "initial")
+        if not shown:
+            node.children = [c for c in node.children if not isinstance(c, str)]
+            node.attrs["#unseen"] = ""
+        todo += [(c, shown) for c in node.children if not isinstance(c, str)]
+
+
+def drawn(svg: Node, rules: dict) -> list[Node]:
+    """The elements of a drawing that hold text, in order."""
+    out, todo = [], list(reversed(svg.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.tag in UNSEEN or hidden(node, rules):
+            continue
+        if node.tag in DRAWN:
+            out.append(node)
+        else:
+            todo += reversed(node.children)
+    return out
+
+
+def label(node: Node) -> str:
+    """What an image or a button shows as text."""
+    if "#unseen" in node.attrs:
+        return ""
+    if node.tag == "img":
+        return node.attrs.get("alt", "")
+    kind = node.attrs.get("type", "").lower().strip()
+    return node.attrs.get("alt" if kind == "image" else "value", BUTTONS[kind])
 
 
 class Page:
@@ -230,7 +363,7 @@ def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
     return out
 
 
-def _rows(table: Node, rules: set[str]) -> tuple[list[Node], list[list[Node]], list[Node]]:
+def _rows(table: Node, rules: dict) -> tuple[list[Node], list[list[Node]], list[Node]]:
     """(captions, rows of cells, anything else) of a table, looking through its row groups only."""
     captions, rows, other, todo = [], [], [], [table]
     while todo:
@@ -258,7 +391,7 @@ def _rows(table: Node, rules: set[str]) -> tuple[list[Node], list[list[Node]], l
     return captions, rows, other
 
 
-def render(nodes: list, rules: set[str], depth: int = 0) -> str:
+def render(nodes: list, rules: dict, depth: int = 0) -> str:
     page, todo = Page(), [("in", n, False) for n in reversed(nodes)]
     while todo:
         step, node, pre = todo.pop()
@@ -281,8 +414,14 @@ def render(nodes: list, rules: set[str], depth: int = 0) -> str:
         elif tag == "hr":
             page.end(True)
         elif tag == "img":
-            if node.attrs.get("alt", "").strip():
-                page.word(node.attrs["alt"], False)
+            if label(node).strip():
+                page.word(label(node), False)
+        elif tag == "input":
+            if label(node).strip():
+                page.word(f" {label(node)} ", False)
+        elif tag == "svg":
+            for part in reversed(drawn(node, rules)):
+                todo += [("in", " ", False), ("in", part, False), ("in", " ", False)]
         elif tag == "table" and depth < TABLE_DEPTH:
             page.end(True)
             captions, rows, other = _rows(node, rules)
@@ -326,7 +465,10 @@ def _span(cell: Node) -> int:
 
 def visible_text(html: str) -> str:
     tree = parse(html)
-    return render(tree.root.children, hiding_rules(tree.styles))
+    rules = style_rules(tree.styles)
+    if "visibility" in html.lower():
+        conceal(tree.root, rules)
+    return render(tree.root.children, rules)
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

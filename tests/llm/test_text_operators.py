@@ -152,6 +152,28 @@ def test_html_layout():
     assert html_text.visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<style>@media print { .nav { display:none } p{display:none} }</style><div class=nav>menu</div><p>x", "menu\n\nx"),
+        ("<style>@media (max-width: 600px) { .nav { display:none } } @media (width < 30em){b{display:none}}</style><div class=nav>menu <b>c</b></div>", "menu c"),
+        ("<style>@media screen and (min-width:600px) { .m { display:none } }</style><i class=m>no</i>yes", "yes"),
+        ("<style>@media print{a{display:none}} .m{display:none}</style><a>yes</a><i class=m>no</i>", "yes"),
+        ("<style media=print>b{display:none}</style><b>yes</b>", "yes"),
+        ("<style>.m{display:none} .m{display:block}</style><i class=m>yes</i>", "yes"),
+        ("<style>.m{display:block} .m{display:none}</style><i class=m>no</i>yes", "yes"),
+        ("<style>#k{display:inline} .m{display:none}</style><i id=k class=m>yes</i><i class=m style='display:inline'> too</i>", "yes too"),
+        ("<style>.m{display:none !important} .m{display:block}</style><i class=m style='display:inline'>no</i>yes", "yes"),
+        ("<style>.h{visibility:hidden}.v{visibility:visible}</style><p class=h>no <b class=v>yes</b> no</p>", "yes"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+        ("a<svg><title>no</title><defs/><path d='M0'/><g><text>one</text><text>two</text></g>no<defs><text>no</text></defs></svg>b", "a one two b"),
+        ("<input type=submit value=Go><input type=hidden value=no><input type=image alt=Find><input type=reset><input value=typed>", "Go Find Reset"),
+    ],
+)
+def test_html_visibility(html, want):
+    assert html_text.visible_text(html) == want
+
+
 @pytest.mark.parametrize("html", ["", "plain", "<", "</p></td>", "<table><tr><table><td>x", "<li>" * 3000 + "x", "<div>" * 20_000 + "x" + "</div>" * 20_000, "<table><tr><td>" * 60 + "x"])
 def test_html_never_fails(html):
     assert html_text.visible_text(html).count("x") == html.count("x")
