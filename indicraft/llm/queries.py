@@ -9,17 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from indicraft.session import scratch_path
 
 from .chat import digests, format_turns
 from .common import table
 from .compression_quality import fit_compression, score_quality
 from .embedding_dedup import embedding_dedup
+from .fill_middle import fill_in_middle, restored
+from .filter_audit import audit_filters
 from .bpe import decode, encode
 from .html_text import extract_text
 from .mixing import mix
 from .ngram_join import ngram_join
 from .pii import KINDS, find_personal_data
 from .quality_rules import apply_rules
+from .token_files import read_token_files, write_token_files
 from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +123,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (part_of(3) == 1).alias("held_out"), "score", "predicted", "spans")
 
 
+@query("op11_filter_audit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, per source, order of the filters and step."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from the token files of all whole texts."""
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, path)
+
+
+@query("op13_fill_middle")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-middle form, and digests of the output and of the text rebuilt from it."""
+    cut = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests_ = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests_)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline."""
@@ -127,3 +153,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+_FLAGS = f"""
+d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, {_WORDS} as words, min(doc_id) over (partition by t) as first_id from d),
+m as (select doc_id as marked, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+x as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+  case when len(words) < 200 then 1 else 0 end
+  + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+  + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 4 else 0 end
+  + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+  + case when coalesce(doc_id > first_id, false) then 16 else 0 end as failed
+  from w left join m on doc_id = marked),
+c as (select part, failed, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic from x group by all),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, bit)),
+o as (select [f1.f, f2.f, f3.f, f4.f, f5.f] as names, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] as bits
+  from f f1, f f2, f f3, f f4, f f5 where f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31
+  and len(list_distinct([f1.f, f2.f, f3.f, f4.f, f5.f])) = 5),
+s as (select array_to_string(names, '') as filter_order, step::int as step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from o, range(1, 6) r(step))"""
+
+ORACLES["op11_filter_audit"] = f"""
+with {_FLAGS}
+select part, filter_order, step,
+  coalesce(sum(n) filter (failed & (own | before) = 0), 0)::bigint as kept,
+  coalesce(sum(n) filter (failed & own > 0 and failed & before = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (failed & own > 0 and failed & before > 0), 0)::bigint as redundant,
+  coalesce(sum(n) filter (failed = own), 0)::bigint as unique_fails,
+  coalesce(sum(n_good) filter (failed & own > 0 and failed & before = 0), 0)::bigint as good_lost,
+  coalesce(sum(n_toxic) filter (failed & own > 0 and failed & before = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(failed), 1)) filter (failed & own > 0), 0)::bigint as shapley
+from c, s group by part, filter_order, step"""
+
+ORACLES["op13_fill_middle"] = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') as units,
+  ('0x' || h[1:8])::ubigint as h1, ('0x' || h[9:16])::ubigint as h2, ('0x' || h[17:24])::ubigint as h3, ('0x' || h[25:32])::ubigint as h4 from d),
+c as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (select doc_id, t, n, form, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then t when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256 from p"""
