@@ -16,8 +16,8 @@ stand in the folder's name) turns offsets in a shard into offsets in the whole c
 Files are written by Spark's text sink and read by its binary file source, so any shared file system
 serves, a task's file appears only when it is committed, and lost executors repeat their ranges. The sink ends a file with one newline.
 
-The tokenizer sees units instead of texts: a text may be cut before every single space between two other characters, since no piece of
-a byte-level pattern runs across one, and equal units of a worker are encoded once.
+The tokenizer sees units instead of texts: a text may be cut before every single space between two other characters, and between a
+letter and a punctuation mark, since no piece of a byte-level pattern runs across these, and equal units of a worker are encoded once.
 
 Defined cases: null and empty texts have the end id only; null ids come first and stay null; rows of equal id are ordered by the
 hash of their text, so equal rows may stand for one another; a text longer than a shard has a shard of its own; an empty table gives no shards; other columns stay behind.
@@ -28,7 +28,6 @@ from __future__ import annotations
 import functools
 import math
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,12 +45,12 @@ SHARD_IDS = 8_000_000
 #: Bytes of text that one task encodes.
 RANGE_BYTES = 48_000_000
 #: Bytes of units and their ids that a worker remembers.
-REMEMBERED_BYTES = 48_000_000
+REMEMBERED_BYTES = 80_000_000
 MAGIC = b"EFT1"
 HEAD = "<4sBxxxIIqQ"
 EF_HEAD = "<IQBxxxIII"
 SAMPLE = 256
-UNIT = re.compile(r"(?<=\S)(?= \S)")
+LETTER, MARK = (np.isin(np.arange(256), np.frombuffer(chars, np.uint8)) for chars in (b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?"))
 POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 #: Place of the k-th one in each byte.
 IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], dtype=np.uint8)
@@ -164,33 +163,121 @@ class Shard:
         return self.ends.select_many(np.arange(self.n_docs)).astype(np.int64)
 
 
+def unit_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Byte places where units begin: at each text's start, at single spaces between two characters that are no white space,
+    and between an ASCII letter and a punctuation mark.
+
+    White space beyond ASCII is told by its UTF-8 bytes, and where the next character could be some, the text stays whole.
+    """
+    begins = np.zeros(len(data), bool)
+    begins[text_starts] = True
+    if len(data) > 2:
+        inner = np.flatnonzero(data[1:-1] == 32) + 1
+        last, nxt = data[inner - 1], data[inner + 1]
+        fits = (last > 32) & (nxt > 32)
+        for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+            fits &= nxt != lead
+        wide = np.flatnonzero(last >= 0x80)
+        at = inner[wide]
+        before2, before3 = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        fits[wide] &= ~((np.isin(data[at - 1], (0x85, 0xA0)) & (before2 == 0xC2)) | (np.isin(before2, (0x80, 0x81, 0x9A)) & np.isin(before3, (0xE1, 0xE2, 0xE3))))
+        begins[inner[fits]] = True
+        marks = np.flatnonzero(MARK[data[1:]]) + 1
+        begins[marks[LETTER[data[marks - 1]]]] = True
+    return np.flatnonzero(begins)
+
+
 class UnitCoder:
-    """Ids of texts by the tokenizer library, equal units encoded once."""
+    """Ids of texts by the tokenizer library, equal units encoded once.
 
-    def __init__(self, path: str):
+    Units that begin with a space and a character and end with a character may stand side by side in one string, so
+    the library is called once for many; the lengths of their tokens tell them apart again. Known units live in
+    two generations: those that were met since the last change of generations stay.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        # a byte-level token has one character per byte
+        self.lengths = np.zeros(size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token)
+        self.remembered = remembered
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.held > REMEMBERED_BYTES:
-            self.known.clear()
-            self.held = 0
-        parts = [UNIT.split(t) for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
-        for start in range(0, len(new), 4_096):
-            some = new[start : start + 4_096]
-            for unit, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = np.array(got.ids, dtype=self.kind).tobytes()
-                self.known[unit] = ids
-                self.held += 2 * len(unit) + len(ids) + 150
-        known = self.known
-        return [b"".join([known[u] for u in p]) for p in parts]
+    def _ids(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, units: list[bytes]) -> None:
+        joined, alone = [], []
+        for u in units:
+            text = u.decode()
+            fits = len(text) > 1 and text[0] == " " and not text[1].isspace() and not text[-1].isspace()
+            (joined if fits else alone).append(u)
+        for start in range(0, len(joined), 16_384):
+            some = joined[start : start + 16_384]
+            ids = self._ids([b"".join(some).decode()])[0]
+            ends = np.cumsum(self.lengths[ids])
+            want = np.cumsum([len(u) for u in some])
+            cuts = np.searchsorted(ends, want)
+            if len(ids) == 0 or cuts[-1] != len(ends) - 1 or (ends[cuts] != want).any():
+                alone += some  # not a byte-level vocabulary: one by one
+                continue
+            blob, width = ids.tobytes(), ids.itemsize
+            at = 0
+            for u, cut in zip(some, ((cuts + 1) * width).tolist()):
+                self.young[u] = blob[at:cut]
+                at = cut
+        for start in range(0, len(alone), 4_096):
+            some = alone[start : start + 4_096]
+            for u, ids in zip(some, self._ids([u.decode() for u in some])):
+                self.young[u] = ids.tobytes()
+        self.held += sum(3 * len(u) + 150 for u in units)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, end to end."""
+        if self.held > self.remembered / 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        if len(texts) == 0:
+            return []
+        # the texts of a slice of an Arrow array lie end to end in its buffer
+        texts = texts.cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        sizes = np.diff(bounds)
+        full = np.flatnonzero(sizes)
+        if len(full) == 0:
+            return [b""] * len(texts)
+        data = texts.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
+        text_starts = (bounds[:-1] - bounds[0])[full]
+        starts = unit_starts(np.frombuffer(data, np.uint8), text_starts)
+        offsets = pa.py_buffer(np.append(starts, data.size).astype(np.int64).tobytes())
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, data]).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        young, old = self.young, self.old
+        new = []
+        for u in [u for u in distinct if u not in young]:
+            known = old.get(u)
+            if known is None:
+                new.append(u)
+            else:
+                young[u] = known
+                self.held += 3 * len(u) + 150
+        self._learn(new)
+        ids = pa.array([young[u] for u in distinct], pa.large_binary()).take(units.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        blob = memoryview(ids.buffers()[2] or b"")
+        firsts = np.append(np.searchsorted(starts, text_starts), len(starts))
+        out = [b""] * len(texts)
+        for k, a, b in zip(full.tolist(), ends[firsts[:-1]].tolist(), ends[firsts[1:]].tolist()):
+            out[k] = bytes(blob[a:b])
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -229,10 +316,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id: str = "doc
             return pa.RecordBatch.from_pydict({"shard": [label], "data": pa.array([write_shard(doc_ids, sizes, held, width)], pa.binary())})
 
         for batch in batches:
-            for start, stop in steps(batch.column(2), 1_000_000):
+            for start, stop in steps(batch.column(2), 4_000_000):
                 rows = batch.slice(start, stop - start)
                 part = rows.column(0)[0].as_py()
-                for d, ids in zip(rows.column(1).to_pylist(), own.encode(rows.column(2).to_pylist())):
+                for d, ids in zip(rows.column(1).to_pylist(), own.encode(rows.column(2))):
                     size = len(ids) // width + 1
                     if doc_ids and used + size > shard_ids:
                         yield shard()

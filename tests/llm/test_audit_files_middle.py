@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -137,8 +138,12 @@ def test_units_encode_like_whole_texts(texts):
     assert [np.frombuffer(x, np.uint16).tolist() for x in coder.encode(texts)] == whole
 
 
-def plain_files(rows):
-    coder = UnitCoder(TOKENIZER)
+@pytest.fixture(scope="module")
+def coder():
+    return UnitCoder(TOKENIZER)
+
+
+def plain_files(coder, rows):
     out, start = [], 0
     for d, t in rows:
         ids = [*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -148,12 +153,12 @@ def plain_files(rows):
 
 
 @pytest.mark.parametrize(("shard_ids", "range_bytes"), [(500, 3_000), (10**6, 10**9)])
-def test_files_equal_a_plain_concatenation(spark, clashing, tmp_path, shard_ids, range_bytes):
+def test_files_equal_a_plain_concatenation(spark, clashing, tmp_path, coder, shard_ids, range_bytes):
     path = str(tmp_path / "files")
     docs = clashing.filter("doc_id is null or doc_id <> 6")
     write_token_files(docs, path, TOKENIZER, shard_ids=shard_ids, range_bytes=range_bytes)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))]
-    want = plain_files([tuple(r) for r in docs.orderBy(*order).select("doc_id", "text").collect()])
+    want = plain_files(coder, [tuple(r) for r in docs.orderBy(*order).select("doc_id", "text").collect()])
     got = sorted((tuple(r) for r in read_token_files(spark, path).collect()), key=lambda r: r[1])
     assert got == want
     known = manifest(spark, path).orderBy("shard").collect()
