@@ -1,10 +1,10 @@
 """What filters remove alone, together and in every order, from a sparse document-term matrix.
 
 Tasks count the words of their documents against a word list of their own and store shards: compressed sparse rows
-(row ends, word numbers, counts) with the shard's words. All shards' words then get global numbers: distinct words are
-sorted by range and numbered from range offsets. Words meet the dictionary once per shard and not once per document, first
-inside bundles of shards, then across bundles, so a word in every document costs a few rows. With global numbers in place,
-a row's sum is the document's words (filter A) and its stored entries are the distinct ones (filter B).
+(row ends, word numbers, counts) with the shard's words. All shards' words then get global numbers in one shuffle: words are dealt to
+buckets by hash and ranked in each, and the number is rank times buckets plus bucket, so buckets hand out numbers in turn and none
+needs to know how many words another holds. A word takes part once per shard and not once per document, so one that stands in every document
+costs a row per shard. With global numbers in place, a row's sum is the document's words (filter A) and its stored entries are the distinct ones (filter B).
 
 C and D are read off the text's bytes on the way. E, the same text under a smaller id, compares ids with the least id of the text's
 digest, after rows of one (id, digest) are counted together. What is left are counts per part and set of failed filters, at
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,19 +42,29 @@ LEAST_WORDS = 200
 LEAST_DISTINCT = 50
 MOST_UPPER = 2
 #: Bytes of text in a shard.
-SHARD_BYTES = 6_000_000
-#: Bundles that shards' words are united in before they meet the dictionary.
-BUNDLES = 256
+SHARD_BYTES = 16_000_000
+#: Words of shards, repeats counted, that a bucket of the dictionary ranks.
+BUCKET_WORDS = 1_000_000
+#: Bits of a global number where it is packed behind the word's place in its shard.
+TERM_BITS = 40
 #: Number types that a shard may use, smallest first; the place of the type is a packed array's first byte.
 KINDS = ("<u1", "<u2", "<u4", "<u8")
 
 
 @dataclass
 class TermMatrix:
-    """`shards` (shard, docs, ends, terms, counts): compressed rows with global word numbers; `dictionary` (word, term)."""
+    """`shards` (shard, docs, ends, terms, counts): compressed rows with global word numbers; `dictionary` (word, term), which
+    is read from the stored word lists `local` of the shards."""
 
     shards: DataFrame
     dictionary: DataFrame
+    local: DataFrame
+
+    def rows(self, shard) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, counts) of each document of one collected shard."""
+        ends = unpacked(bytes(shard["ends"])).astype(np.int64)
+        terms, counts = unstepped(unpacked(bytes(shard["terms"])), ends), unpacked(bytes(shard["counts"]))
+        return list(zip(np.split(terms, ends[:-1]), np.split(counts, ends[:-1])))
 
 
 _DOC = T.StructType([
@@ -61,22 +72,38 @@ _DOC = T.StructType([
     T.StructField("c", T.BooleanType()), T.StructField("d", T.BooleanType()),
 ])
 _SHARD = T.StructType([
-    T.StructField("shard", T.StringType()), T.StructField("docs", T.ArrayType(_DOC)), T.StructField("ends", T.BinaryType()),
+    T.StructField("shard", T.LongType()), T.StructField("docs", T.ArrayType(_DOC)), T.StructField("ends", T.BinaryType()),
     T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())),
 ])
 _ARROW_DOC = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("c", pa.bool_()), ("d", pa.bool_())])
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Non-negative numbers in the smallest type that holds them."""
+    """Non-negative numbers in the smallest type that holds them, compressed."""
     top = int(values.max()) if len(values) else 0
     kind = next(k for k, name in enumerate(KINDS) if top <= np.iinfo(name).max)
-    return bytes([kind]) + values.astype(KINDS[kind]).tobytes()
+    return bytes([kind]) + zstandard.compress(values.astype(KINDS[kind]).tobytes(), 1)
+
+
+def unpacked(data: pa.Scalar | bytes) -> np.ndarray:
+    view = memoryview(data if isinstance(data, bytes) else data.as_buffer())
+    return np.frombuffer(zstandard.decompress(view[1:]), KINDS[view[0]])
+
 
+def stepped(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rising rows as the steps between neighbours; a row's first stays."""
+    out = np.diff(values, prepend=values[:0] if len(values) == 0 else 0)
+    starts = np.concatenate([[0], ends[:-1]])[ends > np.concatenate([[0], ends[:-1]])]
+    out[starts] = values[starts]
+    return out
 
-def unpacked(data: pa.Scalar) -> np.ndarray:
-    view = memoryview(data.as_buffer())
-    return np.frombuffer(view, KINDS[view[0]], offset=1)
+
+def unstepped(steps_: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps_, dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    sizes = ends - starts
+    starts = starts[sizes > 0]
+    return total - np.repeat(total[starts] - steps_[starts], sizes[sizes > 0])
 
 
 class _Builder:
@@ -95,8 +122,10 @@ class _Builder:
         # bytes.split cuts at exactly the six ASCII characters that words may not hold
         found = Counter(data.split())
         number = self.number
-        self.terms.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
-        self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
+        terms = np.fromiter([number.setdefault(w, len(number)) for w in found], np.int64, len(found))
+        rising = np.argsort(terms)
+        self.terms.append(terms[rising])
+        self.counts.append(np.fromiter(found.values(), np.int64, len(found))[rising])
         self.sizes.append(len(found))
         upper = len(data) - len(data.translate(None, UPPER))
         symbols = len(data) - len(data.translate(None, SYMBOLS))
@@ -105,9 +134,10 @@ class _Builder:
         self.held += len(data) + 64
 
     def batch(self) -> pa.RecordBatch:
+        ends = np.cumsum(self.sizes)
         values = [
-            pa.array([uuid.uuid4().hex], pa.string()), pa.array([self.docs], pa.list_(_ARROW_DOC)),
-            pa.array([packed(np.cumsum(self.sizes))], pa.binary()), pa.array([packed(np.concatenate(self.terms))], pa.binary()),
+            pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([self.docs], pa.list_(_ARROW_DOC)),
+            pa.array([packed(ends)], pa.binary()), pa.array([packed(stepped(np.concatenate(self.terms), ends))], pa.binary()),
             pa.array([packed(np.concatenate(self.counts))], pa.binary()), pa.array([list(self.number)], pa.list_(pa.binary())),
         ]
         return pa.RecordBatch.from_arrays(values, names=_SHARD.names)
@@ -133,39 +163,35 @@ def local_shards(docs: DataFrame, id: str, text: str, source: str, shard_bytes:
     return slim.mapInArrow(run, _SHARD)
 
 
-def numbered(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """(word, term): distinct words numbered from 0 in their order, by ranges and the rows before each range."""
-    ranges = scratch.store(words.repartitionByRange("word").sortWithinPartitions("word").select(F.spark_partition_id().alias("range"), "word"), "audit-ranges")
-    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("word")) - 1
-    return ranges.withColumn("place", place).join(offsets, "range").select("word", (F.col("base") + F.col("place")).alias("term"))
-
-
-def document_term_matrix(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", source: str = "source", shard_bytes: int = SHARD_BYTES) -> TermMatrix:
+def document_term_matrix(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", source: str = "source",
+                         shard_bytes: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS) -> TermMatrix:
     """Counts of every word of every whole text as stored shards of compressed sparse rows with global word numbers."""
     local = scratch.store(local_shards(docs, id, text, source, shard_bytes), "audit-local")
-    named = local.select("shard", F.pmod(F.xxhash64("shard"), F.lit(BUNDLES)).cast("int").alias("bundle"), F.posexplode("words").alias("at", "word"))
-    bundled = named.select("bundle", "word").distinct()
-    dictionary = scratch.store(numbered(bundled.select("word").distinct(), scratch), "audit-dictionary")
-    in_bundle = bundled.join(dictionary, "word")
-    pairs = named.join(in_bundle, ["bundle", "word"]).select("shard", F.struct("at", "term").alias("pair"))
-    # a shard's list is as long as its word list, which the bytes of a shard bound
-    lookup = pairs.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list("pair")), lambda p: p.term).alias("global"))
+    total = local.agg(F.sum(F.size("words"))).first()[0] or 0
+    buckets = 64 * max(1, -(-total // (64 * bucket_words)))
+    named = local.select("shard", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
+    ranked = named.select("shard", "at", "word", (rank.cast("long") * buckets + F.col("bucket")).alias("term"))
+    # a shard's list is as long as its word list, which the bytes of a shard bound; the place in the list leads each entry, so sorting restores it
+    entry = F.shiftleft(F.col("at").cast("long"), TERM_BITS).bitwiseOR(F.col("term"))
+    lookup = ranked.select("shard", entry.alias("entry")).groupBy("shard").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                terms = row.column(5).flatten().to_numpy()[unpacked(row.column(3)[0])]
-                yield pa.RecordBatch.from_arrays([*row.columns[:3], pa.array([packed(terms)], pa.binary()), row.column(4)], names=["shard", "docs", "ends", "terms", "counts"])
-
-    joined = local.drop("words").join(lookup, "shard", "left").select("shard", "docs", "ends", "terms", "counts", F.coalesce("global", F.array().cast("array<bigint>")).alias("global"))
+                ends, counts = unpacked(row.column(2)[0]).astype(np.int64), unpacked(row.column(4)[0])
+                table = row.column(5).flatten().to_numpy() & ((1 << TERM_BITS) - 1)
+                terms = table[unstepped(unpacked(row.column(3)[0]), ends)]
+                # rows rise by global number too
+                rising = np.lexsort((terms, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))))
+                blobs = packed(stepped(terms[rising], ends)), packed(counts[rising])
+                yield pa.RecordBatch.from_arrays([*row.columns[:3], *[pa.array([b], pa.binary()) for b in blobs]], names=["shard", "docs", "ends", "terms", "counts"])
+
+    joined = local.drop("words").join(lookup, "shard", "left").select("shard", "docs", "ends", "terms", "counts", F.coalesce("entries", F.array().cast("array<bigint>")).alias("entries"))
     schema = T.StructType([_SHARD["shard"], _SHARD["docs"], _SHARD["ends"], _SHARD["terms"], _SHARD["counts"]])
     shards = scratch.store(joined.mapInArrow(run, schema), "audit-shards")
-    scratch.drop(local)
-    return TermMatrix(shards, dictionary)
+    return TermMatrix(shards, ranked.select("word", "term").distinct(), local)
 
 
 def row_figures(matrix: TermMatrix) -> DataFrame:
@@ -238,6 +264,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     matrix = document_term_matrix(docs, scratch, id, text, source)
+    scratch.drop(matrix.local)
     cells = scratch.store(failures(row_figures(matrix), labels, id), "audit-cells")
-    scratch.drop(matrix.shards, matrix.dictionary)
+    scratch.drop(matrix.shards)
     return interactions(cells)

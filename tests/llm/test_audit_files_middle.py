@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from indicraft.llm.common import Scratch
 from indicraft.llm.fill_middle import Array, Bitmap, BoundarySet, Runs, boundaries, fill_in_middle, restored, transform
-from indicraft.llm.filter_audit import audit_filters, document_term_matrix, packed
+from indicraft.llm.filter_audit import audit_filters, document_term_matrix, packed, stepped, unpacked, unstepped
 from indicraft.llm.token_files import EliasFano, Shard, UnitCoder, manifest, read_token_files, write_shard, write_token_files
 
 from .conftest import prose
@@ -88,14 +88,9 @@ def test_shards_hold_the_corpus_counts_under_global_numbers(spark, awkward):
     matrix = document_term_matrix(docs, scratch, shard_bytes=2_000)
     words = {r["term"]: bytes(r["word"]).decode() for r in matrix.dictionary.collect()}
     want = sorted(sorted(Counter(WORD.findall(r["text"] or "")).items()) for r in docs.collect())
-    assert sorted(words) == list(range(len(words))) and len(set(words.values())) == len(words)
-    read = lambda blob: np.frombuffer(blob, ("<u1", "<u2", "<u4", "<u8")[blob[0]], offset=1)
-    got = []
+    assert len(set(words.values())) == len(words)
     shards = matrix.shards.collect()
-    for r in shards:
-        ends, terms, counts = read(r["ends"]), read(r["terms"]), read(r["counts"])
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            got.append(sorted((words[int(t)], int(c)) for t, c in zip(terms[a:b], counts[a:b])))
+    got = [sorted((words[int(t)], int(c)) for t, c in zip(terms, counts)) for r in shards for terms, counts in matrix.rows(r)]
     assert len(shards) > 5 and sorted(got) == want
 
 
@@ -103,6 +98,12 @@ def test_packed_numbers_take_the_smallest_type():
     assert [packed(np.array(v))[0] for v in ([], [255], [256], [70_000], [2**40])] == [0, 0, 1, 2, 3]
 
 
+@given(st.lists(st.sets(st.integers(0, 2**33), max_size=9), min_size=1, max_size=9))
+def test_steps_give_the_rows_back(rows):
+    values, ends = np.array([v for r in rows for v in sorted(r)], dtype=np.int64), np.cumsum([len(r) for r in rows])
+    assert unstepped(unpacked(packed(stepped(values, ends))), ends).tolist() == values.tolist()
+
+
 # ---- token files
 
 
@@ -130,19 +131,27 @@ def test_shard_round_trip_with_negative_null_and_equal_ids():
     assert shard.doc_ids() == [d for d, _ in docs]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab' sté1!\t\n\x1c\x85 <|endoftext|>")), max_size=6))
-def test_units_encode_like_whole_texts(texts):
-    coder = UnitCoder(TOKENIZER)
-    whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, np.uint16).tolist() for x in coder.encode(texts)] == whole
-
-
 @pytest.fixture(scope="module")
 def coder():
     return UnitCoder(TOKENIZER)
 
 
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("ab' sté1!.\t\n\x1c\x85\xa0  　á漢 <|endoftext|>"), max_size=40), max_size=6))
+def test_units_encode_like_whole_texts(coder, texts):
+    whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in coder.encode(pa.array(texts, pa.string()))] == whole
+
+
+def test_units_of_the_documents_encode_like_whole_texts(spark, sf_dir, coder):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    small = UnitCoder(TOKENIZER, remembered=100_000)
+    for k in range(0, len(texts), 20):
+        want = [e.ids for e in coder.tokenizer.encode_batch(texts[k : k + 20], add_special_tokens=False)]
+        assert [np.frombuffer(x, np.uint16).tolist() for x in small.encode(pa.array(texts[k : k + 20], pa.string()))] == want
+        assert small.encode(pa.array([None, *texts[k : k + 3]]).slice(1)) == small.encode(pa.array(texts[k : k + 3]))
+
+
 def plain_files(coder, rows):
     out, start = [], 0
     for d, t in rows:
