@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, map_texts, text_or_empty, col
+from .common import col, fresh, map_texts, steps, text_or_empty
 
 #: Longest piece, in bytes, that takes part in the matrices.
 MATRIX_BYTES = 128
@@ -249,3 +249,31 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, type=pa.binary())], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """`text` replaced by what its ids decode to, and the array of ids appended, in one pass of one Python worker.
+
+    Null texts come back empty. A worker forgets its pieces at the end of a partition.
+    """
+    name, source = shipped(df, path), fresh(df, "text_in")
+    keep = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower())]
+    df = df.select(*[col(c) for c in keep], text_or_empty(text).alias(source))
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(text, T.StringType()), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        vocab = vocabulary(SparkFiles.get(name), pattern)
+        tokens = vocab.tokens
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for start, stop in steps(texts):
+                part = batch.slice(start, stop - start)
+                flat, offsets = encode_texts(vocab, part.column(part.num_columns - 1).to_pylist())
+                back = [b"".join([tokens[i] for i in flat[a:b].tolist()]).decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                coded = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(back, pa.string()), coded], names=schema.names)
+            del batch, texts
+        vocab.done.clear()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)

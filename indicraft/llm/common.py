@@ -68,6 +68,12 @@ def pack(df: DataFrame, *names: str) -> tuple[DataFrame, str]:
     return df.select(*[col(n) for n in names], F.struct(*quoted(df)).alias(row)), row
 
 
+def pack_rest(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Column `name` beside a struct of all others, so that it crosses to Python once."""
+    row = fresh(df, "row_")
+    return df.select(col(name), F.struct(*[col(c) for c in df.columns if c != name]).alias(row)), row
+
+
 def unpack(df: DataFrame, row: str, names: list[str], **new: Column) -> DataFrame:
     """The columns of a packed row again, those in `new` replaced."""
     return df.select(*[new[n].alias(n) if n in new else F.col(row).getField(n).alias(n) for n in names])

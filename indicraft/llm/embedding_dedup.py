@@ -63,7 +63,7 @@ def mixed_with_label(keys: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint(label: int, raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw, seed=label & 0xFFFFFFFF) - 2**63
+    return xxhash.xxh3_64_intdigest(raw + label.to_bytes(8, "little", signed=True)) - 2**63
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -77,10 +77,10 @@ def _classes(vectors: DataFrame) -> DataFrame:
                 ok = x is not None and len(x) > 0 and x.null_count == 0
                 if ok:
                     data = x.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    # the norm must be finite as well, or no cosine is defined in double precision
-                    with np.errstate(over="ignore"):
-                        size = float(data @ data)
-                    ok = bool(np.isfinite(data).all()) and 0 < size < math.inf
+                    ok = bool(np.isfinite(data).all()) and bool(data.any())
+                if ok:
+                    # a power of two changes no cosine and keeps the norms of tiny and huge vectors in range
+                    data = np.ldexp(data, -int(np.frexp(np.abs(data).max())[1])) + 0.0
                 fp.append(_fingerprint(label, data.tobytes()) if ok else None)
                 raw.append(data.tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "label", "fp", "raw"])

@@ -5,21 +5,24 @@ reveals it when knowing the term tells most of the entity's information: with do
 whole corpus, disclosure = PMI(entity; term) / IC(entity)
 = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)). Terms need `least_contexts` different
 surroundings of the entity, so that copies of one text prove nothing. An entity that itself has fewer is
-rare: a term near it is scored by the same formula with the finest group of entities (e-mail domain, IP
-network, phone prefix, card issuer, at last the kind) in whose surroundings, one of each text, it has them.
+rare: a term near it is scored by the same formula with the finest group of entities that narrows it down (e-mail domain, IP
+network, phone prefix, card issuer; never the mere kind) in whose surroundings, one of each text, it has them.
 Terms at or above `remove_at`
 are removed, those between `generalise_at` and that are generalised to a category mark; both only in texts that hold an
 entity they reveal, so texts without personal data are never touched.
 
 Defined cases: null and empty texts have no spans; copies and repeated rows get the same spans; spans of
-different kinds may overlap and are rewritten as one; an empty table gives an empty result.
+different kinds may overlap and are rewritten as one; texts of any length are read whole; an empty table gives an empty result. A column
+of the input that is named like a result is dropped in favour of the result.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +37,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+#: One expression for surroundings and corpus counts, so combining marks stay in their words on both sides.
+TERM_PATTERN = r"[\p{L}\p{M}]{3,}"
+TERM = regex.compile(TERM_PATTERN)
 #: Words on either side of an entity that count as its surroundings.
 WINDOW = 6
 GENERALISE_AT, REMOVE_AT, LEAST_CONTEXTS = 0.8, 0.95, 3
@@ -84,7 +89,8 @@ def entity(kind: str, value: str) -> str:
 
 
 def levels(name: str) -> list[str]:
-    """An entity, then the groups of entities that it belongs to, from fine to coarse; the last is its kind."""
+    """An entity, then the groups that narrow it down, from fine to coarse. Its kind is none: that some number
+    follows is not whose it is."""
     kind, value = name.split(":", 1)
     if kind == "email":
         groups = [value.rsplit("@", 1)[1]]
@@ -94,18 +100,18 @@ def levels(name: str) -> list[str]:
         groups = [value[:-4], value[:-7]]
     else:
         groups = [value[:6]]
-    return [name, *(f"{kind}/{g}" for g in groups), kind]
+    return [name, *(f"{kind}/{g}" for g in groups)]
 
 
 def surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[str]]]:
     """(entity, words around it) per span; words inside any span don't count."""
+    words = [m.span() for m in TERM.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     out = []
     for kind, a, b in spans:
-        # a slice long enough for the window unless words are huge; those would reveal by themselves
-        before = [m for m in TERM.finditer(text, max(0, a - 400), a)][-WINDOW:]
-        after = [m for _, m in zip(range(WINDOW), TERM.finditer(text, b, min(len(text), b + 400)))]
-        words = [m.group().lower() for m in before + after if not any(x < m.end() and m.start() < y for _, x, y in spans)]
-        out.append((entity(kind, text[a:b]), words))
+        before, after = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        near = words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]
+        out.append((entity(kind, text[a:b]), [text[x:y].lower() for x, y in near if not any(c < y and x < d for _, c, d in spans)]))
     return out
 
 
@@ -190,7 +196,7 @@ def revealing_terms(docs: DataFrame, text: str = "text", generalise_at: float =
     pairs = pairs.join(known, ["level", "key"]).join(near, "term").withColumn("n", total.scalar())
     pairs = scratch.store(pairs.withColumn("most", told("n_near")), "pairs")
     pairs = pairs.join(pairs.filter(F.col("most") >= generalise_at - 1e-9).select("term").distinct(), "term", "left_semi")
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM_PATTERN), F.lit(0)))).alias("term"))
     # counted before the join: tasks send one row per word they have seen, however many terms are asked for
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = scratch.store(pairs.join(counts, "term").select("level", "key", "term", told("n_t").alias("disclosure")), "scored")

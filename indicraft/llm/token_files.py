@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import col, steps, text_or_empty
 
-#: Ids in a shard: 16 MB of two-byte ids.
-SHARD_IDS = 8_000_000
+#: Ids in a shard: 8 MB of two-byte ids.
+SHARD_IDS = 4_000_000
 #: Bytes of text that one task encodes.
-RANGE_BYTES = 48_000_000
+RANGE_BYTES = 24_000_000
 #: Bytes of units and their ids that a worker remembers.
-REMEMBERED_BYTES = 80_000_000
+REMEMBERED_BYTES = 40_000_000
 MAGIC = b"EFT1"
 HEAD = "<4sBxxxIIqQ"
 EF_HEAD = "<IQBxxxIII"
@@ -316,7 +316,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id: str = "doc
             return pa.RecordBatch.from_pydict({"shard": [label], "data": pa.array([write_shard(doc_ids, sizes, held, width)], pa.binary())})
 
         for batch in batches:
-            for start, stop in steps(batch.column(2), 4_000_000):
+            for start, stop in steps(batch.column(2), 2_000_000):
                 rows = batch.slice(start, stop - start)
                 part = rows.column(0)[0].as_py()
                 for d, ids in zip(rows.column(1).to_pylist(), own.encode(rows.column(2))):
@@ -328,8 +328,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id: str = "doc
                     sizes.append(size)
                     held += [ids, end]
                     used += size
+            del batch, rows
         if doc_ids:
             yield shard()
+        pa.default_memory_pool().release_unused()
 
     shards = placed.mapInArrow(run, "shard string, data binary")
     shards.select("shard", F.col("data").cast("string").alias("value")).write.partitionBy("shard").option("maxRecordsPerFile", 1).text(path)

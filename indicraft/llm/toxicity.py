@@ -8,7 +8,7 @@ the largest marginal and the length enter a logistic calibration fitted on docum
 has not seen.
 
 Defined cases: null and empty texts have no tokens and get the score of no evidence; ties and
-repeated rows score alike; an input without labelled rows of both kinds gives a model that scores
+repeated rows score alike; words of texts of any length are found in the text as it is; an empty table gives no rows; an input without labelled rows of both kinds gives a model that scores
 everything at the prior (0.5 without any label).
 """
 
@@ -240,7 +240,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least_docs: int = 3, ra
             flat.calibration[0] = 3.0 if y_all[0] else -3.0
         return flat
     # one string object per distinct word keeps the driver's memory small
-    words = [[sys.intern(w) for w in WORD.findall(t.lower())] for t, _ in rows]
+    words = [[sys.intern(w.lower()) for w in WORD.findall(t)] for t, _ in rows]
     chain = [i for i in range(len(rows)) if i % 3]
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for i in chain:
@@ -327,7 +327,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
     docs = docs.select(*[col(c) for c in docs.columns if c.lower() not in ("score", "predicted", "spans")])
     held = docs.sparkSession.sparkContext.broadcast(model)
     seen: dict[str, float] = {}
-    source = fresh(docs, "text_in")
+    # a string column crosses to Python once, anything else as a copy cast to text
+    plain = isinstance(docs.schema[text].dataType, T.StringType)
+    source = text if plain else fresh(docs, "text_in")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
     add = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T.ArrayType(span))])
 
@@ -335,11 +337,11 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
         model = held.value
         if len(seen) > 150_000:
             seen.clear()
-        texts = batch.column(batch.schema.names.index(source)).to_pylist()
-        low = [t.lower() for t in texts]
-        words = [WORD.findall(t) for t in low]
+        texts = [t or "" for t in batch.column(batch.schema.names.index(source)).to_pylist()]
+        # words come from the text as it is, since lower case may change its length
+        words = [WORD.findall(t) for t in texts]
         for w in set().union(*words) - seen.keys():
-            seen[w] = model.emission(w)
+            seen[w] = model.emission(w.lower())
         sizes, first_at, first = _layout(words)
         s = np.fromiter((seen[w] for x in words for w in x), dtype=float, count=int(sizes.sum()))
         p, _ = forward_backward(s, first, model.transitions, model.start)
@@ -348,12 +350,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
         spans: list[list[dict]] = [[] for _ in texts]
         for d in np.unique(np.searchsorted(np.cumsum(sizes), hot, side="right")).tolist():
             base, out = int(first_at[d]), spans[d]
-            # lower case may change a text's length; its own words give the offsets then
-            found = WORD.finditer(low[d] if len(low[d]) == len(texts[d]) else texts[d])
             last = -2
-            for k, m in enumerate(found):
-                if k >= sizes[d]:
-                    break
+            for k, m in enumerate(WORD.finditer(texts[d])):
                 if p[base + k] >= span_at:
                     if out and last == k - 1:
                         out[-1]["end"], out[-1]["p"] = m.end(), max(out[-1]["p"], float(p[base + k]))
@@ -362,6 +360,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
                     last = k
         return {"score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans}
 
+    if plain:
+        return map_texts(docs, run, add, source)
     return map_texts(docs.withColumn(source, text_or_empty(text)), run, add, source).drop(source)
 
 

@@ -100,6 +100,8 @@ def brute_vectors(rows):
         if a is None or a != b or x is None or y is None or len(x) != len(y) or None in x or None in y:
             continue
         x, y = np.array(x, float), np.array(y, float)
+        if np.isfinite(x).all() and np.isfinite(y).all() and x.any() and y.any():
+            x, y = x / np.abs(x).max(), y / np.abs(y).max()
         if not (np.isfinite(x).all() and np.isfinite(y).all() and x.any() and y.any()):
             continue
         if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.98:
@@ -127,6 +129,14 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     assert pairs > 300 and got == want
 
 
+def test_vectors_of_far_labels_and_extreme_norms(spark):
+    v = [0.6, 0.8, 0.1]
+    rows = [(1, v, 5), (2, v, 5 + 2**32), (3, [x * 1e-200 for x in v], 5), (4, [x * 1e200 for x in v], 5), (5, [x * 5e-324 * 2**40 for x in v], 5), (6, v, -5)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(docs).collect()}
+    assert got == {1: (3, 1), 2: (0, 2), 3: (3, 1), 4: (3, 1), 5: (3, 1), 6: (0, 6)}
+
+
 def test_vector_frames(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_dedup(empty).count() == 0
