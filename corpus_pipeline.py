@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicraft.llm.bpe import decode, encode
-from indicraft.llm.common import col, pack, table, unpack
+from indicraft.llm.bpe import round_trip
+from indicraft.llm.common import col, pack, pack_rest, table, unpack
 from indicraft.llm.mixing import mix
 from indicraft.llm.ngram_join import keep_one
 from indicraft.llm.pii import find_personal_data
@@ -24,8 +24,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, trained on all labels, does not call toxic."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    packed, row = pack(docs, "text")
-    return unpack(score_toxicity(packed, model).filter("predicted = 0"), row, docs.columns)
+    packed, row = pack_rest(docs, "text")
+    return unpack(score_toxicity(packed, model).filter("predicted = 0"), row, docs.columns, text=F.col("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text; the text is what the ids decode to."""
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    slim = docs.select(*[col(c) for c in ("doc_id", "lang", "source", "n_chars", "text")])
-    coded = decode(encode(slim, path, pattern).drop("text"), path, pattern)
-    return coded.select("doc_id", "lang", "source", "n_chars", F.col("decoded").cast("string").alias("text"), "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
+    """Ids of every text in `token_ids`, counted in `n_tokens`; the text is what the ids decode to. Other columns stay, but for
+    ones of these two names."""
+    coded = round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    kept = [col(c) for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")]
+    return coded.select(*kept, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
 
 
 STAGES: list[tuple[str, Stage]] = [
