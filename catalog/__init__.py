@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     quality_checks,
     serving_queries,
     source_formats,
+    stored_tables,
     streams,
     text_geo,
     windows_ranks,
