@@ -198,3 +198,14 @@ p as (select doc_id, t, n, form, array_to_string(units[1:a], '') as prefix, arra
 select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
   sha256(case form when 'plain' then t when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
   sha256(t) as restored_sha256 from p"""
+
+ORACLES["op9_embedding_dedup"] = """
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and list_dot_product(embedding::double[], embedding::double[]) > 0 and isfinite(list_dot_product(embedding::double[], embedding::double[]))),
+links as (select a.vec_id as i, b.vec_id as j from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+reach as (select vec_id as i, vec_id as j from embeddings union select reach.i, links.j from reach join links on reach.j = links.i),
+c as (select i, min(j) as component_id from reach group by i),
+n as (select i, count(*) as n_links from links group by i)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join c on c.i = vec_id left join n on n.i = vec_id"""
