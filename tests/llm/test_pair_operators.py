@@ -218,5 +218,10 @@ def test_chat_digests_and_masks(spark):
         formatted = coder.decode(r.token_ids)
         assert len(formatted) == got[r.conv_id].formatted_chars and len(r.loss_mask) == len(r.token_ids) == got[r.conv_id].n_tokens
         assert formatted.count("[END]") == got[r.conv_id].n_turns and formatted.startswith("<s>") and formatted.endswith("</s>") and sum(r.loss_mask) == got[r.conv_id].loss_tokens
+    ties = [(1, 0, "user", x) for x in ("b" * 50, "a", "", "a", "[END]", "é")]
+    tied = chat.digests(chat.format_turns(spark.createDataFrame(ties, "conv_id long, turn long, role string, text string"), TOKENIZER), TOKENIZER).first()
+    assert tied.turns_sha256 == hashlib.sha256("".join(f"user\n{x}\n" for x in sorted(t[3] for t in ties)).encode()).hexdigest()
+    learned = chat.assemble(chat.format_turns(df.filter("conv_id = 1"), TOKENIZER, loss_on_end=True), TOKENIZER).first()
+    assert coder.decode([i for i, m in zip(learned.token_ids, learned.loss_mask) if m]) == "<\\/s>yo é[END]two[END]"
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_turns(empty, TOKENIZER), TOKENIZER).count() == 0
