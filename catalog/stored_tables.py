@@ -12,7 +12,9 @@ from indicraft.functions.cleaning import round_half_up
 from indicraft.operators import retrieval as rt
 from indicraft.operators import vector_index as vi
 from indicraft.operators.stored_stats import StatsStore
+from indicraft.operators.text_index import TextIndex
 from indicraft.session import scratch_path
+from indicraft.sources.excel import ExcelSource
 from indicraft.sources.versioned import VersionedTable
 
 from .base import duck, query, rnd, shared, table
@@ -182,3 +184,48 @@ def merge_versions(spark, d):
         row = row.select(F.lit(v).alias("version"), "n", round_half_up("total", 2).alias("total"), n_kept.alias("buckets_kept"), same.alias("files_kept"))
         result, before = row if result is None else result.unionByName(row), files
     return result
+
+
+#: Needles of one to thirty characters from the tables themselves, in another case than the texts.
+_NEEDLES = """(select distinct upper(substr(p_name, 1 + p_size % 4, 1 + p_size % 30)) as needle from {part} where substr(p_name, 1 + p_size % 4, 1 + p_size % 30) <> ''
+  union select distinct lower(substr(c_mktsegment, 1 + c_nationkey % 5, 3 + c_nationkey)) from {customer} where c_mktsegment is not null union select substr(s_name, 9) from {supplier} union select 'no such text' from {region})"""
+
+
+@query("search_index_parts", f"select n.needle, count(*) as n, min(p_partkey) as least_key, sum(p_partkey)::bigint as key_sum from {duck(_NEEDLES)} n join part p on contains(lower(p_name), lower(needle)) or contains(lower(p_brand), lower(needle)) or contains(lower(p_type), lower(needle)) group by 1")
+def search_index_parts(spark, d):
+    """All parts indexed in two segments; every needle's whole result, told by number and keys."""
+    parts = table(spark, d, "part")
+    index = TextIndex(spark, scratch_path(spark, "text-index"), "p_partkey", ["p_name", "p_brand", "p_type"], buckets=16)
+    index.add(parts.filter("p_size < 25"))
+    index.add(parts.filter("p_size >= 25 or p_size is null"))
+    found = index.find_all(shared(spark, d, "select * from " + _NEEDLES))
+    return found.groupBy("needle").agg(F.count("*").alias("n"), F.min("p_partkey").alias("least_key"), F.sum("p_partkey").alias("key_sum"))
+
+
+@query("search_index_customers", f"select n.needle, c_custkey from {duck(_NEEDLES)} n join customer c on contains(lower(c_name), lower(needle)) or contains(lower(c_mktsegment), lower(needle)) where length(needle) >= 3")
+def search_index_customers(spark, d):
+    index = TextIndex(spark, scratch_path(spark, "text-index"), "c_custkey", ["c_name", "c_mktsegment"], buckets=16)
+    index.add(table(spark, d, "customer"))
+    return index.find_all(shared(spark, d, "select * from " + _NEEDLES + " n where length(needle) >= 3")).select("needle", "c_custkey")
+
+
+@query("search_index_one", "select c_custkey, c_name from customer where c_name ilike '%r#00000000%' or c_mktsegment ilike '%r#00000000%' union all select p_partkey, p_name from part where p_name ilike '%ED w%'")
+def search_index_one(spark, d):
+    """Single needles: their grams prune postings and rows at planning."""
+    customers = TextIndex(spark, scratch_path(spark, "text-index"), "c_custkey", ["c_name", "c_mktsegment"], buckets=16)
+    customers.add(table(spark, d, "customer"))
+    parts = TextIndex(spark, scratch_path(spark, "text-index"), "p_partkey", ["p_name"], buckets=16)
+    parts.add(table(spark, d, "part"))
+    found = parts.find("ED w").select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("c_name"))
+    return customers.find("r#00000000").select("c_custkey", "c_name").unionByName(found)
+
+
+@query("source_excel_orders", f"select o_orderkey, o_custkey, o_orderstatus, {rnd('o_totalprice')} as o_totalprice, cast(o_orderdate as date) as o_orderdate, o_orderpriority, o_totalprice > 100000 as large from orders")
+def excel_orders(spark, d):
+    """All orders written as Excel sheets by tasks, and read back with types by row ranges."""
+    spark.dataSource.register(ExcelSource)
+    folder = scratch_path(spark, "orders-xlsx")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority", (F.col("o_totalprice") > 100000).alias("large"))
+    orders.repartition("o_orderkey").write.format("xlsx").option("sheet", "Orders").mode("append").save(folder)
+    back = spark.read.format("xlsx").option("sheet", "Orders").option("taskRows", 20_000).schema(orders.schema).load(folder)
+    return back.withColumn("o_totalprice", round_half_up("o_totalprice", 2))
