@@ -2,13 +2,15 @@
 
 A line fails as punctuation (too many symbols or marks per word), as navigation (items between bars, arrows or
 bullets), as shouting, as stuttering (words repeating one after another), as boilerplate (licence, cookie and
-sharing phrases) or as a repetition of an earlier line. The cleaned text is what is left. A document is kept if it passes
+sharing phrases) or as a repetition of an earlier line. Lines of fewer than four words are judged together: a block of them,
+blank lines left out, is navigation if it has at least five and four fifths end in a letter or digit. The cleaned text is what is left. A document is kept if it passes
 the base rules and its cleaning removes at most `most_lost` of its words.
 
 Base figures follow fixed definitions: words are runs of anything but space and the five control blanks.
 
 Defined cases: null and empty texts have no words and fail the base rules; copies and repeated rows get
-the same verdict; texts of any length are handled whole, in memory linear in the text.
+the same verdict; texts of any length are handled whole, in memory linear in the text; an empty table gives no rows; columns
+whose names clash with the new ones, told without case, are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ RULES = ("punctuation", "navigation", "shouting", "stutter", "boilerplate", "rep
 MARKS_PER_WORD, BARS_PER_WORD, UPPER_SHARE, STUTTER_SHARE, MOST_LOST = 0.3, 0.2, 0.6, 0.4, 0.3
 #: Words from which the shares of a line mean something.
 LEAST_WORDS = 4
+#: Short lines that make a block, and the share of them that ends as menu items do.
+MENU_LINES, MENU_SHARE = 5, 0.8
 
 
 def line_rule(line: str) -> str | None:
@@ -57,6 +61,21 @@ def line_rule(line: str) -> str | None:
     return None
 
 
+def menu_lines(lines: list[str], sizes: list[int]) -> set[int]:
+    """Places of the short lines that stand in a navigation block; `sizes` are the lines' numbers of words."""
+    found: set[int] = set()
+    block: list[int] = []
+    for k, n in enumerate([*sizes, LEAST_WORDS]):
+        if 0 < n < LEAST_WORDS:
+            block.append(k)
+        elif n:
+            items = sum(lines[j].rstrip()[-1:].isalnum() for j in block)
+            if len(block) >= MENU_LINES and items >= MENU_SHARE * len(block):
+                found.update(block)
+            block = []
+    return found
+
+
 def repeat_words(words: list[str]) -> int:
     """Words inside 3-word windows that occur at least twice, the first occurrence included."""
     n = len(words)
@@ -85,19 +104,22 @@ def inspect(text: str) -> tuple[dict, str]:
     n = len(words)
     out = dict.fromkeys(RULES, 0)
     seen, kept, lost, dup_lines = set(), [], 0, 0
-    for line in text.split("\n"):
-        if not WORD.search(line):
+    lines = text.split("\n")
+    sizes = [len(WORD.findall(line)) for line in lines]
+    menus = menu_lines(lines, sizes)
+    for k, line in enumerate(lines):
+        if sizes[k] == 0:
             kept.append(line)
             continue
         again = line in seen
         dup_lines += again
         seen.add(line)
-        rule = "repetition" if again else line_rule(line)
+        rule = "repetition" if again else line_rule(line) or ("navigation" if k in menus else None)
         if rule is None:
             kept.append(line)
         else:
             out[rule] += 1
-            lost += len(WORD.findall(line))
+            lost += sizes[k]
     repeats = repeat_words(words)
     failed = n < 50 or 100 * repeats > 50 * n
     out |= {"n_words": n, "word_chars": sum(map(len, words)), "n_symbols": len(SYMBOL.findall(text)), "n_dup_lines": dup_lines, "n_repeat_words": repeats,

@@ -226,6 +226,34 @@ def test_quality_verdict(spark, clashing, awkward, nothing):
     assert out.filter("n_words = 0 and kept").count() == 0
 
 
+def plain_menus(lines):
+    """Short lines in menu blocks, found by trying every stretch of lines."""
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+    out = set()
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines) + 1):
+            short = [k for k in range(a, b) if sizes[k]]
+            whole = all(sizes[k] < 4 for k in short) and (a == 0 or sizes[a - 1] >= 4) and (b == len(lines) or sizes[b] >= 4)
+            if whole and len(short) >= 5 and 5 * sum(lines[k].rstrip()[-1].isalnum() for k in short) >= 4 * len(short):
+                out.update(short)
+    return out
+
+
+def test_short_lines_are_judged_as_blocks():
+    rng = random.Random(11)
+    for _ in range(200):
+        lines = [rng.choice(["Home", "About us", "", "Read more now", "Stop.", "one two three four", " ", "x;", "é", "a b c d e"]) for _ in range(rng.randrange(24))]
+        sizes = [len(x.split()) for x in lines]
+        assert quality_rules.menu_lines(lines, sizes) == plain_menus(lines)
+    body = "\n".join(" ".join(f"w{k}x{j}" for j in range(30)) + "." for k in range(5))
+    menu = "\n".join(f"Go to{k} page{k}" for k in range(60))
+    got, cleaned = quality_rules.inspect(menu + "\n" + body)
+    assert got["navigation"] == 60 and got["lost_words"] == 180 and not got["kept"] and not got["base_failed"] and cleaned == body
+    few, _ = quality_rules.inspect("\n".join(f"Go to{k} page{k}" for k in range(5)) + "\n" + body)
+    poem, _ = quality_rules.inspect("\n".join(f"so{k} soft{k}," for k in range(60)) + "\n" + body)
+    assert few["kept"] and few["navigation"] == 5 and poem["navigation"] == 0 and poem["kept"]
+
+
 def test_compression_held_out(spark):
     from indicraft.llm.queries import QUERIES
 
