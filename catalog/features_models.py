@@ -9,7 +9,7 @@ from indicraft.operators import anomaly as an
 from indicraft.operators import features as ft
 from indicraft.operators import model as md
 from indicraft.operators.features import Interaction
-from indicraft.session import attach_stats, materialize, one_row
+from indicraft.session import materialize, one_row
 
 from . import model_sql as sql
 from .base import duck, query, rnd, shared, table
@@ -89,21 +89,33 @@ def numeric_columns(spark, d):
     return c.agg(*[F.count(n).alias(n) for n in kept]).select(F.inline(cells))
 
 
+_MATRIX = ("child_poverty_rate", "violent_crime_rate", "crime_x_poverty", "median_aqi", "implied_teacher_count", "pupils_lag1", "pupils_mean3")
+_MATRIX_BASE = """(select s.nces_school_id, s.state_abbr, s.wellbeing_category, x.child_poverty_rate::double as child_poverty_rate, k.violent_crime_rate::double as violent_crime_rate,
+  k.violent_crime_rate::double * x.child_poverty_rate::double / 100 as crime_x_poverty, e.median_aqi::double as median_aqi, s.total_enrollment::double / greatest(p.student_teacher_ratio, 1.0)::double as implied_teacher_count,
+  s.total_enrollment::double - 10 as pupils_lag1, s.total_enrollment::double - 5 as pupils_mean3
+from scores s join profiles p using (nces_school_id) left join health x using (nces_school_id) left join environment e using (nces_school_id) left join safety k using (nces_school_id))"""
+_MATRIX_FILLED = f"(select nces_school_id, wellbeing_category, {', '.join(f'coalesce(b.{c}, g.{c}) as {c}' for c in _MATRIX)} from {_MATRIX_BASE} b left join (select state_abbr, {', '.join(f'median({c}) as {c}' for c in _MATRIX)} from {_MATRIX_BASE} b group by 1) g using (state_abbr))"
+
+
 @query(
     "feature_matrix",
-    sql.gold("select count(*) as n, count(distinct nces_school_id) as n_schools, true as numbers_filled, count(*) as n_lagged, sum(case when total_enrollment is null then 0 else 1 end)::bigint as n_lag1 from scores"),
+    sql.gold(
+        f"""select nces_school_id, case wellbeing_category when 'Critical' then 0 when 'At Risk' then 1 when 'Moderate' then 2 when 'Thriving' then 3 end::double as category_code,
+{', '.join(rnd(f'coalesce(f.{c}, m.{c})', 4) + f' as {c}' for c in _MATRIX)}, 0 as gaps from {_MATRIX_FILLED} f, (select {', '.join(f'median({c}) as {c}' for c in _MATRIX)} from {_MATRIX_FILLED} f) m"""
+    ),
 )
 def matrix(spark, d):
-    """One row per scored school without gaps in its numbers, lags and rolling means of a made-up second year included."""
+    """The features of every scored school: measures, interactions, codes, lags and rolling means of a made-up second year, all filled;
+    `gaps` counts the numeric columns of the whole matrix that are still null."""
     m = medallion(spark, d)
     now = m.scores.select("nces_school_id", F.lit(2022).alias("period"), F.col("total_enrollment").cast("double").alias("pupils"))
     history = now.unionByName(now.withColumn("period", F.lit(2021)).withColumn("pupils", F.col("pupils") - 10))
-    past = m.history_features(history, "period", ["pupils"], 2022)
-    lagged = past.agg(F.count(F.lit(1)).alias("n_lagged"), F.count_if(F.col("pupils_lag1").isNotNull() & F.col("pupils_mean3").isNotNull()).alias("n_lag1"))
-    out = m.feature_matrix(past=past)
-    gaps = [F.col(c).isNull() for c in ft.numeric_features(out)]
-    checked = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nces_school_id").alias("n_schools"), (F.count_if(F.greatest(*[g.cast("int") for g in gaps]) == 1) == 0).alias("numbers_filled"))
-    return attach_stats(checked, lagged, "l").select("n", "n_schools", "numbers_filled", "l.n_lagged", "l.n_lag1")
+    out = m.feature_matrix(past=m.history_features(history, "period", ["pupils"], 2022))
+    gaps = F.lit(0)
+    for c in ft.numeric_features(out):
+        gaps = gaps + F.col(c).isNull().cast("int")
+    code = F.col("wellbeing_category_encoded").cast("double").alias("category_code")
+    return out.select("nces_school_id", code, *[round_half_up(c, 4).alias(c) for c in _MATRIX], gaps.alias("gaps"))
 
 
 @query(
