@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from indicraft.operators import quality as q
+from indicraft.operators.checked_write import write_checked
 from indicraft.operators.quality import Check
-from indicraft.plans.suites import SUITES, run_suites
+from indicraft.plans.suites import SUITES, publish, run_column_tests, run_suites
+from indicraft.session import scratch_path
 
 from . import model_sql as sql
 from .base import query, rnd, table
@@ -198,3 +200,70 @@ def _suite_sql() -> str:
 def gold_suite(spark, d):
     """The declared checks of the score table, run over the scored schools."""
     return run_suites({"scores": medallion(spark, d).scores}, {"scores": SUITES["scores"]})
+
+
+@query("quality_suite_on_write", sql.gold(_suite_sql()))
+def suite_on_write(spark, d):
+    """The same checks, measured by the write that publishes the score table."""
+    done = publish(medallion(spark, d).scores, "scores", scratch_path(spark, "published"))
+    return done.results.select(F.lit("scores").alias("table_name"), "check_name", "column_name", "value", "status")
+
+
+@query(
+    "quality_keys_on_write",
+    """with dup as (select count(*)::double as n from (select o_custkey from orders group by 1 having count(*) > 1) q), m as (select count(*)::double as rows, count(distinct o_custkey)::double as customers, count(distinct o_orderpriority)::double as priorities from orders)
+select unnest(['row_count', 'duplicate_count(o_orderkey)', 'duplicate_count(o_custkey)', 'distinct_count(o_custkey)', 'distinct_count(o_orderpriority)']) as check_name, unnest([null, 'o_orderkey', 'o_custkey', 'o_custkey', 'o_orderpriority']) as column_name,
+  unnest([rows, 0, n, customers, priorities]) as value, unnest(['pass', 'pass', case when n > 0 then 'fail' else 'pass' end, case when customers < 100 then 'warn' else 'pass' end, case when priorities < 6 then 'fail' else 'pass' end]) as status from m, dup""",
+)
+def keys_on_write(spark, d):
+    """Keys by the sketch of the write; repeated customers are counted on the stored key column."""
+    checks = [
+        Check("row_count", fail=("<", 1)),
+        Check("duplicate_count", "o_orderkey", fail=(">", 0)),
+        Check("duplicate_count", "o_custkey", fail=(">", 0)),
+        Check("distinct_count", "o_custkey", warn=("<", 100)),
+        Check("distinct_count", "o_orderpriority", fail=("<", 6)),
+    ]
+    return write_checked(table(spark, d, "orders"), scratch_path(spark, "orders"), checks).results.drop("measured_by")
+
+
+def _column_test_sql() -> str:
+    """One row per test: table name, CTE, then the tests by kind. Written apart from the specs they are compared with."""
+    category = "('Thriving', 'Moderate', 'At Risk', 'Critical', 'Insufficient Data')"
+    trend = "('Improving', 'Declining', 'Stable')"
+    key = "nces_school_id"
+    ctes = {"profiles": "profiles", "health_context": "health", "environment": "environment", "safety": "safety", "resources": "resources", "areas": "community",
+            "scores": "scores", "rankings": "rankings", "gaps": "gaps", "trends": "trends", "counties": "summary"}
+    rows = []
+    for name in ctes:
+        k = "county_fips" if name in ("areas", "counties") else key
+        rows += [(name, "duplicate_count", k, f"(select count(*) from (select {k} from {{t}} where {k} is not null group by 1 having count(*) > 1) q)", "fail")]
+        rows += [(name, "missing_count", k, f"(select count(*) from {{t}} where {k} is null)", "fail")]
+    for name, cols in {"profiles": "school_name state_abbr county_fips", "areas": "school_count", "scores": "wellbeing_score", "rankings": "national_rank state_rank", "counties": "avg_wellbeing_score"}.items():
+        rows += [(name, "missing_count", c, f"(select count(*) from {{t}} where {c} is null)", "fail") for c in cols.split()]
+    rows += [("scores", "missing_count", c, f"(select count(*) from {{t}} where {c} is null)", "warn") for c in ("latitude", "longitude")]
+    for name, c, bad, severity in [
+        ("profiles", "latitude", "not between 17 and 72", "warn"), ("profiles", "longitude", "not between -180 and -64", "warn"), ("profiles", "total_enrollment", "not between 0 and 15000", "warn"),
+        ("profiles", "math_proficiency_pct", "not between 0 and 100", "warn"), ("profiles", "reading_proficiency_pct", "not between 0 and 100", "warn"), ("health_context", "child_poverty_rate", "not between 0 and 100", "warn"),
+        ("environment", "median_aqi", "not between 0 and 500", "warn"), ("areas", "school_count", "not between 1 and 5000", "fail"), ("scores", "wellbeing_score", "not between 0 and 100", "fail"),
+        ("scores", "education_score", "not between 0 and 100", "warn"), ("scores", "health_score", "not between 0 and 100", "warn"), ("scores", "environment_score", "not between 0 and 100", "warn"),
+        ("scores", "safety_score", "not between 0 and 100", "warn"), ("scores", "wellbeing_category", f"not in {category}", "fail"), ("scores", "pillars_with_data", "not between 1 and 4", "fail"),
+        ("gaps", "gap_count", "not between 1 and 4", "fail"), ("gaps", "intervention_priority", "not in ('High Priority', 'Critical Need', 'Moderate Need')", "fail"),
+        ("gaps", "weakest_pillar", "not in ('Education', 'Health', 'Environment', 'Safety')", "fail"), ("trends", "math_trend", f"not in {trend}", "fail"), ("trends", "reading_trend", f"not in {trend}", "fail"),
+        ("counties", "avg_wellbeing_score", "not between 0 and 100", "fail"), ("counties", "county_category", f"not in {category}", "fail"),
+    ]:
+        rows.append((name, "invalid_count", c, f"(select count(*) from {{t}} where {c} is not null and {c} {bad})", severity))
+    for name, parent in (("health_context", "profiles"), ("environment", "profiles"), ("safety", "profiles"), ("resources", "profiles"), ("rankings", "scores")):
+        rows.append((name, "orphan_count", key, f"(select count(*) from {{t}} where {key} not in (select {key} from {parent}))", "fail"))
+    one = "select '{n}' as table_name, '{k}({c})' as check_name, '{c}' as column_name, {v}::double as value, case when {v} > 0 then '{s}' else 'pass' end as status"
+    return " union all ".join(one.format(n=n, k=k, c=c, v=v.format(t=ctes[n]), s=s) for n, k, c, v, s in rows)
+
+
+@query("quality_column_tests", sql.gold(_column_test_sql()))
+def column_tests(spark, d):
+    """The column tests of all silver and gold models: unique, present, in range, one of, with a parent."""
+    m = medallion(spark, d)
+    contexts = {n: m.wide for n in ("health_context", "environment", "safety", "resources")}
+    return run_column_tests(
+        {"profiles": m.profiles, **contexts, "areas": m.community, "scores": m.scores, "rankings": m.rankings, "gaps": m.gaps, "trends": m.trends, "counties": m.counties}
+    )

@@ -8,6 +8,8 @@ from indicraft.functions.cleaning import round_half_up
 from indicraft.functions.predicates import build_filters
 from indicraft.operators import serving as sv
 from indicraft.operators.aggregates import category_counts, value_counts
+from indicraft.operators.page_index import PageIndex
+from indicraft.session import scratch_path
 
 from . import model_sql as sql
 from .base import query, rnd, table
@@ -235,3 +237,31 @@ def filter_conditions(spark, d):
         member_of={"o_orderpriority": ["1-URGENT", "2-HIGH"]},
     )
     return table(spark, d, "orders").filter(cond & null_or_at_least("o_totalprice", 60000) & lacks_text("o_orderpriority", "LOW")).select("o_orderkey")
+
+
+ORDER_COLS = "o_orderkey, o_custkey, o_totalprice, o_orderpriority"
+
+
+@query("serve_index_last_page", f"select {ORDER_COLS} from orders order by o_totalprice desc, o_orderkey limit 50 offset (select (count(*) - 1) // 50 * 50 from orders)")
+def index_last_page(spark, d):
+    """The last page of all orders, read from one slice."""
+    o = table(spark, d, "orders").select(*ORDER_COLS.split(", "))
+    index = PageIndex.build(o, scratch_path(spark, "pages"), {"o_totalprice": True, "o_orderkey": False}, slice_rows=20_000)
+    return index.page(index.pages(50), 50)
+
+
+@query(
+    "serve_index_group_pages",
+    f"""select {ORDER_COLS}, place // 40 + 1 as page from (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) - 1 as place, count(*) over (partition by o_orderpriority) as total from orders) q
+where place // 40 + 1 = greatest(1, (total + 39) // 40 // 2)""",
+)
+def index_group_pages(spark, d):
+    """The middle page of each priority: groups have page numbers of their own."""
+    o = table(spark, d, "orders").select(*ORDER_COLS.split(", "))
+    index = PageIndex.build(o, scratch_path(spark, "pages"), {"o_totalprice": True, "o_orderkey": False}, ["o_orderpriority"], slice_rows=20_000)
+    out = None
+    for (priority,) in sorted(o.select("o_orderpriority").distinct().collect()):
+        number = max(1, index.pages(40, o_orderpriority=priority) // 2)
+        page = index.page(number, 40, o_orderpriority=priority).withColumn("page", F.lit(number).cast("bigint"))
+        out = page if out is None else out.unionByName(page)
+    return out

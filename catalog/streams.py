@@ -9,11 +9,15 @@ from indicraft.sources.registry import severity_rank
 from indicraft.streaming import (
     collect_stream,
     dedup_stream,
+    failures_by_cursor,
     failures_since_checkpoint,
     ingest_files,
     latest_state,
+    rocks_store,
     session_counts,
+    silent_sources,
     stale_sources,
+    stored_values,
     table_stream,
     windowed_counts,
 )
@@ -134,3 +138,49 @@ def stale_nameless(spark, d):
 def stream_failures(spark, d):
     path, ck = _places(spark, "failures")
     return failures_since_checkpoint(table_stream(spark, d, "events"), path, ck, F.col("event_type") == "error").select("event_id", "user_id")
+
+
+def _watch(spark, d):
+    """The stream of silent users run to its end, and its checkpoint."""
+    path, ck = _places(spark, "silent")
+    with rocks_store(spark):
+        silent = silent_sources(table_stream(spark, d, "events", ts="ts"), "user_id", "ts", 86_400_000, "1 hour")
+        return collect_stream(silent, path, ck), ck
+
+
+@query(
+    "stream_silent_sources",
+    "select user_id, max(ts) as last_seen from events group by 1 having epoch_ms(max(ts)) + 86400000 < (select epoch_ms(max(ts)) - 3600000 from events)",
+)
+def silent(spark, d):
+    """Silent users by a timer each in the state store."""
+    return _watch(spark, d)[0]
+
+
+@query(
+    "stream_watched_state",
+    "select user_id, max(ts) as last_seen from events group by 1 having epoch_ms(max(ts)) + 86400000 >= (select epoch_ms(max(ts)) - 3600000 from events)",
+)
+def watched(spark, d):
+    """Users still watched, read back from the state of the stopped stream."""
+    return stored_values(spark, _watch(spark, d)[1], "last").select("user_id", F.timestamp_micros("micros").alias("last_seen"))
+
+
+@query(
+    "stream_failures_by_cursor",
+    """with log as (select event_type, ts, (value > 25)::bigint as failed from events), a as (select event_type, sum(failed)::bigint as n, max(ts) as seen from log where failed > 0 and ts < timestamp '2024-01-15' group by 1),
+b as (select l.event_type, sum(failed)::bigint as n, max(ts) as seen from log l left join a using (event_type) where failed > 0 and ts >= timestamp '2024-01-10' and (a.seen is null or ts > a.seen) group by 1)
+select event_type, n as failed, n as total, seen as last_checked_at from a union all select event_type, b.n, (b.n + coalesce(a.n, 0))::bigint, b.seen from b left join a using (event_type)""",
+)
+def by_cursor(spark, d):
+    """Two deliveries that overlap by five days: what the cursor has passed counts once."""
+    e = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("value") > 25, 1).otherwise(0).alias("failed"))
+    inbox, (path, ck) = scratch_path(spark, "arrivals"), _places(spark, "cursor")
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    out = None
+    with rocks_store(spark, empty_batches=False):
+        for part in (e.filter(F.col("ts") < at("15")), e.filter(F.col("ts") >= at("10"))):
+            part.write.mode("append").parquet(inbox)
+            log = spark.readStream.schema(e.schema).parquet(inbox)
+            out = collect_stream(failures_by_cursor(log, "event_type", "ts", "failed", 86_400_000), path, ck)
+    return out.select("event_type", "failed", "total", "last_checked_at")

@@ -71,7 +71,12 @@ def _breached(value: Column, threshold: Threshold | None) -> Column:
     return F.coalesce(tests[op](), F.lit(False))
 
 
-def _simple_value(check: Check, as_of: Column | None) -> Column:
+#: Measures that need the rows of a key together.
+KEYED = ("duplicate_count", "distinct_count")
+
+
+def plain_value(check: Check, as_of: Column | None) -> Column:
+    """The measure of a check that is not keyed, as one aggregate."""
     rows = F.count(F.lit(1))
     c = F.col(check.column) if check.column else None
     share = lambda n: n / F.nullif(rows, F.lit(0)) * 100
@@ -90,30 +95,16 @@ def _simple_value(check: Check, as_of: Column | None) -> Column:
     return {"avg": F.avg, "stddev": F.stddev, "min": F.min, "max": F.max}[check.kind](c)
 
 
-def run_checks(df: DataFrame, checks: Sequence[Check], as_of: Column | None = None, digits: int = 4) -> DataFrame:
-    """Rows (check_name, column_name, value, status) with status pass / warn / fail.
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """One row: keys that occur more than once and different keys, nulls left out."""
+    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count_if(F.col("n") > 1).alias("duplicate_count"), F.count(F.lit(1)).alias("distinct_count"))
 
-    All plain measures share one aggregate over the table. Key measures (duplicate and
-    distinct counts) need the rows grouped by that key, once per key column.
-    """
-    keyed = {c.column for c in checks if c.kind in ("duplicate_count", "distinct_count")}
-    key_stats = {}
-    for k in sorted(keyed):
-        sizes = df.filter(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n"))
-        key_stats[k] = sizes.agg(
-            F.count_if(F.col("n") > 1).alias("duplicate_count"), F.count(F.lit(1)).alias("distinct_count")
-        )
-    plain = [
-        (F.lit(0) if c.kind in ("duplicate_count", "distinct_count") else _simple_value(c, as_of)).cast("double").alias(f"_v{i}")
-        for i, c in enumerate(checks)
-    ]
-    measured = df.agg(*plain)
+
+def verdicts(measured: DataFrame, checks: Sequence[Check], values: Sequence[Column], digits: int = 4, more: Sequence[Column] = ()) -> DataFrame:
+    """Rows (check_name, column_name, value, status) from one row of measures; `more` adds a column, one value per check."""
     cells = []
-    for i, c in enumerate(checks):
-        value = one_row(key_stats[c.column])[c.kind].cast("double") if c.column in key_stats and c.kind in (
-            "duplicate_count",
-            "distinct_count",
-        ) else F.col(f"_v{i}")
+    for i, (c, value) in enumerate(zip(checks, values, strict=True)):
         status = F.when(_breached(value, c.fail), "fail").when(_breached(value, c.warn), "warn").otherwise("pass")
         cells.append(
             F.struct(
@@ -121,11 +112,24 @@ def run_checks(df: DataFrame, checks: Sequence[Check], as_of: Column | None = No
                 F.lit(c.column).cast("string").alias("column_name"),
                 round_half_up(value, digits).alias("value"),
                 status.alias("status"),
+                *more[i : i + 1],
             )
         )
     return measured.select(F.inline(F.array(*cells)))
 
 
+def run_checks(df: DataFrame, checks: Sequence[Check], as_of: Column | None = None, digits: int = 4) -> DataFrame:
+    """Rows (check_name, column_name, value, status) with status pass / warn / fail.
+
+    All plain measures share one aggregate over the table. Key measures (duplicate and
+    distinct counts) need the rows grouped by that key, once per key column.
+    """
+    key_stats = {k: key_counts(df, k) for k in sorted({c.column for c in checks if c.kind in KEYED})}
+    plain = [(F.lit(0) if c.kind in KEYED else plain_value(c, as_of)).cast("double").alias(f"_v{i}") for i, c in enumerate(checks)]
+    values = [one_row(key_stats[c.column])[c.kind].cast("double") if c.kind in KEYED else F.col(f"_v{i}") for i, c in enumerate(checks)]
+    return verdicts(df.agg(*plain), checks, values, digits)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once and how often."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.checked_write import CheckedWrite, write_checked
 from ..operators.quality import Check, run_checks
 
 PERCENT = {"low": 0, "high": 100}
@@ -121,3 +123,106 @@ def run_suites(tables: Mapping[str, DataFrame], suites: Mapping[str, Sequence[Ch
     if out is None:
         raise ValueError("none of the suites' tables is given")
     return out
+
+
+def publish(df: DataFrame, name: str, path: str, suites: Mapping[str, Sequence[Check]] = SUITES, as_of: Column | None = None) -> CheckedWrite:
+    """Write the table `name` and measure its suite in the same pass; see `write_checked`."""
+    return write_checked(df, path, suites[name], as_of)
+
+
+@dataclass(frozen=True)
+class Parent:
+    """Every value of `column` must occur in `field` of the table `table`."""
+
+    column: str
+    table: str
+    field: str
+
+
+def _unique(column: str) -> list[Check]:
+    return [Check("duplicate_count", column, fail=(">", 0)), Check("missing_count", column, fail=(">", 0))]
+
+
+def _present(*columns: str) -> list[Check]:
+    return [Check("missing_count", c, fail=(">", 0)) for c in columns]
+
+
+def _between(column: str, low: float, high: float, severity: str = "warn") -> Check:
+    return Check("invalid_count", column, **{severity: (">", 0)}, options={"low": low, "high": high})
+
+
+def _one_of(column: str, *values: str) -> Check:
+    return Check("invalid_count", column, fail=(">", 0), options={"values": values})
+
+
+# Column tests of the published models.
+_CATEGORIES = ("Thriving", "Moderate", "At Risk", "Critical", "Insufficient Data")
+_TRENDS = ("Improving", "Declining", "Stable")
+_SPINE = Parent("nces_school_id", "profiles", "nces_school_id")
+COLUMN_TESTS: Mapping[str, Sequence[Check | Parent]] = {
+    "profiles": [
+        *_unique("nces_school_id"),
+        *_present("school_name", "state_abbr", "county_fips"),
+        _between("latitude", 17, 72),
+        _between("longitude", -180, -64),
+        _between("total_enrollment", 0, 15_000),
+        _between("math_proficiency_pct", 0, 100),
+        _between("reading_proficiency_pct", 0, 100),
+    ],
+    "health_context": [*_unique("nces_school_id"), _SPINE, _between("child_poverty_rate", 0, 100)],
+    "environment": [*_unique("nces_school_id"), _SPINE, _between("median_aqi", 0, 500)],
+    "safety": [*_unique("nces_school_id"), _SPINE],
+    "resources": [*_unique("nces_school_id"), _SPINE],
+    "areas": [*_unique("county_fips"), *_present("school_count"), _between("school_count", 1, 5_000, "fail")],
+    "scores": [
+        *_unique("nces_school_id"),
+        *_present("wellbeing_score"),
+        _between("wellbeing_score", 0, 100, "fail"),
+        *[_between(c, 0, 100) for c in ("education_score", "health_score", "environment_score", "safety_score")],
+        _one_of("wellbeing_category", *_CATEGORIES),
+        _between("pillars_with_data", 1, 4, "fail"),
+        Check("missing_count", "latitude", warn=(">", 0)),
+        Check("missing_count", "longitude", warn=(">", 0)),
+    ],
+    "rankings": [*_unique("nces_school_id"), Parent("nces_school_id", "scores", "nces_school_id"), *_present("national_rank", "state_rank")],
+    "gaps": [
+        *_unique("nces_school_id"),
+        _between("gap_count", 1, 4, "fail"),
+        _one_of("intervention_priority", "High Priority", "Critical Need", "Moderate Need"),
+        _one_of("weakest_pillar", "Education", "Health", "Environment", "Safety"),
+    ],
+    "trends": [*_unique("nces_school_id"), _one_of("math_trend", *_TRENDS), _one_of("reading_trend", *_TRENDS)],
+    "counties": [
+        *_unique("county_fips"),
+        *_present("avg_wellbeing_score"),
+        _between("avg_wellbeing_score", 0, 100, "fail"),
+        _one_of("county_category", *_CATEGORIES),
+    ],
+}
+
+
+def run_column_tests(tables: Mapping[str, DataFrame], tests: Mapping[str, Sequence[Check | Parent]] = COLUMN_TESTS) -> DataFrame:
+    """(table_name, check_name, column_name, value, status) of every column test whose table is given.
+
+    A parent test counts the rows with a value that its parent table lacks; it is left out, like a test of
+    an absent table, where that parent is not given. Nulls have no parent and are not counted.
+    """
+    checks = {name: [c for c in found if isinstance(c, Check)] for name, found in tests.items()}
+    out = run_suites(tables, checks)
+    for name, found in tests.items():
+        for p in found:
+            if not isinstance(p, Parent) or name not in tables or p.table not in tables:
+                continue
+            parents = tables[p.table].select(F.col(p.field).alias("_parent"))
+            orphans = tables[name].join(parents, F.col(p.column) == F.col("_parent"), "left_anti").filter(F.col(p.column).isNotNull())
+            counted = orphans.agg(F.count(F.lit(1)).cast("double").alias("value"))
+            out = out.unionByName(
+                counted.select(
+                    F.lit(name).alias("table_name"),
+                    F.lit(f"orphan_count({p.column})").alias("check_name"),
+                    F.lit(p.column).alias("column_name"),
+                    "value",
+                    F.when(F.col("value") > 0, "fail").otherwise("pass").alias("status"),
+                )
+            )
+    return out
