@@ -14,11 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import round_half_up
-from ..session import attach_stats, materialize
+from ..session import materialize
 
 
 def _prefix_counts(counts: DataFrame, keys: Sequence[str], score: str, descending: bool, out: str) -> DataFrame:
-    """Rows ahead of each score within its keys, for any number of distinct scores.
+    """Rows ahead of each score within its keys and the keys' `_total`, for any number of distinct scores.
 
     Counts are range-partitioned on (keys, score) and written once, so the slice
     number stays fixed; running sums stay inside a slice and one small table of
@@ -32,33 +32,13 @@ def _prefix_counts(counts: DataFrame, keys: Sequence[str], score: str, descendin
     )
     inside = W.partitionBy("_slice", *keys).orderBy(edge).rowsBetween(W.unboundedPreceding, -1)
     sums = placed.groupBy("_slice", *keys).agg(F.sum("_n").alias("_slice_n"))
-    earlier = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    offsets = sums.withColumn(
-        "_before", F.coalesce(F.sum("_slice_n").over(earlier.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_slice_n")
+    earlier = W.partitionBy(*keys).orderBy("_slice")
+    before = F.sum("_slice_n").over(earlier.rowsBetween(W.unboundedPreceding, -1))
+    total = F.sum("_slice_n").over(earlier.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    offsets = sums.withColumns({"_before": F.coalesce(before, F.lit(0)), "_total": total}).drop("_slice_n")
     running = placed.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     return null_safe_join(running, offsets, ["_slice", *keys]).select(
-        *keys, score, "_n", (F.col("_inside") + F.col("_before")).alias(out)
-    )
-
-
-def _rank_table(counts: DataFrame, level: str, keys: Sequence[str], score: str) -> DataFrame:
-    """Per level keys and score: rank from the top, total, and percent rank from the bottom.
-
-    Range slices with offsets, so neither the rows nor the distinct scores of a group meet in one task.
-    """
-    hist = counts.groupBy(*keys, score).agg(F.sum("_n").alias("_n"))
-    ahead = _prefix_counts(hist, keys, score, True, "_above")
-    totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = null_safe_join(ahead, totals, keys) if keys else attach_stats(ahead, totals, "_t").withColumn("_total", F.col("_t._total"))
-    below = F.col("_total") - F.col("_above") - F.col("_n")
-    share = F.when(F.col("_total") > 1, below / (F.col("_total") - 1)).otherwise(F.lit(0.0))
-    return joined.select(
-        *keys,
-        score,
-        (F.col("_above") + 1).alias(f"{level}_rank"),
-        F.col("_total").alias(f"{level}_total"),
-        share.alias(f"{level}_percentile"),
+        *keys, score, "_n", (F.col("_inside") + F.col("_before")).alias(out), "_total"
     )
 
 
@@ -70,20 +50,32 @@ def rank_levels(
 ) -> DataFrame:
     """Add `<level>_rank`, `<level>_total` and `<level>_percentile` for each level.
 
-    Nulls rank last. All levels come from one counted table and reach the rows through a
-    single join on (all keys, score); Spark broadcasts it where it is small.
+    Nulls rank last. The counts of all levels are one long table (level, keys, score), cut into range slices and
+    stored once; the ranks reach the rows through a single join on (all keys, score).
     """
     levels = levels or {"national": [], "state": ["state_abbr"], "county": ["county_fips"]}
     wanted = set(levels if percentiles is None else percentiles)
     keys = list(dict.fromkeys(k for ks in levels.values() for k in ks))
-    counts = materialize(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n")), "rank")
-    ranked = counts
-    for level, level_keys in levels.items():
-        table = _rank_table(counts, level, level_keys, score)
-        if level not in wanted:
-            table = table.drop(f"{level}_percentile")
+    kinds = {k: df.schema[k].dataType for k in keys}
+    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    # every count once per level, keys that the level does not have as nulls
+    cells = [
+        F.struct(F.lit(i).alias("_level"), *[(F.col(k) if k in level_keys else F.lit(None).cast(kinds[k])).alias(k) for k in keys])
+        for i, level_keys in enumerate(levels.values())
+    ]
+    spread = counts.select(F.explode(F.array(*cells)).alias("_c"), score, "_n").select("_c.*", score, "_n")
+    merged = spread.groupBy("_level", *keys, score).agg(F.sum("_n").alias("_n"))
+    ahead = _prefix_counts(merged, ["_level", *keys], score, True, "_above")
+    below = F.col("_total") - F.col("_above") - F.col("_n")
+    share = F.when(F.col("_total") > 1, below / (F.col("_total") - 1)).otherwise(F.lit(0.0))
+    ranked = counts.drop("_n")
+    for i, (level, level_keys) in enumerate(levels.items()):
+        found = [(F.col("_above") + 1).alias(f"{level}_rank"), F.col("_total").alias(f"{level}_total")]
+        if level in wanted:
+            found.append(share.alias(f"{level}_percentile"))
+        table = ahead.filter(F.col("_level") == i).select(*level_keys, score, *found)
         ranked = null_safe_join(ranked, table, [*level_keys, score])
-    return null_safe_join(df, materialize(ranked.drop("_n"), "rank"), [*keys, score])
+    return null_safe_join(df, ranked, [*keys, score])
 
 
 def rank_columns(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
