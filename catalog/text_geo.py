@@ -127,6 +127,19 @@ def nearest_join(spark, d):
     return out.select("c_custkey", "place", round_half_up("distance_km", 4).alias("distance_km"))
 
 
+# nine of ten orders lie in one cell of a hundredth of a degree
+ORDER_PLACES = "select o_orderkey, cast(case when o_orderkey % 10 > 0 then 41.87 + cast(o_orderkey % 997 as double) / cast(99700 as double) else 20.0 + (o_orderkey * 37 % 5000) / 100.0 end as double) as latitude, cast(case when o_orderkey % 10 > 0 then -87.63 + cast(o_orderkey % 1009 as double) / cast(100900 as double) else -160.0 + (o_orderkey * 91 % 9000) / 100.0 end as double) as longitude from {orders}"
+
+
+@query(
+    "geo_nearest_crowded",
+    f"select o_orderkey, {rnd('min(km)', 4)} as distance_km from (select o_orderkey, {hav('o.latitude', 'o.longitude', 's.latitude', 's.longitude')} as km from {duck(ORDER_PLACES)} o, {duck(SUPPLIER_PLACES)} s) x group by 1",
+)
+def nearest_crowded(spark, d):
+    out = sp.nearest(shared(spark, d, ORDER_PLACES), shared(spark, d, SUPPLIER_PLACES), "o_orderkey", "s_suppkey")
+    return out.select("o_orderkey", round_half_up("distance_km", 4).alias("distance_km"))
+
+
 @query("geo_nearest_within_radius", f"select c_custkey, {rnd('min(km)', 4)} as distance_km from (select c_custkey, {hav('c.latitude', 'c.longitude', 's.latitude', 's.longitude')} as km from {duck(CUSTOMER_PLACES)} c, {duck(SUPPLIER_PLACES)} s) x where km <= 150 group by 1")
 def nearest_radius(spark, d):
     out = sp.nearest(shared(spark, d, CUSTOMER_PLACES), shared(spark, d, SUPPLIER_PLACES), "c_custkey", "s_suppkey", 1, max_km=150)

@@ -1,16 +1,14 @@
-"""Nearest points on the sphere without comparing all pairs."""
+"""Points near a given position, centres of groups; `nearest` joins whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_KM, grid_index, haversine_km
-from ..session import materialize
-from .windows import topk_per_group
+from ..functions.geo import haversine_km
+from .nearest import nearest
 
-DEEPEST = 24
+__all__ = ["group_centroid", "nearest", "nearest_by_grid_distance", "nearest_to_point"]
 
 
 def nearest_to_point(points: DataFrame, lat: float, lon: float, key: str, k: int = 1, lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
@@ -28,146 +26,3 @@ def nearest_by_grid_distance(points: DataFrame, lat: float, lon: float, key: str
 
 def group_centroid(df: DataFrame, by: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     return df.groupBy(by).agg(F.avg(lat).alias("centroid_lat"), F.avg(lon).alias("centroid_lon"))
-
-
-def _floor_distance(lat: Column, lon: Column, level: Column, y: Column, x: Column) -> Column:
-    """No point of the cell is closer than this many km (a safe lower bound)."""
-    edge = F.lit(180.0) / F.pow(F.lit(2.0), level)
-    south, west = y * edge - 90.0, x * edge - 180.0
-    north, east = south + edge, west + edge
-    zero = F.lit(0.0)
-    dlat = F.greatest(zero, south - lat, lat - north)
-
-    def gap(shift: float) -> Column:
-        at = lon + F.lit(shift)
-        return F.greatest(zero, west - at, at - east)
-
-    dlon = F.least(gap(0.0), gap(360.0), gap(-360.0), F.lit(90.0))
-    sideways = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(dlon)))
-    # a hair below the exact bound, so rounding never drops a tie
-    return F.greatest(F.radians(dlat), sideways) * F.lit(EARTH_RADIUS_KM * (1 - 1e-9))
-
-
-def _cells(sites: DataFrame, k: int, leaf: int) -> DataFrame:
-    """Quadtree over the distinct sites: (level, y, x, sites, is_leaf, reps).
-
-    A cell with more than `leaf` sites is split, so dense areas get small cells. `reps`
-    are k sites of the cell that bound how far the k-th neighbour can be.
-    """
-    levels = F.sequence(F.lit(0), F.lit(DEEPEST))
-    at = sites.select("slat", "slon", F.explode(levels).alias("level"))
-    size = F.lit(180.0) / F.pow(F.lit(2.0), F.col("level"))
-    placed = at.withColumn("y", F.floor((F.col("slat") + 90.0) / size).cast("long")).withColumn(
-        "x", F.floor((F.col("slon") + 180.0) / size).cast("long")
-    )
-    counts = placed.groupBy("level", "y", "x").agg(F.count(F.lit(1)).alias("sites"))
-    parents = counts.filter(F.col("sites") > leaf).select(
-        (F.col("level") + 1).alias("level"), F.col("y").alias("py"), F.col("x").alias("px")
-    )
-    half = lambda c: F.shiftright(F.col(c), 1)
-    kept = counts.withColumn("py", half("y")).withColumn("px", half("x")).join(
-        parents.withColumn("_split", F.lit(True)), ["level", "py", "px"], "left"
-    )
-    kept = kept.filter(F.col("_split") | (F.col("level") == 0)).select("level", "y", "x", "sites")
-    reps = topk_per_group(placed, ["level", "y", "x"], [F.col("slat"), F.col("slon")], k)
-    packed = reps.groupBy("level", "y", "x").agg(F.collect_list(F.struct("slat", "slon")).alias("reps"))
-    is_leaf = (F.col("sites") <= leaf) | (F.col("level") == DEEPEST)
-    return kept.join(packed, ["level", "y", "x"]).withColumn("is_leaf", is_leaf)
-
-
-def nearest(
-    left: DataFrame,
-    right: DataFrame,
-    left_key: str,
-    right_key: str,
-    k: int = 1,
-    max_km: float | None = None,
-    left_lat: str = "latitude",
-    left_lon: str = "longitude",
-    right_lat: str = "latitude",
-    right_lon: str = "longitude",
-    leaf: int = 64,
-) -> DataFrame:
-    """Exact k nearest right rows of every left row: (left_key, right_key, distance_km, place).
-
-    Both sides are first reduced to distinct positions. The right positions form a quadtree
-    whose leaves hold at most `leaf` of them. Left positions then descend it level by level,
-    together, dropping every cell that lies beyond the k-th closest representative seen so
-    far. Only the surviving leaves are compared, so work per left position depends on `leaf`
-    and k, not on how crowded an area is. Equal distances go to the smaller right key.
-    """
-    def located(df: DataFrame, lat: str, lon: str) -> Column:
-        return F.col(lat).isNotNull() & F.col(lon).isNotNull()
-
-    r = right.filter(located(right, right_lat, right_lon)).select(
-        F.col(right_key).alias("rk"), F.col(right_lat).cast("double").alias("slat"), F.col(right_lon).cast("double").alias("slon")
-    )
-    q = left.filter(located(left, left_lat, left_lon)).select(
-        F.col(left_key).alias("lk"), F.col(left_lat).cast("double").alias("qlat"), F.col(left_lon).cast("double").alias("qlon")
-    )
-    # at most k keys of one position can be among the k nearest
-    held = materialize(topk_per_group(r, ["slat", "slon"], [F.col("rk")], k), "near-sites")
-    sites = held.select("slat", "slon").distinct()
-    cells = materialize(_cells(sites, k, leaf), "near-cells")
-    depth = cells.agg(F.max("level").alias("d")).first()["d"]
-    if depth is None:
-        return q.select(F.col("lk").alias(left_key), F.lit(None).cast(right.schema[right_key].dataType).alias(right_key), F.lit(0.0).alias("distance_km"), F.lit(1).alias("place")).limit(0)
-
-    spots = q.select("qlat", "qlon").distinct()
-    root = F.array(*[F.struct(F.lit(0).alias("level"), F.lit(y).cast("long").alias("y"), F.lit(x).cast("long").alias("x")) for y in (0, 1) for x in (0, 1, 2)])
-    front = spots.select("qlat", "qlon", F.inline(root))
-    where = ["level", "y", "x"]
-    for level in range(depth + 1):
-        seen = front.join(cells, where)
-        # distance of the k-th representative over all cells a position still holds
-        reach = (
-            seen.select("qlat", "qlon", F.explode("reps").alias("r"))
-            .select("qlat", "qlon", "r.slat", "r.slon")
-            .distinct()
-            .withColumn("d", haversine_km("qlat", "qlon", "slat", "slon"))
-        )
-        reach = topk_per_group(reach, ["qlat", "qlon"], [F.col("d")], k)
-        # fewer than k representatives give no bound
-        reach = reach.groupBy("qlat", "qlon").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("reach"))
-        near = seen.drop("reps", "sites").join(reach, ["qlat", "qlon"], "left")
-        low = _floor_distance(F.col("qlat"), F.col("qlon"), F.col("level"), F.col("y"), F.col("x"))
-        limit = F.coalesce(F.col("reach"), F.lit(1e9))
-        if max_km is not None:
-            limit = F.least(limit, F.lit(float(max_km)))
-        near = near.filter(low <= limit).drop("reach")
-        if level == depth:
-            front = near
-            break
-        child = F.array(
-            *[
-                F.struct(
-                    (F.col("level") + 1).alias("level"),
-                    (F.col("y") * 2 + dy).alias("y"),
-                    (F.col("x") * 2 + dx).alias("x"),
-                )
-                for dy in (0, 1)
-                for dx in (0, 1)
-            ]
-        )
-        same = F.array(F.struct("level", "y", "x"))
-        front = near.select("qlat", "qlon", F.inline(F.when(F.col("is_leaf"), same).otherwise(child)))
-        if depth > 2:
-            front = materialize(front, "near-front")
-    leaves = front.filter("is_leaf").select("qlat", "qlon", *where)
-
-    # leaf of every site: the one level of its path that is a leaf cell
-    tree = cells.filter("is_leaf").select(*where)
-    at_level = [F.struct(F.lit(v).alias("level"), grid_index("slat", 90.0, v).alias("y"), grid_index("slon", 180.0, v).alias("x")) for v in range(depth + 1)]
-    placed = sites.select("slat", "slon", F.inline(F.array(*at_level))).join(tree, where, "left_semi")
-    pairs = leaves.join(placed, where).withColumn("distance_km", haversine_km("qlat", "qlon", "slat", "slon"))
-    if max_km is not None:
-        pairs = pairs.filter(F.col("distance_km") <= max_km)
-    # the k closest positions hold the k nearest rows; a tie at the edge is settled by key below
-    close = pairs.withColumn("_rank", F.rank().over(W.partitionBy("qlat", "qlon").orderBy("distance_km"))).filter(F.col("_rank") <= k)
-    named = close.join(held, ["slat", "slon"])
-    best = topk_per_group(named, ["qlat", "qlon"], [F.col("distance_km"), F.col("rk")], k, "place")
-    found = best.select("qlat", "qlon", "rk", "distance_km", "place")
-    return q.join(found, ["qlat", "qlon"]).select(
-        F.col("lk").alias(left_key), F.col("rk").alias(right_key), "distance_km", "place"
-    )
-

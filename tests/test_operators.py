@@ -120,17 +120,46 @@ def _places(n, seed):
     return pd.DataFrame({"id": np.arange(n), "latitude": lat, "longitude": lon})
 
 
-def test_nearest_equals_brute_force(spark):
-    left, right = _places(150, 1), _places(300, 2)
-    got = spatial.nearest(spark.createDataFrame(left), spark.createDataFrame(right).withColumnRenamed("id", "rid"), "id", "rid", k=3, leaf=32).toPandas()
+def _kilometres(left, right):
     p1, p2 = np.radians(left.latitude.values)[:, None], np.radians(right.latitude.values)[None, :]
     dl = np.radians(right.longitude.values[None, :] - left.longitude.values[:, None])
     a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(dl / 2) ** 2
-    want = np.sort(2 * 6371 * np.arcsin(np.minimum(1, np.sqrt(a))), axis=1)[:, :3]
-    have = got.sort_values(["id", "place"]).distance_km.values.reshape(-1, 3)
+    return 2 * 6371 * np.arcsin(np.minimum(1, np.sqrt(a)))
+
+
+@pytest.mark.parametrize("leaf,per_slice,k", [(32, 65_536, 3), (4, 40, 3), (1, 16, 1), (8, 64, 50)])
+def test_nearest_equals_brute_force(spark, leaf, per_slice, k):
+    left, right = _places(150, 1), _places(300, 2)
+    got = spatial.nearest(
+        spark.createDataFrame(left), spark.createDataFrame(right).withColumnRenamed("id", "rid"), "id", "rid", k=k, leaf=leaf, per_slice=per_slice
+    ).toPandas()
+    want = np.sort(_kilometres(left, right), axis=1)[:, :k]
+    have = got.sort_values(["id", "place"]).distance_km.values.reshape(-1, k)
     assert np.allclose(have, want, atol=1e-6)
 
 
+def test_nearest_when_most_left_rows_need_one_slice(spark):
+    """Nine in ten left positions lie in one small cell: its slice goes to several tasks, no row is lost."""
+    rng = np.random.default_rng(5)
+    left = _places(20_000, 3)
+    left.loc[:18_000, "latitude"] = 41 + rng.random(18_001) / 100
+    left.loc[:18_000, "longitude"] = -87 + rng.random(18_001) / 100
+    right = _places(400, 4)
+    got = spatial.nearest(spark.createDataFrame(left), spark.createDataFrame(right).withColumnRenamed("id", "rid"), "id", "rid", leaf=8, per_slice=64).toPandas()
+    assert np.allclose(got.sort_values("id").distance_km.values, _kilometres(left, right).min(axis=1), atol=1e-6)
+
+
+def test_nearest_radius_ties_and_rows_without_position(spark):
+    """Equal distances go to the smaller key, the date line and a pole part nothing, a radius leaves rows out."""
+    sites = spark.createDataFrame(
+        [(9, 0.0, 20.5), (4, 0.0, 19.5), (5, 90.0, 10.0), (3, 85.0, -170.0), (6, -5.0, 179.5), (8, None, 1.0), (2, 95.0, 0.0)], "rid int, latitude double, longitude double"
+    )
+    left = spark.createDataFrame([(1, 0.0, 20.0), (2, 89.9, 50.0), (3, 45.0, 0.0), (4, float("nan"), 0.0), (5, -5.0, -179.5)], "id int, latitude double, longitude double")
+    for per_slice in (16, 65_536):
+        got = spatial.nearest(left, sites, "id", "rid", k=2, max_km=200, leaf=1, per_slice=per_slice).collect()
+        assert sorted((r["id"], r["place"], r["rid"]) for r in got) == [(1, 1, 4), (1, 2, 9), (2, 1, 5), (5, 1, 6)]
+
+
 def test_nearest_of_few_or_no_points(spark):
     one = spark.createDataFrame([(7, 10.0, 10.0)], "rid int, latitude double, longitude double")
     left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 3.0)], "id int, latitude double, longitude double")
