@@ -8,13 +8,13 @@ steps run at every size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import held, materialize, one_row
+from ..session import held, materialize
 from .ranking import null_safe_join
 
 # Rank error of the sketch is n / accuracy; brackets keep a margin of four times that. Below
@@ -22,8 +22,13 @@ from .ranking import null_safe_join
 ACCURACY = 100_000
 
 
-def _edges(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int) -> tuple[DataFrame, DataFrame]:
-    """(source with its brackets, one row per group and wanted percentile with the counts around its bracket)."""
+def _edges(
+    df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int
+) -> tuple[DataFrame, Callable[[str], Column], DataFrame]:
+    """(source, its brackets by name, one row per group and wanted percentile with the counts around its bracket).
+
+    Without groups the brackets are one row of numbers, which the later passes take as literals.
+    """
     margin = 4 / accuracy
     sketches: list[Column] = []
     for i, c in enumerate(cols):
@@ -36,16 +41,16 @@ def _edges(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence
             hi = high if q + margin >= 1 else sketch[wanted.index(q + margin)]
             sketches += [lo.alias(f"_lo{i}_{j}"), hi.alias(f"_hi{i}_{j}")]
     if by:
-        source = null_safe_join(df, df.groupBy(*by).agg(*sketches), by)
+        source, edge = null_safe_join(df, df.groupBy(*by).agg(*sketches), by), F.col
     else:
-        source = df.withColumn("_b", one_row(df.agg(*sketches)))
-    name = "{}" if by else "_b.{}"
+        found = df.agg(*sketches).first()
+        source, edge = df, lambda name: F.lit(found[name]).cast("double")
     counts, cells = [], []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
         counts.append(F.count(x).alias(f"_n{i}"))
         for j, q in enumerate(qs):
-            lo, hi, at = F.col(name.format(f"_lo{i}_{j}")), F.col(name.format(f"_hi{i}_{j}")), f"{i}_{j}"
+            lo, hi, at = edge(f"_lo{i}_{j}"), edge(f"_hi{i}_{j}"), f"{i}_{j}"
             counts += [
                 F.count_if(x < lo).alias(f"_below{at}"),
                 F.count_if((x >= lo) & (x <= hi)).alias(f"_inside{at}"),
@@ -59,7 +64,7 @@ def _edges(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence
                 )
             )
     around = source.groupBy(*by).agg(*counts).select(*by, F.inline(F.array(*cells)))
-    return source, around
+    return source, edge, around
 
 
 def _narrow(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -68,13 +73,12 @@ def _narrow(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 def _at_ranks(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
     """`by..., metric_at, q_at, value`: one row per group and percentile, null where a group has no value."""
-    source, around = _edges(df, cols, qs, by, accuracy)
-    name = "{}" if by else "_b.{}"
+    source, edge, around = _edges(df, cols, qs, by, accuracy)
     entries, any_inside = [], F.lit(False)
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
         for j in range(len(qs)):
-            inside = F.coalesce((x >= F.col(name.format(f"_lo{i}_{j}"))) & (x <= F.col(name.format(f"_hi{i}_{j}"))), F.lit(False))
+            inside = F.coalesce((x >= edge(f"_lo{i}_{j}")) & (x <= edge(f"_hi{i}_{j}")), F.lit(False))
             any_inside = any_inside | inside
             entries.append(F.when(inside, F.struct(F.lit(i).alias("metric_at"), F.lit(j).alias("q_at"), x.alias("value"))))
     keys = [*by, "metric_at", "q_at"]
@@ -139,8 +143,8 @@ def percentile_bounds(
     """All percentiles of all columns, one row (per group): `<col>_p5`, `<col>_p95`, ...
 
     Exact by default, null where a group has no value; every group of the input has a row.
-    The needed columns are stored for the three passes and removed again, the small result stays, so
-    whatever computes `df` runs once. `approx=True` takes the sketch values in a single pass.
+    The needed columns are stored for the three passes and removed again, so whatever computes `df` runs once.
+    The row of a result without groups is read back, a result by group is stored. `approx=True` takes the sketch values in a single pass.
     """
     if approx:
         aggs = []
@@ -154,7 +158,8 @@ def percentile_bounds(
         for j, q in enumerate(qs)
     ]
     with held(_narrow(df, cols, by), "percentiles") as narrow:
-        return materialize(_at_ranks(narrow, cols, qs, by, accuracy).groupBy(*by).agg(*aggs), "percentiles")
+        table = _at_ranks(narrow, cols, qs, by, accuracy).groupBy(*by).agg(*aggs)
+        return materialize(table, "percentiles") if by else df.sparkSession.createDataFrame(table.collect(), table.schema)
 
 
 def grouped_median(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
