@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from indicraft.functions.cleaning import round_half_up
@@ -264,6 +267,77 @@ def forest(spark, d):
     )
 
 
+# two trees over (balance, orders): tree, node, feature, cut, left, right, depth
+FOREST = [
+    (0, 0, 0, 4500.5, 1, 2, 0.0), (0, 1, 1, 11.5, 3, 4, 1.0), (0, 2, -1, 0.0, -1, -1, 1.5), (0, 3, -1, 0.0, -1, -1, 2.25), (0, 4, -1, 0.0, -1, -1, 3.5),
+    (1, 0, 1, 8.5, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.0), (1, 2, 0, 0.0, 3, 4, 1.0), (1, 3, -1, 0.0, -1, -1, 2.0), (1, 4, -1, 0.0, -1, -1, 6.75),
+]
+_usual = 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256
+
+
+@query(
+    "anomaly_forest_scores",
+    f"""select c_custkey, {rnd(f"-power(2.0, -((case when c_acctbal > 4500.5 then 1.5 when n_orders <= 11.5 then 2.25 else 3.5 end + case when n_orders <= 8.5 then 1.0 when c_acctbal <= 0 then 2.0 else 6.75 end) / 2) / {_usual!r}::double)", 6)} as forest_score
+from {duck(ENTITIES)} e""",
+)
+def forest_scores(spark, d):
+    """Rows scored by a kept forest."""
+    nodes = pd.DataFrame(FOREST, columns=["tree", "node", "feature", "cut", "left_node", "right_node", "depth"])
+    base = entities(spark, d).select("c_custkey", "c_acctbal", F.col("n_orders").cast("double").alias("n_orders"))
+    return an.forest_scores(base, ["c_acctbal", "n_orders"], nodes, 256).select("c_custkey", round_half_up("forest_score", 6).alias("forest_score"))
+
+
+def _stumps(label: str, rows: str) -> str:
+    """SQL of the best cut of `x` for `label` in `rows` (columns fold, x, label): fold, cut, low mean, high mean."""
+    return f"""select fold, arg_max(mid, gain) as cut, arg_max(lm, gain) as lm, arg_max(hm, gain) as hm from (
+    select fold, (x + lead(x) over o) / 2 as mid, sl / nl as lm, (st - sl) / (nt - nl) as hm, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) as gain, nt - nl as rest from (
+      select fold, x, sum(n) over o as nl, sum(s) over o as sl, sum(n) over w as nt, sum(s) over w as st from (select fold, x, count(*)::double as n, sum({label}) as s from {rows} group by 1, 2) g window o as (partition by fold order by x), w as (partition by fold)) h
+    window o as (partition by fold order by x)) c where rest > 0 group by 1"""
+
+
+def _two_rounds(train: str) -> str:
+    """CTEs `a` and `b` of a booster of two stumps with squared loss, fitted per fold on `train` (fold, x, y)."""
+    return f"""a as ({_stumps('y', train)}),
+r as (select t.fold, t.x, 2 * (t.y - case when t.x <= a.cut then a.lm else a.hm end) as y2 from {train} t join a using (fold)),
+b as ({_stumps('y2', 'r')})"""
+
+
+_boost = "case when x <= a.cut then a.lm else a.hm end"
+_boost2 = "case when x <= b.cut then b.lm else b.hm end"
+_spent = f"(select row_number() over (order by c_custkey) - 1 as i, count(*) over () as n, c_custkey, c_nationkey::double as x, coalesce(spend, 0.0) as y from {duck(ENTITIES)} e)"
+
+
+@query(
+    "model_boosted_rows",
+    f"""with d as (select * from {_spent}), t as (select 0 as fold, x, y from d where i < floor(0.75 * n)), {_two_rounds('t')}
+select c_custkey, {rnd(f'{_boost} + 0.05 * {_boost2}')} as predicted_change from d, a, b where i >= floor(0.75 * n)""",
+)
+def boosted_rows(spark, d):
+    """Predictions of two boosted stumps on the nation, row by row."""
+    base = entities(spark, d).select("c_custkey", "c_nationkey", F.coalesce("spend", F.lit(0.0)).alias("spend"))
+    train, test = md.temporal_split(materialize(base, "model"), "c_custkey")
+    trained = md.train_gbt(train, ["c_nationkey"], "spend", params={"maxIter": 2, "maxDepth": 1, "subsamplingRate": 1.0}, folds=0)
+    return md.predict(trained, test, "c_custkey").withColumn("predicted_change", round_half_up("predicted_change", 2))
+
+
+@query(
+    "model_grid_search",
+    f"""with d as (select * from {_spent}), f as (select d.*, fold, i >= n - floor(n / 3) * (2 - fold) as held from d, (values (0), (1)) v(fold) where i < n - floor(n / 3) * (1 - fold)),
+t as (select fold, x, y from f where not held), {_two_rounds('t')},
+e as (select fold, g.rounds, g.step, avg(abs(y - {_boost} - case when g.rounds = 2 then g.step * {_boost2} else 0 end)) as mae from f join a using (fold) join b using (fold), (values (1, 0.05), (1, 0.5), (2, 0.05), (2, 0.5)) g(rounds, step) where held group by 1, 2, 3),
+s as (select rounds, step::double as step, avg(mae) as mae from e group by 1, 2)
+select rounds::integer as rounds, step, {rnd('mae')} as mae, row_number() over (order by round(mae, 4), rounds, step) = 1 as chosen from s""",
+)
+def grid_search(spark, d):
+    """Mean fold error of every setting of a small grid and the one that was taken."""
+    base = entities(spark, d).select("c_custkey", "c_nationkey", F.coalesce("spend", F.lit(0.0)).alias("spend"))
+    trained = md.train_gbt(
+        base, ["c_nationkey"], "spend", "c_custkey", {"maxDepth": 1, "subsamplingRate": 1.0}, {"maxIter": [1, 2], "stepSize": [0.05, 0.5]}, folds=0, tune_folds=2
+    )
+    rows = [(t["maxIter"], t["stepSize"], mae, t == trained.params) for t, mae in trained.trials]
+    return spark.createDataFrame(rows, "rounds int, step double, mae double, chosen boolean").withColumn("mae", round_half_up("mae", 2))
+
+
 @query(
     "anomaly_merged_flags",
     """with a as (select o_custkey, min(o_totalprice) as s from orders group by 1 having min(o_totalprice) > 100000), b as (select o_custkey, max(o_totalprice) as s from orders group by 1 having max(o_totalprice) > 480000)

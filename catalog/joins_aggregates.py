@@ -66,10 +66,9 @@ def not_done(spark, d):
     return jn.not_yet_done(table(spark, d, "customer").select("c_custkey", "c_name"), done, "c_custkey")
 
 
-@query("referential_orphans", "select p_partkey, count(*) as child_rows from (select l_partkey as p_partkey from lineitem) l where p_partkey not in (select p_partkey from part where p_size < 40) group by 1")
+@query("referential_orphans", "select doc_id, count(*) as child_rows from documents where doc_id not in (select doc_id from labels) group by 1")
 def orphans(spark, d):
-    child = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
-    return jn.orphan_keys(child, table(spark, d, "part").filter("p_size < 40"), "p_partkey")
+    return jn.orphan_keys(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 @query(

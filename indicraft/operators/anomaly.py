@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -76,6 +76,72 @@ def _grow_tree(points: np.ndarray, rng: np.random.Generator, limit: int) -> list
     return nodes
 
 
+NODE = "tree int, node int, feature int, cut double, left_node int, right_node int, depth double"
+
+
+def grow_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int, size: int, rows: int, seed: int = 42) -> pd.DataFrame:
+    """Nodes of random trees, each grown in one task from a hash-chosen sample of `size` of the `rows` complete rows.
+
+    The result has at most trees × 2·size rows, however many `df` has, and can be kept to score later rows.
+    """
+    names = list(cols)
+    # Uniform draw per (row, tree); the share keeps a six-sigma reserve above `size`.
+    share = min(1.0, (size + 6 * math.sqrt(size) + 10) / rows)
+    draw = lambda t: F.pmod(F.xxhash64(F.col(key), F.lit(seed), t), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    drawn = (
+        # only the trees that drew a row leave the array
+        df.withColumn("drawn", F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("draw"))), lambda d: d.draw < share))
+        .select(key, *names, F.inline("drawn"))
+    )
+    picked = topk_per_group(drawn, "tree", [F.col("draw"), F.col(key)], size)
+    limit = math.ceil(math.log2(max(size, 2)))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        points = pdf.sort_values("draw")[names].to_numpy()
+        grown = _grow_tree(points, np.random.default_rng([seed, tree]), limit)
+        out = pd.DataFrame(grown, columns=["node", "feature", "cut", "left_node", "right_node", "depth"])
+        out.insert(0, "tree", tree)
+        return out
+
+    return picked.groupBy("tree").applyInPandas(grow, NODE).toPandas().sort_values(["tree", "node"])
+
+
+def forest_scores(df: DataFrame, cols: Sequence[str], nodes: pd.DataFrame, size: int, out: str = "forest_score") -> DataFrame:
+    """Add the isolation score, -2^(-mean depth / usual depth of `size` points): near -1 for rows that stand alone.
+
+    `nodes` has a row per node (`NODE`): tree, node 0 is the root, feature the place in `cols` or -1 in a leaf,
+    values up to `cut` go left; a leaf's depth counts. The columns must hold numbers in every row.
+    """
+    forest = [
+        tuple(t.sort_values("node")[c].to_numpy() for c in ("feature", "cut", "left_node", "right_node", "depth"))
+        for _, t in nodes.groupby("tree")
+    ]
+    norm = _path_norm(size)
+
+    def isolation(frame: pd.DataFrame) -> pd.Series:
+        x = frame.to_numpy(dtype=float)
+        depth = np.zeros(len(x))
+        for feature, cut, left, right, leaf_depth in forest:
+            at = np.zeros(len(x), dtype=np.int64)
+            inner = np.flatnonzero(feature[at] >= 0)
+            while inner.size:
+                here = at[inner]
+                smaller = x[inner, feature[here]] <= cut[here]
+                at[inner] = np.where(smaller, left[here], right[here])
+                inner = inner[feature[at[inner]] >= 0]
+            depth += leaf_depth[at]
+        return pd.Series(-np.power(2.0, -(depth / len(forest)) / norm))
+
+    def scores(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for parts in it:
+            yield isolation(pd.concat(parts, axis=1))
+
+    # the annotations are read as types, which names under `annotations` are not
+    scores.__annotations__ = {"it": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return df.withColumn(out, F.pandas_udf(scores, "double")(*cols))
+
+
 def isolation_forest(
     df: DataFrame,
     key: str,
@@ -109,63 +175,8 @@ def isolation_forest(
     if rows < minimum_rows:
         raise ValueError(f"{rows} complete rows, at least {minimum_rows} needed")
     size = min(sample, rows)
-    # Uniform draw per (row, tree); the share keeps a six-sigma reserve above `size`.
-    share = min(1.0, (size + 6 * math.sqrt(size) + 10) / rows)
-    draw = lambda t: F.pmod(F.xxhash64(F.col(key), F.lit(seed), t), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    drawn = (
-        # only the trees that drew a row leave the array
-        scaled.withColumn("drawn", F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("draw"))), lambda d: d.draw < share))
-        .select(key, *names, F.inline("drawn"))
-    )
-    picked = topk_per_group(drawn, "tree", [F.col("draw"), F.col(key)], size)
-    limit = math.ceil(math.log2(max(size, 2)))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        points = pdf.sort_values("draw")[names].to_numpy()
-        grown = _grow_tree(points, np.random.default_rng([seed, tree]), limit)
-        out = pd.DataFrame(grown, columns=["node", "feature", "cut", "left_node", "right_node", "depth"])
-        out.insert(0, "tree", tree)
-        return out
-
-    nodes = (
-        picked.groupBy("tree")
-        .applyInPandas(grow, "tree int, node int, feature int, cut double, left_node int, right_node int, depth double")
-        .toPandas()
-        .sort_values(["tree", "node"])
-    )
-    forest = [
-        tuple(t[c].to_numpy() for c in ("feature", "cut", "left_node", "right_node", "depth"))
-        for _, t in nodes.groupby("tree")
-    ]
-    norm = _path_norm(size)
-
-    def isolation(batches):
-        for frame in batches:
-            x = frame.to_numpy(dtype=float)
-            depth = np.zeros(len(x))
-            for feature, cut, left, right, leaf_depth in forest:
-                at = np.zeros(len(x), dtype=np.int64)
-                for _ in range(limit):
-                    f = feature[at]
-                    inner = np.flatnonzero(f >= 0)
-                    if inner.size == 0:
-                        break
-                    here = at[inner]
-                    smaller = x[inner, f[inner]] <= cut[here]
-                    at[inner] = np.where(smaller, left[here], right[here])
-                depth += leaf_depth[at]
-            yield pd.Series(-np.power(2.0, -(depth / len(forest)) / norm))
-
-    def isolation_udf(it):
-        for parts in it:
-            yield from isolation([pd.concat(parts, axis=1)])
-
-    from collections.abc import Iterator
-
-    isolation_udf.__annotations__ = {"it": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
-    score = F.pandas_udf(isolation_udf, "double")
-    scored = materialize(scaled.select(key, score(*names).alias("_score")), "iforest")
+    nodes = grow_forest(scaled, key, names, trees, size, rows, seed)
+    scored = materialize(forest_scores(scaled, names, nodes, size, "_score").select(key, "_score"), "iforest")
     cut = percentile_bounds(scored, ["_score"], (contamination,))
     margin = F.col("_score") - F.col(f"_c.{quantile_name('_score', contamination)}")
     return (

@@ -30,6 +30,7 @@ class Trained:
     features: list[str]
     params: dict[str, Any]
     cv_mae: list[float] = field(default_factory=list)
+    trials: list[tuple[dict[str, Any], float]] = field(default_factory=list)  # settings of the grid and their mean fold MAE
 
     def importances(self) -> dict[str, float]:
         """Feature weights, largest first."""
@@ -125,22 +126,20 @@ def train_gbt(
     if rows < minimum_rows:
         raise ValueError(f"{rows} complete rows, at least {minimum_rows} needed")
     chosen = {**DEFAULT_PARAMS, **(params or {})}
+    trials: list[tuple[dict[str, Any], float]] = []
     if grid:
         if order is None:
             raise ValueError("a grid search needs an order column for its folds")
         pairs = expanding_folds(stored, order, tune_folds, ties)
-        best = None
         for values in product(*grid.values()):
             trial = {**chosen, **dict(zip(grid, values))}
             maes = _fold_errors(pairs, features, label, trial, seed)
-            score = sum(maes) / len(maes)
-            if best is None or score < best[0]:
-                best = (score, trial)
-        chosen = best[1]
+            trials.append((trial, sum(maes) / len(maes)))
+        chosen = min(trials, key=lambda t: t[1])[0]
     cv = []
     if order and folds:
         cv = _fold_errors(expanding_folds(stored, order, folds, ties), features, label, chosen, seed)
-    return Trained(_fit(stored, features, label, chosen, seed), list(features), chosen, cv)
+    return Trained(_fit(stored, features, label, chosen, seed), list(features), chosen, cv, trials)
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, digits: int = 4) -> DataFrame:

@@ -167,6 +167,26 @@ def test_nearest_of_few_or_no_points(spark):
     assert spatial.nearest(left, one.limit(0), "id", "rid").count() == 0
 
 
+def test_kept_forest_scores_rows_as_a_plain_walk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(700, 2)))] + [(700, 40.0, -40.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    nodes = anomaly.grow_forest(df, "id", ["a", "b"], 12, 64, 701)
+    got = {r["id"]: r["forest_score"] for r in anomaly.forest_scores(df, ["a", "b"], nodes, 64).collect()}
+    trees = [{n.node: n for n in t.itertuples()} for _, t in nodes.groupby("tree")]
+    assert len(trees) == 12 and len(nodes) <= 12 * 128
+    usual = anomaly._path_norm(64)
+    for key, *x in rows[::50] + rows[-1:]:
+        depth = 0.0
+        for tree in trees:
+            at = tree[0]
+            while at.feature >= 0:
+                at = tree[at.left_node if x[at.feature] <= at.cut else at.right_node]
+            depth += at.depth
+        assert got[key] == pytest.approx(-(2 ** (-depth / 12 / usual)))
+    assert min(got, key=got.get) == 700
+
+
 def test_cosine_topk_equals_brute_force_with_copies(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(400, 8)).astype("float32")
