@@ -1,21 +1,27 @@
 """Visible text of HTML pages, laid out: block spacing, lists and aligned table cells.
 
 A tokenizer's tags build a tree that supplies implied ends (a new `<p>`, `<li>`, `<td>`, ... ends the open
-one) and ignores stray ends. Visibility follows tags that never show, `hidden`, inline styles and simple
-rules of the page's own style sheets (tag, `.class`, `#id`, tag.class) that set display or visibility, the most
-specific and then the last one winning; rules inside `@media` count if it holds on a screen of `SCREEN` pixels,
-those inside other conditions or at-rules never. Descendants may show themselves again inside an
-element of hidden visibility. Buttons show their values, math and drawings their text. Rendering collapses white space except in `<pre>`, separates paragraphs by a blank
-line and other blocks by a line, marks and indents list items, and pads table cells to their column.
-
-Defined cases: null and empty pages give an empty text; broken markup never fails; trees of any depth are
-walked without recursion (tables nested more than `TABLE_DEPTH` deep are laid out as plain blocks); columns
-wider than `PAD` are not padded further, so that padding stays linear in the page.
+one) and ignores stray ends. Visibility follows tags that never show, `hidden`, inline styles and the rules of
+the page's own style sheets that set display or visibility, the most specific and then the last one winning.
+Selectors are read as tags, `.class`, `#id` and any of them together, inside others (`nav li`) or directly below
+(`ul > li`); rules with attributes, states, siblings or inside other rules don't count, nor do those inside
+`@media` that don't hold on a screen of `SCREEN` pixels or inside other conditions and at-rules. Descendants may
+show themselves again inside an element of hidden visibility. Buttons show their values, math and drawings their
+text. Rendering collapses white space except in `<pre>`, separates paragraphs by a blank line and other blocks by
+a line, marks and indents list items, and pads table cells to their column, also below cells that span rows.
+
+Defined cases: null and empty pages give an empty text, an empty table none; repeated rows stay, a column named
+like the result is replaced, other columns are kept as they are; broken markup never fails; trees of any depth
+and very long pages are walked once without recursion (tables nested more than `TABLE_DEPTH` deep are laid out as
+plain blocks). So that padding stays linear in the page, columns are padded to `PAD`: a longer cell with cells to
+its right is wrapped at spaces where the table has other rows, and a single longer word shifts the rest of its line.
 """
 
 from __future__ import annotations
 
 import re
+import textwrap
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,6 +53,7 @@ IMPLIED = {
 }
 TABLE_DEPTH, PAD = 20, 60
 SPACE = re.compile(r"[ \t\n\r\f]+")
+WRAP = textwrap.TextWrapper(PAD, expand_tabs=False, replace_whitespace=False, break_long_words=False, break_on_hyphens=False)
 #: Width and height of the screen that media conditions are read for.
 SCREEN = {"width": 1280, "height": 800}
 DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.IGNORECASE)
@@ -61,14 +68,15 @@ UNSEEN = frozenset("defs symbol desc metadata lineargradient radialgradient clip
 DRAWN = frozenset(["text", "foreignobject"])
 #: Inputs that show a label, and the label they have without a value.
 BUTTONS = {"submit": "Submit", "reset": "Reset", "button": "", "image": "Submit"}
-SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?")
+COMPOUND = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "rules")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.rules: dict[str, tuple] = {}  # property → (rank, value) of the style sheets
 
 
 class Tree(HTMLParser):
@@ -76,62 +84,55 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
-        self.counts: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}  # where open tags stand in `open`
         self.styles: list[str] = []
 
     def _end(self, upto: int) -> None:
         for node in self.open[upto:]:
-            self.counts[node.tag] -= 1
+            self.places[node.tag].pop()
         del self.open[upto:]
 
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
     def _end_open(self, tags, stops) -> None:
         """End the outermost open tag of `tags` that no tag of `stops` encloses."""
-        if not any(self.counts.get(t) for t in tags):
-            return
-        found = None
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in stops:
-                break
-            if self.open[k].tag in tags:
-                found = k
-        if found is not None:
-            self._end(found)
+        stop = max(map(self._last, stops))
+        found = [places[at] for t in tags if (places := self.places.get(t)) and (at := bisect_right(places, stop)) < len(places)]
+        if found:
+            self._end(min(found))
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_P and self.counts.get("p"):
+        if tag in ENDS_P and self.places.get("p"):
             self._end_open({"p"}, {"td", "th", "table", "button"})
         if tag in IMPLIED:
             self._end_open(*IMPLIED[tag])
-        elif tag not in NEVER and self.counts.get("head") and tag not in ("html", "head"):
+        elif tag not in NEVER and self.places.get("head") and tag not in ("html", "head"):
             self._end_open({"head"}, {"html"})
         node = Node(tag, {k: v or "" for k, v in attrs})
-        if tag in ("annotation", "annotation-xml") and self.counts.get("math"):
+        if tag in ("annotation", "annotation-xml") and self.places.get("math"):
             node.attrs["#never"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash ends nothing in HTML, but elements of drawings and formulas
-        foreign = (self.counts.get("svg") or self.counts.get("math")) and not self.counts.get("foreignobject")
+        foreign = (self.places.get("svg") or self.places.get("math")) and not self.places.get("foreignobject")
         if (foreign or tag == "foreignobject") and self.open[-1].tag == tag:
             self._end(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not self.counts.get("p"):
+        if tag == "p" and not self.places.get("p"):
             self.open[-1].children.append(Node("p", {}))
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
-        if not self.counts.get(tag):
+        if not self.places.get(tag):
             return
-        stops = {"table"} if tag not in ("table", "html", "body") else ()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                self._end(k)
-                return
-            if self.open[k].tag in stops:
-                return
+        if tag in ("table", "html", "body") or self._last(tag) > self._last("table"):
+            self._end(self._last(tag))
 
     def handle_data(self, data):
         top = self.open[-1]
@@ -178,81 +179,126 @@ def declared(body: str) -> dict[str, tuple[str, bool]]:
     return out
 
 
-def style_rules(styles: list[str]) -> dict[str, dict[str, tuple]]:
-    """Simple selector → property → (rank, value) over all sheets; a greater rank wins."""
-    out: dict[str, dict[str, tuple]] = {}
-    order = 0
+class Rules:
+    """Selectors as chains of parts, each found by one name that its element must have."""
+
+    def __init__(self):
+        self.named: dict[str, list[tuple]] = {}  # name → (part, tag, classes and id, part before, directly below)
+        self.parts: dict[str, int] = {}
+        self.given: dict[int, dict[str, tuple]] = {}  # last part → property → (rank, value), a greater rank wins
+        self.leads: set[int] = set()  # parts with a part behind them
+
+    def add(self, selector: str, values: dict[str, tuple[str, bool]], order: int) -> None:
+        words = re.sub(r"\s*>\s*", " > ", selector).split()
+        links, chain = [], []
+        for k, word in enumerate(words):
+            if word == ">":
+                if not chain or k + 1 == len(words) or words[k - 1] == ">":
+                    return
+                continue
+            found = COMPOUND.fullmatch(word)
+            if not found:
+                return
+            links.append(k > 0 and words[k - 1] == ">")
+            chain.append((found[1].lower() if found[1] and found[1] != "*" else "", frozenset(re.findall(r"[.#][\w-]+", found[2]))))
+        before, path = -1, ""
+        for below, (tag, marks) in zip(links, chain):
+            name = min(marks) if marks else tag or "*"
+            path += f" {'>' if below else ''}{tag}{''.join(sorted(marks))}"
+            if path not in self.parts:
+                self.parts[path] = len(self.parts)
+                self.named.setdefault(name, []).append((self.parts[path], tag, marks, before, below))
+                self.leads.add(before)
+            before = self.parts[path]
+        if not chain:
+            return
+        every = [m for _, marks in chain for m in marks]
+        ids = sum(m.startswith("#") for m in every)
+        held = self.given.setdefault(before, {})
+        for name, (value, important) in values.items():
+            rank = (important, ids, len(every) - ids, sum(bool(tag) for tag, _ in chain), order)
+            held[name] = max(held.get(name, (rank, value)), (rank, value))
+
+    def apply(self, root: Node) -> None:
+        """Give every element the values of the selectors that select it, in one walk from the top."""
+        todo = [(root, frozenset(), frozenset())]
+        while todo:
+            node, above, parent = todo.pop()
+            marks = {"." + c for c in node.attrs.get("class", "").split()}
+            if node.attrs.get("id"):
+                marks.add("#" + node.attrs["id"].strip())
+            here = set()
+            for name in ("*", node.tag, *marks):
+                for part, tag, wanted, before, below in self.named.get(name, ()):
+                    if tag in ("", node.tag) and wanted <= marks and (before < 0 or before in (parent if below else above)):
+                        here.add(part)
+                        for prop, value in self.given.get(part, {}).items():
+                            node.rules[prop] = max(node.rules.get(prop, value), value)
+            lead = frozenset(here & self.leads)
+            beneath = above if lead <= above else above | lead
+            todo += [(c, beneath, lead) for c in node.children if not isinstance(c, str)]
+
+
+def style_rules(styles: list[str]) -> Rules:
+    """The rules of all sheets that set display or visibility and hold on the screen."""
+    out, order = Rules(), 0
     for sheet in styles:
         sheet = STRING.sub('""', re.sub(r"/\*.*?\*/|<!--|-->", "", sheet, flags=re.DOTALL))
-        applies, blocks, starts, at = [True], [""], [0], 0
+        # open blocks: selectors ("" for an at-rule), whether they hold, whether inside a rule, declarations so far
+        blocks, at = [("", True, False, [])], 0
         for m in BRACE.finditer(sheet):
-            head = sheet[at : m.start()].strip()
-            if m.group() == ";":
-                # ends a statement such as @import; inside a rule, declarations go on
-                at = m.end() if not blocks[-1] else at
-            elif m.group() == "{":
+            selectors, applies, inside, body = blocks[-1]
+            if m.group() == "{":
+                head = sheet[at : m.start()].strip()
                 name = head.lower()
                 if name.startswith("@"):
                     word = re.match(r"@[a-z-]*", name).group()
                     if word == "@media":
-                        inside = on_screen(head[6:])
+                        holds = on_screen(head[6:])
                     else:
-                        inside = word == "@layer" or word == "@supports" and not re.match(r"@supports\s+not\b", name)
-                    blocks.append("")
-                    applies.append(applies[-1] and inside)
+                        holds = word == "@layer" or word == "@supports" and not re.match(r"@supports\s+not\b", name)
+                    blocks.append(("", applies and holds, inside, []))
                 else:
-                    blocks.append(head)
-                    applies.append(applies[-1])
-                at = m.end()
-                starts.append(at)
+                    blocks.append((head, applies and not inside, True, []))
             else:
-                if blocks[-1] and applies[-1]:
-                    for name, (value, important) in declared(re.sub(r"[^;{}]*\{[^{}]*\}", ";", sheet[starts[-1] : m.start()])).items():
-                        for s in map(str.strip, blocks[-1].split(",")):
-                            found = SIMPLE.fullmatch(s)
-                            if s and found:
-                                order += 1
-                                rank = (important, (found[2] or "").startswith("#"), (found[2] or "").startswith("."), bool(found[1]), order)
-                                held = out.setdefault(s, {})
-                                held[name] = max(held.get(name, (rank, value)), (rank, value))
-                if len(blocks) > 1:
-                    blocks.pop()
-                    applies.pop()
-                    starts.pop()
-                at = m.end()
+                body.append(sheet[at : m.end()].removesuffix("}"))
+                if m.group() == "}":
+                    if selectors and applies and (values := declared(";".join(body))):
+                        for selector in map(str.strip, selectors.split(",")):
+                            order += 1
+                            out.add(selector, values, order)
+                    if len(blocks) > 1:
+                        blocks.pop()
+            at = m.end()
     return out
 
 
-def styled(node: Node, rules: dict, name: str) -> str | None:
+def styled(node: Node, name: str) -> str | None:
     """The value of a property that the page gives an element itself."""
     own = declared(node.attrs["style"]).get(name) if node.attrs.get("style") else None
-    if not rules:
-        return own and own[0]
-    tag, attrs = node.tag, node.attrs
-    marks = ["", *("." + c for c in attrs.get("class", "").split()), *(["#" + attrs["id"].strip()] if attrs.get("id") else [])]
-    best = max((held[name] for m in marks for key in {m, tag + m} if (held := rules.get(key)) and name in held), default=None)
+    best = node.rules.get(name)
     if own and (own[1] or not (best and best[0][0])):
         return own[0]
     return best and best[1]
 
 
-def hidden(node: Node, rules: dict) -> bool:
+def hidden(node: Node) -> bool:
     """Whether an element and all in it don't show."""
     tag, attrs = node.tag, node.attrs
     if tag in NEVER or "#never" in attrs or tag == "input" and attrs.get("type", "").lower().strip() not in BUTTONS:
         return True
-    display = styled(node, rules, "display")
+    display = styled(node, "display")
     if display is not None:
         return display == "none"
     return "hidden" in attrs or tag == "dialog" and "open" not in attrs
 
 
-def conceal(root: Node, rules: dict) -> None:
+def conceal(root: Node) -> None:
     """Take out what the inherited visibility hides, but not descendants that are visible again."""
     todo = [(root, True)]
     while todo:
         node, shown = todo.pop()
-        value = styled(node, rules, "visibility")
+        value = styled(node, "visibility")
         if value in ("hidden", "collapse", "visible", "initial"):
             shown = value in ("visible", "initial")
         if not shown:
@@ -261,12 +307,12 @@ def conceal(root: Node, rules: dict) -> None:
         todo += [(c, shown) for c in node.children if not isinstance(c, str)]
 
 
-def drawn(svg: Node, rules: dict) -> list[Node]:
+def drawn(svg: Node) -> list[Node]:
     """The elements of a drawing that hold text, in order."""
     out, todo = [], list(reversed(svg.children))
     while todo:
         node = todo.pop()
-        if isinstance(node, str) or node.tag in UNSEEN or hidden(node, rules):
+        if isinstance(node, str) or node.tag in UNSEEN or hidden(node):
             continue
         if node.tag in DRAWN:
             out.append(node)
@@ -339,8 +385,51 @@ class Page:
         return "\n".join(self.lines)
 
 
-def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell text, columns it spans), cells side by side and padded to their column."""
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int]]]:
+    """Rows of (cell text, columns it spans) with an empty cell wherever a cell above reaches down; rows without text go."""
+    reach: dict[int, int] = {}  # column → rows that a cell above still covers
+    out = []
+    for row in rows:
+        placed, at, todo = [], 0, list(reversed(row))
+        covered, reach = reach, {}
+        last = max(covered, default=-1)
+        while todo or at <= last:
+            if at in covered:
+                placed.append(("", 1))
+                if covered[at] > 1:
+                    reach[at] = covered[at] - 1
+                at += 1
+            elif todo:
+                text, span, down = todo.pop()
+                placed.append((text, span))
+                for c in range(at, at + span if down > 1 else at):
+                    reach[c] = max(down - 1, covered.get(c, 1) - 1)
+                at += span
+            else:
+                placed.append(("", 1))
+                at += 1
+        if any(text for text, _ in placed):
+            out.append(placed)
+    return out
+
+
+def _wrapped(row: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The row with long lines wrapped at spaces in every cell that has text to its right."""
+    last = max(k for k, (text, _) in enumerate(row) if text)
+    out = []
+    for k, (text, span) in enumerate(row):
+        if k < last and len(text) > PAD:
+            lines = [[line] if len(line) <= PAD else WRAP.wrap(line) for line in text.split("\n")]
+            text = "\n".join(part for parts in lines for part in parts)
+        out.append((text, span))
+    return out
+
+
+def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (cell text, columns and rows it spans), cells side by side and padded to their column."""
+    rows = _placed(rows)
+    if len(rows) > 1:
+        rows = [_wrapped(row) for row in rows]
     widths: list[int] = []
     for row in rows:
         at = 0
@@ -350,6 +439,13 @@ def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
             if span == 1:
                 widths[at] = max(widths[at], min(PAD, max(map(len, text.split("\n")))))
             at += span
+    for row in rows:
+        at = 0
+        for text, span in row:
+            # a cell over several columns widens the last of them
+            wanted = min(PAD, max(map(len, text.split("\n")))) - sum(widths[at : at + span]) - 3 * (span - 1)
+            widths[at + span - 1] += max(0, wanted) if span > 1 else 0
+            at += span
     out = []
     for row in rows:
         cells = [text.split("\n") for text, _ in row]
@@ -363,7 +459,7 @@ def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
     return out
 
 
-def _rows(table: Node, rules: dict) -> tuple[list[Node], list[list[Node]], list[Node]]:
+def _rows(table: Node) -> tuple[list[Node], list[list[Node]], list[Node]]:
     """(captions, rows of cells, anything else) of a table, looking through its row groups only."""
     captions, rows, other, todo = [], [], [], [table]
     while todo:
@@ -373,12 +469,12 @@ def _rows(table: Node, rules: dict) -> tuple[list[Node], list[list[Node]], list[
             if isinstance(child, str):
                 if child.strip():
                     other.append(child)
-            elif hidden(child, rules):
+            elif hidden(child):
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
                 todo.append(child)
             elif child.tag == "tr":
-                rows.append([c for c in child.children if not isinstance(c, str) and not hidden(c, rules)])
+                rows.append([c for c in child.children if not isinstance(c, str) and not hidden(c)])
                 other += [c for c in child.children if isinstance(c, str) and c.strip()]
             elif child.tag in ("td", "th"):
                 loose.append(child)
@@ -391,7 +487,7 @@ def _rows(table: Node, rules: dict) -> tuple[list[Node], list[list[Node]], list[
     return captions, rows, other
 
 
-def render(nodes: list, rules: dict, depth: int = 0) -> str:
+def render(nodes: list, depth: int = 0) -> str:
     page, todo = Page(), [("in", n, False) for n in reversed(nodes)]
     while todo:
         step, node, pre = todo.pop()
@@ -406,7 +502,7 @@ def render(nodes: list, rules: dict, depth: int = 0) -> str:
         if isinstance(node, str):
             page.word(node, pre)
             continue
-        if hidden(node, rules):
+        if hidden(node):
             continue
         tag = node.tag
         if tag == "br":
@@ -420,17 +516,17 @@ def render(nodes: list, rules: dict, depth: int = 0) -> str:
             if label(node).strip():
                 page.word(f" {label(node)} ", False)
         elif tag == "svg":
-            for part in reversed(drawn(node, rules)):
+            for part in reversed(drawn(node)):
                 todo += [("in", " ", False), ("in", part, False), ("in", " ", False)]
         elif tag == "table" and depth < TABLE_DEPTH:
             page.end(True)
-            captions, rows, other = _rows(node, rules)
+            captions, rows, other = _rows(node)
             for part in [*captions, *other]:
-                for line in filter(None, render([part], rules, depth + 1).split("\n")):
+                for line in filter(None, render([part], depth + 1).split("\n")):
                     page._put(line)
                     page._flush()
-            cells = [[(render(c.children if c.tag in ("td", "th") else [c], rules, depth + 1), _span(c)) for c in row] for row in rows]
-            for line in table_lines([r for r in cells if any(t for t, _ in r)]):
+            cells = [[(render(c.children if c.tag in ("td", "th") else [c], depth + 1), _span(c), _span(c, "rowspan")) for c in row] for row in rows]
+            for line in table_lines(cells):
                 page._put(line)
                 page._flush()
             page.end(True)
@@ -458,17 +554,19 @@ def render(nodes: list, rules: dict, depth: int = 0) -> str:
     return page.text()
 
 
-def _span(cell: Node) -> int:
-    raw = cell.attrs.get("colspan", "")
+def _span(cell: Node, name: str = "colspan") -> int:
+    raw = cell.attrs.get(name, "")
     return min(max(int(raw), 1), 100) if re.fullmatch(r"\d{1,6}", raw) else 1
 
 
 def visible_text(html: str) -> str:
     tree = parse(html)
     rules = style_rules(tree.styles)
+    if rules.given:
+        rules.apply(tree.root)
     if "visibility" in html.lower():
-        conceal(tree.root, rules)
-    return render(tree.root.children, rules)
+        conceal(tree.root)
+    return render(tree.root.children)
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -166,6 +167,9 @@ def test_html_layout():
         ("<style>#k{display:inline} .m{display:none}</style><i id=k class=m>yes</i><i class=m style='display:inline'> too</i>", "yes too"),
         ("<style>.m{display:none !important} .m{display:block}</style><i class=m style='display:inline'>no</i>yes", "yes"),
         ("<style>.h{visibility:hidden}.v{visibility:visible}</style><p class=h>no <b class=v>yes</b> no</p>", "yes"),
+        ("<style>nav li, .a.b, ul > li > i{display:none}</style><nav><p>yes<ul><li>no</ul></nav><p class='b a'>no</p><p class=a>yes<ul><li><i>no</i><b><i>yes</i></b></ul>", "yes\n\nyes\n\n- yes"),
+        ("<style>nav p{display:none} #k p{display:block}</style><nav id=k><p>yes</nav><nav><p>no</nav>", "yes"),
+        ("<style>p:hover, p[x], a + p, > p, p >, .q{ i{display:none} } .q p:hover{display:none}</style><div class=q><a>yes</a><p x=1>yes <i>yes</i></div>", "yes\n\nyes yes"),
         ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
         ("a<svg><title>no</title><defs/><path d='M0'/><g><text>one</text><text>two</text></g>no<defs><text>no</text></defs></svg>b", "a one two b"),
         ("<input type=submit value=Go><input type=hidden value=no><input type=image alt=Find><input type=reset><input value=typed>", "Go Find Reset"),
@@ -175,6 +179,70 @@ def test_html_visibility(html, want):
     assert html_text.visible_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E</table>", "A | B | C\n  | D | E"),
+        ("<table><tr><td>a<td rowspan=9 colspan=2>B<td>C<tr><td>d<td>e</table>", "a | B   | C\nd |  |  | e"),
+        ("<table><tr><td colspan=2>long head<td>x<tr><td>a<td>b<td>c</table>", "long head | x\na | b     | c"),
+        ("<table><tr><td>" + "word " * 14 + "<td>r<tr><td>s<td>t</table>", " ".join(["word"] * 12) + " | r\nword word" + " " * 50 + " |\ns" + " " * 58 + " | t"),
+        ("<table><tr><td>" + "word " * 14 + "<td>r</table>", " ".join(["word"] * 14) + " | r"),
+    ],
+)
+def test_html_tables(html, want):
+    assert html_text.visible_text(html) == want
+
+
+def test_html_rules_equal_a_plain_cascade():
+    """Random trees and style sheets against matching every selector from every element upwards."""
+    rng = random.Random(4)
+
+    def selects(parts, path):
+        *rest, (below, word) = parts
+        tag, *marks = re.findall(r"^[a-z]*|[.#]\w+", word)
+        node = path[-1]
+        mine = {"." + c for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if "id" in node.attrs else set())
+        if tag not in ("", node.tag) or not set(marks) <= mine:
+            return False
+        above = range(len(path) - 1, 0, -1)
+        return not rest or any(selects(rest, path[:k]) for k in ([len(path) - 1] if below else above) if k > 1)
+
+    def word():
+        return rng.choice(["", "b", "i", "div"]) + "".join(sorted({rng.choice([".x", ".y", "#k"]) for _ in range(rng.randint(0, 2))})) or "i"
+
+    found = 0
+    for _ in range(150):
+        page = "".join(rng.choice(["<{0}{1}>", "</{0}>"]).format(rng.choice(["b", "i", "div"]), rng.choice(["", " class=x", " class='y x'", " id=k class=y"])) for _ in range(30))
+        page = re.sub(r"</(\w+)[^>]*>", r"</\1>", page)
+        rules = []
+        for _ in range(rng.randint(1, 6)):
+            parts = [(rng.random() < 0.4, word()) for _ in range(rng.randint(1, 3))]
+            rules.append((parts, rng.choice(["none", "block", "inline"]), rng.random() < 0.2))
+        text = [" ".join((["> "] if below and n else [""])[0] + w for n, (below, w) in enumerate(parts)) + "{display:" + value + (" !important" if loud else "") + "}" for parts, value, loud in rules]
+        tree = html_text.parse("<style>" + " ".join(text) + "</style>" + page)
+        html_text.style_rules(tree.styles).apply(tree.root)
+        todo = [[tree.root, c] for c in tree.root.children if not isinstance(c, str)]
+        while todo:
+            path = todo.pop()
+            ranked = []
+            for order, (parts, value, loud) in enumerate(rules):
+                if selects(parts, path):
+                    whole = " ".join(w for _, w in parts)
+                    ranked.append(((loud, whole.count("#"), whole.count("."), sum(w[0].isalpha() for _, w in parts), order), value))
+            got = path[-1].rules.get("display")
+            assert (got and got[1]) == (max(ranked)[1] if ranked else None)
+            found += bool(ranked)
+            todo += [[*path, c] for c in path[-1].children if not isinstance(c, str)]
+    assert found > 200
+
+
+@pytest.mark.parametrize("html", ["<b>" * 40_000 + "<p>" * 10_000, "<style>" + ".a{display:none;" * 6000 + "}" * 6000 + "</style>", "<style>.x div p{display:none}</style>" + "<div class=x>" * 20_000])
+def test_html_takes_no_squared_time(html):
+    start = time.process_time()
+    html_text.visible_text(html)
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("html", ["", "plain", "<", "</p></td>", "<table><tr><table><td>x", "<li>" * 3000 + "x", "<div>" * 20_000 + "x" + "</div>" * 20_000, "<table><tr><td>" * 60 + "x"])
 def test_html_never_fails(html):
     assert html_text.visible_text(html).count("x") == html.count("x")
