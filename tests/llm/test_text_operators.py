@@ -322,6 +322,86 @@ def test_short_lines_are_judged_as_blocks():
     assert few["kept"] and few["navigation"] == 5 and poem["navigation"] == 0 and poem["kept"]
 
 
+def plain_verdict(text):
+    """(failed lines by rule, lost words, kept), every line judged by counting characters and words one by one."""
+    lines = text.split("\n")
+    sizes = [len([w for w in re.split(r"[ \t\n\v\f\r]+", x) if w]) for x in lines]
+    menus, failed, lost = plain_menus(lines), dict.fromkeys(quality_rules.RULES, 0), 0
+    for k, line in enumerate(lines):
+        if not sizes[k]:
+            continue
+        words, n = [w for w in re.split(r"[ \t\n\v\f\r]+", line) if w], sizes[k]
+        alone = sum(c in "|»›•·→>" and line[j - 1 : j].strip() == "" and line[j + 1 : j + 2].strip() == "" for j, c in enumerate(line))
+        marks = sum(not (c.isalnum() or c.isspace() or c in "_.,;:'\"()-") for c in line)
+        upper = sum(w.isupper() for w in words)
+        tests = {
+            "repetition": line in lines[:k],
+            "navigation": n >= 4 and alone / n > 0.2,
+            "punctuation": n >= 4 and marks / n > 0.3,
+            "shouting": n >= 4 and upper / n > 0.6 and upper > sum(w.islower() for w in words),
+            "stutter": n >= 4 and sum(words[j] == words[j - 1] for j in range(1, n)) / n > 0.4,
+            "boilerplate": bool(quality_rules.BOILERPLATE.search(line)),
+        }
+        rule = next((r for r, fails in tests.items() if fails), "navigation" if k in menus else None)
+        if rule:
+            failed[rule] += 1
+            lost += n
+    base = plain_rules(text)
+    return failed, lost, base[0] >= 50 and 100 * base[4] <= 50 * base[0] and 10 * lost <= 3 * base[0]
+
+
+def test_quality_rules_equal_plain_version(spark, sf_dir):
+    rng = random.Random(12)
+    some = ["one two three four five.", "HOME ABOUT NEWS MORE", "a | b | c | d", "»", "go go go go go", "!!! *** ??? ###", "All rights reserved", "Sign in", "x › y", "é\xa0ü", "", " ", "A Title Here", "don't_stop now, please (really)"]
+    texts = ["\n".join(rng.choice([*some, " ".join(rng.choices("alpha beta GAMMA | $ delta".split(), k=rng.randrange(1, 9)))]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += ["\n".join(f"word{k} of line {j} stands here" for j in range(9)) + "\n" + x for k, x in enumerate(texts[:100])]
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if len(r.text or "") < 20_000]
+    kept = 0
+    for text in texts:
+        got, _ = quality_rules.inspect(text)
+        failed, lost, keep = plain_verdict(text)
+        assert ({r: got[r] for r in quality_rules.RULES}, got["lost_words"], got["kept"]) == (failed, lost, keep)
+        kept += keep
+    assert 50 < kept < len(texts) - 50
+
+
+def test_compression_query_equals_plain_version(spark, sf_dir):
+    """Scores of the registered query against each block compressed anew by a compressor of its own."""
+    import zlib
+
+    import zstandard
+
+    from indicraft.llm.queries import QUERIES
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
+    model = compression_quality.fit_compression(docs, seen)
+
+    def size(data, raw):
+        held = {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **held).compress(data))
+
+    def plain(text):
+        data = text.encode()
+        if not data:
+            return [1, 0, 0, 0, 0, 0, 0]
+        parts = [data[k : k + 1024] for k in range(0, len(data), 1024)]
+        good, bad = [size(x, model.good) for x in parts], [size(x, model.bad) for x in parts]
+        long = [k for k, x in enumerate(parts) if len(x) >= min(len(parts[0]), 256)]
+        whole = (sum(bad) - sum(good)) / max(sum(bad), sum(good))
+        least = min((bad[k] - good[k]) / max(bad[k], good[k]) for k in long)
+        return [1, 10 * whole, 10 * least, np.log(sum(good) / len(data)), np.log(size(data, None) / len(data)), np.log(min(good[k] / len(parts[k]) for k in long)), np.log(len(data)) / 10]
+
+    got = {r.doc_id: r for r in QUERIES["op6_compression_quality"](spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    few = sorted(texts, key=lambda k: zlib.crc32(str(k).encode()))[:120]
+    for k in few:
+        want = 1 / (1 + np.exp(-np.dot(plain(texts[k]), model.calibration)))
+        assert got[k].score == pytest.approx(want, abs=1e-9)
+        assert got[k].predicted == (got[k].score >= 0.7) and got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2)
+
+
 def test_compression_held_out(spark):
     from indicraft.llm.queries import QUERIES
 
