@@ -23,21 +23,16 @@ MATRIX = 2_000_000  # entries of a distance matrix at once
 CURVE_BITS = 24
 
 
-def _spread(c: Column) -> Column:
-    """The bits of a whole number below 2^32 at every second place."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return c
-
-
 def curve_code(lat: str, lon: str) -> Column:
     """Place along a Z-order curve over latitude and longitude; near positions mostly have near codes."""
     top = 2**CURVE_BITS - 1
 
-    def scaled(c: str, low: float, width: float) -> Column:
-        return F.least(F.lit(top), F.floor((F.col(c) - low) / width * (top + 1))).cast("long")
+    def spread(c: str, low: float, width: float) -> Column:
+        step = F.least(F.lit(top), F.floor((F.col(c) - low) / width * (top + 1))).cast("long")
+        # binary digits read to base four leave every second bit free
+        return F.conv(F.bin(step), 4, 10).cast("long")
 
-    return _spread(scaled(lat, -90.0, 180.0)).bitwiseOR(F.shiftleft(_spread(scaled(lon, -180.0, 360.0)), 1))
+    return spread(lat, -90.0, 180.0) + spread(lon, -180.0, 360.0) * 2
 
 
 class Boxes:
