@@ -1,9 +1,13 @@
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from indicraft.operators import aggregates, anomaly, features, joins, model, quality, retrieval, serving, spatial, text
 from indicraft.operators.bounds import percentile_bounds, quantile_table
 from indicraft.operators.ranking import rank_columns, rank_levels
@@ -111,6 +115,54 @@ def test_upsert_latest(spark):
     assert out == {1: "old", 2: "new", 3: "new"}
 
 
+def _cut_by_places(text, size, overlap, seps):
+    """Chunks found by searching start and end places in the running lengths of the pieces."""
+    at = next((k for k, sep in enumerate(seps) if not sep or sep in text), len(seps) - 1)
+    starts = [0] + [m.start() for m in re.finditer(re.escape(seps[at]), text)] if seps[at] else list(range(len(text)))
+    edges = sorted({*starts, len(text)})
+    pieces = list(zip(edges, edges[1:]))
+    out, run = [], []
+
+    def close():
+        first = 0
+        while first < len(run):
+            ends = [k for k in range(first + 1, len(run) + 1) if k == first + 1 or run[k - 1][1] - run[first][0] <= size]
+            last = max(ends)
+            out.append(text[run[first][0] : run[last - 1][1]])
+            if last == len(run):
+                break
+            fits = [k for k in range(first, last + 1) if k == last or run[last - 1][1] - run[k][0] <= overlap and run[last][1] - run[k][0] <= size]
+            first = min(fits)
+        run.clear()
+
+    for a, b in pieces:
+        if b - a < size:
+            run.append((a, b))
+            continue
+        close()
+        out.extend(_cut_by_places(text[a:b], size, overlap, seps[at + 1 :]) if at + 1 < len(seps) else [text[a:b]])
+    close()
+    return out
+
+
+def test_chunks_equal_cuts_by_places(spark, sf_dir):
+    rng = np.random.default_rng(8)
+    pool = ["alpha ", "be", "gamma. ", "\n", "\n\n", "delta epsilon ", "x" * 17, ". ", "é"]
+    for n in range(250):
+        content = "".join(rng.choice(pool, size=n))
+        size = int(rng.integers(2, 40))
+        overlap = int(rng.integers(0, size))
+        want = [c.strip() for c in _cut_by_places(content, size, overlap, text.SEPARATORS)]
+        assert text.split_text(content, size, overlap) == [c for c in want if c]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {}
+    for r in QUERIES["text_chunk_rows"](spark, sf_dir).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_index, r.digest))
+    for r in docs.filter("length(text) between 1000 and 12000").collect():
+        chunks = [c for c in (x.strip() for x in _cut_by_places(r.text, 2048, 200, text.SEPARATORS)) if c]
+        assert sorted(got[r.doc_id]) == [(k, hashlib.md5(c.encode()).hexdigest()) for k, c in enumerate(chunks) if len(c) >= 20]
+
+
 def _places(n, seed):
     rng = np.random.default_rng(seed)
     dense = rng.random(n) < 0.4
