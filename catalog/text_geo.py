@@ -46,13 +46,6 @@ def boundaries(spark, d):
     return out.select("doc_id", "doc_hash", "source", (F.col("longest") <= tx.CHUNK_CHARS).alias("sizes_bounded"), "all_in_text", covered.alias("words_covered"))
 
 
-@query("text_chunk_rows")
-def chunk_rows(spark, d):
-    """Every chunk by value; `tests/test_operators.py` compares the cuts with a splitter of another kind."""
-    out = tx.chunk_text(table(spark, d, "documents"), "doc_id", "text", "source")
-    return out.select("doc_id", "source", "chunk_index", F.length("chunk_text").alias("chunk_chars"), F.md5("chunk_text").alias("digest"))
-
-
 @query("vector_normalize", f"select vec_id, {rnd('embedding[1] / sqrt(list_dot_product(embedding::double[], embedding::double[]))', 6)} as first_part, 1.0::double as length from embeddings")
 def normalize(spark, d):
     e = table(spark, d, "embeddings").withColumn("u", rt.l2_normalize("embedding"))
