@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from indicraft.session import scratch_path
@@ -12,6 +14,9 @@ from indicraft.sources.registry import load_source
 from .base import ORACLES, query, shared, table
 from .cleaning import DIRECTORY
 
+#: Alerts in one landed file: 50 MB of text.
+ALERT_FILE_ROWS = 10_000
+
 
 @query("source_csv_scan", "select c_custkey, c_name, case when c_custkey % 5 = 0 then null else c_acctbal end as c_acctbal from customer")
 def csv_scan(spark, d):
@@ -187,14 +192,23 @@ def load_env_health(spark, d):
 
 @query("source_load_alerts", "select event_type as event, count(*) as n, sum(5000 + event_id % 10)::bigint as description_chars, count(case when event_id % 3 > 0 then 1 end) as n_wi from events group by 1")
 def load_alerts(spark, d):
-    """Feature collections, one per line, with long descriptions."""
+    """Feature collections, one per line, with long descriptions.
+
+    Keys alone are shuffled into packs, the long texts are made where they are written, and the files are gzipped.
+    """
     path = scratch_path(spark, "alerts")
-    k = F.col("event_id")
-    text = F.concat(F.repeat(F.lit("x"), 5000), F.repeat(F.lit("y"), (k % 10).cast("int")))
-    codes = F.struct(F.when(k % 3 > 0, F.array(F.lit("WIC001"))).alias("UGC")).alias("geocode")
-    feature = F.struct(F.struct(F.concat(F.lit("urn:"), k.cast("string")).alias("id"), F.col("event_type").alias("event"), F.lit("Severe").alias("severity"), text.alias("description"), codes).alias("properties"))
-    packs = table(spark, d, "events").groupBy(F.floor(k / 20).alias("g")).agg(F.collect_list(feature).alias("features"))
-    packs.select(F.to_json(F.struct("features")).alias("value")).write.text(path)
+    events = table(spark, d, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 20).alias("g"))
+
+    def feature(e):
+        k = e["event_id"]
+        text = F.concat(F.repeat(F.lit("x"), 5000), F.repeat(F.lit("y"), (k % 10).cast("int")))
+        codes = F.struct(F.when(k % 3 > 0, F.array(F.lit("WIC001"))).alias("UGC")).alias("geocode")
+        return F.struct(F.struct(F.concat(F.lit("urn:"), k.cast("string")).alias("id"), e["event_type"].alias("event"), F.lit("Severe").alias("severity"), text.alias("description"), codes).alias("properties"))
+
+    # the keys are small and the lines long: the number of files follows the rows, as merged partitions would be too few
+    files = max(1, math.ceil(events.count() / ALERT_FILE_ROWS))
+    packs = events.repartition(files, "g").groupBy("g").agg(F.collect_list(F.struct("event_id", "event_type")).alias("e"))
+    packs.select(F.to_json(F.struct(F.transform("e", feature).alias("features"))).alias("value")).write.option("compression", "gzip").text(path)
     valid, _, _ = load_source(spark, "noaa_nws_alerts", path, ingested_at=F.lit("2024-01-01").cast("timestamp"))
     return valid.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("description")).alias("description_chars"), F.count_if(F.col("state") == "WI").alias("n_wi"))
 
