@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import text_hash
 
@@ -16,6 +17,8 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 WHITESPACE = " \t\n\r\f\v"
 CHUNK_CHARS = 2048
 OVERLAP_CHARS = 200
+#: Characters of chunks that a task hands on at once.
+BATCH_CHARS = 2_000_000
 
 
 def usable_documents(df: DataFrame, text: str, minimum: int = 50) -> DataFrame:
@@ -90,22 +93,40 @@ def chunk_text(
 ) -> DataFrame:
     """Boundary-aware chunks: (key, source, chunk_index, chunk_text, doc_hash).
 
-    A narrow, shuffle-free map over Arrow batches; every text is read whole.
+    A narrow, shuffle-free map over Arrow batches; every text is read whole, and a task holds one text
+    and about `BATCH_CHARS` characters of chunks beside its input batch.
     """
-    key_type = df.schema[key].dataType.simpleString()
     digest = F.substring(F.md5(F.col(text).cast("binary")), 1, 12)
-    inputs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source or key).cast("string").alias("s"), digest.alias("h"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, t, s, digest in batch.itertuples(index=False):
-                if t is None:
-                    continue
-                for i, chunk in enumerate(split_text(t, size, overlap)):
-                    if len(chunk) >= min_len:
-                        rows.append((k, s, i, chunk, digest))
-            yield pd.DataFrame(rows, columns=["k", "s", "i", "c", "h"])
-
-    out = inputs.mapInPandas(run, f"k {key_type}, s string, i int, c string, h string")
+    inputs = df.select(F.col(key).alias("k"), F.col(source or key).cast("string").alias("s"), digest.alias("h"), F.col(text).cast("string").alias("t"))
+    schema = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("s", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("c", T.StringType()), T.StructField("h", T.StringType())])
+    out = inputs.mapInArrow(lambda batches: chunk_batches(batches, size, overlap, min_len), schema)
     return out.toDF(key, "source", "chunk_index", "chunk_text", "doc_hash")
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch], size: int, overlap: int, min_len: int, most_chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """(k, s, h, t) to (k, s, i, c, h), a batch at the latest when its chunks hold `most_chars` characters or one text more."""
+    for batch in batches:
+        rows: list[int] = []
+        places: list[int] = []
+        chunks: list[str] = []
+        held = 0
+
+        def made(batch=batch) -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            k, s, h = (batch.column(j).take(at) for j in range(3))
+            return pa.RecordBatch.from_arrays([k, s, pa.array(places, pa.int32()), pa.array(chunks, pa.string()), h], names=["k", "s", "i", "c", "h"])
+
+        for row, value in enumerate(batch.column(3)):
+            if not value.is_valid:
+                continue
+            for i, chunk in enumerate(split_text(value.as_py(), size, overlap)):
+                if len(chunk) >= min_len:
+                    rows.append(row)
+                    places.append(i)
+                    chunks.append(chunk)
+                    held += len(chunk)
+            if held >= most_chars:
+                yield made()
+                rows, places, chunks, held = [], [], [], 0
+        if rows:
+            yield made()

@@ -446,3 +446,14 @@ def test_sort_key_and_compare_limits(spark):
     with pytest.raises(ValueError):
         serving.compare(spark.range(1), "id", range(6), limit=5)
     assert serving.compare(spark.range(20), "id", range(9)).count() == 9
+
+
+def test_chunks_leave_a_task_in_bounded_batches():
+    import pyarrow as pa
+
+    texts = ["word " * 8_000, None, "", "x" * 30_000, *["some words. " * 3_000] * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["s"] * len(texts)), pa.array(["h"] * len(texts)), pa.array(texts, pa.string())], names=["k", "s", "h", "t"])
+    out = list(text.chunk_batches(iter([batch, batch.slice(0, 0)]), 2048, 200, 20, most_chars=100_000))
+    assert len(out) > 10 and max(sum(map(len, b.column("c").to_pylist())) for b in out) < 150_000
+    got = [(r["k"], r["i"], r["c"]) for b in out for r in b.to_pylist()]
+    assert got == [(k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(text.split_text(t)) if len(c) >= 20]
