@@ -6,9 +6,10 @@
     df.write.format("xlsx").option("sheet", "Schools").mode("append").save(folder)
 
 A file is a zip of XML parts. A read plans one task per file and row range (`taskRows` rows each, a sheet's size being told by its
-`dimension` mark; without one the file is one task) and parses the sheet as a stream: rows before the range are skipped without
-building cells, and the task stops at its end. Only the shared strings of the file are held, which the format puts in one list. A write makes
-files of at most `fileRows` rows in each task, text inline, under names of their own that a commit keeps and an abort removes.
+`dimension` mark; without one the file is one task) and parses the sheet as a stream: rows before the range are skipped as bytes,
+without parsing, and the task stops at its end. Only the shared strings of the file are held, which the format puts in one list. A write makes
+files of at most `fileRows` rows in each task, text inline, under names of their own that a commit keeps and an abort removes; a task holds
+the rows of one file compressed.
 
 Paths are local or shared folders, or addresses that pyarrow's file systems open; a folder or a pattern stands for all its .xlsx files.
 
@@ -20,16 +21,20 @@ columns read numbers, dates (serial numbers of the 1900 calendar or ISO text) an
 from __future__ import annotations
 
 import datetime
+import io
 import posixpath
 import re
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -42,6 +47,14 @@ TASK_ROWS, FILE_ROWS = 100_000, 1_000_000
 #: Characters that XML cannot hold are written as _xHHHH_, as the format does.
 UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\r]|_(?=x[0-9A-Fa-f]{4}_)")
 CODED = re.compile(r"_x([0-9A-Fa-f]{4})_")
+#: Tags of a sheet's XML as bytes: the start of its rows, and a row with its number.
+DATA_TAG = re.compile(rb"<(?:[\w.-]+:)?sheetData(?:\s[^<>]*[^<>/])?>")
+ROW_TAG = re.compile(rb"""<(?:[\w.-]+:)?row(?=\s)[^<>]*?\sr\s*=\s*["'](\d+)["']""")
+#: Bytes of a sheet that are read at once, and rows of a file that a writing task compresses together.
+READ_BYTES, BLOCK_ROWS = 1 << 20, 1_000
+#: Types whose columns are handed to Spark in batches of so many rows; zones and scales of others are left to Spark.
+ARROW_TYPES = {T.StringType: pa.string, T.BooleanType: pa.bool_, T.DateType: pa.date32, T.DoubleType: pa.float64, T.LongType: pa.int64, T.IntegerType: pa.int32, T.ShortType: pa.int16}
+BATCH_ROWS = 5_000
 
 
 def _fs(path: str):
@@ -95,7 +108,53 @@ def _text(node: ElementTree.Element) -> str:
             parts.append(child.text or "")
         elif child.tag == MAIN + "r":
             parts += [t.text or "" for t in child.iterfind(MAIN + "t")]
-    return CODED.sub(lambda m: chr(int(m[1], 16)), "".join(parts))
+    out = "".join(parts)
+    return CODED.sub(lambda m: chr(int(m[1], 16)), out) if "_x" in out else out
+
+
+class _Joined:
+    """Bytes that were read already, and the rest of a file."""
+
+    def __init__(self, seen: bytes, rest):
+        self.seen, self.rest = io.BytesIO(seen), rest
+
+    def read(self, n: int) -> bytes:
+        return self.seen.read(n) or self.rest.read(n)
+
+
+def from_row(sheet, first: int) -> _Joined:
+    """A sheet's XML without most of the rows before row `first`, which are passed over as bytes.
+
+    The rest starts at a row that tells its number, at most `first`, so rows without numbers still count from there. Sheets in
+    encodings other than UTF-8 or without such rows stay whole; comments and CDATA sections, where a tag may be mere text, end the passing.
+    """
+    head = b""
+    while (start := DATA_TAG.search(head)) is None:
+        block = sheet.read(READ_BYTES)
+        head += block
+        if not block or len(head) > 16 * READ_BYTES:
+            return _Joined(head, sheet)
+    coded = re.search(rb"""^<\?xml[^>]*encoding\s*=\s*["']([\w.-]+)""", head)
+    if b"<!" in head[: start.end()] or (coded and coded[1].lower() not in (b"utf-8", b"us-ascii")):
+        return _Joined(head, sheet)
+    head, held = head[: start.end()], head[start.end() :]
+    while b"<!" not in held and len(held) <= 16 * READ_BYTES:
+        # the last rows of the block tell whether all of it can go; otherwise they are gone through from the first
+        near, last = 0, None
+        for last in ROW_TAG.finditer(held, max(0, len(held) - READ_BYTES // 8)):
+            pass
+        if last is not None and int(last[1]) <= first:
+            near = last.start()
+        else:
+            for row in ROW_TAG.finditer(held):
+                if int(row[1]) > first:
+                    return _Joined(head + held[near:], sheet)
+                near = row.start()
+        block = sheet.read(READ_BYTES)
+        held = held[near:] + block
+        if not block:
+            break
+    return _Joined(head + held, sheet)
 
 
 class Workbook:
@@ -145,8 +204,10 @@ class Workbook:
     def rows(self, part: str, first: int = 1, last: int | None = None) -> Iterator[tuple[int, dict[int, str]]]:
         """(row number, {column place: raw text}) of the rows from `first` to `last`."""
         shared = None
+        places: dict[str, int] = {}
         number, data = 0, None
-        for event, node in ElementTree.iterparse(self.zip.open(part), events=("start", "end")):
+        sheet = self.zip.open(part)
+        for event, node in ElementTree.iterparse(sheet if first <= 2 else from_row(sheet, first), events=("start", "end")):
             if event == "start":
                 if node.tag == MAIN + "sheetData":
                     data = node
@@ -159,20 +220,29 @@ class Workbook:
                 continue
             if number >= first:
                 cells: dict[int, str] = {}
-                for k, c in enumerate(node.iterfind(MAIN + "c")):
-                    kind, value = c.get("t"), c.find(MAIN + "v")
+                k = -1
+                for c in node:
+                    if c.tag != MAIN + "c":
+                        continue
+                    k += 1
+                    kind, ref = c.get("t"), c.get("r")
                     if kind == "inlineStr":
-                        inner = c.find(MAIN + "is")
+                        inner = next((x for x in c if x.tag == MAIN + "is"), None)
                         raw = _text(inner) if inner is not None else None
-                    elif value is None or value.text is None or kind == "e":
-                        raw = None
-                    elif kind == "s":
-                        shared = self.shared_strings() if shared is None else shared
-                        raw = shared[int(value.text)]
                     else:
-                        raw = ("true" if value.text == "1" else "false") if kind == "b" else value.text
+                        raw = next((x.text for x in c if x.tag == MAIN + "v"), None)
+                        if raw is None or kind == "e":
+                            continue
+                        if kind == "s":
+                            shared = self.shared_strings() if shared is None else shared
+                            raw = shared[int(raw)]
+                        elif kind == "b":
+                            raw = "true" if raw == "1" else "false"
                     if raw is not None:
-                        cells[column_place(c.get("r")) if c.get("r") else k] = raw
+                        letters = ref.rstrip("0123456789") if ref else None
+                        if letters and letters not in places:
+                            places[letters] = column_place(letters)
+                        cells[places[letters] if letters else k] = raw
                 yield number, cells
             if data is not None:
                 data.clear()
@@ -190,6 +260,8 @@ def caster(kind: T.DataType):
     import decimal
 
     def whole(raw: str) -> int | None:
+        if raw.isascii() and raw.isdigit():
+            return int(raw)
         n = decimal.Decimal(raw.strip())
         return int(n) if n == n.to_integral_value() else None
 
@@ -197,7 +269,7 @@ def caster(kind: T.DataType):
         return decimal.Decimal(raw.strip()).quantize(decimal.Decimal(1).scaleb(-kind.scale), decimal.ROUND_HALF_UP)
 
     if isinstance(kind, T.StringType):
-        return lambda raw: raw
+        return str
     by_type = {
         T.BooleanType: lambda raw: {"true": True, "1": True, "false": False, "0": False}.get(raw.strip().lower()), T.DateType: lambda raw: _date(raw.strip()).date(),
         T.TimestampType: lambda raw: _date(raw.strip()), T.TimestampNTZType: lambda raw: _date(raw.strip()), T.DecimalType: number,
@@ -259,7 +331,7 @@ class ExcelReader(DataSourceReader):
             out += [SheetRange(path, a, a + step - 1 if a != starts[-1] else None) for a in starts]
         return out
 
-    def read(self, partition: SheetRange) -> Iterator[tuple]:
+    def read(self, partition: SheetRange) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         casts = [caster(f.dataType) for f in self.schema.fields]
         with Workbook(partition.path) as book:
             part = book.sheet_part(self.sheet)
@@ -269,9 +341,16 @@ class ExcelReader(DataSourceReader):
                 names = next((header_names(c) for _, c in book.rows(part, self.skip + 1, self.skip + 1)), [])
                 known = {n.lower(): k for k, n in enumerate(names)}
                 places = [known.get(f.name.lower(), -1) for f in self.schema.fields]
-            for _, cells in book.rows(part, partition.first, partition.last):
-                if cells:
+            rows = (cells for _, cells in book.rows(part, partition.first, partition.last) if cells)
+            if not {type(f.dataType) for f in self.schema.fields} <= set(ARROW_TYPES):
+                for cells in rows:
                     yield tuple(None if (raw := cells.get(k)) is None else cast(raw) for k, cast in zip(places, casts))
+                return
+            # columns of whole batches: Spark takes them as they are, row by row it converts every value
+            kinds = [ARROW_TYPES[type(f.dataType)]() for f in self.schema.fields]
+            while block := list(islice(rows, BATCH_ROWS)):
+                values = [[None if (raw := cells.get(k)) is None else cast(raw) for cells in block] for k, cast in zip(places, casts)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(values, kinds)], names=self.schema.names)
 
 
 @dataclass
@@ -279,6 +358,27 @@ class Written(WriterCommitMessage):
     paths: list[str]
 
 
+class _Rows:
+    """The rows of one file under their header as XML, compressed until their number is known, which the format puts first."""
+
+    def __init__(self, names: list[str]):
+        self.columns = [column_name(k) for k in range(len(names))]
+        self.count, self.packed, self.open = -1, [], []
+        self.add(names)
+
+    def add(self, row) -> None:
+        self.count += 1
+        n = self.count + 1
+        self.open.append(f'<row r="{n}">{"".join([cell(c, n, v) for c, v in zip(self.columns, row) if v is not None])}</row>')
+        if len(self.open) == BLOCK_ROWS:
+            self.packed.append(zlib.compress("".join(self.open).encode(), 1))
+            self.open = []
+
+    def blocks(self) -> Iterator[bytes]:
+        yield from map(zlib.decompress, self.packed)
+        yield "".join(self.open).encode()
+
+
 class ExcelWriter(DataSourceWriter):
     """Each task writes its rows to files of its own."""
 
@@ -292,25 +392,25 @@ class ExcelWriter(DataSourceWriter):
         system, folder = _fs(self.path)
         system.create_dir(folder, recursive=True)
         done: list[str] = []
-        batch: list = []
+        held = _Rows(self.schema.names)
         for row in rows:
-            batch.append(tuple(row))
-            if len(batch) == self.file_rows:
-                done.append(self._file(system, folder, batch))
-                batch = []
-        if batch:
-            done.append(self._file(system, folder, batch))
+            held.add(row)
+            if held.count == self.file_rows:
+                done.append(self._file(system, folder, held))
+                held = _Rows(self.schema.names)
+        if held.count:
+            done.append(self._file(system, folder, held))
         return Written(done)
 
-    def _file(self, system, folder: str, rows: list) -> str:
+    def _file(self, system, folder: str, rows: _Rows) -> str:
         path = f"{folder}/.part-{uuid.uuid4().hex}.xlsx"
         with system.open_output_stream(path) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
             for name, text in frame_parts(self.sheet).items():
                 out.writestr(name, text)
             with out.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
-                sheet.write(f'<worksheet xmlns="{MAIN[1:-1]}"><dimension ref="A1:{column_name(max(0, len(self.schema) - 1))}{len(rows) + 1}"/><sheetData>'.encode())
-                for n, row in enumerate([tuple(self.schema.names), *rows], 1):
-                    sheet.write(f'<row r="{n}">{"".join(cell(column_name(k), n, v) for k, v in enumerate(row) if v is not None)}</row>'.encode())
+                sheet.write(f'<worksheet xmlns="{MAIN[1:-1]}"><dimension ref="A1:{column_name(max(0, len(self.schema) - 1))}{rows.count + 1}"/><sheetData>'.encode())
+                for block in rows.blocks():
+                    sheet.write(block)
                 sheet.write(b"</sheetData></worksheet>")
         return path
 

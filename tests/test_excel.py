@@ -94,3 +94,44 @@ def test_names_and_empty_sheets(xlsx, tmp_path):
     with Workbook(path) as book:
         assert book.last_row(book.sheet_part("S")) is None
     assert 'name="a&amp;b"' in frame_parts("a&b")["xl/workbook.xml"]
+
+
+def test_rows_before_a_range_are_not_parsed(xlsx, tmp_path, monkeypatch):
+    from indicraft.sources import excel
+
+    writer = excel.ExcelWriter(xlsx.createDataFrame([], "id long, name string").schema, {"path": str(tmp_path)}, False)
+    path = writer.write(iter([(k, f"r<{k}") for k in range(60_000)])).paths[0]
+    parsed = []
+    plain = excel.ElementTree.iterparse
+
+    def counted(*args, **kwargs):
+        for event, node in plain(*args, **kwargs):
+            parsed.append(node.tag == excel.MAIN + "row" and event == "end")
+            yield event, node
+
+    monkeypatch.setattr(excel.ElementTree, "iterparse", counted)
+    with Workbook(path) as book:
+        part = book.sheet_part(None)
+        for first in (2, 20_002, 59_000):
+            parsed.clear()
+            assert [(n, c[1]) for n, c in book.rows(part, first, first + 9)] == [(n, f"r<{n - 2}") for n in range(first, first + 10)]
+            assert sum(parsed) < 5_000, first
+
+
+def test_ranges_of_awkward_sheets_equal_whole_reads(monkeypatch, tmp_path):
+    from indicraft.sources import excel
+
+    monkeypatch.setattr(excel, "READ_BYTES", 64)
+    row = lambda k, tag="": f'<row{tag}><c><v>{k}</v></c></row>'
+    numbered = "".join(row(k, f' spans="1:1" r="{k}"') for k in range(1, 60))
+    gaps = "".join(row(k, f" r='{k}'" if k % 5 == 1 else "") for k in range(1, 60)) + row(90, ' r="90"')
+    noted = numbered.replace(row(20, ' spans="1:1" r="20"'), '<!-- <row r="50"> --><row r="20"><c t="inlineStr"><is><t><![CDATA[<row r="40">]]></t></is></c></row>')
+    bodies = {"numbered": numbered, "gaps": gaps, "none": "".join(row(k) for k in range(1, 30)), "noted": noted, "empty": ""}
+    own_file(tmp_path / "a.xlsx", {k: f'<dimension ref="A1:A60"/><sheetData>{v}</sheetData><rowBreaks r="3"/>' for k, v in bodies.items()} | {"closed": "<sheetData/>"})
+    with Workbook(str(tmp_path / "a.xlsx")) as book:
+        for name in [*bodies, "closed"]:
+            part = book.sheet_part(name)
+            every = list(book.rows(part))
+            assert len(every) == bodies.get(name, "").count("</row>")
+            for first in range(1, 95):
+                assert list(book.rows(part, first, first + 7)) == [r for r in every if first <= r[0] <= first + 7], (name, first)
