@@ -1,8 +1,9 @@
-"""Substring search by posting tables: which rows hold which runs of one to three characters.
+"""Substring search by posting tables: which rows hold which runs of one, two, three, six and twelve characters.
 
-A text that contains a needle contains all runs of three characters of it. A search therefore takes the needle's rarest runs,
-intersects their postings and checks the few rows left with the plain condition, so its result is that of a scan. Needles of one and
-two characters have postings of their own.
+A text that contains a needle contains all its runs of the longest of these lengths that fits it, which up to 24 characters is at least half
+of it. A search therefore takes the needle's rarest runs and checks the few rows of their postings with the plain condition, so its
+result is that of a scan. Many needles together take one run each: its postings are few where the needle is rare, and common runs beside it
+would cost more than the rows they spare. An index built with other lengths has to be built again.
 
 The index is a folder, all of it Parquet:
 
@@ -33,35 +34,30 @@ from .windows import topk_per_group
 
 #: Postings of one gram, and rows, in one file.
 FILE_ROWS = 1_000_000
-#: Grams of a needle that are looked up; more would narrow the candidates little.
+#: Lengths of the runs that have postings.
+LENGTHS = (1, 2, 3, 6, 12)
+#: Grams of a single needle that are looked up; more would narrow the candidates little.
 MOST_GRAMS = 4
 
 
-def _characters(text: Column) -> Column:
-    """The lower-case text's characters one by one."""
-    return F.filter(F.split(F.lower(text), ""), lambda c: c != "")
-
-
-def _runs(chars: Column, n: int) -> Column:
-    """All runs of n neighbouring characters, in linear time."""
-    if n == 1:
-        return chars
-    shifted = [chars if k == 0 else F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))) for k in range(n)]
-    zipped = F.arrays_zip(*[s.alias(f"c{k}") for k, s in enumerate(shifted)])
-    joined = F.transform(zipped, lambda z: F.concat(*[z.getField(f"c{k}") for k in range(n)]))
-    return F.filter(joined, lambda g: g.isNotNull())
+def _runs(text: Column, n: int) -> Column:
+    """All runs of n neighbouring characters of the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
 
 
 def text_grams(*texts: Column) -> Column:
-    """The distinct runs of one to three characters of the texts together."""
-    every = [_runs(_characters(F.coalesce(t.cast("string"), F.lit(""))), n) for t in texts for n in (1, 2, 3)]
+    """The distinct runs of the texts together, of all lengths."""
+    every = [_runs(F.lower(F.coalesce(t.cast("string"), F.lit(""))), n) for t in texts for n in LENGTHS]
     return F.array_distinct(F.flatten(F.array(*every)))
 
 
 def needle_grams(needle: Column) -> Column:
-    """The runs that a search looks up: those of three characters, or the whole of a shorter needle."""
-    chars = _characters(needle)
-    return F.array_distinct(F.when(F.size(chars) >= 3, _runs(chars, 3)).otherwise(F.array(F.lower(needle))))
+    """The runs that a search looks up: those of the longest length that fits."""
+    low = F.lower(needle)
+    fitting = F.lit(None).cast("array<string>")
+    for n in LENGTHS:
+        fitting = F.when(F.length(low) >= n, _runs(low, n)).otherwise(fitting)
+    return F.array_distinct(F.coalesce(fitting, F.array(low)))
 
 
 @dataclass
@@ -163,11 +159,11 @@ class TextIndex:
         asked = needles.select(F.col(needle).cast("string").alias("needle")).filter("needle is not null").distinct()
         grams = asked.filter("needle <> ''").select("needle", F.explode(needle_grams(F.col("needle"))).alias("gram")).withColumn("gram_bucket", self._bucket(F.col("gram")))
         counts = self.table("counts").groupBy("gram_bucket", "gram").agg(F.sum("n").alias("n"))
-        ranked = topk_per_group(grams.join(counts, ["gram_bucket", "gram"], "left"), "needle", [F.col("n").asc_nulls_first(), F.col("gram")], MOST_GRAMS, "place")
-        wanted = ranked.groupBy("needle").agg(F.count("*").alias("wanted"))
-        hits = self.table("postings").join(ranked.select("needle", "gram_bucket", "gram"), ["gram_bucket", "gram"])
-        found = hits.groupBy("needle", "seg", "row_bucket", "key").agg(F.count_distinct("gram").alias("found"))
-        near = found.join(wanted, "needle").filter("found = wanted").select("needle", "seg", F.col("row_bucket").alias("b"), F.col("key").alias("k"))
+        rarest = topk_per_group(grams.join(counts, ["gram_bucket", "gram"], "left"), "needle", [F.col("n").asc_nulls_first(), F.col("gram")], 1, "place")
+        # a needle with a run that no row holds is in no row; stored, as its size tells Spark whether postings have to move
+        wanted = materialize(rarest.filter("n is not null").select("needle", "gram_bucket", "gram"), "needles")
+        hits = self.table("postings").join(wanted, ["gram_bucket", "gram"])
+        near = hits.select("needle", "seg", F.col("row_bucket").alias("b"), F.col("key").alias("k")).distinct()
         rows = self.table("rows")
         same = (rows["seg"] == near["seg"]) & (rows["row_bucket"] == near["b"]) & rows["key"].eqNullSafe(near["k"])
         holds = F.lit(False)

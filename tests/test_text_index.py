@@ -68,3 +68,17 @@ def test_grams(column):
     got = column([("abab",), ("ab",), ("🙂🙃x",)], "t string", needle_grams(F.col("t")))
     assert [sorted(g) for g in got] == [["aba", "bab"], ["ab"], ["🙂🙃x"]]
     assert column([("",), (None,)], "t string", text_grams(F.col("t"))) == [[], []]
+
+
+def test_needles_of_numbers_have_few_candidates(spark, tmp_path):
+    """Numbered names share all their short runs; six characters tell them apart."""
+    index = TextIndex(spark, str(tmp_path / "t"), "id", ["name"], buckets=4)
+    index.add(spark.range(3_000).selectExpr("id", "concat('Customer#', lpad(id, 9, '0')) as name"))
+    needles = spark.range(200).selectExpr("concat('#', lpad(id * 14 + 100, 9, '0')) as needle")
+    found = index.find_all(needles)
+    assert sorted(r["id"] for r in found.collect()) == [k * 14 + 100 for k in range(200)]
+    asked = needles.select("needle", F.explode(needle_grams(F.col("needle"))).alias("gram"))
+    rarest = asked.join(index.table("counts"), "gram").groupBy("needle").agg(F.min("n").alias("n")).agg(F.sum("n")).first()[0]
+    assert rarest < 200 * 20
+    long = "abcdefghijklmnopqrstuvwxyz"
+    assert sorted(spark.range(1).select(needle_grams(F.lit(long)).alias("g")).first()["g"]) == [long[k : k + 12] for k in range(15)]
