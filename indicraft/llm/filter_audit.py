@@ -27,8 +27,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,6 +164,45 @@ def local_shards(docs: DataFrame, id: str, text: str, source: str, shard_bytes:
     return slim.mapInArrow(run, _SHARD)
 
 
+def _ranked(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(rank of each word among the distinct ones, the distinct ones in order)."""
+    coded = words.dictionary_encode()
+    rising = pc.sort_indices(coded.dictionary).to_numpy()
+    ranks = np.empty(len(rising), np.int64)
+    ranks[rising] = np.arange(len(rising))
+    return ranks[coded.indices.to_numpy()], coded.dictionary.take(pa.array(rising))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The task's buckets one by one, each whole: there are as many partitions as buckets, so a task has few."""
+    held = pa.Table.from_batches(got) if (got := [b for b in batches if b.num_rows]) else None
+    if held is None:
+        return
+    buckets = held["bucket"].to_numpy()
+    for bucket in np.unique(buckets).tolist():
+        yield bucket, held.filter(pa.array(buckets == bucket))
+
+
+def bucket_entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(shard, at, word, bucket) of whole buckets to (shard, entries): per bucket and shard the words' places in its list, packed with their global numbers."""
+    for bucket, table in _by_bucket(batches):
+        ranks, _ = _ranked(table["word"].combine_chunks())
+        entries = (table["at"].to_numpy().astype(np.int64) << TERM_BITS) | (ranks * buckets + bucket)
+        shards = table["shard"].to_numpy()
+        by_shard = np.argsort(shards, kind="stable")
+        shards, entries = shards[by_shard], entries[by_shard]
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        packs = [entries[a:b].astype("<i8").tobytes() for a, b in itertools.pairwise(cuts)]
+        yield pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]], pa.int64()), pa.array(packs, pa.binary())], names=["shard", "entries"])
+
+
+def bucket_dictionary(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(word, bucket) of whole buckets to the distinct words with their global numbers."""
+    for bucket, table in _by_bucket(batches):
+        _, words = _ranked(table["word"].combine_chunks())
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.arange(len(words)) * buckets + bucket, pa.int64())], names=["word", "term"])
+
+
 def document_term_matrix(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", source: str = "source",
                          shard_bytes: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS) -> TermMatrix:
     """Counts of every word of every whole text as stored shards of compressed sparse rows with global word numbers."""
@@ -170,28 +210,28 @@ def document_term_matrix(docs: DataFrame, scratch: Scratch, id: str = "doc_id",
     total = local.agg(F.sum(F.size("words"))).first()[0] or 0
     buckets = 64 * max(1, -(-total // (64 * bucket_words)))
     named = local.select("shard", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
-    ranked = named.select("shard", "at", "word", (rank.cast("long") * buckets + F.col("bucket")).alias("term"))
-    # a shard's list is as long as its word list, which the bytes of a shard bound; the place in the list leads each entry, so sorting restores it
-    entry = F.shiftleft(F.col("at").cast("long"), TERM_BITS).bitwiseOR(F.col("term"))
-    lookup = ranked.select("shard", entry.alias("entry")).groupBy("shard").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    named = named.repartition(buckets, "bucket")
+    lookup = named.mapInArrow(lambda batches: bucket_entries(batches, buckets), "shard long, entries binary").groupBy("shard").agg(F.collect_list("entries").alias("entries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 ends, counts = unpacked(row.column(2)[0]).astype(np.int64), unpacked(row.column(4)[0])
-                table = row.column(5).flatten().to_numpy() & ((1 << TERM_BITS) - 1)
+                # the place in the list leads each entry, so sorting restores it
+                entries = np.frombuffer(b"".join(row.column(5)[0].as_py()), "<i8")
+                table = np.sort(entries) & ((1 << TERM_BITS) - 1)
                 terms = table[unstepped(unpacked(row.column(3)[0]), ends)]
                 # rows rise by global number too
                 rising = np.lexsort((terms, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))))
                 blobs = packed(stepped(terms[rising], ends)), packed(counts[rising])
                 yield pa.RecordBatch.from_arrays([*row.columns[:3], *[pa.array([b], pa.binary()) for b in blobs]], names=["shard", "docs", "ends", "terms", "counts"])
 
-    joined = local.drop("words").join(lookup, "shard", "left").select("shard", "docs", "ends", "terms", "counts", F.coalesce("entries", F.array().cast("array<bigint>")).alias("entries"))
+    joined = local.drop("words").join(lookup, "shard", "left").select("shard", "docs", "ends", "terms", "counts", F.coalesce("entries", F.array().cast("array<binary>")).alias("entries"))
     schema = T.StructType([_SHARD["shard"], _SHARD["docs"], _SHARD["ends"], _SHARD["terms"], _SHARD["counts"]])
     shards = scratch.store(joined.mapInArrow(run, schema), "audit-shards")
-    return TermMatrix(shards, ranked.select("word", "term").distinct(), local)
+    dictionary = named.select("word", "bucket").mapInArrow(lambda batches: bucket_dictionary(batches, buckets), "word binary, term long")
+    return TermMatrix(shards, dictionary, local)
 
 
 def row_figures(matrix: TermMatrix) -> DataFrame:

@@ -241,3 +241,16 @@ def test_fill_in_middle_on_awkward_rows(spark, clashing, nothing):
         assert (r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output"]) == plain_middle(r["doc_id"], r["text"])
         assert r["back"] == (r["text"] or "")
     assert fill_in_middle(nothing).count() == 0
+
+
+def test_words_are_numbered_by_bucket_without_sorting_their_rows(spark, awkward):
+    from pyspark.sql import Window
+
+    docs = awkward.repartition(5)
+    matrix = document_term_matrix(docs, Scratch(spark), shard_bytes=2_000, bucket_words=50)
+    assert "Window" not in matrix.dictionary._jdf.queryExecution().executedPlan().toString()
+    words = matrix.local.select(F.explode("words").alias("word"))
+    buckets = 64 * max(1, -(-words.count() // (64 * 50)))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
+    want = words.distinct().withColumn("b", bucket).select("word", ((F.row_number().over(Window.partitionBy("b").orderBy("word")) - 1).cast("long") * buckets + F.col("b")).alias("term"))
+    assert {tuple(r) for r in matrix.dictionary.collect()} == {tuple(r) for r in want.collect()} != set()
