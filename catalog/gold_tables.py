@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from indicraft.functions.cleaning import round_half_up
 from indicraft.plans import gold, silver
 from indicraft.plans.medallion import Medallion
 from indicraft.plans.staging import STAGING
+from indicraft.session import materialize
 
 from . import model_sql as sql
 from .base import query, rnd, shared
-from .raw import MEASURES, PRIOR_YEAR, RAW, YEAR
+from .raw import COUNTY_YEARS, MEASURES, PRIOR_YEAR, RAW, YEAR
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +25,21 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _stored: dict[tuple[str, str], Medallion] = {}
 
 
+def landed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All raw frames; the counts by county and year, which air and crime (read twice) rest on, are stored, so the orders are joined once for the three."""
+    counts = materialize(shared(spark, sf_dir, COUNTY_YEARS), "county_years")
+    counts.createOrReplaceTempView(view := f"county_years_{uuid.uuid4().hex}")
+    try:
+        return {k: shared(spark, sf_dir, text.replace(f"({COUNTY_YEARS})", view)) for k, text in RAW.items()}
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def medallion(spark: SparkSession, sf_dir: str) -> Medallion:
     """One set of stored tables per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        _stored[key] = Medallion({k: raw(spark, sf_dir, k) for k in RAW}, YEAR, PRIOR_YEAR, MEASURES)
+        _stored[key] = Medallion(landed(spark, sf_dir), YEAR, PRIOR_YEAR, MEASURES)
     return _stored[key]
 
 

@@ -1,14 +1,14 @@
 """Exact percentiles that never gather a large column in one task.
 
-A sketch brackets each wanted percentile. One aggregate then counts the values below and inside each
-bracket and notes its nearest neighbours outside; only the values inside are counted one by one and
-sorted. That slice is a few ranks of the sketch's error wide, whatever the size of the column. The same
-steps run at every size.
+A sketch brackets each wanted percentile. One aggregate then counts the values between the brackets, with
+the smallest and largest of each such region, and those inside one by one; only these counts are sorted.
+A bracket is a few ranks of the sketch's error wide, whatever the size of the column. The same steps run at
+every size, and their plan does not grow with the number of columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,49 +22,25 @@ from .ranking import null_safe_join
 ACCURACY = 100_000
 
 
-def _edges(
-    df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int
-) -> tuple[DataFrame, Callable[[str], Column], DataFrame]:
-    """(source, its brackets by name, one row per group and wanted percentile with the counts around its bracket).
+def _with_edges(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """`df` with `_edges`: both ends of the bracket of every column and percentile in turn, the same array in all rows of a group.
 
-    Without groups the brackets are one row of numbers, which the later passes take as literals.
+    Without groups the array is one row of numbers, which the next pass takes as a literal.
     """
     margin = 4 / accuracy
-    sketches: list[Column] = []
-    for i, c in enumerate(cols):
+    ends: list[Column] = []
+    for c in cols:
         x = F.col(f"`{c}`").cast("double")
         wanted = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)})
         sketch = F.percentile_approx(x, [float(e) for e in wanted], accuracy)
         low, high = F.min(x), F.max(x)
-        for j, q in enumerate(qs):
-            lo = low if q - margin <= 0 else sketch[wanted.index(q - margin)]
-            hi = high if q + margin >= 1 else sketch[wanted.index(q + margin)]
-            sketches += [lo.alias(f"_lo{i}_{j}"), hi.alias(f"_hi{i}_{j}")]
+        for q in qs:
+            ends.append(low if q - margin <= 0 else sketch[wanted.index(q - margin)])
+            ends.append(high if q + margin >= 1 else sketch[wanted.index(q + margin)])
+    row = F.array(*ends).alias("_edges")
     if by:
-        source, edge = null_safe_join(df, df.groupBy(*by).agg(*sketches), by), F.col
-    else:
-        found = df.agg(*sketches).first()
-        source, edge = df, lambda name: F.lit(found[name]).cast("double")
-    counts, cells = [], []
-    for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        counts.append(F.count(x).alias(f"_n{i}"))
-        for j, q in enumerate(qs):
-            lo, hi, at = edge(f"_lo{i}_{j}"), edge(f"_hi{i}_{j}"), f"{i}_{j}"
-            counts += [
-                F.count_if(x < lo).alias(f"_below{at}"),
-                F.count_if((x >= lo) & (x <= hi)).alias(f"_inside{at}"),
-                F.max(F.when(x < lo, x)).alias(f"_prev{at}"),
-                F.min(F.when(x > hi, x)).alias(f"_next{at}"),
-            ]
-            cells.append(
-                F.struct(
-                    F.lit(i).alias("metric_at"), F.lit(j).alias("q_at"), F.col(f"_n{i}").alias("n"),
-                    *[F.col(f"_{k}{at}").alias(k) for k in ("below", "inside", "prev", "next")],
-                )
-            )
-    around = source.groupBy(*by).agg(*counts).select(*by, F.inline(F.array(*cells)))
-    return source, edge, around
+        return null_safe_join(df, df.groupBy(*by).agg(row), by)
+    return df.withColumn("_edges", F.array(*[F.lit(e).cast("double") for e in df.agg(row).first()[0]]))
 
 
 def _narrow(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -72,40 +48,40 @@ def _narrow(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 
 def _at_ranks(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
-    """`by..., metric_at, q_at, value`: one row per group and percentile, null where a group has no value."""
-    source, edge, around = _edges(df, cols, qs, by, accuracy)
-    entries, any_inside = [], F.lit(False)
-    for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        for j in range(len(qs)):
-            inside = F.coalesce((x >= edge(f"_lo{i}_{j}")) & (x <= edge(f"_hi{i}_{j}")), F.lit(False))
-            any_inside = any_inside | inside
-            entries.append(F.when(inside, F.struct(F.lit(i).alias("metric_at"), F.lit(j).alias("q_at"), x.alias("value"))))
-    keys = [*by, "metric_at", "q_at"]
+    """`by..., metric_at, q_at, value`: one row per group and percentile, null where a group has no value.
+
+    The edges cut the line into regions, of which each value outside all brackets adds to one count and each
+    value inside is counted by itself. Wanted ranks fall on a value inside or on the end of a region beside it.
+    """
+    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in cols])).alias("metric_at", "_x")
+    x = F.col("_x")
+    region, inside = F.lit(0), F.lit(False)
+    for j in range(len(qs)):
+        low, high = (F.get("_edges", F.col("metric_at") * (2 * len(qs)) + (2 * j + end)) for end in (0, 1))
+        region = region + (x >= low).cast("int") + (x > high).cast("int")
+        inside = inside | ((x >= low) & (x <= high))
+    keys = [*by, "metric_at"]
     counted = (
-        source.filter(any_inside)
-        .select(*by, F.inline(F.array_compact(F.array(*entries))))
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        _with_edges(df, cols, qs, by, accuracy)
+        .select(*by, "_edges", cells)
+        .groupBy(*keys, region.alias("_region"), F.when(inside, x).alias("_value"))
+        .agg(F.count(x).alias("_n"), F.min(x).alias("_low"), F.max(x).alias("_high"))
     )
-    running = counted.withColumn("upto", F.sum("_n").over(W.partitionBy(*keys).orderBy("value"))).drop("_n")
-    points = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("q_at") + 1)
-    placed = around.withColumn("place", points * (F.col("n") - 1))
-    found = null_safe_join(placed, running, keys).groupBy(*keys).agg(
-        *[
-            F.min(F.when(F.col("below") + F.col("upto") > side(F.col("place")), F.col("value"))).alias(f"in_{label}")
-            for label, side in (("low", F.floor), ("high", F.ceil))
-        ],
-        *[F.first(c).alias(c) for c in ("place", "below", "inside", "prev", "next")],
-    )
-
-    def at(rank: Column, inside: str) -> Column:
-        outside = F.when(rank < F.col("below"), F.col("prev")).when(rank >= F.col("below") + F.col("inside"), F.col("next"))
-        return outside.otherwise(F.col(inside))
-
-    low, high = at(F.floor("place"), "in_low"), at(F.ceil("place"), "in_high")
-    value = low + (high - low) * (F.col("place") - F.floor("place"))
-    return found.select(*keys, F.when(F.col("place") >= 0, value).alias("value"))
+    group = W.partitionBy(*keys)
+    running = counted.withColumn("_upto", F.sum("_n").over(group.orderBy("_low").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    running = running.withColumn("_rows", F.sum("_n").over(group))
+    found = []
+    for j, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("_rows") - 1)
+        for label, side in (("low", F.floor), ("high", F.ceil)):
+            rank = side(place)
+            value = F.coalesce("_value", F.when(rank == F.col("_upto") - 1, F.col("_high")).otherwise(F.col("_low")))
+            found.append(F.max(F.when((rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto")), value)).alias(f"_{label}{j}"))
+    cells_at = []
+    for j, q in enumerate(qs):
+        place, low, high = F.lit(float(q)) * (F.col("_rows") - 1), F.col(f"_low{j}"), F.col(f"_high{j}")
+        cells_at.append(F.struct(F.lit(j).alias("q_at"), (low + (high - low) * (place - F.floor(place))).alias("value")))
+    return running.groupBy(*keys).agg(F.first("_rows").alias("_rows"), *found).select(*keys, F.inline(F.array(*cells_at)))
 
 
 def quantile_table(
@@ -143,7 +119,7 @@ def percentile_bounds(
     """All percentiles of all columns, one row (per group): `<col>_p5`, `<col>_p95`, ...
 
     Exact by default, null where a group has no value; every group of the input has a row.
-    The needed columns are stored for the three passes and removed again, so whatever computes `df` runs once.
+    The needed columns are stored for the two passes and removed again, so whatever computes `df` runs once.
     The row of a result without groups is read back, a result by group is stored. `approx=True` takes the sketch values in a single pass.
     """
     if approx:
@@ -152,14 +128,14 @@ def percentile_bounds(
             values = F.percentile_approx(f"`{c}`", [float(q) for q in qs], accuracy)
             aggs += [values[i].alias(quantile_name(c, q)) for i, q in enumerate(qs)]
         return df.groupBy(*by).agg(*aggs)
-    aggs = [
-        F.max(F.when((F.col("metric_at") == i) & (F.col("q_at") == j), F.col("value"))).alias(quantile_name(c, q))
-        for i, c in enumerate(cols)
-        for j, q in enumerate(qs)
-    ]
     with held(_narrow(df, cols, by), "percentiles") as narrow:
-        table = _at_ranks(narrow, cols, qs, by, accuracy).groupBy(*by).agg(*aggs)
-        return materialize(table, "percentiles") if by else df.sparkSession.createDataFrame(table.collect(), table.schema)
+        table = _at_ranks(narrow, cols, qs, by, accuracy)
+        names = {(i, j): quantile_name(c, q) for i, c in enumerate(cols) for j, q in enumerate(qs)}
+        if by:
+            at = lambda i, j: (F.col("metric_at") == i) & (F.col("q_at") == j)
+            return materialize(table.groupBy(*by).agg(*[F.max(F.when(at(*k), F.col("value"))).alias(name) for k, name in names.items()]), "percentiles")
+        found = {(r["metric_at"], r["q_at"]): r["value"] for r in table.collect()}
+    return df.sparkSession.range(1).select(*[F.lit(found.get(k)).cast("double").alias(name) for k, name in names.items()])
 
 
 def grouped_median(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from indicraft.operators import aggregates, anomaly, features, joins, model, quality, retrieval, serving, spatial, text
-from indicraft.operators.bounds import percentile_bounds, quantile_table
+from indicraft.operators.bounds import _at_ranks, percentile_bounds, quantile_table
 from indicraft.operators.ranking import rank_columns, rank_levels
 from indicraft.operators.windows import lag_features, latest_per_key, rolling_mean, topk_per_group
 from indicraft.sources.contracts import CONTRACTS, contract_from_json_schema, validate
@@ -51,6 +51,19 @@ def test_percentiles_of_few_rows_equal_numpy(spark, n):
         assert [got[q] for q in qs] == pytest.approx([np.percentile(x, q * 100) for q in qs])
 
 
+def test_percentiles_of_all_columns_are_counted_in_one_read(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 4000), "a": rng.integers(0, 9, 4000) * 1.0, "b": rng.normal(size=4000)})
+    spark.createDataFrame(pdf).repartition(4).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = _at_ranks(df, ["a", "b"], (0.05, 0.95), [], 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    for r in percentile_bounds(df, ["a", "b"], (0.05, 0.06, 0.95), ["g"], accuracy=100).collect():
+        for c in "ab":
+            x = pdf[pdf.g == r["g"]][c]
+            assert [r[f"{c}_p5"], r[f"{c}_p6"], r[f"{c}_p95"]] == pytest.approx(list(np.percentile(x, [5, 6, 95])))
+
+
 @pytest.mark.parametrize("digits", [2, 12])
 def test_ranks_equal_windows(spark, digits):
     rng = np.random.default_rng(3)

@@ -1,11 +1,14 @@
 """Every registered query against its SQL, and a few whole-table invariants."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from catalog import QUERIES
 from catalog.base import TABLES
+from catalog.gold_tables import medallion, raw
 from check import compare
 
 
@@ -39,3 +42,11 @@ def test_scores_are_bounded_and_ranks_dense(spark, sf_dir):
 def test_no_cross_join_in_the_flagship_plan(spark, sf_dir):
     plan = queries()["gold_resource_gaps"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["air_quality", "crime"])
+def test_gold_tables_read_stored_county_counts(spark, sf_dir, name):
+    landed = medallion(spark, sf_dir).raw[name]
+    assert not any("orders" in f or "customer" in f for f in landed.inputFiles())
+    assert Counter(map(tuple, landed.collect())) == Counter(map(tuple, raw(spark, sf_dir, name).collect()))
+    assert landed.dtypes == raw(spark, sf_dir, name).dtypes
