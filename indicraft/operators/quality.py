@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import age_days, round_half_up
-from ..session import attach_stats, one_row
+from ..session import attach_stats, materialize, one_row
 from .aggregates import mode_share
 
 Threshold = tuple[str, Any]
@@ -286,17 +286,20 @@ def sample_suspicious(
         present = sum((F.col(p).isNotNull().cast("int") for p in pillars), F.lit(0))
         total = sum((F.coalesce(F.col(p), F.lit(0.0)) for p in pillars), F.lit(0.0))
         strata.append(("inconsistent", F.abs(F.col(score) - total / F.nullif(present, F.lit(0))) > mismatch, n // 4))
+    from .windows import dedup_first, topk_per_group
+
+    # One pass finds the rows of all strata. The picks, less than n rows, are stored: the fill reads them again.
     tagged = df.withColumn("_draw", draw)
-    picks = None
-    for i, (name, cond, quota) in enumerate(strata):
-        part = tagged.filter(cond).orderBy("_draw", key).limit(quota)
-        part = part.withColumn("stratum", F.lit(name)).withColumn("_prio", F.lit(i))
-        picks = part if picks is None else picks.unionByName(part)
-    # All frames from here on hold at most 2n rows. A key picked by two strata counts once, and the
-    # fill is drawn from the rows that no stratum picked, so n rows come back wherever df has them.
-    from .windows import dedup_first
-
-    picks = dedup_first(picks, key, [F.col("_prio"), F.col("_draw")])
+    hits = [
+        F.when(cond, F.struct(F.lit(name).alias("stratum"), F.lit(i).alias("_prio"), F.lit(quota).alias("_quota")))
+        for i, (name, cond, quota) in enumerate(strata)
+    ]
+    found = tagged.select("*", F.inline(F.array_compact(F.array(*hits))))
+    best = topk_per_group(found, "_prio", [F.col("_draw"), F.col(key)], max(quota for *_, quota in strata), "_rank")
+    # A key picked by two strata counts once, and the fill is drawn from the rows that no stratum picked,
+    # so n rows come back wherever df has them.
+    picks = dedup_first(best.filter(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota"), key, [F.col("_prio"), F.col("_draw")])
+    picks = materialize(picks, "picks")
     other = F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(str(seed + 1))))
     fill = tagged.join(picks.select(F.col(key).alias("_picked")), F.col(key).eqNullSafe(F.col("_picked")), "left_anti").withColumn("_draw", other)
     fill = fill.orderBy("_draw", key).limit(n).withColumn("stratum", F.lit("random")).withColumn("_prio", F.lit(len(strata)))

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -413,6 +414,23 @@ def test_suspicious_sample_is_filled(spark, rows, n):
     assert kinds.count("extreme") <= n // 3 and kinds.count("large_change") <= n // 3 and kinds.count("inconsistent") <= n // 4
 
 
+def test_suspicious_sample_reads_its_rows_once_for_all_strata(spark, tmp_path):
+    pdf = pd.DataFrame({"id": range(500), "score": [i * 7 % 100 * 1.0 for i in range(500)], "change": [i % 60 - 20.0 for i in range(500)], "p": 55.0})
+    spark.createDataFrame(pdf).write.parquet(str(tmp_path / "t"))
+    out = quality.sample_suspicious(spark.read.parquet(str(tmp_path / "t")), "id", 40, "score", ["change"], ["p"])
+    # the rows once for the fill, the stored picks twice
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 3
+    draw = lambda i, seed: hashlib.md5(f"{i}#{seed}".encode()).hexdigest()
+    far = {"extreme": ((pdf.score < 10) | (pdf.score > 98), 13), "large_change": (pdf.change.abs() > 25, 13), "inconsistent": ((pdf.score - pdf.p).abs() > 20, 10)}
+    want = {}
+    for name, (hit, quota) in far.items():
+        for i in sorted(pdf.id[hit], key=lambda i: draw(i, 42))[:quota]:
+            want.setdefault(i, name)
+    rest = sorted(set(pdf.id) - set(want), key=lambda i: draw(i, 43))
+    want |= dict.fromkeys(rest[: 40 - len(want)], "random")
+    assert {r["id"]: r["stratum"] for r in out.collect()} == want
+
+
 def test_mode_of_any_type(spark):
     df = spark.createDataFrame([("b", 2**60), ("a", 2**60 + 1), ("b", 2**60 + 1), ("a", 5), (None, None)], "t string, n long")
     assert tuple(aggregates.mode_share(df, "t").first()) == ("a", 2, 50.0)
